@@ -27,9 +27,42 @@ def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op5_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statewalk.llm.toxicity import fold
+
+    return fold(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statewalk.llm.quality import judge
+
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row_key")
+
+
+def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statewalk.llm.languages import fold
+
+    return fold(table(spark, sf_dir, "documents"))
+
+
+def op9_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statewalk.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op10_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statewalk.llm.fingerprints import edited
+
+    return edited(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_harmonic_packing)}
+    found = (op2_byte_bpe, op3_harmonic_packing, op5_toxicity_mil, op7_quality_bayes, op8_language_mixture, op9_license_digest, op10_multiset_fingerprint)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from statewalk.llm.licenses import oracle
+
+    return {"op9_license_digest": oracle()}
