@@ -6,9 +6,9 @@ or subtracting its vector. The vector has two parts:
 
 * EXACT lanes modulo 2**64 hashed from the whole paragraph: equal multisets of paragraphs give equal lanes, and others
   differ but for a chance of about 2**-64 a lane;
-* SKETCH lanes modulo 2**16, to which each shingle of three words of the paragraph adds +1 or -1 at a hashed lane. Texts
-  that share shingles share additions, so the cosine of two sketches estimates the share of shingles in common, which a
-  plain sum of hashes can't show.
+* SKETCH lanes modulo 2**16, to which each shingle of three words of the paragraph (in a short paragraph, each block of a
+  few bytes and its place) adds +1 or -1 at a hashed lane. Texts that share shingles share additions, so the cosine of two
+  sketches estimates the share in common, which a plain sum of hashes can't show.
 
 A text's last paragraph ends with the text; the empty text has no paragraph and the zero vector.
 """
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from statewalk.llm.common import BASE, is_space, mix, segment_sums, span_hashes, text_chunks, texts_of, word_spans
 
 EXACT, SKETCH, SHINGLE = 4, 128, 3
+#: A paragraph of fewer bytes is sketched by its blocks of BLOCK bytes; a word is cut into pieces of LONGEST bytes.
+SHORT, BLOCK, LONGEST = 64, 4, 12
 NEWLINE = 10
 
 
@@ -39,24 +41,43 @@ def vectors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     h = span_hashes(data, starts, ends)
     lanes = mix(h[:, None] + np.arange(1, EXACT + 1, dtype=np.uint64) * np.uint64(BASE))
     exact = segment_sums(lanes, at)
-
-    outside = is_space(data)
-    starts, ends, at = word_spans(data, offsets, outside)
-    text = np.repeat(np.arange(n), np.diff(at))
-    paragraph = np.cumsum(data == NEWLINE)[starts] if len(starts) else np.zeros(0, np.int64)
-    w = span_hashes(data, starts, ends)
+    of_text = np.repeat(np.arange(n), np.diff(at))
+    short = ends - starts < SHORT
+
+    # short paragraphs: blocks of BLOCK bytes, told apart by their place in the paragraph
+    owner, place, begin, end = cut(starts[short], ends[short], BLOCK)
+    units = [mix(span_hashes(data, begin, end) + mix(place.astype(np.uint64) + np.uint64(1)))]
+    texts = [of_text[short][owner]]
+
+    # others: shingles of words within the paragraph, the last ones of fewer words; very long words count as several
+    begin, end, _ = word_spans(data, offsets, is_space(data))
+    paragraph = np.searchsorted(starts, begin, "right") - 1
+    use = ~short[paragraph]
+    owner, _, begin, end = cut(begin[use], end[use], LONGEST)
+    paragraph = paragraph[use][owner]
+    w = span_hashes(data, begin, end)
     unit = w * np.uint64(3)
-    for k in range(1, SHINGLE):  # shingles stay within a paragraph; a shorter paragraph's last ones are of fewer words
-        same = np.zeros(len(w), bool)
-        same[:-k] = (paragraph[k:] == paragraph[:-k]) & (text[k:] == text[:-k])
-        unit[:-k][same[:-k]] += mix(w[k:][same[:-k]] + np.uint64(k)) * np.uint64(2 * k + 3)
-    unit = mix(unit)
+    for k in range(1, SHINGLE):
+        same = np.flatnonzero(paragraph[k:] == paragraph[:-k])
+        unit[same] += mix(w[same + k] + np.uint64(k)) * np.uint64(2 * k + 3)
+    units.append(mix(unit))
+    texts.append(of_text[paragraph])
+    unit, text = np.concatenate(units), np.concatenate(texts)
     lane = (unit % np.uint64(SKETCH)).astype(np.int64)
     sign = 1 - 2 * (unit >> np.uint64(63)).astype(np.int64)
-    sketch = np.bincount(text * SKETCH + lane, weights=sign, minlength=n * SKETCH)[: n * SKETCH]
+    sketch = np.bincount(text * SKETCH + lane, weights=sign, minlength=n * SKETCH)
     return exact, (sketch.astype(np.int64) % (1 << 16)).astype(np.uint16).reshape(n, SKETCH)
 
 
+def cut(starts: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans cut into pieces of `size` bytes: each piece's span, place in it, start and end."""
+    pieces = -(-(ends - starts) // size)
+    owner = np.repeat(np.arange(len(starts)), pieces)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin = starts[owner] + size * place
+    return owner, place, begin, np.minimum(begin + size, ends[owner])
+
+
 def add(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The fingerprint of both documents' paragraphs together: insertion."""
     return a[0] + b[0], a[1] + b[1]
@@ -146,10 +167,9 @@ def edited(docs: DataFrame) -> DataFrame:
         for a, b in zip(texts, following):
             k = len(a) // 3
             changed.append(a[: len(a) - k] + b[:k])
-        three = []
-        for column in (texts, changed, following):
-            chunks = [vectors(c.data, c.offsets) for c in text_chunks(pa.array(column, pa.large_string()), 1 << 62)]
-            three.append(chunks[0])
+        # what follows a text is the next one, but for the last
+        own, new = (next(vectors(c.data, c.offsets) for c in text_chunks(pa.array(x, pa.large_string()), 1 << 62)) for x in (texts + following[-1:], changed))
+        three = [tuple(v[:-1] for v in own), new, tuple(v[1:] for v in own)]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(ids, pa.int64()),
