@@ -94,8 +94,9 @@ def as_text(exact: np.ndarray, sketch: np.ndarray) -> list[str]:
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Cosine of the sketches from 0 to 1; 1 where the exact lanes are equal."""
-    x, y = a[1].astype(np.int16).astype(np.float64), b[1].astype(np.int16).astype(np.float64)
+    """Cosine of the sketches from 0 to 1, on a log scale, so that one line repeated often doesn't drown the rest; 1 where the exact lanes are equal."""
+    x, y = (v.astype(np.int16).astype(np.float64) for v in (a[1], b[1]))
+    x, y = np.sign(x) * np.log1p(np.abs(x)), np.sign(y) * np.log1p(np.abs(y))
     norm = np.sqrt((x * x).sum(1) * (y * y).sum(1))
     out = np.divide((x * y).sum(1), norm, out=np.zeros(len(x)), where=norm > 0)
     return np.where((a[0] == b[0]).all(1), 1.0, np.clip(out, 0.0, 1.0))
