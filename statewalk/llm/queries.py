@@ -27,12 +27,24 @@ def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op4_embedding_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statewalk.llm.embeddings import classes
+
+    return classes(table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     from statewalk.llm.toxicity import fold
 
     return fold(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statewalk.llm.simhash import classes
+
+    return classes(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from statewalk.llm.quality import judge
 
@@ -58,7 +70,7 @@ def op10_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_byte_bpe, op3_harmonic_packing, op5_toxicity_mil, op7_quality_bayes, op8_language_mixture, op9_license_digest, op10_multiset_fingerprint)
+    found = (op2_byte_bpe, op3_harmonic_packing, op4_embedding_collisions, op5_toxicity_mil, op6_simhash_pivots, op7_quality_bayes, op8_language_mixture, op9_license_digest, op10_multiset_fingerprint)
     return {f.__name__: f for f in found}
 
 
