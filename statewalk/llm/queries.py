@@ -15,6 +15,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statewalk.llm.dedup import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from statewalk.llm.bpe import round_trip
 
@@ -70,7 +76,7 @@ def op10_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_byte_bpe, op3_harmonic_packing, op4_embedding_collisions, op5_toxicity_mil, op6_simhash_pivots, op7_quality_bayes, op8_language_mixture, op9_license_digest, op10_multiset_fingerprint)
+    found = (op1_suffix_dedup, op2_byte_bpe, op3_harmonic_packing, op4_embedding_collisions, op5_toxicity_mil, op6_simhash_pivots, op7_quality_bayes, op8_language_mixture, op9_license_digest, op10_multiset_fingerprint)
     return {f.__name__: f for f in found}
 
 
