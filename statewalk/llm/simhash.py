@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from statewalk.llm.blocks import Forest, dealt, star
 from statewalk.llm.common import checkpointed, is_space, lower_ascii, mix, text_chunks, texts_of, word_spans
 from statewalk.llm.components import components
+from statewalk.llm.training import keyed, without
 
 SHINGLE, RADIUS, PIVOTS, SEED = 3, 3, 24, 42
 #: Fingerprints that a task works on, about.
@@ -112,14 +113,15 @@ def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-def linked_pairs(fp: np.ndarray, key: np.ndarray, side: np.ndarray | None, radius: int, pivot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def linked_pairs(fp: np.ndarray, key: np.ndarray, side: np.ndarray | None, radius: int, pivot: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of fingerprints of equal key within radius bits; of different sides only, where side is given.
 
     Rows are in the order of their keys. Row i is compared with row i + d for d = 1, 2, ... as long as keys are equal, whole
-    diagonals at a time; the pivot coordinates discard most pairs before bits are counted.
+    diagonals at a time; the pivot coordinates discard most pairs before bits are counted. Pairs come in pieces of about a
+    million, so that dense groups need no memory for all of theirs.
     """
     table = np.stack([popcount(fp ^ p) for p in pivot], axis=0).astype(np.int8)
-    left, right = [], []
+    left, right, held = [], [], 0
     i = np.arange(len(fp))
     d = 1
     while True:
@@ -139,8 +141,13 @@ def linked_pairs(fp: np.ndarray, key: np.ndarray, side: np.ndarray | None, radiu
         near = popcount(fp[a] ^ fp[b]) <= radius
         left.append(a[near])
         right.append(b[near])
+        held += len(left[-1])
+        if held > 1 << 20:
+            yield np.concatenate(left), np.concatenate(right)
+            left, right, held = [], [], 0
         d += 1
-    return np.concatenate(left or [i]), np.concatenate(right or [i])
+    if held:
+        yield np.concatenate(left), np.concatenate(right)
 
 
 def links(values: DataFrame, radius: int = RADIUS, n_pivots: int = PIVOTS) -> DataFrame:
@@ -163,18 +170,11 @@ def links(values: DataFrame, radius: int = RADIUS, n_pivots: int = PIVOTS) -> Da
     tasks = max(1, -(-n * len(masks) // TASK_ROWS))
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp, side = pdf["fp"].to_numpy().view(np.uint64), pdf["side"].to_numpy()
-        mixed = bool((pdf["left"] != pdf["right"]).any())
-        piece = mix(pdf["key"].to_numpy().view(np.uint64) + pdf["left"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pdf["right"].to_numpy().astype(np.uint64))
-        order = np.lexsort((fp, piece))
-        fp, piece, side = fp[order], piece[order], side[order]
-        two = (pdf["left"] != pdf["right"]).to_numpy()[order]
-        # members of a piece of one block are all of side 0, so a side of their own makes every pair count
-        side = np.where(two, side, np.arange(len(side)) + 2) if mixed else None
-        a, b = linked_pairs(fp, piece, side, radius, pivot)
+        fp, piece, side, _ = in_order(pdf)
         ids, at = np.unique(fp.view(np.int64), return_inverse=True)
         forest = Forest(len(ids))
-        forest.join(at[a], at[b])
+        for a, b in linked_pairs(fp, piece, side, radius, pivot):
+            forest.join(at[a], at[b])
         inner, root = star(forest)
         return pd.DataFrame({"a": ids[inner], "b": ids[root]})
 
@@ -183,6 +183,18 @@ def links(values: DataFrame, radius: int = RADIUS, n_pivots: int = PIVOTS) -> Da
     return placed.select(task, "key", "fp", "left", "right", "side").groupBy("task").applyInPandas(inside, "a long, b long")
 
 
+def in_order(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
+    """A task's fingerprints, pieces and sides in the order of pieces, and that order; side None if no piece has two blocks."""
+    fp, side = pdf["fp"].to_numpy().view(np.uint64), pdf["side"].to_numpy()
+    left, right = (pdf[c].to_numpy().astype(np.uint64) for c in ("left", "right"))
+    piece = mix(pdf["key"].to_numpy().view(np.uint64) + left * np.uint64(0x9E3779B97F4A7C15) + right)
+    order = np.lexsort((fp, piece))
+    two = (left != right)[order]
+    # members of a piece of one block are all of side 0, so a side of their own makes every pair count
+    side = np.where(two, side[order], np.arange(len(side)) + 2) if two.any() else None
+    return fp[order], piece[order], side, order
+
+
 def classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), n_shingles.
 
@@ -199,3 +211,109 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> Da
     return rows.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_shingles")
 
 
+
+
+#: For near-duplicates by similarity: bits within which a pair is a candidate, the recall of the tables at that distance,
+#: the shingle hashes of a text that are kept, and the similarity.
+NEAR_SHINGLE, NEAR_RADIUS, NEAR_RECALL, KEPT_HASHES, SIMILARITY = 5, 14, 0.95, 256, 0.8
+
+
+def sampled_masks(n: int, radius: int) -> np.ndarray:
+    """Masks of randomly chosen bits: so many bits that a key tells n fingerprints apart into groups of about 128, and so many
+    masks that a pair at the radius agrees in one of them with chance NEAR_RECALL."""
+    bits = max(8, min(40, round(np.log2(max(n, 2))) - 7))
+    agree = (1 - radius / 64) ** bits
+    rng = np.random.default_rng(SEED)
+    rows = [rng.choice(64, bits, replace=False) for _ in range(int(np.ceil(np.log(1 - NEAR_RECALL) / np.log1p(-agree))))]
+    return np.array([sum(1 << int(b) for b in r) for r in rows], np.uint64)
+
+
+def signatures(docs: DataFrame, shingle: int = NEAR_SHINGLE, kept: int = KEPT_HASHES) -> DataFrame:
+    """doc_id, row_key, fp, n (distinct shingles), sketch (binary): the least `kept` 32-bit hashes of the distinct shingles.
+
+    Up to `kept` shingles the sketch is the whole set; of longer texts it is a uniform sample of the shingles of the whole
+    text, the same shingles being taken in every text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in text_chunks(batch.column(1)):
+                h, bounds = shingle_hashes(chunk.data, chunk.offsets, shingle)
+                fp = majority(h, bounds).astype(np.uint64).view(np.int64)
+                low = (mix(h) >> np.uint64(32)).astype("<u4")
+                sets = [np.unique(low[a:b]) for a, b in zip(bounds, bounds[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(chunk.lo, len(chunk)), batch.column(2).slice(chunk.lo, len(chunk)), pa.array(fp), pa.array([len(x) for x in sets], pa.int64()), pa.array([x[:kept].tobytes() for x in sets], pa.binary())],
+                    ["doc_id", "row_key", "fp", "n", "sketch"],
+                )
+
+    return texts_of(keyed(docs), "row_key").mapInArrow(run, "doc_id long, row_key long, fp long, n long, sketch binary")
+
+
+def jaccard(x: bytes, y: bytes, kept: int = KEPT_HASHES) -> float:
+    """Similarity of two shingle sets from their sketches: exact for whole sets, else the share among the union's least."""
+    a, b = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    union = np.union1d(a, b)
+    if len(a) == kept or len(b) == kept:
+        union = union[:kept]
+    both = np.intersect1d(a, b, assume_unique=True)
+    return float(np.count_nonzero(both <= union[-1])) / len(union)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = NEAR_SHINGLE, radius: int = NEAR_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, row_key of the rows to drop: of each group of near duplicates all but the first by (doc_id, row_key).
+
+    Candidates are pairs of fingerprints within `radius` bits that agree in all bits of one of the sampled masks and pass the
+    pivots; each text is paired with the least (by hash) of its candidates in each mask's group, and the pairs whose shingle sets
+    have the similarity are links. Groups are the connected components. Texts with equal sets are one node; texts without
+    words are copies of each other. Rows equal in all columns are one document: they stay or go together. Null ids come last.
+    """
+    last = F.lit((1 << 63) - 1)
+    rows = checkpointed(signatures(docs, shingle)).withColumn("node", F.xxhash64("fp", "n", "sketch"))
+    rank = F.struct(F.coalesce("doc_id", last).alias("d"), F.col("row_key").alias("k"))
+    nodes = checkpointed(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min(rank).alias("least"), F.first("sketch").alias("sketch")))
+    n = nodes.count()
+    masks, pivot = sampled_masks(n, radius), pivots()
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salt = (np.arange(1, len(masks) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                fp = part.column(1).to_numpy().view(np.uint64)
+                key = mix((fp[None, :] & masks[:, None]) + salt).view(np.int64).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.tile(fp.view(np.int64), len(masks))), pa.array(np.tile(part.column(0).to_numpy(), len(masks)))], ["key", "fp", "node"])
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        fp, piece, side, order = in_order(pdf)
+        node = pdf["node"].to_numpy()[order]
+        best = node.copy()
+        for a, b in linked_pairs(fp, piece, side, radius, pivot):
+            np.minimum.at(best, b, node[a])
+            np.minimum.at(best, a, node[b])
+        found = best < node
+        return pd.DataFrame({"a": node[found], "b": best[found]}).drop_duplicates()
+
+    placed = dealt(nodes.select("node", "fp").mapInArrow(spread, "key long, fp long, node long"), ["key"], F.col("node"))
+    tasks = max(1, -(-n * len(masks) // TASK_ROWS))
+    task = F.pmod(F.xxhash64("key", "left", "right"), F.lit(tasks)).cast("int").alias("task")
+    pairs = placed.select(task, "key", "fp", "node", "left", "right", "side").groupBy("task").applyInPandas(inside, "a long, b long").distinct()
+
+    def similar(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(a, b) for a, b in zip(x, y)], dtype="float64")
+
+    sets = nodes.select("node", "sketch")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
+    linked = both.where(F.pandas_udf(similar, "double")("x", "y") >= similarity).select("a", "b")
+    parts = components(linked)
+    named = nodes.select("node", "least").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = named.groupBy("component").agg(F.min("least").alias("first"))
+    of_node = named.join(first, "component").select("node", "first")
+    return rows.join(of_node, "node").where(rank != F.col("first")).select("doc_id", "row_key")
+
+
+def one_of_each(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs, with all their columns, that `near_duplicates` doesn't drop."""
+    return without(docs, near_duplicates(docs, **how))
