@@ -1,6 +1,7 @@
 """Suffix-array deduplication: bytes of documents covered by long strings that also start in an earlier document.
 
-Documents are packed into buckets by a hash of their id, and the buckets are written once. Every window of LENGTH bytes has
+Documents are packed, compressed, into buckets by a hash of their id: the one time that texts are moved, as the plan's three
+readers of the buckets share that exchange. Every window of LENGTH bytes has
 an anchor, the ANCHOR-byte string of least hash in it, so windows that are equal have equal anchors. Three exchanges follow,
 none of which moves whole texts:
 
@@ -29,41 +30,75 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statewalk.llm.common import BASE, BASE_INVERSE, checkpointed, first_rows, mix, powers, runs, span_hashes
+from statewalk.llm.common import BASE, BASE_INVERSE, first_rows, mix, powers, runs, span_hashes
 from statewalk.llm.suffixes import permuted_common_prefixes, suffix_array
 
-LENGTH, ANCHOR = 50, 24
+LENGTH, ANCHOR = 50, 16
 #: Bytes of a bucket's texts, bytes of text for each shard and for each range of anchors, bytes of one suffix sort.
-BUCKET_BYTES, SHARD_BYTES, RANGE_BYTES, SORT_BYTES = 4 << 20, 6 << 20, 8 << 20, 2 << 20
+BUCKET_BYTES, SHARD_BYTES, RANGE_BYTES, SORT_BYTES = 4 << 20, 6 << 20, 8 << 20, 1 << 20
 #: An anchor in so many buckets is sent by windows.
 FREQUENT = 1024
 LAST = (1 << 63) - 1  # the id that stands for null: after all others
-INDEX_BITS = 26
+#: Windows of a block of anchors, and the bits that hold a place in it.
+BLOCK, INDEX_BITS = 1 << 15, 17
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
-    raw = b"".join(np.array([len(a), a.dtype.num, a.dtype.itemsize], "<i8").tobytes() + a.tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    """Arrays as one compressed blob; wide numbers byte plane by byte plane, as their upper planes are mostly alike."""
+    raw = b"".join(np.array([len(a), a.dtype.itemsize], "<i8").tobytes() + np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes() for a in arrays)
+    return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
 def unsqueeze(blob: bytes) -> list[np.ndarray]:
+    """The arrays, as uint8 or int64."""
     raw, at, out = zstandard.ZstdDecompressor().decompress(blob), 0, []
     while at < len(raw):
-        n, kind, size = np.frombuffer(raw, "<i8", 3, at).tolist()
-        dtype = {(2, 1): np.uint8, (7, 8): np.int64, (9, 8): np.int64, (8, 8): np.uint64, (10, 8): np.uint64, (6, 4): np.uint32, (5, 4): np.int32, (4, 2): np.uint16}[kind, size]
-        out.append(np.frombuffer(raw, dtype, n, at + 24))
-        at += 24 + n * size
+        n, size = np.frombuffer(raw, "<i8", 2, at).tolist()
+        planes = np.frombuffer(raw, np.uint8, n * size, at + 16)
+        out.append(planes if size == 1 else np.ascontiguousarray(planes.reshape(size, n).T).view(np.int64 if size == 8 else np.uint32).ravel().astype(np.int64))
+        at += 16 + n * size
     return out
 
 
+def window_anchors(data: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each window's anchor in a block, and the hash at each place. Hashes depend on the bytes only."""
+    n, w = len(data), length - anchor + 1
+    prefix = np.zeros(n + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, n), out=prefix[1:])
+    h = mix((prefix[anchor:] - prefix[:-anchor]) * powers(BASE_INVERSE, n + 1)[: n - anchor + 1])
+    low = np.uint64((1 << INDEX_BITS) - 1)
+    least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+    step = 1
+    while 2 * step <= w:
+        least = np.minimum(least[:-step], least[step:])
+        step *= 2
+    if step < w:
+        least = np.minimum(least[: len(h) - w + 1], least[w - step :])
+    return (least & low).astype(np.int64), h
+
+
 class Bucket:
-    """The documents of a bucket: ids (LAST for null), their text as one array of bytes, offsets."""
+    """The documents of a bucket by id, then text: ids (LAST for null), their text as one array of bytes, offsets.
+
+    The order depends on the documents only, so that every reader of a bucket, and a repeated one, sees the same places.
+    """
 
     def __init__(self, parts: list[bytes]):
-        ids, sizes, data = zip(*(unsqueeze(p) for p in parts)) if parts else ((), (), ())
-        self.ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-        self.data = np.concatenate(data) if data else np.zeros(0, np.uint8)
-        self.offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64) if sizes else np.zeros(1, np.int64)
+        rows = []
+        for part in parts:
+            ids, size, data, note_size, notes = unsqueeze(part)
+            cut, note_cut = (np.concatenate(([0], np.cumsum(x))).tolist() for x in (size, note_size))
+            data, notes = data.tobytes(), notes.tobytes()
+            rows += [(i, data[a:b], notes[c:d]) for i, a, b, c, d in zip(ids.tolist(), cut, cut[1:], note_cut, note_cut[1:])]
+        rows.sort()
+        self.ids = np.array([r[0] for r in rows], np.int64)
+        self.data = np.frombuffer(b"".join([r[1] for r in rows]), np.uint8)
+        self.offsets = np.concatenate(([0], np.cumsum([len(r[1]) for r in rows]))).astype(np.int64)
+        self._notes = [r[2] for r in rows]
+
+    def notes(self) -> list[str]:
+        """What was carried with each document."""
+        return [x.decode("utf-8") for x in self._notes]
 
     def anchors(self, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash of each anchor occurrence, and the first window and number of windows that have it, in text order.
@@ -75,22 +110,12 @@ class Bucket:
         none = np.zeros(0, np.int64)
         if n < length:
             return none.astype(np.uint64), none, none
-        w = length - anchor + 1
-        prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, n), out=prefix[1:])
-        h = mix((prefix[anchor:] - prefix[:-anchor]) * powers(BASE_INVERSE, n + 1)[: n - anchor + 1])
-        low = np.uint64((1 << INDEX_BITS) - 1)
-        least = (h & ~low) | (np.arange(len(h), dtype=np.uint64) & low)
-        step = 1
-        while 2 * step <= w:
-            least = np.minimum(least[:-step], least[step:])
-            step *= 2
-        if step < w:
-            least = np.minimum(least[: len(h) - w + 1], least[w - step :])
-        place = (least & low).astype(np.int64)
-        if n > 1 << INDEX_BITS:  # the index holds the place modulo 2**INDEX_BITS; a window is far shorter
-            here = np.arange(len(place))
-            place = here + ((place - here) & ((1 << INDEX_BITS) - 1))
+        place, value = np.empty(n - length + 1, np.int32 if n < 1 << 31 else np.int64), np.empty(n - anchor + 1, np.uint64)
+        for a in range(0, len(place), BLOCK):  # small blocks, whose arrays stay in the processor's cache
+            b = min(a + BLOCK, len(place))
+            at, h = window_anchors(data[a : b + length - 1], length, anchor)
+            place[a:b] = at + a
+            value[a : a + len(h)] = h
         size = np.diff(self.offsets)
         valid = np.zeros(n + 1, np.int8)
         long = size >= length
@@ -99,35 +124,38 @@ class Bucket:
         window = np.flatnonzero(np.cumsum(valid[: n - length + 1]) > 0)
         place = place[window]
         new = np.flatnonzero(first_rows(place) | np.concatenate(([True], window[1:] != window[:-1] + 1)) if len(window) else place)
-        return h[place[new]], window[new], np.diff(np.append(new, len(window)))
+        return value[place[new]], window[new], np.diff(np.append(new, len(window)))
 
     def document(self, at: np.ndarray) -> np.ndarray:
         """Row of the document at each place."""
         return np.searchsorted(self.offsets, at, "right") - 1
 
 
-def pack(docs: DataFrame, buckets: int) -> DataFrame:
-    """bucket, parts: all documents, compressed, hash-partitioned by bucket and written."""
+def pack(docs: DataFrame, buckets: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """bucket, parts: all documents, compressed and hash-partitioned by bucket; the carried columns travel as JSON."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bucket = batch.column(0).to_numpy()
             order = np.argsort(bucket, kind="stable")
-            texts = batch.column(2).take(pa.array(order)).to_pylist()
+            texts, notes = (batch.column(i).take(pa.array(order)).to_pylist() for i in (2, 3))
             ids = batch.column(1).to_numpy()[order]
             cut = np.append(np.flatnonzero(first_rows(bucket[order])), len(order))
             names, blobs = [], []
             for a, b in zip(cut, cut[1:]):
-                raw = [t.encode("utf-8") for t in texts[a:b]]
-                blobs.append(squeeze(ids[a:b].astype(np.int64), np.array([len(x) for x in raw], np.int64), np.frombuffer(b"".join(raw), np.uint8)))
+                columns = [ids[a:b].astype(np.int64)]
+                for column in (texts, notes):
+                    raw = [t.encode("utf-8") for t in column[a:b]]
+                    columns += [np.array([len(x) for x in raw], np.int64), np.frombuffer(b"".join(raw), np.uint8)]
+                blobs.append(squeeze(*columns))
                 names.append(bucket[order[a]])
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "part"])
 
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    rows = docs.select(F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket"), key.alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket"), key.alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.to_json(F.struct(*carry)).alias("note") if carry else F.lit("").alias("note"))
     packed = rows.mapInArrow(run, "bucket int, part binary")
     parts = max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return checkpointed(packed.repartition(parts, "bucket").groupBy("bucket").agg(F.collect_list("part").alias("parts")))
+    return packed.repartition(parts, "bucket").groupBy("bucket").agg(F.collect_list("part").alias("parts"))
 
 
 def repeated_anchors(packed: DataFrame, ranges: int, length: int, anchor: int) -> DataFrame:
@@ -218,7 +246,7 @@ def segments(bucket: Bucket, name: int, states: dict[int, bytes], ranges: int, s
     for a, b in zip(edges, edges[1:]):
         lead = np.flatnonzero(new[a:b]) + a
         at = np.repeat(start[lead] - np.cumsum(size[lead]) + size[lead], size[lead]) + np.arange(size[lead].sum())
-        blobs.append(squeeze(bucket.data[at], size[lead].astype(np.int64), key[lead] & np.uint64(0xFFFFFFFF), (segment[a:b] - segment[a]).astype(np.int64), ids[a:b], start[a:b]))
+        blobs.append(squeeze(bucket.data[at], size[lead], key[lead].astype(np.uint32), np.diff(segment[a:b], prepend=segment[a]).astype(np.uint8), ids[a:b], start[a:b]))
         names.append(int(shard[a]))
     return names, blobs
 
@@ -268,7 +296,7 @@ def resolve(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
         texts.append(t)
         sizes.append(s)
         keys.append(k)
-        seg_of.append(o + base)
+        seg_of.append(np.cumsum(o, dtype=np.int64) + base)
         ids.append(d)
         starts.append(p)
         bucket.append(np.full(len(p), name, np.int64))
@@ -331,12 +359,12 @@ def resolve(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     return pd.DataFrame({"bucket": pd.Series([p[0] for p in pieces], dtype="int32"), "spans": [p[1] for p in pieces]})
 
 
-def removed(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+def removed(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, carry: tuple[str, ...] = ()) -> DataFrame:
     """bucket, parts, spans: every bucket with the spans to remove, for a last pass over the texts."""
     total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     buckets = max(1, math.ceil(total / BUCKET_BYTES))
     shards, ranges = max(1, math.ceil(total / SHARD_BYTES)), max(1, math.ceil(total / RANGE_BYTES))
-    packed = pack(docs, buckets)
+    packed = pack(docs, buckets, carry)
     bits = repeated_anchors(packed, ranges, length, anchor)
     sent = send_segments(packed, bits, ranges, shards, length, anchor)
     spans = sent.groupBy("shard").applyInPandas(lambda pdf: resolve(pdf, length), "bucket int, spans binary")
@@ -349,7 +377,8 @@ def keep_mask(bucket: Bucket, spans: list[bytes]) -> np.ndarray:
     for blob in spans or ():
         step, size = unsqueeze(blob)
         start = np.cumsum(step)
-        depth += np.bincount(start, minlength=len(depth)) - np.bincount(start + size, minlength=len(depth))
+        np.add.at(depth, start, 1)
+        np.add.at(depth, start + size, -1)
     return np.cumsum(depth[:-1]) == 0
 
 
@@ -395,13 +424,19 @@ def report(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataF
 
 
 def kept_texts(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id, n_bytes, kept (string) of each row of docs: the remaining bytes; a code point that lost some of its bytes goes whole."""
+    """The rows of docs, with the columns of documents, each text being what is left of it and n_chars its code points.
+
+    A code point that lost some of its bytes goes whole. A document of which nothing is left stays, with an empty text; null
+    texts become empty.
+    """
+    carry = docs.select("lang", "source")
 
     def output(bucket: Bucket, keep: np.ndarray) -> pa.RecordBatch:
-        o = bucket.offsets
-        kept = np.concatenate(([0], np.cumsum(keep)))[o]
+        kept = np.concatenate(([0], np.cumsum(keep)))[bucket.offsets]
         left = bucket.data[keep].tobytes()
         texts = [left[a:b].decode("utf-8", errors="ignore") for a, b in zip(kept, kept[1:])]
-        return pa.RecordBatch.from_arrays([_ids(bucket), pa.array(np.diff(o)), pa.array(texts, pa.string())], ["doc_id", "n_bytes", "kept"])
+        return pa.RecordBatch.from_arrays([_ids(bucket), pa.array(texts, pa.string()), pa.array(bucket.notes(), pa.string())], ["doc_id", "text", "note"])
 
-    return _last_pass(removed(docs, length, anchor), output, "doc_id long, n_bytes long, kept string")
+    out = _last_pass(removed(docs, length, anchor, ("lang", "source")), output, "doc_id long, text string, note string")
+    note = F.from_json("note", carry.schema)
+    return out.select("doc_id", "text", note["lang"].alias("lang"), note["source"].alias("source"), F.length("text").cast("long").alias("n_chars"))

@@ -14,22 +14,21 @@ import numpy as np
 
 
 def _spread(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Stable order by value, sorted values, rank within equal values, and where each new value begins."""
+    """Stable order by value, the distinct values, and where in the order each begins and how many it has."""
     order = np.argsort(values, kind="stable")
     sorted_values = values[order]
     new = np.empty(len(order), bool)
     new[0] = True
     np.not_equal(sorted_values[1:], sorted_values[:-1], out=new[1:])
     first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(order)))
-    return order, sorted_values[first], np.arange(len(order)) - np.repeat(first, size), size
+    return order, sorted_values[first], first, np.diff(first, append=len(order))
 
 
 def _induce(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The suffix array induced from LMS positions given in order, those of one bucket behind each other."""
     n = len(text)
-    sa = np.full(n, -1, np.int64)
-    head = starts.copy()
+    sa = np.full(n, -1, np.int32)
+    head = starts.tolist()
     own = text[lms]
     cut = np.searchsorted(own, np.arange(len(starts) + 1))
 
@@ -37,33 +36,39 @@ def _induce(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, starts: np.ndar
         prev = js[js > 0] - 1
         prev = prev[~is_s[prev]]
         if len(prev):
-            order, values, rank, size = _spread(text[prev])
-            sa[np.repeat(head[values], size) + rank] = prev[order]
-            head[values] += size
+            order, values, first, size = _spread(text[prev])
+            prev = prev[order]
+            for v, a, n in zip(values.tolist(), first.tolist(), size.tolist()):
+                at = head[v]
+                sa[at : at + n] = prev[a : a + n]
+                head[v] = at + n
 
     for c in range(len(starts)):
-        at = starts[c]
+        at = int(starts[c])
         while at < head[c]:
             js, at = sa[at : head[c]].copy(), head[c]
             put_l(js)
         if cut[c] < cut[c + 1]:
             put_l(lms[cut[c] : cut[c + 1]])
 
-    tail = ends.copy()
+    tail = ends.tolist()
 
     def put_s(js: np.ndarray) -> None:
         prev = js[js > 0] - 1
         prev = prev[is_s[prev]]
         if len(prev):
-            order, values, rank, size = _spread(text[prev])
-            sa[np.repeat(tail[values], size) - 1 - rank] = prev[order]
-            tail[values] -= size
+            order, values, first, size = _spread(text[prev])
+            prev = prev[order]
+            for v, a, n in zip(values.tolist(), first.tolist(), size.tolist()):
+                at = tail[v]
+                sa[at - n : at] = prev[a : a + n][::-1]
+                tail[v] = at - n
 
     for c in range(len(starts) - 1, -1, -1):
         if c == 0:
             sa[0] = n - 1
             break
-        at = ends[c]
+        at = int(ends[c])
         while at > tail[c]:
             js, at = sa[tail[c] : at][::-1].copy(), tail[c]
             put_s(js)
@@ -79,12 +84,12 @@ def suffix_array(text: np.ndarray, alphabet: int, depth: int | None = None) -> n
     """
     n = len(text)
     if n == 1:
-        return np.zeros(1, np.int64)
+        return np.zeros(1, np.int32)
     change = np.flatnonzero(text[:-1] != text[1:])
     is_s = np.empty(n, bool)
     is_s[:-1] = np.repeat(text[change] < text[change + 1], np.diff(np.concatenate(([-1], change))))
     is_s[-1] = True
-    lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
+    lms = (np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1).astype(np.int32)
     counts = np.bincount(text, minlength=alphabet)
     ends = np.cumsum(counts)
     starts = ends - counts
@@ -94,8 +99,8 @@ def suffix_array(text: np.ndarray, alphabet: int, depth: int | None = None) -> n
     mark[lms] = True
     ordered = sa[mark[sa]]
     # name the LMS substrings, each up to and with the next LMS position
-    place = np.full(n, -1)
-    place[lms] = np.arange(len(lms))
+    place = np.full(n, -1, np.int32)
+    place[lms] = np.arange(len(lms), dtype=np.int32)
     length = np.diff(np.append(lms, n)) + 1
     length[-1] = 1
     size = length[place[ordered]]
@@ -128,7 +133,8 @@ def _order_of_names(names: np.ndarray, depth: int) -> np.ndarray:
         pair = names * (distinct + 1)
         pair[: n - covers] += names[covers:] + 1
         order = np.argsort(pair)
-        new = pair[order[1:]] != pair[order[:-1]]
+        sorted_pairs = pair[order]
+        new = sorted_pairs[1:] != sorted_pairs[:-1]
         names = np.empty(n, np.int64)
         names[order] = np.concatenate(([0], np.cumsum(new)))
         covers *= 2
@@ -141,20 +147,23 @@ def permuted_common_prefixes(raw: np.ndarray, sa: np.ndarray, most: int) -> np.n
     at a time; a position drops out at its first difference.
     """
     n = len(raw)
-    before = np.full(n, -1)
+    before = np.full(n, -1, np.int32)
     at = sa[1:]  # sa[0] is the end mark
     before[at[1:]] = at[:-1]
     padded = np.concatenate([raw, np.zeros(most + 8, np.uint8)])
-    words = np.ndarray((n + most,), "<u8", padded, 0, (1,))
-    out = np.zeros(n, np.int64)
-    i = np.flatnonzero(before >= 0)
+    words = np.ndarray((n + most,), "<u8", padded, 0, (1,)).copy()
+    out = np.zeros(n, np.int32)
+    i = np.flatnonzero(before >= 0).astype(np.int32)
+    j = before[i]
     for k in range(0, most, 8):
-        differ = words[i + k] ^ words[before[i] + k]
-        low = differ & (~differ + np.uint64(1))
+        differ = words[i + k] ^ words[j + k]
         equal = differ == 0
-        out[i] = k + np.where(equal, 8, np.bitwise_count(low - np.uint64(1)) // 8)
-        i = i[equal]
+        apart = ~equal
+        low = differ[apart]
+        out[i[apart]] = k + np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)) // 8
+        i, j = i[equal], j[equal]
         if not len(i):
             break
-    reach = n - np.maximum(np.arange(n), before)  # what is compared past the end is not there
+        out[i] = k + 8
+    reach = n - np.maximum(np.arange(n, dtype=np.int32), before)  # what is compared past the end is not there
     return np.minimum(np.minimum(out, most), reach)
