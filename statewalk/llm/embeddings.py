@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statewalk.llm.blocks import Forest, dealt, star
@@ -71,11 +71,11 @@ def unit_rows(raw: list[bytes], dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def valid(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding of the vectors that can link: not null, without null or non-finite components, not all zero."""
+def can_link() -> Column:
+    """Whether a row's vector can link: it has an id, is not null or all zero, and has no null or non-finite component."""
     e = F.col("embedding")
-    fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return vectors.where(e.isNotNull() & fine & F.exists(e, lambda x: x != 0)).select("vec_id", "embedding")
+    finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return F.coalesce(F.col("vec_id").isNotNull() & e.isNotNull() & finite & F.exists(e, lambda x: x != 0), F.lit(False))
 
 
 def links(distinct: DataFrame, dim: int, threshold: float = THRESHOLD) -> DataFrame:
@@ -156,10 +156,11 @@ def classes(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Copies of a vector are one node, so c of them give each c - 1 links at once and no pairs. Vectors that are null, zero or
     hold null or non-finite components have no link and are a component of their own; so are vectors of another length than
-    the rest, each length being linked by itself. Rows that repeat a vec_id count as vectors of their own.
+    the rest, each length being linked by itself. So are rows without a vec_id, whose component has none either. Rows that
+    repeat a vec_id count as vectors of their own.
     """
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    good = valid(base)
+    good = base.where(can_link())
     # a node is named by its vector's two hashes' first; its raw doubles travel as binary, written once
     keyed = good.select("vec_id", F.size("embedding").alias("dim"), F.transform("embedding", lambda x: x + F.lit(0.0)).alias("embedding"))
     keyed = keyed.select("vec_id", "dim", F.xxhash64("embedding").alias("h"), "embedding")
@@ -188,7 +189,5 @@ def classes(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     first = keyed.groupBy("dim", "h", "embedding").agg(F.min("vec_id").alias("node"))
     member = keyed.join(first, ["dim", "h", "embedding"]).select("vec_id", "node")
     linked = member.join(named, "node").select("vec_id", "n_links", "component_id")
-    e = F.col("embedding")
-    fine = F.coalesce(F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(e, lambda x: x != 0), F.lit(False))
-    alone = base.where(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    alone = base.where(~can_link()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

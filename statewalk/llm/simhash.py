@@ -26,7 +26,7 @@ from statewalk.llm.training import keyed, without
 
 SHINGLE, RADIUS, PIVOTS, SEED = 3, 3, 24, 42
 #: Fingerprints that a task works on, about.
-TASK_ROWS = 60_000
+TASK_ROWS = 20_000
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
