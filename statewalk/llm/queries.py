@@ -75,8 +75,14 @@ def op10_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_suffix_dedup, op2_byte_bpe, op3_harmonic_packing, op4_embedding_collisions, op5_toxicity_mil, op6_simhash_pivots, op7_quality_bayes, op8_language_mixture, op9_license_digest, op10_multiset_fingerprint)
+    found = (op1_suffix_dedup, op2_byte_bpe, op3_harmonic_packing, op4_embedding_collisions, op5_toxicity_mil, op6_simhash_pivots, op7_quality_bayes, op8_language_mixture, op9_license_digest, op10_multiset_fingerprint, pipeline)
     return {f.__name__: f for f in found}
 
 
