@@ -46,40 +46,85 @@ def residualize(rows: DataFrame, by: list[str], nuisance: str = "fd") -> DataFra
     return x.withColumn("r", F.col("y") - my - slope * (F.col("_x") - mx)).drop("_x")
 
 
-def permuted(rows: DataFrame, n_perm: int, seed: str = "42") -> DataFrame:
-    """perm (0 for the labels as they are, then 1..n_perm), sid, r, grp with labels dealt in a hashed order.
+def permuted(rows: DataFrame, n_perm: int, by: tuple[str, ...] = (), seed: str = "42") -> DataFrame:
+    """by, perm (0 for the labels as they are, then 1..n_perm), sid, r, grp with labels dealt in a hashed order.
 
     Permutation i gives the label of the row at place j by sid to the row at place j by md5(seed, i, sid). Every sort is
-    within one permutation, so permutations are spread over tasks.
+    within one permutation of one family, so permutations are spread over tasks.
     """
-    times = rows.select("sid", "r", "grp").withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm))))
+    times = rows.select(*by, "sid", "r", "grp").withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm))))
     mixed = F.when(F.col("perm") > 0, F.md5(F.concat_ws(":", F.lit(seed), "perm", "sid").cast("binary"))).otherwise(F.lpad(F.col("sid").cast("string"), 20, "0"))
-    places = times.select("perm", "sid", "r", "grp", F.row_number().over(W.partitionBy("perm").orderBy("sid")).alias("place"), F.row_number().over(W.partitionBy("perm").orderBy(mixed, "sid")).alias("drawn"))
-    labels = places.select("perm", "place", F.col("grp").alias("label"))
-    values = places.select("perm", "sid", "r", F.col("drawn").alias("place"))
-    return values.join(labels, ["perm", "place"]).select("perm", "sid", "r", F.col("label").alias("grp"))
+    one = W.partitionBy(*by, "perm")
+    places = times.select(*by, "perm", "sid", "r", "grp", F.row_number().over(one.orderBy("sid")).alias("place"), F.row_number().over(one.orderBy(mixed, "sid")).alias("drawn"))
+    labels = places.select(*by, "perm", "place", F.col("grp").alias("label"))
+    values = places.select(*by, "perm", "sid", "r", F.col("drawn").alias("place"))
+    return values.join(labels, [*by, "perm", "place"]).select(*by, "perm", "sid", "r", F.col("label").alias("grp"))
 
 
-def p_value(stats: DataFrame) -> DataFrame:
-    """stat, p_perm, n_perm of stats (perm, stat): (permutations of at least the observed statistic + 1) / (permutations + 1).
+def p_value(stats: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, stat, p_perm, n_perm of stats (by, perm, stat): (permutations of at least the observed statistic + 1) / (permutations + 1).
 
     A missing observed statistic has no p.
     """
-    seen = stats.where("perm = 0").select(F.col("stat").alias("seen"))
-    by = stats.where("perm > 0").crossJoin(F.broadcast(seen)).groupBy("seen").agg(F.sum((F.col("stat") >= F.col("seen")).cast("long")).alias("hits"), F.count("*").alias("n_perm"))
-    return by.select(F.col("seen").alias("stat"), F.when(F.col("seen").isNotNull(), (F.coalesce("hits", F.lit(0)) + 1) / (F.col("n_perm") + 1)).alias("p_perm"), "n_perm")
+    seen = stats.where("perm = 0").select(*by, F.col("stat").alias("seen"))
+    rest = stats.where("perm > 0")
+    both = rest.join(seen, list(by)) if by else rest.crossJoin(F.broadcast(seen))  # without families, seen is one row
+    hits = both.groupBy(*by, "seen").agg(F.sum((F.col("stat") >= F.col("seen")).cast("long")).alias("hits"), F.count("*").alias("n_perm"))
+    return hits.select(*by, F.col("seen").alias("stat"), F.when(F.col("seen").isNotNull(), (F.coalesce("hits", F.lit(0)) + 1) / (F.col("n_perm") + 1)).alias("p_perm"), "n_perm")
 
 
-def two_level_test(rows: DataFrame, n_perm: int) -> DataFrame:
-    """|mean of M - mean of F| of rows (sid, r, grp) and its permutation p."""
+def two_level_test(rows: DataFrame, n_perm: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """|mean of M - mean of F| of rows (by, sid, r, grp) and its permutation p; null where a group is empty."""
     mean = [F.avg(F.when(F.col("grp") == g, F.col("r"))) for g in ("M", "F")]
-    return p_value(permuted(rows, n_perm).groupBy("perm").agg(F.abs(mean[0] - mean[1]).alias("stat")))
+    return p_value(permuted(rows, n_perm, by).groupBy(*by, "perm").agg(F.abs(mean[0] - mean[1]).alias("stat")), by)
 
 
-def multi_level_test(rows: DataFrame, n_perm: int) -> DataFrame:
-    """Eta squared of rows (sid, r, grp) over all levels and its permutation p."""
-    many = permuted(rows, n_perm).select("perm", "grp", F.col("r").alias("y"))
-    return p_value(eta_sq(many, ["perm"]).select("perm", F.col("eta_sq").alias("stat")))
+def multi_level_test(rows: DataFrame, n_perm: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Eta squared of rows (by, sid, r, grp) over all levels and its permutation p."""
+    many = permuted(rows, n_perm, by).select(*by, "perm", "grp", F.col("r").alias("y"))
+    return p_value(eta_sq(many, [*by, "perm"]).select(*by, "perm", F.col("eta_sq").alias("stat")), by)
+
+
+def effects(rows: DataFrame, by: tuple[str, ...], n_perm: int) -> DataFrame:
+    """by, factor, stat, p_perm, effect, effect_name, q_bh of rows (by, sid, y, sex, age, fd): one row for each factor.
+
+    y is residualised on the nuisance within each family. sex is tested between M and F with Cohen's d as its effect, age
+    over all levels with eta squared. The q control false discoveries over all rows of the table.
+    """
+    left = residualize(rows, list(by)).withColumnRenamed("y", "_y")
+    sex = left.select(*by, "sid", "r", F.col("sex").alias("grp"))
+    age = left.select(*by, "sid", "r", F.col("age").alias("grp"))
+    d = cohen_d(sex.withColumnRenamed("r", "y"), list(by)).withColumnRenamed("d", "effect")
+    eta = eta_sq(age.withColumnRenamed("r", "y"), list(by)).withColumnRenamed("eta_sq", "effect")
+    parts = []
+    for factor, test, effect, name in (("Sex", two_level_test(sex, n_perm, by), d, "cohen_d"), ("AgeGroup", multi_level_test(age, n_perm, by), eta, "eta_sq")):
+        parts.append(test.join(effect, list(by)).select(*by, F.lit(factor).alias("factor"), "stat", "p_perm", "effect", F.lit(name).alias("effect_name")))
+    return benjamini_hochberg(parts[0].unionByName(parts[1]), "p_perm", [*by, "factor"])
+
+
+def long_metrics(wide: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """keys, metric, y: one row for each metric of the list that is a column; absent ones are passed by."""
+    there = [m for m in metrics if m in wide.columns]
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("y")) for m in there]))
+    return wide.select(*keys, pairs.alias("x")).select(*keys, "x.metric", "x.y")
+
+
+def parcel_glm(stack: DataFrame, n_perm: int, seed: str = "42") -> DataFrame:
+    """p, t, p_fwe of stack (sid, p, value, grp): two-sample t of each parcel and its family-wise p by the greatest |t|.
+
+    Labels are permuted over sequences, the same way for all parcels, so the greatest statistic keeps their dependence.
+    """
+    subjects = stack.groupBy("sid").agg(F.first("grp").alias("grp")).withColumn("r", F.lit(0.0))
+    labels = permuted(subjects, n_perm, seed=seed).select("perm", "sid", F.col("grp").alias("label"))
+    m, f = (F.when(F.col("label") == g, F.col("value")) for g in ("M", "F"))
+    by = stack.select("sid", "p", "value").join(labels, "sid").groupBy("perm", "p").agg(F.count(m).alias("nm"), F.count(f).alias("nf"), F.avg(m).alias("m"), F.avg(f).alias("f"), F.var_samp(m).alias("vm"), F.var_samp(f).alias("vf"))
+    pooled = ((F.col("nm") - 1) * F.col("vm") + (F.col("nf") - 1) * F.col("vf")) / F.when(F.col("nm") + F.col("nf") > 2, F.col("nm") + F.col("nf") - 2)
+    t = (F.col("m") - F.col("f")) / F.when(pooled > 0, F.sqrt(pooled * (1 / F.col("nm") + 1 / F.col("nf"))))
+    all_t = by.select("perm", "p", t.alias("t"))
+    seen = all_t.where("perm = 0").select("p", "t")
+    most = all_t.where("perm > 0").groupBy("perm").agg(F.max(F.abs("t")).alias("most"))
+    hits = seen.crossJoin(F.broadcast(most)).groupBy("p", "t").agg(F.sum((F.col("most") >= F.abs("t")).cast("long")).alias("hits"), F.count("*").alias("n"))  # one row a permutation
+    return hits.select("p", "t", F.when(F.col("t").isNotNull(), (F.coalesce("hits", F.lit(0)) + 1) / (F.col("n") + 1)).alias("p_fwe"))
 
 
 def benjamini_hochberg(rows: DataFrame, p: str, tie: list[str], family: list[str] | None = None) -> DataFrame:

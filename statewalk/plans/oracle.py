@@ -197,6 +197,10 @@ def oracle_sql() -> dict[str, str]:
     out["perm_two_level"] = f"WITH {_permuted('sex')}, stats AS (SELECT perm, abs(avg(CASE WHEN grp = 'M' THEN y END) - avg(CASE WHEN grp = 'F' THEN y END)) AS stat FROM dl GROUP BY perm) {PVALUE}"
     out["perm_multi_level"] = f"WITH {_permuted('age')}, gm AS {ETA}, lv AS (SELECT perm, grp, count(*) AS n, avg(y) AS m FROM dl GROUP BY perm, grp), stats AS (SELECT gm.perm, sum(n * (m - grand) * (m - grand)) / min(sst) AS stat FROM gm JOIN lv ON lv.perm = gm.perm GROUP BY gm.perm) {PVALUE}"
     out["rm_state_f"] = f"WITH {BLOCKS}, {_rm('cb', '')} SELECT n AS n_sid, {r6('f')} AS f_obs, CAST(2 AS BIGINT) AS df_num, n * 3 - n - 3 AS df_den, {r6('eta')} AS partial_eta2 FROM ff"
+    sub = f"{PARCELS}, st AS (SELECT * FROM pa WHERE s = 1), sj AS (SELECT DISTINCT sid, sex AS grp FROM st), pm AS (SELECT unnest(range({PERMUTATIONS + 1})) AS perm), ti AS (SELECT perm, sid, grp, row_number() OVER (PARTITION BY perm ORDER BY sid) AS place, row_number() OVER (PARTITION BY perm ORDER BY CASE WHEN perm > 0 THEN md5('42:' || perm || ':' || sid) ELSE lpad(CAST(sid AS VARCHAR), 20, '0') END, sid) AS drawn FROM sj CROSS JOIN pm), dl AS (SELECT v.perm, v.sid, l.grp FROM ti v JOIN ti l ON v.perm = l.perm AND v.drawn = l.place)"
+    mv, fv = ("CASE WHEN grp = '%s' THEN value END" % g for g in "MF")
+    glm = f"ag AS (SELECT perm, p, count({mv}) AS nm, count({fv}) AS nf, avg({mv}) AS m, avg({fv}) AS f, var_samp({mv}) AS vm, var_samp({fv}) AS vf FROM st JOIN dl USING (sid) GROUP BY perm, p), tt AS (SELECT perm, p, (m - f) / sqrt(((nm - 1) * vm + (nf - 1) * vf) / (nm + nf - 2) * (1 / nm + 1 / nf)) AS t FROM ag), mx AS (SELECT perm, max(abs(t)) AS most FROM tt WHERE perm > 0 GROUP BY perm)"
+    out["parcel_glm_fwe"] = f"WITH {sub}, {glm} SELECT p, {r6('t')} AS t, {r6('(sum(CASE WHEN most >= abs(t) THEN 1 ELSE 0 END) + 1) / (count(*) + 1)')} AS p_fwe FROM tt CROSS JOIN mx WHERE tt.perm = 0 GROUP BY p, t"
     dealt = f"pm AS (SELECT unnest(range({PERMUTATIONS + 1})) AS perm), de AS (SELECT perm, sid, y, row_number() OVER (PARTITION BY perm, sid ORDER BY CASE WHEN perm > 0 THEN md5('42:' || perm || ':' || sid || ':' || s) ELSE lpad(CAST(s AS VARCHAR), 20, '0') END, s) - 1 AS s FROM cb CROSS JOIN pm)"
     out["rm_state_perm"] = f"WITH {BLOCKS}, {dealt}, {_rm('de', 'perm')}, stats AS (SELECT perm, f AS stat FROM ff) {PVALUE}"
     out["bh_adjust"] = (

@@ -361,6 +361,31 @@ def perm_multi_level(spark, sf):
     return rounded(statistics.multi_level_test(_tested(spark, sf, "age"), PERMUTATIONS))
 
 
+@query
+def stats_state_effects(spark, sf):
+    """Sex and age effects on the state metrics of the order sequences, with false-discovery control."""
+    wide = sequences.state_metrics(roles.orders(spark, sf), 3)
+    long = statistics.long_metrics(wide, ["sid", "s"], ["fo", "dt_mean", "iv_mean", "sr_state"])
+    cov = roles.covariates(spark, sf).select("sid", "sex", "age", "fd")
+    return rounded(statistics.effects(long.join(cov, "sid"), ("metric", "s"), 10))
+
+
+@query
+def stats_between_effects(spark, sf):
+    """The same for sequence-level metrics."""
+    wide = sequences.switch_global(roles.orders(spark, sf)).withColumn("steps", F.col("steps").cast("double"))
+    long = statistics.long_metrics(wide, ["sid"], ["sr_global", "steps"])
+    cov = roles.covariates(spark, sf).select("sid", "sex", "age", "fd")
+    return rounded(statistics.effects(long.join(cov, "sid"), ("metric",), 10))
+
+
+@query
+def parcel_glm_fwe(spark, sf):
+    """t of every brand's mean price between the suppliers' two groups, with family-wise p."""
+    stack = roles.parcels(spark, sf).where("s = 1").select("sid", "p", "value", F.col("sex").alias("grp"))
+    return rounded(statistics.parcel_glm(stack, PERMUTATIONS))
+
+
 @query
 def rm_state_f(spark, sf):
     return rounded(statistics.rm_state_f(roles.blocks(spark, sf), [], 3))
