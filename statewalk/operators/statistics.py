@@ -181,6 +181,32 @@ def rm_state_test(rows: DataFrame, k: int, n_perm: int, seed: str = "42") -> Dat
     return p_value(rm_state_f(dealt, ["perm"], k).select("perm", F.col("f_obs").alias("stat")))
 
 
+def rm_interaction_f(rows: DataFrame, by: list[str], k: int) -> DataFrame:
+    """by, f_obs, df_num, df_den, partial_eta2 of complete blocks (sid, s, y, grp): the interaction of the level with the state.
+
+    Within a sid, y less the sid's mean leaves states and interaction only: the former explains the states' sum of squares,
+    both together that of the cells of level and state. Degrees of freedom count columns, the sid's level and nuisance among
+    them: (g - 1)(k - 1) and N k - N - g k. The level's main effect is absorbed by the sids and has no F of its own.
+    """
+    own = W.partitionBy(*by, "sid")
+    x = rows.where(F.col("grp").isNotNull()).withColumn("c", F.col("y") - F.avg("y").over(own))
+    cells = x.groupBy(*by, "grp", "s").agg(F.count("*").alias("n"), F.sum("c").alias("t"), F.sum(F.col("c") * F.col("c")).alias("q"))
+    states = cells.groupBy(*by, "s").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum("q").alias("q"), F.sum(F.col("t") * F.col("t") / F.col("n")).alias("cells"), F.count("*").alias("g"))
+    out = states.groupBy(*by).agg(F.sum("q").alias("q"), F.sum("cells").alias("cells"), F.sum(F.col("t") * F.col("t") / F.col("n")).alias("states"), F.max("g").alias("g"), F.max("n").alias("n_sid"))
+    gain, rss = F.greatest(F.col("cells") - F.col("states"), F.lit(0.0)), F.col("q") - F.col("cells")
+    num, den = (F.col("g") - 1) * (k - 1), F.col("n_sid") * (k - 1) - F.col("g") * k
+    f = F.when((num > 0) & (den > 0) & (rss > 0), (gain / F.when(num > 0, num)) / (rss / F.when(den > 0, den)))
+    return out.select(*by, f.alias("f_obs"), num.cast("long").alias("df_num"), den.cast("long").alias("df_den"), (gain / F.when(gain + rss > 0, gain + rss)).alias("partial_eta2"))
+
+
+def rm_interaction_test(rows: DataFrame, k: int, n_perm: int, seed: str = "42") -> DataFrame:
+    """f_obs of the interaction and its permutation p: levels are permuted over sids, each sid keeping one level."""
+    sids = rows.select("sid", "grp").distinct().withColumn("r", F.lit(0.0))
+    labels = permuted(sids, n_perm, seed=seed).select("perm", "sid", "grp")
+    dealt = rows.select("sid", "s", "y").join(labels, "sid")
+    return p_value(rm_interaction_f(dealt, ["perm"], k).select("perm", F.col("f_obs").alias("stat")))
+
+
 def design_columns(sid: np.ndarray, s: np.ndarray, k: int, fd: np.ndarray, sex: np.ndarray, age: np.ndarray, terms: set[str]) -> np.ndarray:
     """Design matrix of the terms Subject, State, FD, Sex, AgeGroup, Sex:State, AgeGroup:State, after the intercept.
 

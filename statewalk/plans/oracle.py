@@ -203,6 +203,20 @@ def oracle_sql() -> dict[str, str]:
     out["parcel_glm_fwe"] = f"WITH {sub}, {glm} SELECT p, {r6('t')} AS t, {r6('(sum(CASE WHEN most >= abs(t) THEN 1 ELSE 0 END) + 1) / (count(*) + 1)')} AS p_fwe FROM tt CROSS JOIN mx WHERE tt.perm = 0 GROUP BY p, t"
     dealt = f"pm AS (SELECT unnest(range({PERMUTATIONS + 1})) AS perm), de AS (SELECT perm, sid, y, row_number() OVER (PARTITION BY perm, sid ORDER BY CASE WHEN perm > 0 THEN md5('42:' || perm || ':' || sid || ':' || s) ELSE lpad(CAST(s AS VARCHAR), 20, '0') END, s) - 1 AS s FROM cb CROSS JOIN pm)"
     out["rm_state_perm"] = f"WITH {BLOCKS}, {dealt}, {_rm('de', 'perm')}, stats AS (SELECT perm, f AS stat FROM ff) {PVALUE}"
+    def inter(source: str, by: str) -> str:
+        key, group = (f"{by}, ", f"GROUP BY {by}") if by else ("", "")
+        mean = f"(SELECT *, y - avg(y) OVER (PARTITION BY {key}sid) AS c FROM {source})"
+        return (
+            f"ce AS (SELECT {key}grp, s, count(*) AS n, sum(c) AS t, sum(c * c) AS q FROM {mean} GROUP BY {key}grp, s), "
+            f"sa AS (SELECT {key}s, sum(n) AS n, sum(t) AS t, sum(q) AS q, sum(t * t / n) AS cells, count(*) AS g FROM ce GROUP BY {key}s), "
+            f"ia AS (SELECT {key}sum(q) AS q, sum(cells) AS cells, sum(t * t / n) AS st, max(g) AS g, max(n) AS n FROM sa {group}), "
+            f"fi AS (SELECT {key}((cells - st) / ((g - 1) * 2)) / ((q - cells) / (n * 2 - g * 3)) AS f, CAST((g - 1) * 2 AS BIGINT) AS df_num, CAST(n * 2 - g * 3 AS BIGINT) AS df_den, (cells - st) / (q - st) AS eta FROM ia)"
+        )
+
+    both = f"{BLOCKS}, {COV}, bg AS (SELECT cb.sid, cb.s, cb.y, cv.sex AS grp FROM cb JOIN cv USING (sid))"
+    out["rm_interaction_f"] = f"WITH {both}, {inter('bg', '')} SELECT {r6('f')} AS f_obs, df_num, df_den, {r6('eta')} AS partial_eta2 FROM fi"
+    levels_dealt = f"sj AS (SELECT DISTINCT sid, grp FROM bg), pm AS (SELECT unnest(range({PERMUTATIONS + 1})) AS perm), ti AS (SELECT perm, sid, grp, row_number() OVER (PARTITION BY perm ORDER BY sid) AS place, row_number() OVER (PARTITION BY perm ORDER BY CASE WHEN perm > 0 THEN md5('42:' || perm || ':' || sid) ELSE lpad(CAST(sid AS VARCHAR), 20, '0') END, sid) AS drawn FROM sj CROSS JOIN pm), di AS (SELECT v.perm, v.sid, l.grp FROM ti v JOIN ti l ON v.perm = l.perm AND v.drawn = l.place), dx AS (SELECT di.perm, bg.sid, bg.s, bg.y, di.grp FROM bg JOIN di USING (sid))"
+    out["rm_interaction_perm"] = f"WITH {both}, {levels_dealt}, {inter('dx', 'perm')}, stats AS (SELECT perm, f AS stat FROM fi) {PVALUE}"
     out["bh_adjust"] = (
         "WITH x AS (SELECT p_partkey, p_brand, ((p_retailprice * CAST(7 AS DOUBLE)) % CAST(1000 AS DOUBLE)) / CAST(1000 AS DOUBLE) AS p FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p, p_partkey) AS i, count(*) OVER (PARTITION BY p_brand) AS m FROM x) "
         f"SELECT p_partkey, p_brand, {r6('p')} AS p, {r6('least(min(p * m / i) OVER (PARTITION BY p_brand ORDER BY i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1)')} AS q_bh FROM r"

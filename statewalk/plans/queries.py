@@ -396,6 +396,20 @@ def rm_state_perm(spark, sf):
     return rounded(statistics.rm_state_test(roles.blocks(spark, sf), 3, PERMUTATIONS))
 
 
+def _blocks_by_sex(spark, sf):
+    return roles.blocks(spark, sf).join(roles.covariates(spark, sf).select("sid", F.col("sex").alias("grp")), "sid")
+
+
+@query
+def rm_interaction_f(spark, sf):
+    return rounded(statistics.rm_interaction_f(_blocks_by_sex(spark, sf), [], 3))
+
+
+@query
+def rm_interaction_perm(spark, sf):
+    return rounded(statistics.rm_interaction_test(_blocks_by_sex(spark, sf), 3, PERMUTATIONS))
+
+
 @query
 def bh_adjust(spark, sf):
     rows = roles.table(spark, sf, "part").select("p_partkey", "p_brand", (F.pmod(F.col("p_retailprice") * 7.0, F.lit(1000.0)) / 1000.0).alias("p"))

@@ -29,6 +29,18 @@ def test_state_effect_equals_nested_least_squares(spark):
     assert got["f_obs"] == pytest.approx(f * got["df_den"] / den)
 
 
+def test_interaction_equals_nested_least_squares(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, s, float(rng.normal() + s * (i % 3)), "abc"[i % 3]) for i in range(14) for s in range(4)]
+    got = statistics.rm_interaction_f(spark.createDataFrame(rows, "sid int, s int, y double, grp string"), [], 4).first()
+    sid, s, y, age = (np.array(c) for c in zip(*rows))
+    fd, sex, main = rng.normal(size=14)[sid], np.array(["F"] * len(y)), {"Subject", "State", "FD", "AgeGroup"}
+    full = statistics.design_columns(sid, s, 4, fd, sex, age, main | {"AgeGroup:State"})
+    f, num, den, eta = statistics.nested_f(y, statistics.design_columns(sid, s, 4, fd, sex, age, main), full)
+    assert (got["df_num"], got["df_den"]) == (num, den)
+    assert (got["f_obs"], got["partial_eta2"]) == pytest.approx((f, eta))
+
+
 def test_collinear_terms_have_no_f():
     sid, s = np.repeat(np.arange(6), 3), np.tile(np.arange(3), 6)
     sex = np.where(sid % 2 == 0, "M", "F")
