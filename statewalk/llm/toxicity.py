@@ -1,6 +1,7 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's probability is logistic in its words' weights; the document's is the noisy-or
+A document is a bag of sentences. A sentence's probability is logistic in the weights of its words and of their beginnings
+(so that unseen forms of a known stem count); the document's is the noisy-or
 of its sentences', 1 - prod(1 - p). Only document labels are known; the gradient of the document likelihood reaches each
 sentence in proportion to its own probability, so the weights settle on the words of offending sentences, which are then
 located by their own scores.
@@ -12,16 +13,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statewalk.llm.common import first_rows, lower_ascii, segment_sums, span_hashes, text_chunks, texts_of, word_spans
+from statewalk.llm.common import checkpointed, first_rows, lower_ascii, mix, segment_sums, span_hashes, text_chunks, texts_of, word_spans
 from statewalk.llm.languages import letters_only, remainder
 from statewalk.llm.training import labelled
 
-#: Words are hashed to 2**BITS cells, of which the WORDS most telling ones get a weight.
-BITS, WORDS, LEAST_DOCUMENTS = 18, 2048, 4
+#: Words and their first bytes (PREFIXES of them) are hashed to 2**BITS cells, of which the WORDS most telling get a weight.
+BITS, WORDS, LEAST_DOCUMENTS = 20, 4096, 4
+PREFIXES, SLICES = (3, 4, 5, 6), 64
+PER_WORD = 1 + len(PREFIXES)
 STEPS, RATE, DECAY, START = 300, 0.15, 1e-4, -6.0
 #: The bytes . ! ? and newline end a sentence.
 ENDERS = np.isin(np.arange(256), [ord(c) for c in ".!?\n"])
@@ -34,17 +38,18 @@ class Model:
 
 
 def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Cells of all words, the first word of each sentence, the first sentence of each text, and each sentence's first and last byte.
-
-    A sentence without a word is none.
+    """Cells of all words, PER_WORD each, the first cell of each sentence, the first sentence of each text, and each
+    sentence's first and last byte. A sentence without a word is none.
     """
     starts, ends, at = word_spans(data, offsets, letters_only(data))
-    cell = (span_hashes(lower_ascii(data), starts, ends) >> np.uint64(64 - BITS)).astype(np.int64)
+    low = lower_ascii(data)
+    hashes = [span_hashes(low, starts, ends), *(mix(span_hashes(low, starts, np.minimum(starts + n, ends)) + np.uint64(n)) for n in PREFIXES)]
+    cell = (np.stack(hashes, axis=1) >> np.uint64(64 - BITS)).astype(np.int64).ravel()
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(at))
     stop = np.cumsum(ENDERS[data])[starts] if len(starts) else np.zeros(0, np.int64)
     first = np.flatnonzero(first_rows(text) | first_rows(stop))
     last = np.append(first[1:], len(starts)) - 1
-    return cell, first, np.searchsorted(text[first], np.arange(len(offsets))), starts[first], ends[last] if len(first) else ends
+    return cell, PER_WORD * first, np.searchsorted(text[first], np.arange(len(offsets))), starts[first], ends[last] if len(first) else ends
 
 
 def sentence_scores(cell: np.ndarray, first: np.ndarray, model: Model) -> np.ndarray:
@@ -57,54 +62,85 @@ def noisy_or(log_odds: np.ndarray, at: np.ndarray) -> np.ndarray:
     return -np.expm1(segment_sums(-np.logaddexp(0, log_odds), at))
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, label, cells and lengths (binary int32): the words' cells in order, and the number of words of each sentence."""
+def cell_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """In how many documents, and in how many of label 1, each cell occurs: arrays of fixed size, summed slice by slice."""
+    size = (1 << BITS) // SLICES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 1 << BITS), np.int64)
         for batch in batches:
+            labels = batch.column(2).to_numpy(zero_copy_only=False)
             for chunk in text_chunks(batch.column(1)):
                 cell, first, at, _, _ = sentences(chunk.data, chunk.offsets)
-                size = np.diff(np.append(first, len(cell))).astype(np.int32)
-                bounds = np.append(first, len(cell))[at]
+                size_of = np.diff(np.append(first, len(cell))[at])
+                pair = np.unique(np.repeat(np.arange(len(chunk)), size_of) << BITS | cell)
+                seen = pair & ((1 << BITS) - 1)
+                total[0] += np.bincount(seen, minlength=1 << BITS)
+                total[1] += np.bincount(seen[labels[chunk.lo : chunk.hi][pair >> BITS] > 0], minlength=1 << BITS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([np.ascontiguousarray(total[:, i * size : (i + 1) * size]).astype("<i4").tobytes() for i in range(SLICES)], pa.binary())], ["slice", "counts"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(x, "<i4") for x in pdf["counts"]], axis=0)
+        return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "counts": [total.astype("<i4").tobytes()]})
+
+    schema = "slice int, counts binary"
+    rows = docs.select("doc_id", "text", "label").mapInArrow(run, schema).groupBy("slice").applyInPandas(add, schema).collect()
+    out = np.zeros((2, 1 << BITS), np.int64)
+    for r in rows:
+        out[:, r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["counts"], "<i4").reshape(2, -1)
+    return out[0], out[1]
+
+
+def features(docs: DataFrame, number: np.ndarray) -> DataFrame:
+    """doc_id, label, n (sentences), sentence and feature (binary int32): where in the document the chosen cells occur.
+
+    number: each cell's feature, or -1.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(number.astype(np.int32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in text_chunks(batch.column(1)):
+                cell, first, at, _, _ = sentences(chunk.data, chunk.offsets)
+                found = shared.value[cell]
+                place = np.flatnonzero(found >= 0)
+                sentence = np.searchsorted(first, place, "right") - 1
+                cut = np.searchsorted(sentence, at)
+                where = [(sentence[a:b] - at[i]).astype(np.int32).tobytes() for i, (a, b) in enumerate(zip(cut, cut[1:]))]
+                what = [found[place[a:b]].tobytes() for a, b in zip(cut, cut[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(chunk.lo, len(chunk)),
-                        batch.column(2).slice(chunk.lo, len(chunk)),
-                        pa.array([cell[a:b].astype(np.int32).tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary()),
-                        pa.array([size[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary()),
-                    ],
-                    ["doc_id", "label", "cells", "lengths"],
+                    [batch.column(0).slice(chunk.lo, len(chunk)), batch.column(2).slice(chunk.lo, len(chunk)), pa.array(np.diff(at), pa.int64()), pa.array(where, pa.binary()), pa.array(what, pa.binary())],
+                    ["doc_id", "label", "n", "sentence", "feature"],
                 )
 
-    return docs.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, cells binary, lengths binary")
+    return docs.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, n long, sentence binary, feature binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep=None) -> Model:
-    """Fit on the bounded sample of `labelled`; the driver holds that sample's word cells and nothing of other rows.
+    """Fit on the bounded sample of `labelled`, which is written once; the driver holds counts of fixed size and where the
+    chosen cells occur in the sample.
 
     Without labels, or with labels of one kind only, the weights are 0 and the bias stays low or high accordingly.
     """
-    rows = sorted(features(labelled(docs, labels, label, keep)).collect(), key=lambda r: r["doc_id"])
-    y = np.array([r["label"] for r in rows], np.float64)
+    sample = checkpointed(labelled(docs, labels, label, keep))
+    kinds = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     weights = np.zeros(1 << BITS, np.float32)
-    if not len(y) or y.min() == y.max():
-        return Model(-START if len(y) and y.min() > 0 else START, weights)
-    cell = np.frombuffer(b"".join(r["cells"] for r in rows), np.int32).astype(np.int64)
-    size = np.frombuffer(b"".join(r["lengths"] for r in rows), np.int32).astype(np.int64)
-    at = np.cumsum([0] + [len(r["lengths"]) // 4 for r in rows])
-    sentence = np.repeat(np.arange(len(size)), size)
-    text = np.repeat(np.arange(len(y)), np.diff(at))
-    pairs = np.unique(text[sentence] << BITS | cell)
-    seen, hits = pairs & ((1 << BITS) - 1), y[pairs >> BITS]
-    n, k = np.bincount(seen, minlength=1 << BITS), np.bincount(seen, weights=hits, minlength=1 << BITS)
-    rate = y.mean()
+    if len(kinds) < 2:
+        return Model(-START if 1 in kinds else START, weights)
+    n, k = cell_counts(sample)
+    rate = kinds[1] / sum(kinds.values())
     telling = np.where(n >= LEAST_DOCUMENTS, (k - n * rate) ** 2 / np.maximum(n * rate * (1 - rate), 1e-9), 0)
-    chosen = np.sort(np.argsort(-telling, kind="stable")[:WORDS])
-    chosen = chosen[telling[chosen] > 6.6]  # one in a hundred by chance
+    chosen = np.argsort(-telling, kind="stable")[:WORDS]
+    chosen = np.sort(chosen[telling[chosen] > 6.6])  # one in a hundred by chance
     number = np.full(1 << BITS, -1)
     number[chosen] = np.arange(len(chosen))
-    use = number[cell] >= 0
-    s, f = sentence[use], number[cell[use]]
+    rows = sorted(features(sample, number).collect(), key=lambda r: r["doc_id"])
+    y = np.array([r["label"] for r in rows], np.float64)
+    count = np.array([r["n"] for r in rows])
+    at = np.concatenate(([0], np.cumsum(count)))
+    f = np.frombuffer(b"".join(r["feature"] for r in rows), np.int32)
+    s = np.frombuffer(b"".join(r["sentence"] for r in rows), np.int32) + np.repeat(at[:-1], [len(r["feature"]) // 4 for r in rows])
+    text = np.repeat(np.arange(len(y)), count)
     # sentences without a chosen word are alike: one number for each text stands for them
     own, s = np.unique(s, return_inverse=True)
     owner = text[own]
