@@ -95,3 +95,52 @@ def preferred_files(files: DataFrame, token: str = "rest") -> DataFrame:
     """
     has: Column = F.when(F.lower("name").contains(token), 0).otherwise(1)
     return files.groupBy(leading_token(F.col("name")).alias("sid")).agg(F.min_by("name", F.struct(has, "name")).alias("name"))
+
+
+def in_order(rows: DataFrame, order: DataFrame) -> DataFrame:
+    """rows (sid, ...) of the sids in order (pos, sid), with pos: the list's order, each sid at its first place."""
+    first = order.groupBy("sid").agg(F.min("pos").alias("pos"))
+    return rows.join(first, "sid").select("pos", *rows.columns)
+
+
+def absent(order: DataFrame, rows: DataFrame) -> DataFrame:
+    """sid of the list that no row has."""
+    return order.select("sid").distinct().join(rows.select("sid").distinct(), "sid", "left_anti")
+
+
+def columns_of(order: DataFrame, k: int) -> DataFrame:
+    """state (0..k-1), col_index (from 1), sid: the columns of each state's stack, subjects in the list's order.
+
+    Places are counted within a state, so that states are numbered side by side.
+    """
+    first = order.groupBy("sid").agg(F.min("pos").alias("pos"))
+    grid = first.withColumn("state", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    return grid.select("state", F.row_number().over(W.partitionBy("state").orderBy("pos", "sid")).alias("col_index"), "sid")
+
+
+def stacked(maps: DataFrame, order: DataFrame, k: int) -> DataFrame:
+    """state, col_index, sid, p, value of maps (sid, s, p, value): one column for each subject of a state's stack."""
+    columns = columns_of(in_order(maps.select("sid").distinct(), order), k)
+    return columns.join(maps.withColumnRenamed("s", "state"), ["state", "sid"]).select("state", "col_index", "sid", "p", "value")
+
+
+def subject_level(rows: DataFrame) -> DataFrame:
+    """One row for each subject of a design with a row for each state (column state from 1): columns of states are left out."""
+    kept = [c for c in rows.columns if not c.startswith("state")]
+    return rows.where(F.col("state") == 1).select(*kept)
+
+
+def tidy_ids(rows: DataFrame) -> DataFrame:
+    """rows without the column uid, if it is everywhere the sid or its leading token."""
+    if "uid" not in rows.columns:
+        return rows
+    same = (F.col("uid") == F.col("sid")) | (F.col("uid") == leading_token(F.col("sid")))
+    redundant = rows.agg(F.bool_and(F.coalesce(same, F.lit(False))).alias("x")).first()["x"]
+    return rows.drop("uid") if redundant else rows
+
+
+def wrong_shapes(maps: DataFrame, k: int) -> DataFrame:
+    """sid, states, features of the maps (sid, s, p) that have not k states of as many features as the first sid's."""
+    by = maps.groupBy("sid").agg(F.countDistinct("s").alias("states"), F.countDistinct("p").alias("features"), F.count("*").alias("cells"))
+    first = by.agg(F.min_by("features", "sid").alias("wanted"))
+    return by.crossJoin(F.broadcast(first)).where((F.col("states") != k) | (F.col("features") != F.col("wanted")) | (F.col("cells") != F.col("states") * F.col("features"))).select("sid", "states", "features")

@@ -185,6 +185,12 @@ def oracle_sql() -> dict[str, str]:
     out["one_hot_levels"] = f"WITH {levels} SELECT level, place FROM lv"
     out["design_matrix"] = f"WITH {levels} SELECT sid, CAST(1 AS DOUBLE) AS intercept, " + ", ".join(f"CAST(CASE WHEN place = {i} THEN 1 ELSE 0 END AS DOUBLE) AS age_{i}" for i in range(1, 5)) + f", {r6('CASE WHEN sex = chr(77) THEN 1 ELSE 0 END - avg(CASE WHEN sex = chr(77) THEN 1 ELSE 0 END) OVER ()')} AS sex, {r6('fd - avg(fd) OVER ()')} AS fd FROM cv JOIN lv ON lv.level = cv.age"
     out["design_mapping"] = "SELECT c_custkey AS pos, 'c' || c_custkey AS sid, k AS state, c_custkey * 3 + k AS row_key FROM customer CROSS JOIN (SELECT unnest(range(1, 4)) AS k)"
+    listed = "o AS (SELECT (c_custkey * 7919) % 1000003 AS pos, c_custkey AS sid FROM customer WHERE c_custkey % 4 <> 0)"
+    out["stack_columns"] = f"WITH {listed} SELECT st.s AS state, row_number() OVER (PARTITION BY st.s ORDER BY pos, sid) AS col_index, sid FROM o CROSS JOIN (SELECT CAST(unnest(range(3)) AS BIGINT) AS s) st"
+    out["order_join"] = f"WITH {listed}, {COV} SELECT o.sid, o.pos, cv.sex, {r6('cv.y')} AS y FROM o JOIN cv ON cv.sid = o.sid WHERE o.sid % 3 <> 0 UNION ALL SELECT sid, NULL, 'absent', NULL FROM o WHERE sid % 3 = 0 OR sid NOT IN (SELECT sid FROM cv)"
+    out["group_stack"] = f"WITH {PARCELS}, so AS (SELECT sid, (sid * 31) % 101 AS pos FROM (SELECT DISTINCT sid FROM pa) WHERE sid % 2 = 1), co AS (SELECT sid, row_number() OVER (ORDER BY pos, sid) AS col_index FROM so) SELECT pa.s AS state, col_index, sid, p, {r6('value')} AS value FROM co JOIN pa USING (sid)"
+    out["subject_level_design"] = f"WITH {COV} SELECT sid, {r6('fd')} AS fd FROM cv"
+    out["map_shapes"] = f"WITH {PARCELS}, m AS (SELECT * FROM pa WHERE sid % 3 <> 0 OR p <> 'Brand#2'), b AS (SELECT sid, count(DISTINCT s) AS states, count(DISTINCT p) AS features, count(*) AS cells FROM m GROUP BY sid) SELECT sid, states, features FROM b WHERE states <> 3 OR features <> (SELECT min_by(features, sid) FROM b) OR cells <> states * features"
     out["alignment_check"] = (
         "WITH e AS (SELECT CAST(c_nationkey % 3 AS BIGINT) AS state, c_custkey AS pos, 'c' || c_custkey AS sid FROM customer), a AS (SELECT state, pos, CASE WHEN pos % 97 = 96 THEN 'other' ELSE sid END AS sid FROM e WHERE pos % 101 <> 100), "
         "x AS (SELECT e.state, e.pos, e.sid AS expected_sid, a.sid AS actual_sid, CASE WHEN a.sid IS NULL THEN 'missing' WHEN a.sid <> e.sid THEN 'differs' END AS kind FROM e LEFT JOIN a ON a.state = e.state AND a.pos = e.pos) "

@@ -325,6 +325,47 @@ def design_mapping(spark, sf):
     return rounded(design.mapping(subjects, 3))
 
 
+def _listed(spark, sf):
+    """Customers in the order of their balance's hash-like remainder, some of them twice, and one that isn't there."""
+    rows = roles.table(spark, sf, "customer").where("c_custkey % 4 <> 0")
+    pos = F.pmod(F.col("c_custkey") * 7919, F.lit(1000003))
+    once = rows.select(pos.alias("pos"), F.col("c_custkey").alias("sid"))
+    return once.union(once.where("sid % 5 = 0").select(F.col("pos") + 1000003, "sid"))
+
+
+@query
+def stack_columns(spark, sf):
+    return rounded(design.columns_of(_listed(spark, sf), 3))
+
+
+@query
+def order_join(spark, sf):
+    listed = _listed(spark, sf)
+    known = roles.covariates(spark, sf).where("sid % 3 <> 0").select("sid", "sex", "y")
+    found = design.in_order(known, listed).select("sid", "pos", "sex", "y")
+    missing = design.absent(listed, known).select("sid", F.lit(None).cast("bigint").alias("pos"), F.lit("absent").alias("sex"), F.lit(None).cast("double").alias("y"))
+    return rounded(found.union(missing))
+
+
+@query
+def group_stack(spark, sf):
+    maps = roles.parcels(spark, sf).select("sid", "s", "p", "value")
+    order = maps.select("sid").distinct().select(F.pmod(F.col("sid") * 31, F.lit(101)).alias("pos"), "sid").where("sid % 2 = 1")
+    return rounded(design.stacked(maps, order, 3))
+
+
+@query
+def subject_level_design(spark, sf):
+    cov = roles.covariates(spark, sf).select(F.col("sid").alias("pos"), "sid", "fd")
+    rows = design.mapping(cov.select("pos", "sid"), 3).join(cov.select("sid", "fd"), "sid").withColumn("state_2", F.when(F.col("state") == 2, 1.0).otherwise(0.0))
+    return rounded(design.subject_level(rows.select("sid", "state", "state_2", "fd")))
+
+
+@query
+def map_shapes(spark, sf):
+    return rounded(design.wrong_shapes(roles.parcels(spark, sf).where("sid % 3 <> 0 or p <> 'Brand#2'"), 3))
+
+
 @query
 def alignment_check(spark, sf):
     expected = roles.table(spark, sf, "customer").select((F.col("c_nationkey") % 3).alias("state"), F.col("c_custkey").alias("pos"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("sid"))

@@ -127,3 +127,50 @@ def preflight(files: DataFrame) -> DataFrame:
     """name, n_dim, rows, p, keep: of files (name, n_dim, rows, p) those of two dimensions with the first one's p are kept."""
     first = files.where("n_dim = 2").agg(F.min_by("p", "name").alias("first_p"))
     return files.crossJoin(F.broadcast(first)).select(*files.columns, ((F.col("n_dim") == 2) & (F.col("p") == F.col("first_p"))).alias("keep"))
+
+
+def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """path, name, sid, length of the files under a folder; their contents are not read."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    name = F.element_at(F.split("path", "/"), -1)
+    return rows.select("path", name.alias("name"), leading_token(name).alias("sid"), "length")
+
+
+def design_covariates(spark: SparkSession, path: str) -> DataFrame:
+    """sid, age, sex (1 for M, 0 for F), fd: rows without an id or a known sex are left out; a bad or missing fd is 0."""
+    from statewalk.functions.expressions import sex_text
+
+    rows = with_aliases(table(spark, path), ("sid", "age", "sex"), ("fd",), ALIASES | {"age": ("age", "agegroup", "age_group")})
+    sex = sex_text(F.col("sex"))
+    out = rows.select(F.trim("sid").alias("sid"), F.trim("age").alias("age"), F.when(sex == "M", 1.0).when(sex == "F", 0.0).alias("sex"), F.coalesce(F.expr("try_cast(fd as double)"), F.lit(0.0)).alias("fd"))
+    return out.where("sid <> '' and sex is not null")
+
+
+def id_list(spark: SparkSession, path: str) -> DataFrame:
+    """pos, sid: one id a line, blanks left out, each id at its first place."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "\n")).alias("pos", "sid"))
+    kept = lines.select("pos", F.trim("sid").alias("sid")).where("sid <> ''")
+    return kept.groupBy("sid").agg(F.min("pos").alias("pos")).select("pos", "sid")
+
+
+def used_ids(spark: SparkSession, path: str) -> DataFrame:
+    """sid, sex of a table of used subjects, once each: a row for each state doesn't count a subject again."""
+    from statewalk.functions.expressions import sex_text
+
+    rows = with_aliases(table(spark, path), ("sid",), ("sex",))
+    return rows.select(F.trim("sid").alias("sid"), sex_text(F.col("sex")).alias("sex")).where("sid <> ''").groupBy("sid").agg(F.min("sex").alias("sex"))
+
+
+def label_names(spark: SparkSession, path: str) -> DataFrame:
+    """p (from 0), name: the first column of a delimited list with a header, blanks left out."""
+    sep = delimiter(spark, path)
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split(F.regexp_replace("value", "\r", ""), "\n"), lambda x: F.trim(x) != "")).alias("i", "line"))
+    return lines.where("i > 0").select((F.col("i") - 1).alias("p"), F.trim(F.split_part("line", F.lit(sep), F.lit(1))).alias("name")).where("name <> ''")
+
+
+def mean_patterns(spark: SparkSession, path: str) -> DataFrame:
+    """s, p, mean from a wide table with a column `state`, its other columns being features in their order."""
+    wide = table(spark, path)
+    rest = [c for c in wide.columns if c.lower() != "state"]
+    values = F.posexplode(F.array(*[F.expr(f"try_cast(`{c}` as double)") for c in rest]))
+    return wide.select(F.col("state").cast("double").cast("int").alias("s"), values.alias("p", "mean"))

@@ -67,6 +67,20 @@ def test_readers(spark, tmp_path):
     assert {r["name"] for r in readers.preflight(files).where("keep").collect()} == {"a", "d"}
 
 
+def test_more_readers(spark, tmp_path):
+    (tmp_path / "d.csv").write_text("subject_id,age,sex,mean_fd\n01,old,F,0.5\n,old,M,1\n02,young,x,1\n03,young,1,bad\n")
+    assert {(r["sid"], r["sex"], r["fd"]) for r in readers.design_covariates(spark, str(tmp_path / "d.csv")).collect()} == {("01", 0.0, 0.5), ("03", 1.0, 0.0)}
+    (tmp_path / "ids.txt").write_text("b\n\na\nb\n")
+    assert [r["sid"] for r in readers.id_list(spark, str(tmp_path / "ids.txt")).orderBy("pos").collect()] == ["b", "a"]
+    (tmp_path / "used.tsv").write_text("row\tsid\tsex\n1\ta\tM\n2\ta\tM\n3\tb\t0\n")
+    assert {(r["sid"], r["sex"]) for r in readers.used_ids(spark, str(tmp_path / "used.tsv")).collect()} == {("a", "M"), ("b", "F")}
+    (tmp_path / "names.csv").write_text("name,x\nV1,1\n\nM1,2\n")
+    assert [(r["p"], r["name"]) for r in readers.label_names(spark, str(tmp_path / "names.csv")).orderBy("p").collect()] == [(0, "V1"), (1, "M1")]
+    (tmp_path / "means.csv").write_text("state,a,b\n1,0.5,2\n0,1,x\n")
+    assert {(r["s"], r["p"], r["mean"]) for r in readers.mean_patterns(spark, str(tmp_path / "means.csv")).collect()} == {(1, 0, 0.5), (1, 1, 2.0), (0, 0, 1.0), (0, 1, None)}
+    assert {r["name"]: r["sid"] for r in readers.files(spark, str(tmp_path), "*.csv").collect()}["d.csv"] == "d.csv"
+
+
 def test_texts():
     assert writers.matrix_text([[1, 0.5]]).splitlines() == ["/NumWaves 2", "/NumPoints 1", "/Matrix", "1.000000 0.500000"]
     assert "/ContrastName1 sex" in writers.contrast_text(["sex"], [[0, 1]])
