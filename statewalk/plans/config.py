@@ -6,6 +6,9 @@ from dataclasses import dataclass, field, fields
 from typing import Any
 
 
+# The defaults of the sections below.
+
+
 @dataclass
 class Model:
     K: int = 6
