@@ -35,7 +35,7 @@ from statewalk.llm.suffixes import permuted_common_prefixes, suffix_array
 
 LENGTH, ANCHOR = 50, 16
 #: Bytes of a bucket's texts, bytes of text for each shard and for each range of anchors, bytes of one suffix sort.
-BUCKET_BYTES, SHARD_BYTES, RANGE_BYTES, SORT_BYTES = 4 << 20, 6 << 20, 8 << 20, 1 << 20
+BUCKET_BYTES, SHARD_BYTES, RANGE_BYTES, SORT_BYTES = 3 << 20, 4 << 20, 4 << 20, 1 << 20
 #: An anchor in so many buckets is sent by windows.
 FREQUENT = 1024
 LAST = (1 << 63) - 1  # the id that stands for null: after all others
