@@ -136,6 +136,8 @@ def linked_pairs(fp: np.ndarray, key: np.ndarray, side: np.ndarray | None, radiu
             if not len(a):
                 break
             near = np.abs(coordinate[a] - coordinate[b]) <= radius
+            if np.count_nonzero(near) > 0.9 * len(near):  # a pivot discards little: the rest are like, or the radius is wide
+                break
             a, b = a[near], b[near]
         near = popcount(fp[a] ^ fp[b]) <= radius
         left.append(a[near])
@@ -214,7 +216,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> Da
 
 #: For near-duplicates by similarity: bits within which a pair is a candidate, the recall of the tables at that distance,
 #: the shingle hashes of a text that are kept, and the similarity.
-NEAR_SHINGLE, NEAR_RADIUS, NEAR_RECALL, KEPT_HASHES, SIMILARITY = 5, 14, 0.95, 256, 0.8
+NEAR_SHINGLE, NEAR_RADIUS, NEAR_RECALL, KEPT_HASHES, SIMILARITY = 5, 16, 0.95, 256, 0.8
 
 
 def sampled_masks(n: int, radius: int) -> np.ndarray:
