@@ -122,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep=None) ->
 
     Without labels, or with labels of one kind only, the weights are 0 and the bias stays low or high accordingly.
     """
-    sample = checkpointed(labelled(docs, labels, label, keep))
+    sample = checkpointed(labelled(docs, labels, label, keep)).coalesce(8)  # of bounded size: few tasks, each with counts of fixed size
     kinds = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     weights = np.zeros(1 << BITS, np.float32)
     if len(kinds) < 2:
