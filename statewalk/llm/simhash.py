@@ -215,8 +215,8 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> Da
 
 
 #: For near-duplicates by similarity: bits within which a pair is a candidate, the recall of the tables at that distance,
-#: the shingle hashes of a text that are kept, and the similarity.
-NEAR_SHINGLE, NEAR_RADIUS, NEAR_RECALL, KEPT_HASHES, SIMILARITY = 5, 14, 0.95, 256, 0.8
+#: and the similarity.
+NEAR_SHINGLE, NEAR_RADIUS, NEAR_RECALL, SIMILARITY = 5, 14, 0.95, 0.8
 
 
 def sampled_masks(n: int, radius: int) -> np.ndarray:
@@ -229,38 +229,30 @@ def sampled_masks(n: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << int(b) for b in r) for r in rows], np.uint64)
 
 
-def signatures(docs: DataFrame, shingle: int = NEAR_SHINGLE, kept: int = KEPT_HASHES) -> DataFrame:
-    """doc_id, row_key, fp, n (distinct shingles), sketch (binary): the least `kept` 32-bit hashes of the distinct shingles.
-
-    Up to `kept` shingles the sketch is the whole set; of longer texts it is a uniform sample of the shingles of the whole
-    text, the same shingles being taken in every text.
-    """
+def signatures(docs: DataFrame, shingle: int = NEAR_SHINGLE) -> DataFrame:
+    """doc_id, row_key, fp, n (distinct shingles), shingles (binary): the sorted 64-bit hashes of all distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in text_chunks(batch.column(1)):
                 h, bounds = shingle_hashes(chunk.data, chunk.offsets, shingle)
                 fp = majority(h, bounds).astype(np.uint64).view(np.int64)
-                low = (mix(h) >> np.uint64(32)).astype("<u4")
-                sets = [np.unique(low[a:b]) for a, b in zip(bounds, bounds[1:])]
+                sets = [np.unique(h[a:b]) for a, b in zip(bounds, bounds[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(chunk.lo, len(chunk)), batch.column(2).slice(chunk.lo, len(chunk)), pa.array(fp), pa.array([len(x) for x in sets], pa.int64()), pa.array([x[:kept].tobytes() for x in sets], pa.binary())],
-                    ["doc_id", "row_key", "fp", "n", "sketch"],
+                    [batch.column(0).slice(chunk.lo, len(chunk)), batch.column(2).slice(chunk.lo, len(chunk)), pa.array(fp), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())],
+                    ["doc_id", "row_key", "fp", "n", "shingles"],
                 )
 
-    return texts_of(keyed(docs), "row_key").mapInArrow(run, "doc_id long, row_key long, fp long, n long, sketch binary")
+    return texts_of(keyed(docs), "row_key").mapInArrow(run, "doc_id long, row_key long, fp long, n long, shingles binary")
 
 
-def jaccard(x: bytes, y: bytes, kept: int = KEPT_HASHES) -> float:
-    """Similarity of two shingle sets from their sketches: exact for whole sets, else the share among the union's least."""
-    a, b = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+def jaccard(x: bytes, y: bytes) -> float:
+    """Similarity of two whole shingle sets; two empty ones are equal."""
+    a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    union = np.union1d(a, b)
-    if len(a) == kept or len(b) == kept:
-        union = union[:kept]
-    both = np.intersect1d(a, b, assume_unique=True)
-    return float(np.count_nonzero(both <= union[-1])) / len(union)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = NEAR_SHINGLE, radius: int = NEAR_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
@@ -272,9 +264,9 @@ def near_duplicates(docs: DataFrame, shingle: int = NEAR_SHINGLE, radius: int =
     words are copies of each other. Rows equal in all columns are one document: they stay or go together. Null ids come last.
     """
     last = F.lit((1 << 63) - 1)
-    rows = checkpointed(signatures(docs, shingle)).withColumn("node", F.xxhash64("fp", "n", "sketch"))
+    rows = checkpointed(signatures(docs, shingle)).withColumn("node", F.xxhash64("n", "shingles"))
     rank = F.struct(F.coalesce("doc_id", last).alias("d"), F.col("row_key").alias("k"))
-    nodes = checkpointed(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min(rank).alias("least"), F.first("sketch").alias("sketch")))
+    nodes = checkpointed(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min(rank).alias("least"), F.first("shingles").alias("shingles")))
     n = nodes.count()
     masks, pivot = sampled_masks(n, radius), pivots()
 
@@ -305,8 +297,8 @@ def near_duplicates(docs: DataFrame, shingle: int = NEAR_SHINGLE, radius: int =
     def similar(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([jaccard(a, b) for a, b in zip(x, y)], dtype="float64")
 
-    sets = nodes.select("node", "sketch")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
+    sets = nodes.select("node", "shingles")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     linked = both.where(F.pandas_udf(similar, "double")("x", "y") >= similarity).select("a", "b")
     parts = components(linked)
     named = nodes.select("node", "least").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))

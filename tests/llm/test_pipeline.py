@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 import corpus_pipeline
+from statewalk.llm import simhash
 from statewalk.llm.queries import oracle_sql, queries
 
 
@@ -33,3 +36,44 @@ def test_license_oracle(spark, sf_dir):
     c.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf_dir}/documents.parquet')")
     want = sorted(map(tuple, c.sql(oracle_sql()["op9_license_digest"]).fetchall()), key=str)
     assert sorted(map(tuple, queries()["op9_license_digest"](spark, sf_dir).collect()), key=str) == want
+
+
+def shingle_set(text: str) -> frozenset:
+    w = text.split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def brute_kept(texts: list[str], similarity: float = 0.8) -> list[int]:
+    """The first text of each component of the exact graph of similar pairs."""
+    sets = [shingle_set(t) for t in texts]
+    group = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            both = len(sets[i] & sets[j])
+            if group[i] != group[j] and (sets[i] == sets[j] or both >= similarity * len(sets[i] | sets[j])):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    return sorted(set(group))
+
+
+def kept(spark, texts: list[str]) -> list[int]:
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    return sorted(r["doc_id"] for r in simhash.one_of_each(docs.repartition(3)).collect())
+
+
+def edited(words: list[str], n: int, tag: str) -> str:
+    """words with n of them replaced, far from each other: each costs five shingles."""
+    out = list(words)
+    for k in range(n):
+        out[7 * k + 5] = f"{tag}{k}"
+    return " ".join(out)
+
+
+def test_near_duplicates_close_to_the_threshold(spark):
+    """Long texts just below the similarity are decided by their whole shingle sets."""
+    rng = np.random.default_rng(4)
+    texts = []
+    for i in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 10**9, 1000)]
+        texts += [" ".join(words), edited(words, 23 + i % 2, f"x{i}_")]
+    assert kept(spark, texts) == brute_kept(texts) == list(range(80))
