@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statewalk.llm.blocks import Forest, dealt, star
-from statewalk.llm.common import checkpointed, is_space, lower_ascii, mix, text_chunks, texts_of, word_spans
+from statewalk.llm.common import checkpointed, first_rows, is_space, lower_ascii, mix, text_chunks, texts_of, word_spans
 from statewalk.llm.components import components
 from statewalk.llm.training import keyed, without
 
@@ -217,6 +217,8 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> Da
 #: For near-duplicates by similarity: bits within which a pair is a candidate, the recall of the tables at that distance,
 #: and the similarity.
 NEAR_SHINGLE, NEAR_RADIUS, NEAR_RECALL, SIMILARITY = 5, 14, 0.95, 0.8
+#: Sets of a block and of a task, about, and the leading bits of a node that a bit map tells apart.
+SET_BLOCK, TASK_SETS, MAP_BITS = 512, 2_000, 24
 
 
 def sampled_masks(n: int, radius: int) -> np.ndarray:
@@ -246,27 +248,97 @@ def signatures(docs: DataFrame, shingle: int = NEAR_SHINGLE) -> DataFrame:
     return texts_of(keyed(docs), "row_key").mapInArrow(run, "doc_id long, row_key long, fp long, n long, shingles binary")
 
 
-def jaccard(x: bytes, y: bytes) -> float:
-    """Similarity of two whole shingle sets; two empty ones are equal."""
-    a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+def alike(sets: list[np.ndarray], side: np.ndarray | None, similarity: float) -> np.ndarray:
+    """Labels of the sets, equal where links join them: pairs of different sides (where side is given) with the similarity.
+
+    The sets come by growing size. Every pair is compared on its whole sets unless its sizes differ too much or its sets have
+    a label in common already.
+    """
+    n = np.array([len(x) for x in sets])
+    bounds = np.concatenate(([0], np.cumsum(n)))
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+    have = np.zeros(len(at), bool)
+    label = np.arange(len(sets))
+    ends = np.searchsorted(similarity * n - 1e-9, n, "right")
+    for i in range(int(np.searchsorted(n, 0, "right")), len(sets)):
+        others = np.arange(i + 1, ends[i])
+        others = others[label[others] != label[i]]
+        if side is not None:
+            others = others[side[others] != side[i]]
+        if not len(others):
+            continue
+        own = at[bounds[i] : bounds[i + 1]]
+        have[own] = True
+        if 4 * len(others) < ends[i] - i:
+            both = np.array([np.count_nonzero(have[at[bounds[j] : bounds[j + 1]]]) for j in others])
+        else:
+            both = np.add.reduceat(have[at[bounds[i + 1] : bounds[ends[i]]]], bounds[i + 1 : ends[i]] - bounds[i + 1], dtype=np.int64)[others - i - 1]
+        have[own] = False
+        linked = others[both / (n[i] + n[others] - both) >= similarity]
+        label[np.isin(label, label[linked])] = label[i]
+    return label
+
+
+def verified(sets: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
+    """a, b: edges that join all nodes of a component of parts (node, component) whose sets have the similarity, directly or
+    through others. sets: node, shingles; a node may be there several times.
+
+    Each component's sets are brought to one task, those of a large one to a task for each pair of its blocks, and every pair
+    is compared there; a task returns its forest of links, not its pairs.
+    """
+    pieces = checkpointed(dealt(parts, ["component"], F.col("node"), SET_BLOCK))
+    tasks = max(1, -(-pieces.count() // TASK_SETS))
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = (pdf[c].to_numpy().astype(np.uint64) for c in ("left", "right"))
+        piece = mix(pdf["component"].to_numpy().view(np.uint64) + left * np.uint64(0x9E3779B97F4A7C15) + right)
+        raw, node, side = pdf["shingles"].to_numpy(), pdf["node"].to_numpy(), pdf["side"].to_numpy()
+        order = np.lexsort((np.array([len(x) for x in raw]), piece))
+        starts = np.flatnonzero(first_rows(piece[order]))
+        a, b = [node[:0]], [node[:0]]
+        for lo, hi in zip(starts, [*starts[1:], len(order)]):
+            at = order[lo:hi]
+            label = alike([np.frombuffer(raw[i], "<u8") for i in at], side[at] if left[at[0]] != right[at[0]] else None, similarity)
+            inner = label != np.arange(len(label))
+            a.append(node[at[inner]])
+            b.append(node[at[label[inner]]])
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    task = F.pmod(F.xxhash64("component", "left", "right"), F.lit(tasks)).cast("int").alias("task")
+    alive = among(sets, parts).dropDuplicates(["node"])
+    return pieces.join(alive, "node").select(task, "component", "left", "right", "side", "node", "shingles").groupBy("task").applyInPandas(inside, "a long, b long")
+
+
+def among(sets: DataFrame, parts: DataFrame) -> DataFrame:
+    """The rows of sets (node, shingles) less most of those whose node is not in parts, before anything is moved: by a bit map
+    of fixed size of the nodes' leading bits, which passes every node of parts."""
+    place = F.shiftrightunsigned("node", 64 - MAP_BITS)
+    words = parts.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(node, {64 - MAP_BITS}) & 63 as int))").alias("bit")).groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).toPandas()
+    bits = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    shared = sets.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - MAP_BITS)
+            found = (shared.value.view(np.uint64)[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
+            yield batch.filter(pa.array(found.astype(bool)))
+
+    return sets.mapInArrow(run, "node long, shingles binary")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = NEAR_SHINGLE, radius: int = NEAR_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, row_key of the rows to drop: of each group of near duplicates all but the first by (doc_id, row_key).
 
     Candidates are pairs of fingerprints within `radius` bits that agree in all bits of one of the sampled masks and pass the
-    pivots; each text is paired with the least (by hash) of its candidates in each mask's group, and the pairs whose shingle sets
-    have the similarity are links. Groups are the connected components. Texts with equal sets are one node; texts without
-    words are copies of each other. Rows equal in all columns are one document: they stay or go together. Null ids come last.
+    pivots; every one is verified on its whole shingle sets, inside the candidates' connected components. Groups are the
+    connected components of the verified links. Texts with equal sets are one node; texts without words are copies of each
+    other. Rows equal in all columns are one document: they stay or go together. Null ids come last.
     """
     last = F.lit((1 << 63) - 1)
     rows = checkpointed(signatures(docs, shingle)).withColumn("node", F.xxhash64("n", "shingles"))
     rank = F.struct(F.coalesce("doc_id", last).alias("d"), F.col("row_key").alias("k"))
-    nodes = checkpointed(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min(rank).alias("least"), F.first("shingles").alias("shingles")))
+    nodes = checkpointed(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min(rank).alias("least")))
     n = nodes.count()
     masks, pivot = sampled_masks(n, radius), pivots()
 
@@ -282,24 +354,19 @@ def near_duplicates(docs: DataFrame, shingle: int = NEAR_SHINGLE, radius: int =
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         fp, piece, side, order = in_order(pdf)
         node = pdf["node"].to_numpy()[order]
-        best = node.copy()
+        ids, at = np.unique(node, return_inverse=True)
+        forest = Forest(len(ids))
         for a, b in linked_pairs(fp, piece, side, radius, pivot):
-            np.minimum.at(best, b, node[a])
-            np.minimum.at(best, a, node[b])
-        found = best < node
-        return pd.DataFrame({"a": node[found], "b": best[found]}).drop_duplicates()
+            forest.join(at[a], at[b])
+        inner, root = star(forest)
+        return pd.DataFrame({"a": ids[inner], "b": ids[root]})
 
     placed = dealt(nodes.select("node", "fp").mapInArrow(spread, "key long, fp long, node long"), ["key"], F.col("node"))
     tasks = max(1, -(-n * len(masks) // TASK_ROWS))
     task = F.pmod(F.xxhash64("key", "left", "right"), F.lit(tasks)).cast("int").alias("task")
-    pairs = placed.select(task, "key", "fp", "node", "left", "right", "side").groupBy("task").applyInPandas(inside, "a long, b long").distinct()
-
-    def similar(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(a, b) for a, b in zip(x, y)], dtype="float64")
+    candidates = components(placed.select(task, "key", "fp", "node", "left", "right", "side").groupBy("task").applyInPandas(inside, "a long, b long"))
 
-    sets = nodes.select("node", "shingles")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    linked = both.where(F.pandas_udf(similar, "double")("x", "y") >= similarity).select("a", "b")
+    linked = verified(rows.select("node", "shingles"), candidates, similarity)
     parts = components(linked)
     named = nodes.select("node", "least").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = named.groupBy("component").agg(F.min("least").alias("first"))

@@ -77,3 +77,20 @@ def test_near_duplicates_close_to_the_threshold(spark):
         words = [f"w{x}" for x in rng.integers(0, 10**9, 1000)]
         texts += [" ".join(words), edited(words, 23 + i % 2, f"x{i}_")]
     assert kept(spark, texts) == brute_kept(texts) == list(range(80))
+
+
+def test_near_duplicates_in_a_family(spark, monkeypatch):
+    """Near copies among many texts of one template, most pairs of which are alike but less than the similarity."""
+    rng = np.random.default_rng(5)
+    template = [f"t{x}" for x in range(400)]
+    texts = []
+    for i in range(120):
+        texts.append(edited(template, 9, f"a{i}_"))
+        if i % 3 == 0:
+            words = texts[-1].split()
+            words[int(rng.integers(350, 390))] = f"b{i}"
+            texts.append(" ".join(words))
+    want = brute_kept(texts)
+    assert len(want) == 120 and kept(spark, texts) == want
+    monkeypatch.setattr(simhash, "SET_BLOCK", 32)
+    assert kept(spark, texts) == want
