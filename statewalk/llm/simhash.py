@@ -10,12 +10,13 @@ choose(b, b - r) tables of b - r blocks. That finds all pairs; what meets in a t
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -214,38 +215,147 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> Da
 
 
 
-#: For near-duplicates by similarity: bits within which a pair is a candidate, the recall of the tables at that distance,
-#: and the similarity.
-NEAR_SHINGLE, NEAR_RADIUS, NEAR_RECALL, SIMILARITY = 5, 14, 0.95, 0.8
+#: For near-duplicates by similarity: words of a shingle, and the similarity.
+NEAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Sets of a block and of a task, about, and the leading bits of a node that a bit map tells apart.
 SET_BLOCK, TASK_SETS, MAP_BITS = 512, 2_000, 24
-
-
-def sampled_masks(n: int, radius: int) -> np.ndarray:
-    """Masks of randomly chosen bits: so many bits that a key tells n fingerprints apart into groups of about 128, and so many
-    masks that a pair at the radius agrees in one of them with chance NEAR_RECALL."""
-    bits = max(8, min(40, round(np.log2(max(n, 2))) - 7))
-    agree = (1 - radius / 64) ** bits
-    rng = np.random.default_rng(SEED)
-    rows = [rng.choice(64, bits, replace=False) for _ in range(int(np.ceil(np.log(1 - NEAR_RECALL) / np.log1p(-agree))))]
-    return np.array([sum(1 << int(b) for b in r) for r in rows], np.uint64)
+#: Shingles of prefixes that a task works on, about; texts that are sampled for the order of shingles, and the most common
+#: shingles of the sample that are put last.
+TASK_SHINGLES, ORDER_TEXTS, LAST_SHINGLES = 1 << 20, 50_000, 1 << 19
 
 
 def signatures(docs: DataFrame, shingle: int = NEAR_SHINGLE) -> DataFrame:
-    """doc_id, row_key, fp, n (distinct shingles), shingles (binary): the sorted 64-bit hashes of all distinct shingles."""
+    """doc_id, row_key, n (distinct shingles), shingles (binary): the sorted 64-bit hashes of all distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in text_chunks(batch.column(1)):
                 h, bounds = shingle_hashes(chunk.data, chunk.offsets, shingle)
-                fp = majority(h, bounds).astype(np.uint64).view(np.int64)
                 sets = [np.unique(h[a:b]) for a, b in zip(bounds, bounds[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(chunk.lo, len(chunk)), batch.column(2).slice(chunk.lo, len(chunk)), pa.array(fp), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())],
-                    ["doc_id", "row_key", "fp", "n", "shingles"],
+                    [batch.column(0).slice(chunk.lo, len(chunk)), batch.column(2).slice(chunk.lo, len(chunk)), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())],
+                    ["doc_id", "row_key", "n", "shingles"],
                 )
 
-    return texts_of(keyed(docs), "row_key").mapInArrow(run, "doc_id long, row_key long, fp long, n long, shingles binary")
+    return texts_of(keyed(docs), "row_key").mapInArrow(run, "doc_id long, row_key long, n long, shingles binary")
+
+
+def common_shingles(sets: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are in several texts of a sample, ascending, and their ranks from 1, the most common last.
+
+    The sample only decides in which order shingles are taken for prefixes. Any order finds all pairs; one that puts common
+    shingles last finds few others.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in text_chunks(batch.column(0), 8 << 20):
+                h, count = np.unique(chunk.data.view("<i8"), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(count, pa.int64())], ["h", "c"])
+
+    sample = sets.where(F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(-(-n // ORDER_TEXTS))) == 0).select("shingles")
+    counts = checkpointed(sample.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1"))
+    held, least = 0, 2
+    for c, k in sorted(((r["c"], r["k"]) for r in counts.groupBy(F.least("c", F.lit(1000)).alias("c")).agg(F.count("*").alias("k")).collect()), reverse=True):
+        held += k
+        if held > LAST_SHINGLES:
+            least = c + 1
+            break
+    common = counts.where(F.col("c") >= least).toPandas()
+    h, c = common["h"].to_numpy(np.int64).view(np.uint64), common["c"].to_numpy(np.int64)
+    order = np.argsort(h)
+    h, c = h[order], c[order]
+    rank = np.empty(len(h), np.int64)
+    rank[np.lexsort((h, c))] = np.arange(1, len(h) + 1)
+    return h, rank
+
+
+def least_overlap(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Shingles of a set of n that any set of the similarity has too, at least."""
+    return np.ceil(similarity * n - 1e-9).astype(np.int64)
+
+
+def further(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Shared shingles that are asked for in a long prefix: one, and as many as a short prefix has besides its first."""
+    return 1 + np.floor((1 - similarity) * n + 1e-9).astype(np.int64)
+
+
+def spread_prefixes(sets: DataFrame, length: Callable, order: Broadcast, tasks: int) -> DataFrame:
+    """task, key, node (binary): the first length(n) shingles of each set of n, packed by the task that has a shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, ranks = order.value
+        for batch in batches:
+            for chunk in text_chunks(batch.column(1), 8 << 20):
+                h, bounds = chunk.data.view("<u8"), chunk.offsets // 8
+                n = np.diff(bounds)
+                owner = np.repeat(np.arange(len(n)), n)
+                rank = np.zeros(len(h), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                    rank = np.where(common[at] == h, ranks[at], 0)
+                taken = np.lexsort((rank, owner))[np.arange(len(h)) - np.repeat(bounds[:-1], n) < np.repeat(length(n), n)]
+                key, node = h[taken], batch.column(0).to_numpy()[chunk.lo : chunk.hi][owner[taken]]
+                task = (mix(key) % np.uint64(tasks)).astype(np.int64)
+                by = np.lexsort((key, task))
+                key, node = key[by], node[by]
+                edges = np.searchsorted(task[by], np.arange(tasks + 1))
+                some = np.flatnonzero(np.diff(edges))
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *[pa.array([c[edges[t] : edges[t + 1]].tobytes() for t in some], pa.binary()) for c in (key, node)]], ["task", "key", "node"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "task long, key binary, node binary")
+
+
+def shared_keys(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """A task's shingles and nodes, each pair once, of the shingles that several nodes have, in the order of shingles."""
+    key, node = np.frombuffer(b"".join(pdf["key"]), "<u8"), np.frombuffer(b"".join(pdf["node"]), "<i8")
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    once = first_rows(key) | first_rows(node)
+    key, node = key[once], node[once]
+    again = ~first_rows(key)
+    some = again | np.concatenate((again[1:], [False]))
+    return key[some], node[some]
+
+
+def prefix_links(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: edges that join any two nodes whose sets can have the similarity, directly or through others.
+
+    Two sets of similarity t share t of the greater one's shingles. In an order of all shingles they then share k of the first
+    n - t n + k of each set's n, for any k. First, with k about (1 - t) n, sets go that have too few shingles in common with any
+    others: whatever shares a line or a passage only. The rest is joined, by a chain, where it shares one with k = 1.
+    rows: node, n; sets: node, shingles; a node may be there several times.
+    """
+    size = rows.agg(F.count("*").alias("n"), F.sum("n").alias("shingles")).first()
+    tasks = max(1, int(2 * (size["shingles"] or 0) * (1 - similarity) + size["n"]) // TASK_SHINGLES)
+    order = rows.sparkSession.sparkContext.broadcast(common_shingles(sets, max(1, size["n"])))
+
+    def long(n: np.ndarray) -> np.ndarray:
+        return np.where(n > 0, n - least_overlap(n, similarity) + further(n, similarity), 0)
+
+    def short(n: np.ndarray) -> np.ndarray:
+        return np.where(n > 0, n - least_overlap(n, similarity) + 1, 0)
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, c = np.unique(shared_keys(pdf)[1], return_counts=True)
+        return pd.DataFrame({"node": ids, "c": c})
+
+    def enough(n: pd.Series, c: pd.Series) -> pd.Series:
+        # the other set may be as small as t n, and its prefix is the shorter
+        return pd.Series(c.to_numpy() >= further(least_overlap(n.to_numpy(), similarity), similarity))
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, node = shared_keys(pdf)
+        ids, at = np.unique(node, return_inverse=True)
+        forest, new = Forest(len(ids)), first_rows(key)
+        lead = at[np.flatnonzero(new)][np.cumsum(new) - 1]
+        forest.join(at[~new], lead[~new])
+        inner, root = star(forest)
+        return pd.DataFrame({"a": ids[inner], "b": ids[root]})
+
+    counts = spread_prefixes(sets, long, order, tasks).groupBy("task").applyInPandas(count, "node long, c long").groupBy("node").agg(F.sum("c").alias("c"))
+    alive = checkpointed(counts.join(rows.select("node", "n").distinct(), "node").where(F.pandas_udf(enough, "boolean")("n", "c")).select("node"))
+    return spread_prefixes(among(sets, alive), short, order, tasks).groupBy("task").applyInPandas(link, "a long, b long")
 
 
 def alike(sets: list[np.ndarray], side: np.ndarray | None, similarity: float) -> np.ndarray:
@@ -327,51 +437,27 @@ def among(sets: DataFrame, parts: DataFrame) -> DataFrame:
     return sets.mapInArrow(run, "node long, shingles binary")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = NEAR_SHINGLE, radius: int = NEAR_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, row_key of the rows to drop: of each group of near duplicates all but the first by (doc_id, row_key).
 
-    Candidates are pairs of fingerprints within `radius` bits that agree in all bits of one of the sampled masks and pass the
-    pivots; every one is verified on its whole shingle sets, inside the candidates' connected components. Groups are the
-    connected components of the verified links. Texts with equal sets are one node; texts without words are copies of each
-    other. Rows equal in all columns are one document: they stay or go together. Null ids come last.
+    Texts whose prefixes share a shingle are candidates, which leaves out no pair of the similarity; every pair of candidates is
+    verified on its whole shingle sets, inside the candidates' connected components. Groups are the connected components of the
+    verified links. Texts with equal sets are one node; texts without words are copies of each other. Rows equal in all columns
+    are one document: they stay or go together. Null ids come last.
     """
     last = F.lit((1 << 63) - 1)
-    rows = checkpointed(signatures(docs, shingle)).withColumn("node", F.xxhash64("n", "shingles"))
+    sets = signatures(docs, shingle).withColumn("node", F.xxhash64("n", "shingles"))
+    rows = checkpointed(sets.select("doc_id", "row_key", "node", "n"))
+    sets = sets.select("node", "shingles")  # made again where they are needed: together they are larger than the texts
     rank = F.struct(F.coalesce("doc_id", last).alias("d"), F.col("row_key").alias("k"))
-    nodes = checkpointed(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min(rank).alias("least")))
-    n = nodes.count()
-    masks, pivot = sampled_masks(n, radius), pivots()
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = (np.arange(1, len(masks) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
-                fp = part.column(1).to_numpy().view(np.uint64)
-                key = mix((fp[None, :] & masks[:, None]) + salt).view(np.int64).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.tile(fp.view(np.int64), len(masks))), pa.array(np.tile(part.column(0).to_numpy(), len(masks)))], ["key", "fp", "node"])
-
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp, piece, side, order = in_order(pdf)
-        node = pdf["node"].to_numpy()[order]
-        ids, at = np.unique(node, return_inverse=True)
-        forest = Forest(len(ids))
-        for a, b in linked_pairs(fp, piece, side, radius, pivot):
-            forest.join(at[a], at[b])
-        inner, root = star(forest)
-        return pd.DataFrame({"a": ids[inner], "b": ids[root]})
-
-    placed = dealt(nodes.select("node", "fp").mapInArrow(spread, "key long, fp long, node long"), ["key"], F.col("node"))
-    tasks = max(1, -(-n * len(masks) // TASK_ROWS))
-    task = F.pmod(F.xxhash64("key", "left", "right"), F.lit(tasks)).cast("int").alias("task")
-    candidates = components(placed.select(task, "key", "fp", "node", "left", "right", "side").groupBy("task").applyInPandas(inside, "a long, b long"))
-
-    linked = verified(rows.select("node", "shingles"), candidates, similarity)
+    nodes = rows.groupBy("node").agg(F.min(rank).alias("least"))
+    candidates = components(prefix_links(rows, sets, similarity))
+    linked = verified(sets, candidates, similarity)
     parts = components(linked)
     named = nodes.select("node", "least").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = named.groupBy("component").agg(F.min("least").alias("first"))
     of_node = named.join(first, "component").select("node", "first")
-    return rows.join(of_node, "node").where(rank != F.col("first")).select("doc_id", "row_key")
+    return rows.select("doc_id", "row_key", "node").join(of_node, "node").where(rank != F.col("first")).select("doc_id", "row_key")
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:

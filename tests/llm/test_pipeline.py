@@ -94,3 +94,17 @@ def test_near_duplicates_in_a_family(spark, monkeypatch):
     assert len(want) == 120 and kept(spark, texts) == want
     monkeypatch.setattr(simhash, "SET_BLOCK", 32)
     assert kept(spark, texts) == want
+
+
+def test_near_duplicates_misses_no_pair(spark):
+    """All pairs at a similarity of 0.8 and little more are found, a repeated line on one side being of no weight."""
+    rng = np.random.default_rng(6)
+    texts = []
+    for i in range(60):
+        n = (120, 300, 1000)[i % 3]
+        words = [f"w{x}" for x in rng.integers(0, 10**9, n)]
+        texts += [" ".join(words), edited(words, (2, 6, 22)[i % 3], f"x{i}_")]
+        if i % 4 == 0:
+            texts[-1] += "\n" + "\n".join(["one line of ten words which is there many times"] * 60)
+    want = brute_kept(texts)
+    assert len(want) < len(texts) and kept(spark, texts) == want
