@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from statewalk.llm.common import BASE, TextChunk, first_rows, span_hashes, text_chunks, texts_of
+from statewalk.llm.common import BASE, WORDS, TextChunk, first_rows, mix, released, text_chunks, texts_of, words_of
 
 LETTER, NUMBER, SPACE, OTHER = range(4)
 #: The code points with the Unicode property White_Space.
@@ -171,16 +172,23 @@ class Table:
 
 
 class Vocabulary:
-    """Tokens and their ranks, with a cache of merged slices that is emptied when `limit` slices are in it."""
+    """Tokens and their ranks, with a cache of merged slices that is emptied when `limit` slices are in it.
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 500_000):
+    added: tokens that stand outside the merges, found in the raw text before it is cut into pre-tokens.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], limit: int = 250_000, added: dict[bytes, int] | None = None):
         self.ranks, self.limit = ranks, limit
-        size = max(ranks.values(), default=0) + 1
-        self.tokens = {i: t for t, i in ranks.items()}
+        self.added = added or {}
+        self.added_pattern = re.compile(b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
+        tokens = ranks | self.added
+        size = max(tokens.values(), default=0) + 1
+        self.tokens = {i: t for t, i in tokens.items()}
         self.lengths = np.zeros(size, np.int64)
+        for t, i in tokens.items():
+            self.lengths[i] = len(t)
         pairs: dict[int, int] = {}
         for t, i in ranks.items():
-            self.lengths[i] = len(t)
             for k in range(1, len(t)):
                 if (x := ranks.get(t[:k])) is not None and (y := ranks.get(t[k:])) is not None:
                     pairs[(x << 32 | y) + 1] = i
@@ -191,47 +199,58 @@ class Vocabulary:
 
     def _empty(self) -> None:
         self.table = Table(max(4, (2 * self.limit).bit_length()))
-        self.check, self.begin, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # rows of the cache: the slice's bytes as words, its size, and where its ids are; only used rows take memory
+        self.text, self.size = np.empty((self.limit, WORDS), np.uint64), np.empty(self.limit, np.int64)
+        self.begin, self.count = np.empty(self.limit, np.int64), np.empty(self.limit, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
     def encode_slices(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All slices' ids in one array, and each slice's number of ids.
 
-        A slice is found in the cache by a 64-bit hash of its bytes and confirmed by its length and first eight bytes.
+        Slices of at most 8 * WORDS bytes are looked up in the cache by a hash and taken only if all their bytes agree; longer
+        ones, and those that meet another slice of equal hash, are merged without it.
         """
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        key, size = span_hashes(data, starts, ends), ends - starts
+        size = ends - starts
+        begin, count = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+        small = np.flatnonzero(size <= 8 * WORDS)
+        text, own = words_of(data, starts[small], size[small]), size[small]
+        key = own.astype(np.uint64)
+        for w in range(WORDS):
+            key = mix(text[:, w] + key * np.uint64(BASE))
         key[key == 0] = 1
-        padded = np.concatenate([data, np.zeros(8, np.uint8)])
-        head = np.ndarray((len(data),), "<u8", padded, 0, (1,))[starts]
-        head &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (8 - np.minimum(size, 8)).astype(np.uint64))
-        check = head + size.astype(np.uint64) * np.uint64(BASE)
         at = self.table.get(key)
         new = np.flatnonzero(at < 0)
         if len(new):
-            _, first = np.unique(key[new], return_index=True)
-            new = new[first]
+            new = new[np.unique(key[new], return_index=True)[1]]
             if self.table.count and self.table.count + len(new) > self.limit:
                 self._empty()
-                _, new = np.unique(key, return_index=True)
-            self._learn(data, starts[new], ends[new], key[new], check[new])
+                new = np.unique(key, return_index=True)[1]
+            new = new[: self.limit - self.table.count]
+            self._learn(data, starts[small[new]], own[new], key[new], text[new])
             at = self.table.get(key)
-        begin, count = self.begin[at], self.count[at]
-        flat, odd = self.flat, np.flatnonzero(self.check[at] != check)
-        if len(odd):  # another slice has the same hash: merged without the cache
+        known = np.flatnonzero(at >= 0)
+        row = at[known]
+        same = (self.size[row] == own[known]) & (self.text[row] == text[known]).all(1)
+        known, row = known[same], row[same]
+        begin[small[known]], count[small[known]] = self.begin[row], self.count[row]
+        flat, odd = self.flat, np.ones(len(size), bool)
+        odd[small[known]] = False
+        odd = np.flatnonzero(odd)
+        if len(odd):
             more, n = self.merge(data, starts[odd], ends[odd])
             begin[odd], count[odd] = len(flat) + np.cumsum(n) - n, n
             flat = np.concatenate([flat, more])
         out = np.cumsum(count)
         return flat[np.repeat(begin - out + count, count) + np.arange(out[-1])], count
 
-    def _learn(self, data, starts, ends, key, check) -> None:
-        ids, n = self.merge(data, starts, ends)
-        self.table.put(key, np.arange(len(self.check), len(self.check) + len(key)))
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(n) - n])
-        self.count = np.concatenate([self.count, n])
-        self.check = np.concatenate([self.check, check])
+    def _learn(self, data, starts, size, key, text) -> None:
+        ids, n = self.merge(data, starts, starts + size)
+        row = np.arange(self.table.count, self.table.count + len(key))
+        self.table.put(key, row)
+        self.text[row], self.size[row] = text, size
+        self.begin[row], self.count[row] = len(self.flat) + np.cumsum(n) - n, n
         self.flat = np.concatenate([self.flat, ids])
 
     def merge(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -324,24 +343,64 @@ def _byte_characters() -> dict[str, int]:
 
 
 @lru_cache(4)
-def vocabulary(path: str) -> Vocabulary:
-    """From a rank file (token in base64, rank) or a tokenizers JSON file (whose merges follow its ids)."""
+def vocabulary(path: str, special_as_text: bool = False) -> Vocabulary:
+    """From a rank file (token in base64, rank) or a tokenizers JSON file (whose merges follow its ids).
+
+    Added tokens of a JSON file are found in a text wherever they stand, as that library does by default; with
+    special_as_text they are ordinary text. Ones that look at what surrounds them are refused.
+    """
+    added: dict[bytes, int] = {}
     if path.endswith(".json"):
         with open(path, encoding="utf-8") as f:
             content = json.load(f)
         byte = _byte_characters()
-        special = {t["content"] for t in content.get("added_tokens", [])}
+        named = content.get("added_tokens", [])
+        if any(t.get(k) for t in named for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that depend on their surroundings are not supported")
+        special = {t["content"] for t in named}
+        if not special_as_text:
+            added = {t["content"].encode("utf-8"): t["id"] for t in named}
         ranks = {bytes(byte[c] for c in t): i for t, i in content["model"]["vocab"].items() if t not in special}
     else:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return Vocabulary(ranks)
+    return Vocabulary(ranks, added=added)
+
+
+def added_spans(chunk: TextChunk, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and ids of the added tokens in a chunk's texts: leftmost first, of those the longest, none across texts."""
+    found: list[tuple[int, int, int]] = []
+    if vocab.added_pattern is not None and len(chunk.data):
+        raw = chunk.data.tobytes()
+        if vocab.added_pattern.search(raw):
+            for a, b in zip(chunk.offsets.tolist(), chunk.offsets[1:].tolist()):
+                found += [(m.start(), m.end(), vocab.added[m.group()]) for m in vocab.added_pattern.finditer(raw, a, b)]
+    out = np.array(found, np.int64).reshape(-1, 3)
+    return out[:, 0], out[:, 1], out[:, 2]
 
 
 def encode_chunk(chunk: TextChunk, vocab: Vocabulary) -> list[bytes]:
     """The ids of each text of a chunk, as little-endian unsigned 32-bit integers."""
-    starts = token_starts(chunk.data, chunk.offsets)
-    ids, count = vocab.encode_slices(chunk.data, starts, np.append(starts[1:], len(chunk.data)) if len(starts) else starts)
+    lo, hi, special = added_spans(chunk, vocab)
+    offsets = np.unique(np.concatenate([chunk.offsets, lo, hi])) if len(lo) else chunk.offsets
+    starts = token_starts(chunk.data, offsets)  # what is between two added tokens is cut as a text of its own
+    ends = np.append(starts[1:], len(chunk.data)) if len(starts) else starts
+    if len(lo):
+        inside = np.searchsorted(lo, starts, "right") - 1
+        inside = np.where((inside >= 0) & (starts < hi[inside]), inside, -1)
+        lead = np.searchsorted(starts, lo)
+        keep = inside < 0
+        plain, n = vocab.encode_slices(chunk.data, starts[keep], ends[keep])
+        count = np.zeros(len(starts), np.int64)
+        count[keep] = n
+        count[lead] = 1
+        ids = np.empty(int(count.sum()), np.uint32)
+        place = (np.cumsum(count) - count)[lead]
+        rest = np.ones(len(ids), bool)
+        rest[place] = False
+        ids[place], ids[rest] = special, plain
+    else:
+        ids, count = vocab.encode_slices(chunk.data, starts, ends)
     at = 4 * np.concatenate(([0], np.cumsum(count)))[np.searchsorted(starts, chunk.offsets)]
     raw, at = ids.astype("<u4", copy=False).tobytes(), at.tolist()
     return [raw[i:j] for i, j in zip(at, at[1:])]
@@ -371,7 +430,7 @@ def encode(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                 ends = [token_ends(x, vocab).astype("<u4").tobytes() for x in ids]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.lo, len(chunk)), pa.array(ids, pa.binary()), pa.array(ends, pa.binary())], ["doc_id", "ids", "ends"])
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, ids binary, ends binary")
+    return texts_of(docs).mapInArrow(released(run), "doc_id long, ids binary, ends binary")
 
 
 def round_trip(docs: DataFrame, vocabulary_path: str) -> DataFrame:
@@ -404,4 +463,4 @@ def round_trip(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"],
                 )
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+    return texts_of(docs).mapInArrow(released(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")

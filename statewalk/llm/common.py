@@ -2,40 +2,77 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; a longer text forms a step of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+#: Bytes of rows that travel to Python at once, about; a longer row travels alone.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound what travels to Python at once by bytes, so that long rows don't make batches of any size."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, f"{1 << 26}").rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def texts_of(docs: DataFrame, *extra: str) -> DataFrame:
     """doc_id, text and the extra columns under their own names; other columns never reach an operator."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; set one only where neither is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
+    """df, written to the checkpoint folder: the one already set, else the one that spark.checkpoint.dir names.
+
+    A folder of one machine would lose rows on a cluster, so none is made up where neither is set.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
+@lru_cache(1)
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def released(run: Callable) -> Callable:
+    """A function of a task's batches that gives the memory it no longer uses back to the system at the end.
+
+    Python workers live on after a task, and would keep what a large batch once took while others need it.
+    """
+
+    @wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if _trim():
+                _trim()(0)
+
+    return whole
+
+
 class TextChunk:
     """Texts [lo, hi) of a batch: their bytes, and len(self) + 1 offsets into them. Null texts are empty."""
 
@@ -75,24 +112,11 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return data + (upper.view(np.uint8) << 5)
 
 
-#: Odd multiplier of the polynomial hashes, and its inverse modulo 2**64.
+#: Odd multiplier of the hashes.
 BASE = 0x9E3779B97F4A7C15
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**i modulo 2**64 for i < n, kept between calls."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(10, (n - 1).bit_length())
-        out = np.ones(size, np.uint64)
-        done, step = 1, base
-        while done < size:  # doubling: out[done:2 done] = out[:done] * base**done
-            out[done : 2 * done] = out[:done] * np.uint64(step)
-            done, step = 2 * done, step * step % (1 << 64)
-        _powers[base] = have = out
-    return have[:n]
+#: Words of eight bytes in a span that is hashed by whole arrays; a longer span is hashed on its own.
+WORDS = 4
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -102,11 +126,36 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def words_of(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of spans of at most 8 * WORDS bytes as WORDS numbers each, padded with zeros."""
+    view = np.ndarray((len(data),), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+    out = np.zeros((len(starts), WORDS), np.uint64)
+    for w in range(WORDS):
+        some = np.flatnonzero(size > 8 * w)
+        if not len(some):
+            break
+        out[some, w] = view[starts[some] + 8 * w] & _MASKS[np.minimum(size[some] - 8 * w, 8)]
+    return out
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, from one running sum: equal bytes give equal hashes wherever they stand."""
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * powers(BASE_INVERSE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each span of bytes: equal bytes give equal hashes wherever they stand."""
+    size = ends - starts
+    h = mix(size.astype(np.uint64) + np.uint64(BASE))
+    if not len(data):
+        return h
+    view = np.ndarray((len(data),), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+    long = size > 8 * WORDS
+    for w in range(WORDS):  # eight bytes a round, for the spans that go on
+        some = np.flatnonzero((size > 8 * w) & ~long)
+        if not len(some):
+            break
+        h[some] = mix(h[some] * np.uint64(BASE) + (view[starts[some] + 8 * w] & _MASKS[np.minimum(size[some] - 8 * w, 8)]))
+    some = np.flatnonzero(long)
+    if len(some):
+        raw, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_64_intdigest
+        h[some] = np.fromiter((digest(raw[a:b]) for a, b in zip(starts[some].tolist(), ends[some].tolist())), np.uint64, len(some))
+    return h
 
 
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,15 +1,18 @@
 """Harmonic packing of token sequences.
 
-A bin of C tokens is shared by k pieces of C/k tokens, for the reciprocal classes k = 1, 2, 4, ..., C. A document is cut
-into as many pieces of C as it holds and then into one piece for each binary digit of what is left, largest first, so every
-piece has exactly its class's length and every bin of class k is full with k pieces, whatever else is packed. Workers
-therefore fill bins on their own, with no exchange. What is left of a class at the end of a worker's input is fewer than k
-pieces; they are dealt to sequences of 2**j pieces, whose length is again a power of two, so no sequence needs padding.
+A sequence of C tokens is a bin. A document first fills as many whole bins as it can; what is left of it, of n tokens, belongs
+to the reciprocal class k with C / (k + 1) < n <= C / k, whose bins take k documents each, whatever their lengths within the
+class. Classes don't depend on each other and no bin on another worker's, so workers fill bins on their own, with no exchange.
+
+A bin that has its k documents is less than full by a part of each document's length. That gap is filled by the first tokens
+of the documents that come next, so that no token of padding is left. Bins that are still open at the end of a worker's input
+are poured into full sequences, and what remains of that into sequences of a power of two.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,51 +20,88 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from statewalk.llm.bpe import encode_chunk, vocabulary
-from statewalk.llm.common import text_chunks, texts_of
+from statewalk.llm.common import released, text_chunks, texts_of
 
 CAPACITY = 2048
 #: The id that ends each document.
 END_ID = 1
 COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
+#: Tokens of a document that stay together: its id, the tokens before them, the tokens (4 bytes each), the document's number.
+Piece = tuple[int | None, int, bytes, int]
+
 
-def cut(n: int, capacity: int = CAPACITY) -> list[int]:
-    """Lengths of the pieces of a document of n tokens."""
-    rest = n % capacity
-    return [capacity] * (n // capacity) + [1 << j for j in reversed(range(capacity.bit_length())) if rest >> j & 1]
+def reciprocal_class(n: int, capacity: int = CAPACITY) -> int:
+    """The k with capacity / (k + 1) < n <= capacity / k."""
+    return capacity // n
 
 
 class Bins:
-    """The open bins of one worker; holds fewer than 2 * capacity pieces at any time."""
+    """The open bins of one worker: fewer than k documents for each class k, and the full bins whose gap isn't filled yet."""
 
     def __init__(self, worker: int, capacity: int = CAPACITY):
-        if capacity & (capacity - 1) or worker < 0:
+        if capacity < 1 or capacity & (capacity - 1) or worker < 0:
             raise ValueError("the capacity has to be a power of two")
         self.capacity, self.next = capacity, worker << 40
-        self.open: dict[int, list[tuple]] = {}
+        self.open: dict[int, list[Piece]] = {}
+        self.gaps: deque[tuple[list[Piece], int]] = deque()  # pieces, and tokens that are missing
         self.done: list[tuple] = []
 
-    def add(self, piece: tuple) -> None:
-        length = piece[2]
-        pieces = self.open.setdefault(length, [])
-        pieces.append(piece)
-        if len(pieces) * length == self.capacity:
-            self._close(pieces, length)
-            pieces.clear()
-
-    def _close(self, pieces: list[tuple], length: int) -> None:
-        self.done.extend((*p, self.next, i * length) for i, p in enumerate(pieces))
+    def add(self, doc: int | None, tokens: bytes) -> None:
+        n, at = len(tokens) // 4, 0
+
+        def take(size: int) -> Piece:
+            nonlocal at
+            at += size
+            return (doc, at - size, tokens[4 * (at - size) : 4 * at], n)
+
+        while self.gaps and at < n:
+            pieces, gap = self.gaps.popleft()
+            size = min(gap, n - at)
+            pieces.append(take(size))
+            if size < gap:
+                self.gaps.appendleft((pieces, gap - size))
+            else:
+                self._close(pieces)
+        while n - at >= self.capacity:
+            self._close([take(self.capacity)])
+        if at < n:
+            k = reciprocal_class(n - at, self.capacity)
+            pieces = self.open.setdefault(k, [])
+            pieces.append(take(n - at))
+            if len(pieces) == k:
+                del self.open[k]
+                gap = self.capacity - sum(len(p[2]) for p in pieces) // 4
+                if gap:
+                    self.gaps.append((pieces, gap))
+                else:
+                    self._close(pieces)
+
+    def _close(self, pieces: list[Piece]) -> None:
+        offset = 0
+        for doc, start, tokens, n in pieces:
+            size = len(tokens) // 4
+            self.done.append((doc, start, size, zlib.crc32(tokens), n, self.next, offset))
+            offset += size
         self.next += 1
 
     def finish(self) -> None:
-        """Deal what is left of each class to sequences of a power of two of pieces."""
-        for length, pieces in self.open.items():
-            at = 0
-            for j in reversed(range(len(pieces).bit_length())):
-                if len(pieces) >> j & 1:
-                    self._close(pieces[at : at + (1 << j)], length)
-                    at += 1 << j
+        """Pour what is left into full sequences, then into one for each binary digit of the rest, pieces being cut where one ends."""
+        left = deque(p for pieces in [*(g[0] for g in self.gaps), *self.open.values()] for p in pieces)
+        self.gaps.clear()
         self.open.clear()
+        total = sum(len(p[2]) for p in left) // 4
+        rest = total % self.capacity
+        for room in [self.capacity] * (total // self.capacity) + [1 << j for j in reversed(range(rest.bit_length())) if rest >> j & 1]:
+            pieces: list[Piece] = []
+            while room:
+                doc, start, tokens, n = left.popleft()
+                size = min(room, len(tokens) // 4)
+                pieces.append((doc, start, tokens[: 4 * size], n))
+                if 4 * size < len(tokens):
+                    left.appendleft((doc, start + size, tokens[4 * size :], n))
+                room -= size
+            self._close(pieces)
 
     def take(self) -> pa.RecordBatch:
         columns = list(zip(*self.done)) or [()] * len(COLUMNS)
@@ -69,30 +109,29 @@ class Bins:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], list(COLUMNS))
 
 
-def pack(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, end_id: int = END_ID, special_as_text: bool = False) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Every document has at least the end id, so null and empty texts give one piece of one token. Repeated rows are packed
-    as often as they occur. Sequence ids are unique over all workers (the worker's partition number in the high bits).
+    A special token's name within a text is that token, as the tokenizer's library has it by default, or with special_as_text
+    ordinary text. Every document has at least the end id, so null and empty texts give one piece of one token. Repeated rows
+    are packed as often as they occur, rows without an id like others. Very long texts are cut as they fill sequences. An empty
+    table has no pieces; other columns are dropped. Sequence ids are unique over all workers (the worker's partition number in
+    the high bits); which documents share a sequence depends on how the rows are partitioned, the pieces' tokens do not.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        vocab, last = vocabulary(vocabulary_path), np.array([end_id], "<u4").tobytes()
+        vocab, last = vocabulary(vocabulary_path, special_as_text), np.array([end_id], "<u4").tobytes()
         bins = Bins(TaskContext.get().partitionId(), capacity)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for chunk in text_chunks(batch.column(1)):
                 for doc, tokens in zip(ids[chunk.lo : chunk.hi], encode_chunk(chunk, vocab)):
-                    tokens += last
-                    n, start = len(tokens) // 4, 0
-                    for length in cut(n, capacity):
-                        bins.add((doc, start, length, zlib.crc32(tokens[4 * start : 4 * (start + length)]), n))
-                        start += length
+                    bins.add(doc, tokens + last)
                 if len(bins.done) > 20_000:
                     yield bins.take()
         bins.finish()
         yield bins.take()
 
-    return texts_of(docs).mapInArrow(run, ", ".join(f"{c} long" for c in COLUMNS))
+    return texts_of(docs).mapInArrow(released(run), ", ".join(f"{c} long" for c in COLUMNS))
