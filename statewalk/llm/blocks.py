@@ -3,24 +3,37 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statewalk.llm.common import checkpointed
+
 #: A group of more members than this is worked on in pairs of blocks.
 BLOCK = 2048
+#: Large groups that are broadcast, at most: some 40 bytes each. Beyond that they are joined.
+BROADCAST_GROUPS = 1 << 18
+
+
+def large_groups(rows: DataFrame, group: list[str], block: int = BLOCK) -> DataFrame:
+    """The groups of rows with more than `block` members: group, _n. Only the group's columns are read; written once."""
+    return checkpointed(rows.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > block))
 
 
-def dealt(rows: DataFrame, group: list[str], member: Column, block: int = BLOCK) -> DataFrame:
+def dealt(rows: DataFrame, group: list[str], member: Column, block: int = BLOCK, keys: DataFrame | None = None) -> DataFrame:
     """rows with left, right (int) and side: members of small groups have (0, 0) and side 0.
 
     A larger group is dealt to n blocks by a hash of the member. A member of block i is in the pieces (i, j) and (j, i), i.e.
     (min, max), for every j, and side tells which of the two blocks it is in. In a piece with left = right all pairs are
-    compared, else only pairs of different sides, so each pair of the group meets in exactly one piece.
+    compared, else only pairs of different sides, so each pair of the group meets in exactly one piece. The groups' sizes are
+    counted first, from `keys` (rows with the group's columns alone) where given; as long as there are few large groups, rows
+    aren't moved to learn their group's size.
     """
-    sizes = rows.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > block)
+    sizes = large_groups(rows if keys is None else keys, group, block)
+    many = sizes.count()
+    if not many:
+        return rows.select(*rows.columns, *[F.lit(0).alias(c) for c in ("left", "right", "side")])
     n = F.ceil(F.coalesce(F.col("_n"), F.lit(1)) / F.lit(float(block))).cast("int")
-    placed = rows.join(sizes, group, "left").withColumn("_blocks", n).withColumn("_own", F.pmod(F.xxhash64(F.lit(7), member), F.col("_blocks")).cast("int"))
+    placed = rows.join(F.broadcast(sizes) if many <= BROADCAST_GROUPS else sizes, group, "left").withColumn("_blocks", n).withColumn("_own", F.pmod(F.xxhash64(F.lit(7), member), F.col("_blocks")).cast("int"))
     out = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     return out.select(
         *rows.columns,
@@ -59,7 +72,3 @@ def star(forest: Forest) -> tuple[np.ndarray, np.ndarray]:
     roots = forest.roots(np.arange(len(forest.parent)))
     inner = np.flatnonzero(roots != np.arange(len(roots)))
     return inner, roots[inner]
-
-
-def frame(columns: dict[str, np.ndarray]) -> pd.DataFrame:
-    return pd.DataFrame(columns)
