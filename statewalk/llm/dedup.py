@@ -5,16 +5,16 @@ readers of the buckets share that exchange. Every window of LENGTH bytes has
 an anchor, the ANCHOR-byte string of least hash in it, so windows that are equal have equal anchors. Three exchanges follow,
 none of which moves whole texts:
 
-1. each bucket sends the distinct hashes of its anchors by ranges of hashes, and gets back one bit for each: whether the
-   anchor occurs in several documents;
+1. each bucket sends the distinct hashes of its anchors by ranges of hashes, and gets back a state for each: whether the
+   anchor occurs in several documents, and in very many contexts;
 2. the segments around those anchors (all windows with the same anchor occurrence, at most 2 * LENGTH - ANCHOR bytes) go to
    shards by anchor. A shard strings its distinct segments together, sorts their suffixes by induced sorting, computes
    permuted common prefixes, and takes runs of suffixes with LENGTH bytes in common as equal windows. The smallest doc_id of
    a run decides which occurrences are to be removed;
 3. the removed spans go back to their buckets, which sit where they were.
 
-An anchor that is in very many buckets is sent window by window, each to the shard of its own hash, so that no shard holds
-all contexts of a frequent phrase.
+An anchor with very many contexts is sent window by window, each to the shard of its own hash, so that no shard holds all
+contexts of a frequent phrase.
 """
 
 from __future__ import annotations
@@ -30,14 +30,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statewalk.llm.common import BASE, BASE_INVERSE, first_rows, mix, powers, runs, span_hashes
+from statewalk.llm.common import BASE, bounded_batches, first_rows, mix, released, runs, span_hashes
 from statewalk.llm.suffixes import permuted_common_prefixes, suffix_array
 
 LENGTH, ANCHOR = 50, 16
-#: Bytes of a bucket's texts, bytes of text for each shard and for each range of anchors, bytes of one suffix sort.
-BUCKET_BYTES, SHARD_BYTES, RANGE_BYTES, SORT_BYTES = 3 << 20, 4 << 20, 4 << 20, 1 << 20
-#: An anchor in so many buckets is sent by windows.
-FREQUENT = 1024
+#: Bytes of a bucket's texts, bytes of text for each shard and each range of anchors (less where the cluster has tasks to
+#: spare, but not below the least), and bytes of one suffix sort.
+BUCKET_BYTES, SHARD_BYTES, LEAST_BYTES, SORT_BYTES = 3 << 20, 32 << 20, 1 << 20, 1 << 20
+#: An anchor with so many contexts is sent by windows. Contexts are told apart by the eight bytes on both sides, within a bucket.
+FREQUENT, SATURATED = 1024, 255
 LAST = (1 << 63) - 1  # the id that stands for null: after all others
 #: Windows of a block of anchors, and the bits that hold a place in it.
 BLOCK, INDEX_BITS = 1 << 15, 17
@@ -63,9 +64,11 @@ def unsqueeze(blob: bytes) -> list[np.ndarray]:
 def window_anchors(data: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
     """The place of each window's anchor in a block, and the hash at each place. Hashes depend on the bytes only."""
     n, w = len(data), length - anchor + 1
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, n), out=prefix[1:])
-    h = mix((prefix[anchor:] - prefix[:-anchor]) * powers(BASE_INVERSE, n + 1)[: n - anchor + 1])
+    view = np.ndarray((n,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+    h = np.zeros(n - anchor + 1, np.uint64)
+    for at in range(0, anchor, 8):
+        word = view[at : at + len(h)]
+        h = mix(h * np.uint64(BASE) + (word if anchor - at >= 8 else word & np.uint64((1 << 8 * (anchor - at)) - 1)))
     low = np.uint64((1 << INDEX_BITS) - 1)
     least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
     step = 1
@@ -100,8 +103,8 @@ class Bucket:
         """What was carried with each document."""
         return [x.decode("utf-8") for x in self._notes]
 
-    def anchors(self, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash of each anchor occurrence, and the first window and number of windows that have it, in text order.
+    def anchors(self, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hash and place of each anchor occurrence, and the first window and number of windows that have it, in text order.
 
         Windows of one occurrence are consecutive. Of equal hashes in a window the leftmost is taken, as hashes are compared
         by their leading bits and then by place.
@@ -109,7 +112,7 @@ class Bucket:
         data, n = self.data, len(self.data)
         none = np.zeros(0, np.int64)
         if n < length:
-            return none.astype(np.uint64), none, none
+            return none.astype(np.uint64), none, none, none
         place, value = np.empty(n - length + 1, np.int32 if n < 1 << 31 else np.int64), np.empty(n - anchor + 1, np.uint64)
         for a in range(0, len(place), BLOCK):  # small blocks, whose arrays stay in the processor's cache
             b = min(a + BLOCK, len(place))
@@ -124,7 +127,7 @@ class Bucket:
         window = np.flatnonzero(np.cumsum(valid[: n - length + 1]) > 0)
         place = place[window]
         new = np.flatnonzero(first_rows(place) | np.concatenate(([True], window[1:] != window[:-1] + 1)) if len(window) else place)
-        return value[place[new]], window[new], np.diff(np.append(new, len(window)))
+        return value[place[new]], place[new].astype(np.int64), window[new], np.diff(np.append(new, len(window)))
 
     def document(self, at: np.ndarray) -> np.ndarray:
         """Row of the document at each place."""
@@ -151,60 +154,76 @@ def pack(docs: DataFrame, buckets: int, carry: tuple[str, ...] = ()) -> DataFram
                 names.append(bucket[order[a]])
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "part"])
 
+    bounded_batches(docs.sparkSession)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    rows = docs.select(F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket"), key.alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.to_json(F.struct(*carry)).alias("note") if carry else F.lit("").alias("note"))
-    packed = rows.mapInArrow(run, "bucket int, part binary")
+    # by id and text, so that neither rows without an id, nor those of one id, nor copies of one text meet in a bucket
+    rows = docs.select(F.pmod(F.xxhash64(key, F.col("text").cast("string")), F.lit(buckets)).cast("int").alias("bucket"), key.alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.to_json(F.struct(*carry)).alias("note") if carry else F.lit("").alias("note"))
+    packed = rows.mapInArrow(released(run), "bucket int, part binary")
     parts = max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return packed.repartition(parts, "bucket").groupBy("bucket").agg(F.collect_list("part").alias("parts"))
 
 
 def repeated_anchors(packed: DataFrame, ranges: int, length: int, anchor: int) -> DataFrame:
     """bucket, range, bits: for each distinct anchor hash of a bucket in ascending order, 0 in one document only, 1 in several,
-    2 in FREQUENT buckets or more."""
+    2 with FREQUENT contexts or more. A bucket sends at most one message for each of its anchors, whatever the ranges."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 b = Bucket(parts)
-                h, first, _ = b.anchors(length, anchor)
-                values, several = distinct_anchors(h, b.ids[b.document(first)])
-                cut = range_bounds(values, ranges)
-                some = np.flatnonzero(np.diff(cut))
-                blobs = [six_bytes(values[cut[r] : cut[r + 1]]) + np.packbits(several[cut[r] : cut[r + 1]]).tobytes() for r in some]
-                counts = np.diff(cut)[some]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), name, np.int32)), pa.array(some.astype(np.int32)), pa.array(counts.astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "range", "n", "hashes"])
+                h, place, first, _ = b.anchors(length, anchor)
+                values, several, contexts = distinct_anchors(h, b.ids[b.document(first)], b.data, place, anchor)
+                some, cut = in_ranges(values, ranges)
+                blobs = [six_bytes(values[i:j]) + contexts[i:j].tobytes() + np.packbits(several[i:j]).tobytes() for i, j in zip(cut, cut[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), name, np.int32)), pa.array(some.astype(np.int32)), pa.array(np.diff(cut).astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "range", "n", "hashes"])
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         n = pdf["n"].to_numpy()
         values = np.concatenate([from_six_bytes(x[: 6 * k]) for x, k in zip(pdf["hashes"], n)])
-        several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8)[6 * k :], count=k) for x, k in zip(pdf["hashes"], n)])
+        contexts = np.concatenate([np.frombuffer(x, np.uint8, k, 6 * k) for x, k in zip(pdf["hashes"], n)])
+        several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8)[7 * k :], count=k) for x, k in zip(pdf["hashes"], n)])
         order = np.argsort(values, kind="stable")
         new = np.flatnonzero(first_rows(values[order]))
         size = np.diff(np.append(new, len(order)))
-        many = np.repeat(size, size)
+        many = np.repeat(np.add.reduceat(contexts[order].astype(np.int64), new), size)
         state = np.empty(len(values), np.uint8)
-        state[order] = np.where(many >= FREQUENT, 2, many > 1)
-        state = np.maximum(state, several)
+        state[order] = np.where(np.repeat(size, size) > 1, 1, several[order])
+        frequent = np.zeros(len(values), bool)
+        frequent[order] = many >= FREQUENT
+        state[frequent & (state > 0)] = 2
         return pd.DataFrame({"bucket": pdf["bucket"], "range": pdf["range"], "bits": [x.tobytes() for x in np.split(state, np.cumsum(n)[:-1])]})
 
-    sent = packed.mapInArrow(send, "bucket int, range int, n int, hashes binary")
+    sent = packed.mapInArrow(released(send), "bucket int, range int, n int, hashes binary")
     return sent.groupBy("range").applyInPandas(judge, "bucket int, range int, bits binary")
 
 
-def distinct_anchors(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values of the leading 48 bits of hashes in order, and whether each is in documents of different ids."""
+def distinct_anchors(h: np.ndarray, ids: np.ndarray, data: np.ndarray, place: np.ndarray, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values of the leading 48 bits of hashes in order, whether each is in documents of different ids, and in how
+    many contexts it is (uint8, SATURATED at most)."""
     value = h >> np.uint64(16)
     order = np.lexsort((ids, value))
-    value, ids = value[order], ids[order]
+    value, ids, place = value[order], ids[order], place[order]
     new = np.flatnonzero(first_rows(value))
     if not len(new):
-        return value, np.zeros(0, bool)
-    return value[new], ids[new] != ids[np.append(new[1:], len(ids)) - 1]
-
-
-def range_bounds(values: np.ndarray, ranges: int) -> np.ndarray:
-    edges = np.array([i * (1 << 48) // ranges for i in range(ranges)], np.uint64)
-    return np.append(np.searchsorted(values, edges), len(values))
+        return value, np.zeros(0, bool), np.zeros(0, np.uint8)
+    size = np.diff(np.append(new, len(value)))
+    contexts = np.ones(len(new), np.int64)
+    again = np.flatnonzero(np.repeat(size > 1, size))
+    if len(again):
+        view = np.ndarray((len(data) + 8,), "<u8", np.concatenate([np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)]), 0, (1,))
+        around = mix(view[place[again]] + mix(view[np.minimum(place[again] + 8 + anchor, len(data))]))
+        own = np.repeat(np.arange(len(new)), size)[again]
+        by = np.lexsort((around, own))
+        own, around = own[by], around[by]
+        contexts[size > 1] = np.bincount(own[first_rows(own) | first_rows(around)], minlength=len(new))[size > 1]
+    return value[new], ids[new] != ids[new + size - 1], np.minimum(contexts, SATURATED).astype(np.uint8)
+
+
+def in_ranges(values: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges that hold any of the ascending 48-bit values, and where in values each begins, the end last."""
+    own = ((values >> np.uint64(16)) * np.uint64(ranges)) >> np.uint64(32)
+    new = np.flatnonzero(first_rows(own))
+    return own[new].astype(np.int64), np.append(new, len(own)).tolist()
 
 
 def six_bytes(values: np.ndarray) -> bytes:
@@ -217,13 +236,13 @@ def from_six_bytes(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
-def segments(bucket: Bucket, name: int, states: dict[int, bytes], ranges: int, shards: int, length: int, anchor: int) -> tuple[list[int], list[bytes]]:
+def segments(bucket: Bucket, states: dict[int, bytes], ranges: int, shards: int, length: int, anchor: int) -> tuple[list[int], list[bytes]]:
     """What a bucket sends to each shard: distinct segments, and their occurrences."""
-    h, first, windows = bucket.anchors(length, anchor)
+    h, place, first, windows = bucket.anchors(length, anchor)
     doc = bucket.ids[bucket.document(first)]
-    values, _ = distinct_anchors(h, doc)
-    cut = range_bounds(values, ranges)
-    state = np.concatenate([np.frombuffer(states[r], np.uint8) for r in np.flatnonzero(np.diff(cut))] or [np.zeros(0, np.uint8)])
+    values, _, _ = distinct_anchors(h, doc, bucket.data, place, anchor)
+    some, _ = in_ranges(values, ranges)
+    state = np.concatenate([np.frombuffer(states[r], np.uint8) for r in some.tolist()] or [np.zeros(0, np.uint8)])
     own = state[np.searchsorted(values, h >> np.uint64(16))] if len(h) else state
     plain, frequent = own == 1, own == 2
     start, size, key = first[plain], windows[plain] + length - 1, h[plain]
@@ -236,9 +255,9 @@ def segments(bucket: Bucket, name: int, states: dict[int, bytes], ranges: int, s
         return [], []
     content = span_hashes(bucket.data, start, start + size)
     shard = (mix(key) % np.uint64(shards)).astype(np.int64)
-    order = np.lexsort((start, content, key, shard))
+    order = np.lexsort((start, size, content, key, shard))
     start, size, key, content, shard = start[order], size[order], key[order], content[order], shard[order]
-    new = first_rows(content) | first_rows(key)
+    new = unlike_before(bucket.data, start, size, first_rows(content) | first_rows(key))
     segment = np.cumsum(new) - 1
     ids = bucket.ids[bucket.document(start)]
     names, blobs = [], []
@@ -251,6 +270,18 @@ def segments(bucket: Bucket, name: int, states: dict[int, bytes], ranges: int, s
     return names, blobs
 
 
+def unlike_before(data: np.ndarray, start: np.ndarray, size: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """new, and where else a span's bytes are not those of the span before it."""
+    out = new.copy()
+    out[1:] |= size[1:] != size[:-1]
+    raw = memoryview(np.ascontiguousarray(data))
+    for i in np.flatnonzero(~out).tolist():
+        a, b, n = int(start[i - 1]), int(start[i]), int(size[i])
+        if raw[a : a + n] != raw[b : b + n]:
+            out[i] = True
+    return out
+
+
 def send_segments(packed: DataFrame, bits: DataFrame, ranges: int, shards: int, length: int, anchor: int) -> DataFrame:
     """shard, bucket, blob."""
     gathered = bits.groupBy("bucket").agg(F.collect_list(F.struct("range", "bits")).alias("states"))
@@ -259,10 +290,10 @@ def send_segments(packed: DataFrame, bits: DataFrame, ranges: int, shards: int,
         for batch in batches:
             for name, parts, states in zip(*(batch.column(i) for i in range(3))):
                 found = {s["range"]: s["bits"] for s in states.as_py() or ()}
-                names, blobs = segments(Bucket(parts.as_py()), name.as_py(), found, ranges, shards, length, anchor)
+                names, blobs = segments(Bucket(parts.as_py()), found, ranges, shards, length, anchor)
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([name.as_py()] * len(names), pa.int32()), pa.array(blobs, pa.binary())], ["shard", "bucket", "blob"])
 
-    return packed.join(gathered, "bucket", "left").select("bucket", "parts", "states").mapInArrow(run, "shard int, bucket int, blob binary")
+    return packed.join(gathered, "bucket", "left").select("bucket", "parts", "states").mapInArrow(released(run), "shard int, bucket int, blob binary")
 
 
 def equal_windows(texts: np.ndarray, sizes: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
@@ -276,9 +307,9 @@ def equal_windows(texts: np.ndarray, sizes: np.ndarray, owner: np.ndarray, lengt
     body[ends] = False
     raw[body] = texts
     sa = suffix_array(np.append(raw.astype(np.uint16) + 1, 0).astype(np.uint16), 258, length)
-    common = permuted_common_prefixes(raw, sa, length)
-    order = sa[1:]
     segment = np.repeat(np.arange(len(sizes)), sizes + 1)
+    common = permuted_common_prefixes(raw, sa, ends[segment])
+    order = sa[1:]
     new = np.flatnonzero(common[order] < length)
     least = np.minimum.reduceat(owner[segment[order]], new)
     out = np.empty(len(raw), np.int64)
@@ -287,6 +318,10 @@ def equal_windows(texts: np.ndarray, sizes: np.ndarray, owner: np.ndarray, lengt
     return out[body]
 
 
+#: Windows of occurrences that are looked at in one step.
+STEP_WINDOWS = 1 << 21
+
+
 def resolve(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     """A shard's removed spans by bucket: blobs of starts and ends in the bucket's text."""
     texts, sizes, keys, seg_of, ids, starts, bucket = [], [], [], [], [], [], []
@@ -303,11 +338,11 @@ def resolve(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
         base += len(s)
     text, size, key = np.concatenate(texts), np.concatenate(sizes), np.concatenate(keys)
     seg_of, ids, starts, bucket = (np.concatenate(x) for x in (seg_of, ids, starts, bucket))
-    # equal segments of different buckets are one
+    # equal segments of different buckets are sorted once
     begin = np.cumsum(size) - size
     content = span_hashes(text, begin, begin + size)
-    order = np.lexsort((content, key))
-    new = first_rows(content[order]) | first_rows(key[order])
+    order = np.lexsort((size, content, key))
+    new = unlike_before(text, begin[order], size[order], first_rows(content[order]) | first_rows(key[order]))
     one = np.empty(len(size), np.int64)
     one[order] = np.cumsum(new) - 1
     lead = order[new]  # by key
@@ -332,26 +367,22 @@ def resolve(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
         n = size[a:b]
         take = np.repeat(begin[a:b] - np.cumsum(n) + n, n) + np.arange(n.sum())
         windows[done[a] - size[a] : done[b - 1]] = equal_windows(text[take], n, least[a:b], length)
-    # occurrences: all windows of one that isn't in its segment's first document go; of the first one, those seen earlier
+    # a window of an occurrence goes if it also starts in a document of smaller id
     first = done - size
-    whole = ids > least[seg_of]
-    out_bucket, out_start, out_end = [bucket[whole]], [starts[whole]], [starts[whole] + size[seg_of[whole]]]
-    partly = np.zeros(len(size), bool)
-    earlier = windows < np.repeat(least, size)
-    partly[:] = np.logical_or.reduceat(earlier, first)
-    rest = np.flatnonzero(~whole & partly[seg_of])
-    if len(rest):
-        s = seg_of[rest]
+    found: list[tuple[np.ndarray, ...]] = []
+    held = np.cumsum(size[seg_of])
+    lo = 0
+    while lo < len(seg_of):
+        hi = max(lo + 1, int(np.searchsorted(held, (held[lo - 1] if lo else 0) + STEP_WINDOWS, "right")))
+        s = seg_of[lo:hi]
         n = size[s]
-        flags = earlier[np.repeat(first[s] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        flags = windows[np.repeat(first[s] - np.cumsum(n) + n, n) + np.arange(n.sum())] < np.repeat(ids[lo:hi], n)
         edge = np.cumsum(n) - n
-        # runs of flagged windows, none across occurrences: a segment's last windows are never flagged
-        a, b = runs(flags)
+        a, b = runs(flags)  # none across occurrences, as a segment's last windows are never flagged
         of = np.searchsorted(edge, a, "right") - 1
-        out_bucket.append(bucket[rest[of]])
-        out_start.append(starts[rest[of]] + a - edge[of])
-        out_end.append(starts[rest[of]] + (b - 1 - edge[of]) + length)
-    bucket, start, end = (np.concatenate(x) for x in (out_bucket, out_start, out_end))
+        found.append((bucket[lo:hi][of], starts[lo:hi][of] + a - edge[of], starts[lo:hi][of] + (b - 1 - edge[of]) + length))
+        lo = hi
+    bucket, start, end = (np.concatenate(x) for x in zip(*found))
     order = np.lexsort((start, bucket))
     bucket, start, end = bucket[order], start[order], end[order]
     cut = np.append(np.flatnonzero(first_rows(bucket)), len(bucket))
@@ -363,10 +394,11 @@ def removed(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, carry:
     """bucket, parts, spans: every bucket with the spans to remove, for a last pass over the texts."""
     total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     buckets = max(1, math.ceil(total / BUCKET_BYTES))
-    shards, ranges = max(1, math.ceil(total / SHARD_BYTES)), max(1, math.ceil(total / RANGE_BYTES))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(1, math.ceil(total / SHARD_BYTES), min(tasks, math.ceil(total / LEAST_BYTES)))
     packed = pack(docs, buckets, carry)
-    bits = repeated_anchors(packed, ranges, length, anchor)
-    sent = send_segments(packed, bits, ranges, shards, length, anchor)
+    bits = repeated_anchors(packed, shards, length, anchor)
+    sent = send_segments(packed, bits, shards, shards, length, anchor)
     spans = sent.groupBy("shard").applyInPandas(lambda pdf: resolve(pdf, length), "bucket int, spans binary")
     return packed.join(spans.groupBy("bucket").agg(F.collect_list("spans").alias("spans")), "bucket", "left").select("bucket", "parts", "spans")
 
@@ -390,7 +422,7 @@ def _last_pass(rows: DataFrame, output, schema: str) -> DataFrame:
                 if len(bucket.ids):
                     yield output(bucket, keep_mask(bucket, spans.as_py()))
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(released(run), schema)
 
 
 def _ids(bucket: Bucket) -> pa.Array:

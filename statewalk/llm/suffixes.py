@@ -140,30 +140,37 @@ def _order_of_names(names: np.ndarray, depth: int) -> np.ndarray:
         covers *= 2
 
 
-def permuted_common_prefixes(raw: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """For each position of raw, the length of the prefix, at most `most` bytes, it shares with the suffix that sorts before it.
+def permuted_common_prefixes(raw: np.ndarray, sa: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each position of raw, the length of the prefix it shares with the suffix that sorts before it, within ends.
 
-    sa sorts raw followed by an end mark. Entries are in the order of the text, not of the array. Eight bytes are compared
-    at a time; a position drops out at its first difference.
+    sa sorts raw followed by an end mark; nothing at or after a position's end counts. Entries are in the order of the text,
+    not of the array, so that they follow from each other: where the suffix before a position's is one further than that of
+    the position to its left, its prefix is one shorter. Only the other positions are compared, eight bytes at a time.
     """
     n = len(raw)
-    before = np.full(n, -1, np.int32)
-    at = sa[1:]  # sa[0] is the end mark
+    before = np.full(n, -1, np.int64)
+    at = sa[1:].astype(np.int64)  # sa[0] is the end mark
     before[at[1:]] = at[:-1]
-    padded = np.concatenate([raw, np.zeros(most + 8, np.uint8)])
-    words = np.ndarray((n + most,), "<u8", padded, 0, (1,)).copy()
-    out = np.zeros(n, np.int32)
-    i = np.flatnonzero(before >= 0).astype(np.int32)
-    j = before[i]
-    for k in range(0, most, 8):
-        differ = words[i + k] ^ words[j + k]
+    here = np.arange(n)
+    most = np.where(before >= 0, np.minimum(ends - here, n - np.maximum(here, before)), 0)
+    follows = np.zeros(n, bool)
+    follows[1:] = (before[:-1] >= 0) & (before[1:] == before[:-1] + 1) & (raw[:-1] == raw[np.maximum(before[:-1], 0)]) & (ends[1:] == ends[:-1])
+    lead = np.flatnonzero(~follows)
+    words = np.ndarray((n,), "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), 0, (1,))
+    out = np.zeros(n, np.int64)
+    i = lead[before[lead] >= 0]
+    j, k = before[i], 0
+    while len(i):
+        differ = words[np.minimum(i + k, n - 1)] ^ words[np.minimum(j + k, n - 1)]
         equal = differ == 0
         apart = ~equal
         low = differ[apart]
         out[i[apart]] = k + np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)) // 8
+        k += 8
         i, j = i[equal], j[equal]
-        if not len(i):
-            break
-        out[i] = k + 8
-    reach = n - np.maximum(np.arange(n, dtype=np.int32), before)  # what is compared past the end is not there
-    return np.minimum(np.minimum(out, most), reach)
+        out[i] = k
+        go = most[i] > k
+        i, j = i[go], j[go]
+    out[lead] = np.minimum(out[lead], most[lead])
+    source = np.maximum.accumulate(np.where(follows, 0, here))
+    return np.maximum(out[source] - (here - source), 0)

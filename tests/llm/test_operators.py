@@ -65,10 +65,13 @@ def test_suffix_array_and_prefixes():
         b = raw.tobytes()
         want = sorted(range(len(b)), key=lambda i: b[i:])
         assert sa[1:].tolist() == want
-        common = suffixes.permuted_common_prefixes(raw, sa, 50)
+        ends = np.full(len(raw), len(raw))
+        cut = int(rng.integers(0, len(raw) + 1))
+        ends[:cut] = cut
+        common = suffixes.permuted_common_prefixes(raw, sa, ends)
         for x, y in zip(want, want[1:]):
             k = 0
-            while k < 50 and max(x, y) + k < len(b) and b[x + k] == b[y + k]:
+            while y + k < ends[y] and x + k < len(b) and b[x + k] == b[y + k]:
                 k += 1
             assert common[y] == k
 
@@ -97,7 +100,7 @@ def test_op1(docs, monkeypatch, frequent):
     monkeypatch.setattr(dedup, "FREQUENT", frequent)
     monkeypatch.setattr(dedup, "BUCKET_BYTES", 4000)
     monkeypatch.setattr(dedup, "SHARD_BYTES", 4000)
-    monkeypatch.setattr(dedup, "RANGE_BYTES", 9000)
+    monkeypatch.setattr(dedup, "LEAST_BYTES", 4000)
     got = [tuple(r) for r in dedup.report(docs).collect()]
     key = lambda r: (r[0] is None, r[0] or 0, r[1:])
     assert sorted(got, key=key) == sorted(brute_dedup(corpus(), 50), key=key)
