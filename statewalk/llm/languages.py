@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statewalk.llm.common import CHUNK_BYTES, lower_ascii, segment_sums, text_chunks, texts_of, word_spans
+from statewalk.llm.common import CHUNK_BYTES, bounded_batches, lower_ascii, released, segment_sums, text_chunks, texts_of, word_spans
 
 #: Trigrams are hashed to 2**BITS cells; counts travel in SLICES pieces of a language's array.
 BITS, SLICES, SMOOTHING = 16, 16, 0.5
@@ -88,7 +88,7 @@ def count(docs: DataFrame) -> DataFrame:
 
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     schema = "lang string, slice int, counts binary"
-    parts = rows.mapInArrow(partial, schema)
+    parts = rows.mapInArrow(released(partial), schema)
     # twice: a slice's partial arrays are first summed in groups of a bounded number, then those sums
     salted = parts.withColumn("salt", F.spark_partition_id() % 64)
     once = salted.groupBy("lang", "slice", "salt").applyInPandas(lambda pdf: add(pdf), schema)
@@ -198,7 +198,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                         sets[i] = ",".join(f"{names[j]}:{pi[i, j]:.2f}" for j in here)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.lo, n), pa.array(pred, pa.string()), pa.array(score), pa.array(sets, pa.string())], ["doc_id", "lang_pred", "score", "languages"])
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, lang_pred string, score double, languages string")
+    return texts_of(docs).mapInArrow(released(run), "doc_id long, lang_pred string, score double, languages string")
 
 
 def fold(docs: DataFrame) -> DataFrame:

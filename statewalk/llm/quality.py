@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statewalk.llm.common import checkpointed, first_rows, is_space, mix, segment_sums, span_hashes, text_chunks, word_spans
+from statewalk.llm.common import bounded_batches, checkpointed, first_rows, is_space, mix, released, segment_sums, span_hashes, text_chunks, word_spans
 from statewalk.llm.training import keyed, labelled, without
 
 #: Groups of bytes whose shares of the text are features.
@@ -91,7 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", keep=None) -
                 x = statistics(chunk.data, chunk.offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.lo, len(chunk)), batch.column(2).slice(chunk.lo, len(chunk)), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
-    rows = labelled(docs, labels, label, keep).select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, x array<double>").collect()
+    rows = labelled(docs, labels, label, keep).select("doc_id", "text", "label").mapInArrow(released(run), "doc_id long, label int, x array<double>").collect()
     rows.sort(key=lambda r: r["doc_id"])
     y = np.array([r["label"] for r in rows], np.float64)
     k = len(NAMES)
@@ -114,6 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", keep=None) -
 
 def evidence(docs: DataFrame, model: Model, host: Column, path: Column) -> DataFrame:
     """doc_id, row_key, host, path, llr, p: each row's own evidence, and its probability at the training rate."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     prior = float(np.log(model.rate / (1 - model.rate)))
     rows = keyed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "row_key", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
@@ -127,7 +128,7 @@ def evidence(docs: DataFrame, model: Model, host: Column, path: Column) -> DataF
             p = 1 / (1 + np.exp(-(llr + prior)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(llr), pa.array(p)], ["doc_id", "row_key", "host", "path", "llr", "p"])
 
-    return rows.mapInArrow(run, "doc_id long, row_key long, host string, path string, llr double, p double")
+    return rows.mapInArrow(released(run), "doc_id long, row_key long, host string, path string, llr double, p double")
 
 
 def strength(groups: DataFrame, n: str, good: str, above: Column) -> float:

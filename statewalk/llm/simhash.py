@@ -19,9 +19,10 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from statewalk.llm.blocks import Forest, dealt, star
-from statewalk.llm.common import checkpointed, first_rows, is_space, lower_ascii, mix, text_chunks, texts_of, word_spans
+from statewalk.llm.common import BASE, checkpointed, first_rows, is_space, lower_ascii, mix, released, span_hashes, text_chunks, texts_of, word_spans
 from statewalk.llm.components import components
 from statewalk.llm.training import keyed, without
 
@@ -96,7 +97,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 fp = majority(h, bounds).astype(np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.lo, len(chunk)), pa.array(fp), pa.array(np.diff(bounds), pa.int64())], ["doc_id", "fp", "n_shingles"])
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, fp long, n_shingles long")
+    return texts_of(docs).mapInArrow(released(run), "doc_id long, fp long, n_shingles long")
 
 
 def tables(n: int, radius: int) -> list[int]:
@@ -213,48 +214,91 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> Da
     return rows.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_shingles")
 
 
-
-
 #: For near-duplicates by similarity: words of a shingle, and the similarity.
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
-#: Sets of a block and of a task, about, and the leading bits of a node that a bit map tells apart.
-SET_BLOCK, TASK_SETS, MAP_BITS = 512, 2_000, 24
+#: Bits of a set's fingerprint, how many of them two similar sets differ in at most, and the reference fingerprints of a piece.
+#: A bit of sets of similarity 0.8 differs with a chance of at most 0.1875 (a set of four, and one of five), so that 92 of 256
+#: is seven deviations above the mean: the chance to discard a pair of that similarity is below 1e-10.
+SET_BITS, SET_RADIUS, SET_PIVOTS = 256, 92, 8
+#: Sets of a block and of a task, about, reference sets of a large component, and bits of a bit map of rows.
+SET_BLOCK, TASK_SETS, REFERENCES, MAP_BITS = 512, 2_000, 16, 24
 #: Shingles of prefixes that a task works on, about; texts that are sampled for the order of shingles, and the most common
 #: shingles of the sample that are put last.
 TASK_SHINGLES, ORDER_TEXTS, LAST_SHINGLES = 1 << 20, 50_000, 1 << 19
 
 
-def signatures(docs: DataFrame, shingle: int = NEAR_SHINGLE) -> DataFrame:
-    """doc_id, row_key, n (distinct shingles), shingles (binary): the sorted 64-bit hashes of all distinct shingles."""
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = NEAR_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct shingles as sorted 64-bit hashes of their words, and each text's first."""
+    low = lower_ascii(data)
+    starts, ends, at = word_spans(low, offsets, is_space(low))
+    first, last, bounds = shingle_bounds(starts, ends, at, size)
+    if not len(first):
+        return np.zeros(0, np.uint64), bounds
+    word = span_hashes(low, starts, ends)
+    h = np.zeros(len(first), np.uint64)
+    for k in range(size):
+        some = first + k <= last
+        if some.all():
+            h = mix(h * np.uint64(BASE) + word[first + k])
+        else:
+            h[some] = mix(h[some] * np.uint64(BASE) + word[first[some] + k])
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(bounds))
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = first_rows(h) | first_rows(owner)
+    return h[new], np.searchsorted(owner[new], np.arange(len(at)))
+
+
+def set_names(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A number for each set: equal sets have equal numbers."""
+    total = np.zeros(len(bounds) - 1, np.uint64)
+    some = np.flatnonzero(np.diff(bounds))
+    if len(some):
+        total[some] = np.add.reduceat(mix(h ^ np.uint64(BASE)), bounds[:-1][some])
+    return mix(total + mix(np.diff(bounds).astype(np.uint64))).view(np.int64)
+
+
+def row_map(rows: DataFrame) -> Broadcast:
+    """A bit map of fixed size of the rows' keys (row_key), by their leading bits."""
+    place = F.shiftrightunsigned("row_key", 64 - MAP_BITS)
+    words = rows.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(row_key, {64 - MAP_BITS}) & 63 as int))").alias("bit")).groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).toPandas()
+    bits = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return rows.sparkSession.sparkContext.broadcast(bits)
+
+
+def from_sets(docs: DataFrame, output: Callable, schema: str, size: int, among: Broadcast | None = None) -> DataFrame:
+    """output(doc_ids, row_keys, names, hashes, bounds) of the texts' shingle sets, in one pass that moves no row.
+
+    among: a row_map; rows that aren't in it are passed by, before their text is looked at. Of others a few pass too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if among is not None:
+                place = batch.column(2).to_numpy().view(np.uint64) >> np.uint64(64 - MAP_BITS)
+                found = (among.value.view(np.uint64)[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)
+                batch = batch.filter(pa.array(found.astype(bool)))
             for chunk in text_chunks(batch.column(1)):
-                h, bounds = shingle_hashes(chunk.data, chunk.offsets, shingle)
-                sets = [np.unique(h[a:b]) for a, b in zip(bounds, bounds[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(chunk.lo, len(chunk)), batch.column(2).slice(chunk.lo, len(chunk)), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())],
-                    ["doc_id", "row_key", "n", "shingles"],
-                )
+                h, bounds = shingle_sets(chunk.data, chunk.offsets, size)
+                yield output(batch.column(0).slice(chunk.lo, len(chunk)), batch.column(2).slice(chunk.lo, len(chunk)), set_names(h, bounds), h, bounds)
 
-    return texts_of(keyed(docs), "row_key").mapInArrow(run, "doc_id long, row_key long, n long, shingles binary")
+    return texts_of(keyed(docs), "row_key").mapInArrow(released(run), schema)
 
 
-def common_shingles(sets: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(docs: DataFrame, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that are in several texts of a sample, ascending, and their ranks from 1, the most common last.
 
     The sample only decides in which order shingles are taken for prefixes. Any order finds all pairs; one that puts common
     shingles last finds few others.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk in text_chunks(batch.column(0), 8 << 20):
-                h, count = np.unique(chunk.data.view("<i8"), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(count, pa.int64())], ["h", "c"])
+    def output(_ids, _keys, _names, h: np.ndarray, _bounds) -> pa.RecordBatch:
+        values, count = np.unique(h, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(count, pa.int64())], ["h", "c"])
 
-    sample = sets.where(F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(-(-n // ORDER_TEXTS))) == 0).select("shingles")
-    counts = checkpointed(sample.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1"))
+    sample = docs.where(F.pmod(F.xxhash64(F.lit(3), "doc_id", "text"), F.lit(max(1, -(-n // ORDER_TEXTS)))) == 0)
+    counts = checkpointed(from_sets(sample, output, "h long, c long", size).groupBy("h").agg(F.sum("c").alias("c")).where("c > 1"))
     held, least = 0, 2
     for c, k in sorted(((r["c"], r["k"]) for r in counts.groupBy(F.least("c", F.lit(1000)).alias("c")).agg(F.count("*").alias("k")).collect()), reverse=True):
         held += k
@@ -280,30 +324,27 @@ def further(n: np.ndarray, similarity: float) -> np.ndarray:
     return 1 + np.floor((1 - similarity) * n + 1e-9).astype(np.int64)
 
 
-def spread_prefixes(sets: DataFrame, length: Callable, order: Broadcast, tasks: int) -> DataFrame:
+def spread_prefixes(docs: DataFrame, length: Callable, order: Broadcast, tasks: int, size: int, among: Broadcast) -> DataFrame:
     """task, key, node (binary): the first length(n) shingles of each set of n, packed by the task that has a shingle."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def output(_ids, _keys, names: np.ndarray, h: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
         common, ranks = order.value
-        for batch in batches:
-            for chunk in text_chunks(batch.column(1), 8 << 20):
-                h, bounds = chunk.data.view("<u8"), chunk.offsets // 8
-                n = np.diff(bounds)
-                owner = np.repeat(np.arange(len(n)), n)
-                rank = np.zeros(len(h), np.int64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-                    rank = np.where(common[at] == h, ranks[at], 0)
-                taken = np.lexsort((rank, owner))[np.arange(len(h)) - np.repeat(bounds[:-1], n) < np.repeat(length(n), n)]
-                key, node = h[taken], batch.column(0).to_numpy()[chunk.lo : chunk.hi][owner[taken]]
-                task = (mix(key) % np.uint64(tasks)).astype(np.int64)
-                by = np.lexsort((key, task))
-                key, node = key[by], node[by]
-                edges = np.searchsorted(task[by], np.arange(tasks + 1))
-                some = np.flatnonzero(np.diff(edges))
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *[pa.array([c[edges[t] : edges[t + 1]].tobytes() for t in some], pa.binary()) for c in (key, node)]], ["task", "key", "node"])
-
-    return sets.select("node", "shingles").mapInArrow(run, "task long, key binary, node binary")
+        n = np.diff(bounds)
+        owner = np.repeat(np.arange(len(n)), n)
+        rank = np.zeros(len(h), np.int32)
+        if len(common):
+            at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+            rank = np.where(common[at] == h, ranks[at], 0).astype(np.int32)
+        taken = np.lexsort((rank, owner))[np.arange(len(h)) - np.repeat(bounds[:-1], n) < np.repeat(length(n), n)]
+        key, node = h[taken], names[owner[taken]]
+        task = (mix(key) % np.uint64(tasks)).astype(np.int64)
+        by = np.argsort(task, kind="stable")
+        key, node = key[by], node[by]
+        edges = np.searchsorted(task[by], np.arange(tasks + 1))
+        some = np.flatnonzero(np.diff(edges))
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *[pa.array([c[edges[t] : edges[t + 1]].tobytes() for t in some], pa.binary()) for c in (key, node)]], ["task", "key", "node"])
+
+    return from_sets(docs, output, "task long, key binary, node binary", size, among)
 
 
 def shared_keys(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -318,17 +359,17 @@ def shared_keys(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return key[some], node[some]
 
 
-def prefix_links(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def prefix_links(docs: DataFrame, nodes: DataFrame, similarity: float, size: int) -> DataFrame:
     """a, b: edges that join any two nodes whose sets can have the similarity, directly or through others.
 
     Two sets of similarity t share t of the greater one's shingles. In an order of all shingles they then share k of the first
     n - t n + k of each set's n, for any k. First, with k about (1 - t) n, sets go that have too few shingles in common with any
     others: whatever shares a line or a passage only. The rest is joined, by a chain, where it shares one with k = 1.
-    rows: node, n; sets: node, shingles; a node may be there several times.
+    nodes: node, n, row_key of one row that has the set.
     """
-    size = rows.agg(F.count("*").alias("n"), F.sum("n").alias("shingles")).first()
-    tasks = max(1, int(2 * (size["shingles"] or 0) * (1 - similarity) + size["n"]) // TASK_SHINGLES)
-    order = rows.sparkSession.sparkContext.broadcast(common_shingles(sets, max(1, size["n"])))
+    total = nodes.agg(F.count("*").alias("n"), F.sum("n").alias("shingles")).first()
+    tasks = max(1, int(2 * (total["shingles"] or 0) * (1 - similarity) + total["n"]) // TASK_SHINGLES)
+    order = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, max(1, total["n"]), size))
 
     def long(n: np.ndarray) -> np.ndarray:
         return np.where(n > 0, n - least_overlap(n, similarity) + further(n, similarity), 0)
@@ -340,10 +381,6 @@ def prefix_links(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFra
         ids, c = np.unique(shared_keys(pdf)[1], return_counts=True)
         return pd.DataFrame({"node": ids, "c": c})
 
-    def enough(n: pd.Series, c: pd.Series) -> pd.Series:
-        # the other set may be as small as t n, and its prefix is the shorter
-        return pd.Series(c.to_numpy() >= further(least_overlap(n.to_numpy(), similarity), similarity))
-
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         key, node = shared_keys(pdf)
         ids, at = np.unique(node, return_inverse=True)
@@ -353,106 +390,163 @@ def prefix_links(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFra
         inner, root = star(forest)
         return pd.DataFrame({"a": ids[inner], "b": ids[root]})
 
-    counts = spread_prefixes(sets, long, order, tasks).groupBy("task").applyInPandas(count, "node long, c long").groupBy("node").agg(F.sum("c").alias("c"))
-    alive = checkpointed(counts.join(rows.select("node", "n").distinct(), "node").where(F.pandas_udf(enough, "boolean")("n", "c")).select("node"))
-    return spread_prefixes(among(sets, alive), short, order, tasks).groupBy("task").applyInPandas(link, "a long, b long")
+    # the other set may be as small as t n, and its prefix is the shorter
+    smaller = F.ceil(F.col("n") * similarity - 1e-9)
+    asked = 1 + F.floor(smaller * (1 - similarity) + 1e-9)
+    counts = spread_prefixes(docs, long, order, tasks, size, row_map(nodes)).groupBy("task").applyInPandas(count, "node long, c long").groupBy("node").agg(F.sum("c").alias("c"))
+    alive = checkpointed(counts.join(nodes, "node").where(F.col("c") >= asked).select("row_key"))
+    return spread_prefixes(docs, short, order, tasks, size, row_map(alive)).groupBy("task").applyInPandas(link, "a long, b long")
+
+
+def set_fingerprints(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """SimHash of each set, SET_BITS / 64 numbers each: bit i is set where more than half of the shingles' i-th bits are."""
+    return np.stack([majority(mix(h + np.uint64(i) * np.uint64(BASE)), bounds) for i in range(1, SET_BITS // 64 + 1)], axis=1)
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which fingerprints differ, along the last axis."""
+    return popcount(a ^ b).sum(-1, dtype=np.int16)
 
 
-def alike(sets: list[np.ndarray], side: np.ndarray | None, similarity: float) -> np.ndarray:
+def alike(sets: list[np.ndarray], prints: np.ndarray, label: np.ndarray, side: np.ndarray | None, similarity: float) -> np.ndarray:
     """Labels of the sets, equal where links join them: pairs of different sides (where side is given) with the similarity.
 
-    The sets come by growing size. Every pair is compared on its whole sets unless its sizes differ too much or its sets have
-    a label in common already.
+    The sets come by growing size, with the labels that earlier links gave them; pairs of one label need no look. A pair is
+    discarded if its sizes differ too much, or if its distances to one of the reference fingerprints differ by more than
+    SET_RADIUS; what is left is compared by fingerprint, then on the whole sets.
     """
     n = np.array([len(x) for x in sets])
     bounds = np.concatenate(([0], np.cumsum(n)))
     _, at = np.unique(np.concatenate(sets), return_inverse=True)
     have = np.zeros(len(at), bool)
-    label = np.arange(len(sets))
+    label = label.copy()
     ends = np.searchsorted(similarity * n - 1e-9, n, "right")
+    some = np.flatnonzero(n)
+    chosen = some[np.linspace(0, len(some) - 1, min(SET_PIVOTS, len(some))).astype(int)] if len(some) else some
+    table = np.stack([differing(prints, prints[i]) for i in chosen], axis=0) if len(chosen) else np.zeros((0, len(n)), np.int16)
     for i in range(int(np.searchsorted(n, 0, "right")), len(sets)):
         others = np.arange(i + 1, ends[i])
         others = others[label[others] != label[i]]
         if side is not None:
             others = others[side[others] != side[i]]
+        for coordinate in table:
+            if not len(others):
+                break
+            others = others[np.abs(coordinate[others] - coordinate[i]) <= SET_RADIUS]
+        others = others[differing(prints[others], prints[i]) <= SET_RADIUS]
         if not len(others):
             continue
         own = at[bounds[i] : bounds[i + 1]]
         have[own] = True
-        if 4 * len(others) < ends[i] - i:
-            both = np.array([np.count_nonzero(have[at[bounds[j] : bounds[j + 1]]]) for j in others])
-        else:
-            both = np.add.reduceat(have[at[bounds[i + 1] : bounds[ends[i]]]], bounds[i + 1 : ends[i]] - bounds[i + 1], dtype=np.int64)[others - i - 1]
+        while len(others):  # a link found on the way spares the rest of that label
+            part, others = others[:64], others[64:]
+            take = np.repeat(bounds[part] - np.cumsum(n[part]) + n[part], n[part]) + np.arange(n[part].sum())
+            both = np.add.reduceat(have[at[take]], np.cumsum(n[part]) - n[part], dtype=np.int64)
+            linked = part[both / (n[i] + n[part] - both) >= similarity]
+            if len(linked):
+                label[np.isin(label, label[linked])] = label[i]
+                others = others[label[others] != label[i]]
         have[own] = False
-        linked = others[both / (n[i] + n[others] - both) >= similarity]
-        label[np.isin(label, label[linked])] = label[i]
     return label
 
 
-def verified(sets: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
-    """a, b: edges that join all nodes of a component of parts (node, component) whose sets have the similarity, directly or
-    through others. sets: node, shingles; a node may be there several times.
+def set_pieces(docs: DataFrame, pieces: DataFrame, similarity: float, size: int) -> DataFrame:
+    """a, b: edges that join, piece by piece, all nodes whose sets have the similarity, directly or through others.
 
-    Each component's sets are brought to one task, those of a large one to a task for each pair of its blocks, and every pair
-    is compared there; a task returns its forest of links, not its pairs.
+    pieces: row_key, node, label, and the piece's name (component, left, right) and the node's side in it (where left and
+    right differ, only pairs of different sides count).
     """
-    pieces = checkpointed(dealt(parts, ["component"], F.col("node"), SET_BLOCK))
     tasks = max(1, -(-pieces.count() // TASK_SETS))
 
+    def output(_ids, keys, names: np.ndarray, h: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([keys, pa.array(names), pa.array([h[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())], ["row_key", "node", "shingles"])
+
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = (pdf[c].to_numpy().astype(np.uint64) for c in ("left", "right"))
-        piece = mix(pdf["component"].to_numpy().view(np.uint64) + left * np.uint64(0x9E3779B97F4A7C15) + right)
-        raw, node, side = pdf["shingles"].to_numpy(), pdf["node"].to_numpy(), pdf["side"].to_numpy()
-        order = np.lexsort((np.array([len(x) for x in raw]), piece))
+        piece = mix(pdf["component"].to_numpy().view(np.uint64) + left * np.uint64(BASE) + mix(right))
+        raw, node, side, label = pdf["shingles"].to_numpy(), pdf["node"].to_numpy(), pdf["side"].to_numpy(), pdf["label"].to_numpy()
+        order = np.lexsort((node, np.array([len(x) for x in raw]), piece))
         starts = np.flatnonzero(first_rows(piece[order]))
         a, b = [node[:0]], [node[:0]]
         for lo, hi in zip(starts, [*starts[1:], len(order)]):
             at = order[lo:hi]
-            label = alike([np.frombuffer(raw[i], "<u8") for i in at], side[at] if left[at[0]] != right[at[0]] else None, similarity)
-            inner = label != np.arange(len(label))
+            sets = [np.frombuffer(raw[i], "<u8") for i in at]
+            prints = set_fingerprints(np.concatenate(sets), np.concatenate(([0], np.cumsum([len(x) for x in sets]))))
+            ids, before = np.unique(label[at], return_inverse=True)
+            after = alike(sets, prints, before, side[at] if left[at[0]] != right[at[0]] else None, similarity)
+            lead = np.full(len(ids), -1)
+            lead[after[::-1]] = np.arange(len(at))[::-1]  # the first of each label
+            inner = lead[after] != np.arange(len(at))
+            inner &= before != before[lead[after]]
             a.append(node[at[inner]])
-            b.append(node[at[label[inner]]])
+            b.append(node[at[lead[after][inner]]])
         return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
+    rows = from_sets(docs, output, "row_key long, node long, shingles binary", size, row_map(pieces.select("row_key").distinct()))
     task = F.pmod(F.xxhash64("component", "left", "right"), F.lit(tasks)).cast("int").alias("task")
-    alive = among(sets, parts).dropDuplicates(["node"])
-    return pieces.join(alive, "node").select(task, "component", "left", "right", "side", "node", "shingles").groupBy("task").applyInPandas(inside, "a long, b long")
+    names = ("component", "left", "right", "side", "node", "label")
+    joined = pieces.join(rows.dropDuplicates(["row_key", "node"]), ["row_key", "node"])
+    return joined.select(task, *names, "shingles").groupBy("task").applyInPandas(inside, "a long, b long")
 
 
-def among(sets: DataFrame, parts: DataFrame) -> DataFrame:
-    """The rows of sets (node, shingles) less most of those whose node is not in parts, before anything is moved: by a bit map
-    of fixed size of the nodes' leading bits, which passes every node of parts."""
-    place = F.shiftrightunsigned("node", 64 - MAP_BITS)
-    words = parts.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(node, {64 - MAP_BITS}) & 63 as int))").alias("bit")).groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).toPandas()
-    bits = np.zeros(1 << (MAP_BITS - 6), np.int64)
-    bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    shared = sets.sparkSession.sparkContext.broadcast(bits)
+def verified(docs: DataFrame, parts: DataFrame, similarity: float, size: int) -> DataFrame:
+    """a, b: edges that join all nodes of a component of parts (node, component, row_key) whose sets have the similarity,
+    directly or through others.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - MAP_BITS)
-            found = (shared.value.view(np.uint64)[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
-            yield batch.filter(pa.array(found.astype(bool)))
-
-    return sets.mapInArrow(run, "node long, shingles binary")
+    A component of at most SET_BLOCK nodes is one piece. A larger one is dealt to blocks, each of which also gets the component's
+    reference sets, and is linked within its blocks and through them; in a group of copies of one text hardly a node is left
+    after that. Then all nodes that aren't in the component's largest class are compared with every node of another class, in
+    pairs of blocks. So every pair is compared, unless other links join it.
+    """
+    sizes = parts.groupBy("component").agg(F.count("*").alias("m"))
+    parts = checkpointed(parts.join(sizes, "component"))
+    blocks = F.ceil(F.col("m") / F.lit(float(SET_BLOCK))).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(7), "node"), blocks).cast("int")
+    columns = ["row_key", "node", F.col("node").alias("label"), "component"]
+    members = parts.select(*columns, own.alias("left"), own.alias("right"), F.lit(0).alias("side"))
+    large = parts.where(F.col("m") > SET_BLOCK)
+    order = F.row_number().over(W.partitionBy("component").orderBy(F.xxhash64(F.lit(11), "node"), "node"))
+    chosen = large.where(F.pmod(F.xxhash64(F.lit(13), "node"), F.floor(F.col("m") / F.lit(8 * REFERENCES))) == 0)  # some 8 REFERENCES of a component
+    chosen = chosen.withColumn("_n", order).where(F.col("_n") <= REFERENCES)
+    references = chosen.select("row_key", "node", "component", own.alias("_own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("left")).where("left <> _own")
+    references = references.select("row_key", "node", F.col("node").alias("label"), "component", "left", F.col("left").alias("right"), F.lit(0).alias("side"))
+    first = checkpointed(set_pieces(docs, checkpointed(members.union(references)), similarity, size))
+    if not large.limit(1).count():
+        return first
+    classes_ = components(first)
+    now = large.join(classes_.select("node", F.col("component").alias("class")), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    counted = now.groupBy("component", "class").agg(F.count("*").alias("k"))
+    most = counted.groupBy("component").agg(F.max_by("class", F.struct("k", "class")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("k"))
+    most = most.where("all > k").select("component", "main", F.ceil((F.col("all") - F.col("k")) / F.lit(float(SET_BLOCK))).cast("int").alias("others"), F.ceil(F.col("k") / F.lit(float(SET_BLOCK))).cast("int").alias("mains"))
+    now = now.join(most, "component")
+    apart = F.col("class") != F.col("main")
+    # blocks of other classes come first, from 0; those of the main class after them, which meet only the former
+    block = F.when(apart, F.pmod(F.xxhash64(F.lit(17), "node"), F.col("others"))).otherwise(F.col("others") + F.pmod(F.xxhash64(F.lit(17), "node"), F.col("mains"))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(apart, F.col("others") + F.col("mains") - 1).otherwise(F.col("others") - 1)))
+    rest = now.withColumn("_own", block).withColumn("_other", other)
+    rest = rest.select("row_key", "node", F.col("class").alias("label"), "component", F.least("_own", "_other").alias("left"), F.greatest("_own", "_other").alias("right"), (F.col("_own") > F.col("_other")).cast("int").alias("side"))
+    return first.union(set_pieces(docs, checkpointed(rest), similarity, size))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, row_key of the rows to drop: of each group of near duplicates all but the first by (doc_id, row_key).
 
-    Texts whose prefixes share a shingle are candidates, which leaves out no pair of the similarity; every pair of candidates is
-    verified on its whole shingle sets, inside the candidates' connected components. Groups are the connected components of the
-    verified links. Texts with equal sets are one node; texts without words are copies of each other. Rows equal in all columns
-    are one document: they stay or go together. Null ids come last.
+    Texts whose prefixes share a shingle are candidates, which leaves out no pair of the similarity. Pairs of candidates within
+    a connected component are discarded by their SimHash's distances to reference fingerprints, and the survivors verified on
+    their whole shingle sets. Groups are the connected components of the verified links. Texts with equal sets are one node;
+    texts without words are copies of each other. Rows equal in all columns are one document: they stay or go together. Null
+    ids come last; an empty table drops nothing.
     """
     last = F.lit((1 << 63) - 1)
-    sets = signatures(docs, shingle).withColumn("node", F.xxhash64("n", "shingles"))
-    rows = checkpointed(sets.select("doc_id", "row_key", "node", "n"))
-    sets = sets.select("node", "shingles")  # made again where they are needed: together they are larger than the texts
+
+    def output(ids, keys, names: np.ndarray, _h, bounds: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, keys, pa.array(names), pa.array(np.diff(bounds), pa.int64())], ["doc_id", "row_key", "node", "n"])
+
+    rows = checkpointed(from_sets(docs, output, "doc_id long, row_key long, node long, n long", shingle))
     rank = F.struct(F.coalesce("doc_id", last).alias("d"), F.col("row_key").alias("k"))
-    nodes = rows.groupBy("node").agg(F.min(rank).alias("least"))
-    candidates = components(prefix_links(rows, sets, similarity))
-    linked = verified(sets, candidates, similarity)
+    nodes = checkpointed(rows.groupBy("node", "n").agg(F.min(rank).alias("least")).select("node", "n", "least", F.col("least")["k"].alias("row_key")))
+    candidates = components(prefix_links(docs, nodes.select("node", "n", "row_key"), similarity, shingle))
+    linked = verified(docs, candidates.join(nodes.select("node", "row_key"), "node"), similarity, shingle)
     parts = components(linked)
     named = nodes.select("node", "least").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = named.groupBy("component").agg(F.min("least").alias("first"))

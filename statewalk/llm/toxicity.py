@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statewalk.llm.common import checkpointed, first_rows, lower_ascii, mix, segment_sums, span_hashes, text_chunks, texts_of, word_spans
+from statewalk.llm.common import bounded_batches, checkpointed, first_rows, lower_ascii, mix, released, segment_sums, span_hashes, text_chunks, texts_of, word_spans
 from statewalk.llm.languages import letters_only, remainder
 from statewalk.llm.training import labelled
 
@@ -84,7 +84,7 @@ def cell_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "counts": [total.astype("<i4").tobytes()]})
 
     schema = "slice int, counts binary"
-    rows = docs.select("doc_id", "text", "label").mapInArrow(run, schema).groupBy("slice").applyInPandas(add, schema).collect()
+    rows = docs.select("doc_id", "text", "label").mapInArrow(released(run), schema).groupBy("slice").applyInPandas(add, schema).collect()
     out = np.zeros((2, 1 << BITS), np.int64)
     for r in rows:
         out[:, r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["counts"], "<i4").reshape(2, -1)
@@ -113,7 +113,7 @@ def features(docs: DataFrame, number: np.ndarray) -> DataFrame:
                     ["doc_id", "label", "n", "sentence", "feature"],
                 )
 
-    return docs.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, n long, sentence binary, feature binary")
+    return docs.select("doc_id", "text", "label").mapInArrow(released(run), "doc_id long, label int, n long, sentence binary, feature binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep=None) -> Model:
@@ -201,11 +201,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     ["doc_id", "score", "predicted", "n_sentences", "n_offending", "worst_start", "worst_length"],
                 )
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, score double, predicted int, n_sentences long, n_offending long, worst_start long, worst_length long")
+    return texts_of(docs).mapInArrow(released(run), "doc_id long, score double, predicted int, n_sentences long, n_offending long, worst_start long, worst_length long")
 
 
 def clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs, with all their columns, whose text scores below 0.5. No row is moved."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at_text = docs.columns.index("text")
 
@@ -217,7 +218,7 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
                 keep.append(noisy_or(sentence_scores(cell, first, shared.value), at) < 0.5)
             yield batch.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def training_fold() -> F.Column:
