@@ -4,8 +4,8 @@ Each paragraph is hashed to a wide vector, and a document's fingerprint is the s
 modulo powers of two. So it does not depend on the order of the paragraphs, and a paragraph is inserted or deleted by adding
 or subtracting its vector. The vector has two parts:
 
-* EXACT lanes modulo 2**64 hashed from the whole paragraph: equal multisets of paragraphs give equal lanes, and others
-  differ but for a chance of about 2**-64 a lane;
+* EXACT lanes modulo 2**64, each from its own 64 bits of a cryptographic digest of the whole paragraph: equal multisets of
+  paragraphs give equal lanes, and others differ but for a chance of about 2**-64 in each lane;
 * SKETCH lanes modulo 2**16, to which each shingle of three words of the paragraph (in a short paragraph, each block of a
   few bytes and its place) adds +1 or -1 at a hashed lane. Texts that share shingles share additions, so the cosine of two
   sketches estimates the share in common, which a plain sum of hashes can't show.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statewalk.llm.common import BASE, is_space, mix, segment_sums, span_hashes, text_chunks, texts_of, word_spans
+from statewalk.llm.common import is_space, mix, released, segment_sums, span_hashes, text_chunks, texts_of, word_spans
 
 EXACT, SKETCH, SHINGLE = 4, 128, 3
 #: A paragraph of fewer bytes is sketched by its blocks of BLOCK bytes; a word is cut into pieces of LONGEST bytes.
@@ -38,9 +38,7 @@ def vectors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     if not len(data):
         return np.zeros((n, EXACT), np.uint64), np.zeros((n, SKETCH), np.uint16)
     starts, ends, at = word_spans(data, offsets, data == NEWLINE)
-    h = span_hashes(data, starts, ends)
-    lanes = mix(h[:, None] + np.arange(1, EXACT + 1, dtype=np.uint64) * np.uint64(BASE))
-    exact = segment_sums(lanes, at)
+    exact = segment_sums(digests(data, starts, ends), at)
     of_text = np.repeat(np.arange(n), np.diff(at))
     short = ends - starts < SHORT
 
@@ -69,6 +67,13 @@ def vectors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return exact, (sketch.astype(np.int64) % (1 << 16)).astype(np.uint16).reshape(n, SKETCH)
 
 
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """EXACT numbers of 64 bits for each span, all of one digest of its bytes."""
+    raw = memoryview(np.ascontiguousarray(data))
+    found = b"".join([hashlib.blake2b(raw[a:b], digest_size=8 * EXACT).digest() for a, b in zip(starts.tolist(), ends.tolist())])
+    return np.frombuffer(found, "<u8").reshape(-1, EXACT)
+
+
 def cut(starts: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Spans cut into pieces of `size` bytes: each piece's span, place in it, start and end."""
     pieces = -(-(ends - starts) // size)
@@ -110,56 +115,71 @@ def fingerprint(docs: DataFrame) -> DataFrame:
             for chunk in text_chunks(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.lo, len(chunk)), pa.array(as_text(*vectors(chunk.data, chunk.offsets)))], ["doc_id", "fingerprint"])
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, fingerprint string")
+    return texts_of(docs).mapInArrow(released(run), "doc_id long, fingerprint string")
 
 
-#: Rows of a part, parts of a partition, and the most parts and sampled ids that the driver holds.
-PART_ROWS, PARTITION_PARTS, MOST_PARTS, SAMPLED_IDS = 1000, 4, 1 << 15, 1 << 18
+#: Rows of a part, parts of a partition, the most parts (two numbers each on the driver), and sampled rows for each part.
+PART_ROWS, PARTITION_PARTS, MOST_PARTS, SAMPLED = 1000, 4, 1 << 20, 4
 NULL_ID = -(1 << 63)
 
 
+def part_of(ids: np.ndarray, h: np.ndarray, bound_ids: np.ndarray, bound_h: np.ndarray) -> np.ndarray:
+    """How many of the bounds, which ascend by (id, h), are at or below each (id, h)."""
+    left, right = np.searchsorted(bound_ids, ids, "left"), np.searchsorted(bound_ids, ids, "right")
+    out = left.copy()
+    one = np.flatnonzero(right - left == 1)
+    out[one] += h[one] >= bound_h[left[one]]
+    many = np.flatnonzero(right - left > 1)  # an id of so many rows that several bounds fall on it
+    for at in np.unique(left[many]):
+        rows = many[left[many] == at]
+        out[rows] += np.searchsorted(bound_h[at : right[rows[0]]], h[rows], "right")
+    return out
+
+
 def with_next(docs: DataFrame, rows: int = PART_ROWS) -> DataFrame:
-    """part, tail, doc_id, text: each part holds a range of doc_ids and, marked as tail, the row that follows its last one.
+    """part, tail, doc_id, text: each part holds a range of rows and, marked as tail, the row that follows its last one.
 
-    Rows follow each other by descending doc_id (ties by text, null ids last) and the first row follows the last. Only
-    doc_ids are read to find the ranges; the texts are moved once. The driver holds a bounded sample of ids for the bounds,
-    which decide where rows are worked on and never the result, and the greatest id of each part.
+    Rows follow each other by descending doc_id, null ids last, those of one id by descending hash of their text, then by text;
+    the first row follows the last. Only ids and hashes are read to find the ranges; the texts are moved once. The driver holds
+    a sample of a few rows for each part, which decides where rows are worked on and never the result, and each part's first.
     """
-    ids = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"))
-    total = ids.count()
+    keys = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("h"))
+    total = keys.count()
     parts = min(MOST_PARTS, max(1, -(-total // rows)))
-    some = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total // SAMPLED_IDS))) == 0) if total > SAMPLED_IDS else ids
-    sample = some.toPandas()["doc_id"].to_numpy(np.int64) if parts > 1 else np.zeros(0, np.int64)
-    bounds = np.unique(np.quantile(sample, np.arange(1, parts) / parts, method="lower")) if len(sample) else sample
+    wanted = SAMPLED * parts / max(total, 1)
+    found = (keys if wanted >= 0.5 else keys.sample(wanted, seed=1)).toPandas() if parts > 1 else pd.DataFrame({"id": [], "h": []}, dtype=np.int64)
+    order = np.lexsort((found["h"], found["id"]))
+    order = order[np.unique((len(order) * np.arange(1, parts) / parts).astype(np.int64))] if len(order) else order
+    bound_ids, bound_h = found["id"].to_numpy(np.int64)[order], found["h"].to_numpy(np.int64)[order]
 
-    def part_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, key.to_numpy(), "right").astype(np.int32))
+    def own(ids: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(part_of(ids.to_numpy(), h.to_numpy(), bound_ids, bound_h).astype(np.int32))
 
-    part = F.pandas_udf(part_of, "int")
-    key = F.coalesce("doc_id", F.lit(NULL_ID))
-    # the greatest id of each part also goes to the next part above; the greatest of all to the lowest
-    found = sorted((r[0], r[1]) for r in ids.groupBy(part("doc_id")).agg(F.max("doc_id")).collect())
-    tops = np.array([t for _, t in found], np.int64)
-    above = np.array([p for p, _ in found[1:]] + [p for p, _ in found[:1]], np.int32)
+    # the first row of each part also goes to the next part above; the first of all to the lowest
+    tops = sorted((r["part"], r["top"]["id"], r["top"]["h"]) for r in keys.groupBy(F.pandas_udf(own, "int")("id", "h").alias("part")).agg(F.max(F.struct("id", "h")).alias("top")).collect())
+    top_part, top_id, top_h = (np.array([t[i] for t in tops], np.int64) for i in range(3))
+    above = np.roll(top_part, -1)
 
-    def places(key: pd.Series) -> pd.Series:
-        k = key.to_numpy()
-        own = np.searchsorted(bounds, k, "right").tolist()
-        i = np.minimum(np.searchsorted(tops, k), len(tops) - 1)
-        more = np.where(tops[i] == k, above[i], -1).tolist()
-        return pd.Series([[2 * a] if b < 0 else [2 * a, 2 * b + 1] for a, b in zip(own, more)])
+    def places(ids: pd.Series, h: pd.Series) -> pd.Series:
+        part = part_of(ids.to_numpy(), h.to_numpy(), bound_ids, bound_h)
+        i = np.searchsorted(top_part, part)
+        first = (top_id[i] == ids.to_numpy()) & (top_h[i] == h.to_numpy())
+        return pd.Series([[2 * a, 2 * b + 1] if f else [2 * a] for a, b, f in zip(part.tolist(), above[i].tolist(), first.tolist())])
 
-    to = F.explode(F.pandas_udf(places, "array<int>")(key))
-    placed = docs.select(to.alias("to"), "doc_id", "text")
-    placed = placed.select(F.shiftright("to", 1).alias("part"), (F.col("to") % 2 == 1).alias("tail"), "doc_id", "text")
-    return placed.repartition(-(-parts // PARTITION_PARTS), "part").sortWithinPartitions("part", "tail", F.desc_nulls_last("doc_id"), "text")
+    placed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("h"))
+    placed = placed.withColumn("to", F.explode(F.pandas_udf(places, "array<int>")("id", "h")))
+    placed = placed.select(F.shiftright("to", 1).alias("part"), (F.col("to") % 2 == 1).alias("tail"), "doc_id", "text", "h")
+    dealt = placed.repartition(-(-parts // PARTITION_PARTS), "part").sortWithinPartitions("part", "tail", F.desc_nulls_last("doc_id"), F.desc("h"), "text")
+    return dealt.select("part", "tail", "doc_id", "text")
 
 
 def edited(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness; columns as op10 asks.
 
     Edited: the last floor(n / 3) code points are replaced by the first as many (or all) of the next document. Null texts
-    count as empty. A lone document follows itself. Rows that repeat a doc_id follow each other in the order of their texts.
+    count as empty, and so do empty ones. A lone document follows itself. Rows that repeat a doc_id, or have none, follow each other
+    by descending hash of their texts, however many there are; equal rows are reported as often as they occur. Other columns are
+    dropped, and an empty table gives no rows.
     """
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
@@ -209,5 +229,4 @@ def edited(docs: DataFrame) -> DataFrame:
                     size = len(t)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(texts_of(docs)).mapInArrow(run, schema)
-
+    return with_next(texts_of(docs)).mapInArrow(released(run), schema)

@@ -339,15 +339,45 @@ def test_op9(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
-def test_op10(docs, empty, monkeypatch):
-    monkeypatch.setattr(fingerprints.with_next, "__defaults__", (5,))
-    got = by_id(fingerprints.edited(docs))
-    order = sorted(((r[0] if r[0] is not None else -(1 << 63), r[1] or "") for r in corpus()), key=lambda x: (-x[0], x[1]))
-    assert sum(map(len, got.values())) == len(order)
+def brute_prints(text: str) -> str:
+    """The exact lanes, summed paragraph by paragraph."""
+    lanes = [0] * fingerprints.EXACT
+    for paragraph in filter(None, text.split("\n")):
+        digest = hashlib.blake2b(paragraph.encode(), digest_size=8 * fingerprints.EXACT).digest()
+        for i in range(fingerprints.EXACT):
+            lanes[i] = (lanes[i] + int.from_bytes(digest[8 * i : 8 * i + 8], "little")) % (1 << 64)
+    return "".join(f"{x:016x}" for x in lanes)
+
+
+def next_order(rows: list[tuple]) -> list[tuple]:
+    h = lambda t: np.int64(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64)) if t is not None else 42
+    return sorted(((r[0], r[1]) for r in rows), key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), -int(h(r[1])), r[1] or ""))
+
+
+def check_edited(got: list, rows: list[tuple]) -> None:
+    """Every row against the definition: what follows it, its edited text, both exact fingerprints, likeness of equal ones."""
+    order = next_order(rows)
+    want = []
     for (i, t), (_, n) in zip(order, [*order[1:], order[0]]):
+        t, n = t or "", n or ""
         k = len(t) // 3
-        want = hashlib.sha256((t[: len(t) - k] + n[:k]).encode()).hexdigest()
-        assert want in {r["edited_sha256"] for r in got[None if i == -(1 << 63) else i]}
+        changed = t[: len(t) - k] + n[:k]
+        want.append((str(i), len(t), hashlib.sha256(changed.encode()).hexdigest(), brute_prints(t), brute_prints(changed)))
+    width = 16 * fingerprints.EXACT
+    assert sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"], r["fingerprint"][:width], r["edited_fingerprint"][:width]) for r in got) == sorted(want)
+    for r in got:
+        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        if r["fingerprint"] == r["edited_fingerprint"]:
+            assert r["near_edited"] == 1
+
+
+def test_op10(docs, empty, monkeypatch):
+    monkeypatch.setattr(fingerprints.with_next, "__defaults__", (5,))
+    rows = fingerprints.edited(docs).collect()
+    check_edited(rows, corpus())
+    got: dict = {}
+    for r in rows:
+        got.setdefault(r["doc_id"], []).append(r)
     assert got[1][0]["fingerprint"] == got[3][0]["fingerprint"] != got[4][0]["fingerprint"]
     assert all(got[i][0]["near_edited"] > got[i][0]["near_next"] for i in (0, 1, 4, 7, 10, 11))
     assert fingerprints.edited(empty).count() == 0
@@ -355,6 +385,25 @@ def test_op10(docs, empty, monkeypatch):
     assert alone["near_next"] == 1.0
 
 
+def test_op10_one_id_or_none(spark, monkeypatch):
+    """All rows without an id, or most of one id: several parts share them."""
+    monkeypatch.setattr(fingerprints.with_next, "__defaults__", (4,))
+    for ids in ([None] * 40, [7] * 30 + list(range(10)), [7] * 40):
+        rows = [(i, f"text {k} of some words") for k, i in enumerate(ids)] + [(7, "the same")] * 9
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        check_edited(fingerprints.edited(df).collect(), rows)
+    parts = fingerprints.with_next(spark.createDataFrame([(None, f"text {k}") for k in range(200)], "doc_id long, text string"))
+    assert parts.where("not tail").select("part").distinct().count() > 20
+
+
+def test_op10_lanes_are_independent():
+    """Paragraphs that collide under polynomials modulo 2**64 have different lanes."""
+    word = "".join("ab"[i.bit_count() & 1] for i in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    (a, b), lanes = [[fingerprints.vectors(np.frombuffer(x.encode(), np.uint8), np.array([0, 2048])) for x in (word, other)], fingerprints.EXACT]
+    assert all(a[0][0, i] != b[0][0, i] for i in range(lanes)) and fingerprints.likeness(a, b)[0] < 1
+
+
 def test_op10_insertion_and_deletion():
     def of(text):
         raw = np.frombuffer(text.encode(), np.uint8)
