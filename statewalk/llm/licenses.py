@@ -2,8 +2,9 @@
 
 A text is brought to a canonical form (lower case, copyright lines dropped, equivalent spellings unified, everything but
 letters and digits turned to single blanks), its digest is taken, and the digests of entire texts are hash-joined to those of
-known licences. The same lookup runs on every line, so that a notice within a longer document is found too. All of it is
-built-in column functions; the known digests are a small fixed table, whatever the corpus.
+known licences. The same lookup runs on every line, so that a one-line notice within a longer document is found too; a licence
+of several lines within other text is not looked for. All of it is built-in column functions; the known digests are a small
+fixed table, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -40,6 +41,22 @@ Permission is granted to anyone to use this software for any purpose, including
 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    ),
+    (
+        "BSD-3-Clause",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    ),
+    (
+        "Unlicense",
+        """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org>""",
     ),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
@@ -54,6 +71,31 @@ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."),
 )
+#: The lines that stand above a licence's text; each makes a whole text of its own.
+TITLES: dict[str, tuple[str, ...]] = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "Zlib": ("zlib License", "The zlib License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License"),
+    "Unlicense": ("The Unlicense",),
+}
+#: Digests of the canonical form of whole published licences that are too long to be written here.
+DIGESTS: tuple[tuple[str, str], ...] = (
+    ("Apache-2.0", "39e02f42ec27f643f8eeab3a467dcaee"),
+    ("Artistic-1.0-Perl", "1e04d13d478684795e6712112a5929bc"),
+    ("CC0-1.0", "a7c55e3bdff27d204ac5b2d405654b0c"),
+    ("GFDL-1.2", "6fae616a2084258d6f1635920433f2e2"),
+    ("GFDL-1.3", "9715992e76e496f0c0d0a6fcfb268fed"),
+    ("GPL-1.0", "4994268c92e663e4cada1a4faddb1f5f"),
+    ("GPL-2.0", "2dd3ed1a35757ae824c2359a36c1ffb7"),
+    ("GPL-3.0", "0ccdbec2d2196d0e7d4bb037702357d6"),
+    ("LGPL-2.0", "8db8c73ff85892b91557b016cc5a3278"),
+    ("LGPL-2.1", "bb3ad06175dcb67a26c7caaf5c6782b2"),
+    ("LGPL-3.0", "b31b7335bc37919e8cdd79154e04d88d"),
+    ("MPL-1.1", "3395c4c72cf079882d4ca6de3f20e97a"),
+    ("MPL-2.0", "e00837723f0a465a0a71a328d56758de"),
+)
 #: Spellings that count as the same, as (pattern on words, replacement).
 SPELLINGS: tuple[tuple[str, str], ...] = (
     ("licence", "license"),
@@ -70,12 +112,11 @@ SPELLINGS: tuple[tuple[str, str], ...] = (
     ("non infringement", "noninfringement"),
     ("as is", "asis"),
 )
-#: Fixed value: a line that names a copyright holder (up to 200 characters, so that no prose is taken for one).
-COPYRIGHT = r"(?:^|\n)[ \t*#/]*(?:copyright|\(c\)|©)[^\n]{0,200}"
-
-
-#: Fixed value: what a line holds at least to be a licence or notice.
-HINTS = "licen|permission|redistribution|software|spdx|released under"
+#: Fixed value: a line that names a copyright holder or reserves all rights, which goes whole.
+COPYRIGHT = r"(?:^|\n)[ \t*#/]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: Fixed value: each known text has one of these within a word of its canonical form. A line that hasn't, in lower case, isn't
+#: known: the canonical form joins no two letters that weren't neighbours.
+HINTS = "licen|permission|redistribution|software|spdx|released"
 
 
 def canonical(text: Column) -> Column:
@@ -87,25 +128,31 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, " +", " "))
 
 
+def bodies() -> list[tuple[str, str]]:
+    """license and text of all that is known by its text: bodies with and without a title, and notices."""
+    return [*KNOWN, *((name, f"{title}\n\n{body}") for name, body in KNOWN if "\n" in body for title in TITLES.get(name, ()))]
+
+
 def known(spark: SparkSession) -> DataFrame:
-    """digest, license: one row for each distinct digest of KNOWN, whose length bounds the table."""
-    texts = spark.createDataFrame(list(KNOWN), "license string, body string")
-    return texts.select(F.md5(canonical(F.col("body"))).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    """digest, license: one row for each distinct known digest; the fixed tables' length bounds it."""
+    texts = spark.createDataFrame(bodies(), "license string, body string").select(F.md5(canonical(F.col("body")).cast("binary")).alias("digest"), "license")
+    given = spark.createDataFrame([(digest, name) for name, digest in DIGESTS], "digest string, license string")
+    return texts.union(given).groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
     """doc_id, digest (of the canonical whole text), license (of the whole text, else null), n_notices (lines that are a
     known licence or notice) and notices (their sorted distinct licences, comma-separated, '' if none).
 
-    licenses: digest, license, for the whole texts; by default the fixed table KNOWN, which alone is broadcast, as
-    len(KNOWN) bounds it. Any other is joined as Spark sees fit. Null and empty texts have the digest of '' and no licence.
-    Repeated rows are reported as often as they occur. A line longer than every known notice can't be one, and is passed by.
+    licenses: digest, license, for the whole texts; by default the fixed table, which alone is broadcast, as its length is
+    bounded. Any other is joined as Spark sees fit. Null and empty texts have the digest of '' and no licence. Lines of any
+    length are looked at. Repeated rows, and rows without an id, are reported as often as they occur; other columns are dropped;
+    an empty table gives no rows. Of licences with one digest the first by name counts.
     """
     fixed = known(docs.sparkSession)
     notices = {r["digest"]: r["license"] for r in fixed.collect()}
     table = F.create_map(*[F.lit(x) for kv in sorted(notices.items()) for x in kv])
-    most = 2 * max(len(body) for _, body in KNOWN)
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: (F.length(line) <= most) & F.lower(line).rlike(HINTS))
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: F.lower(line).rlike(HINTS))
     found = F.filter(F.transform(lines, lambda line: F.try_element_at(table, F.md5(canonical(line).cast("binary")))), lambda x: x.isNotNull())
     rows = texts_of(docs).select("doc_id", F.md5(canonical(F.col("text")).cast("binary")).alias("digest"), found.alias("found"))
     right = F.broadcast(fixed) if licenses is None else licenses.groupBy("digest").agg(F.min("license").alias("license"))
@@ -131,9 +178,10 @@ def oracle() -> str:
             out = f"replace({out}, {quoted(f' {spelling} ')}, {quoted(f' {same} ')})"
         return f"trim(regexp_replace({out}, ' +', ' ', 'g'))"
 
-    values = ", ".join(f"({quoted(name)}, {quoted(body)})" for name, body in KNOWN)
+    values = ", ".join(f"({quoted(name)}, {quoted(body)})" for name, body in bodies())
+    given = ", ".join(f"({quoted(name)}, {quoted(digest)})" for name, digest in DIGESTS)
     return f"""
-    WITH known AS (SELECT md5({canon("body")}) AS digest, min(name) AS license FROM (VALUES {values}) v(name, body) GROUP BY 1),
+    WITH known AS (SELECT digest, min(name) AS license FROM (SELECT md5({canon("body")}) AS digest, name FROM (VALUES {values}) v(name, body) UNION ALL SELECT digest, name FROM (VALUES {given}) g(name, digest)) GROUP BY 1),
     docs AS (SELECT doc_id, md5({canon("text")}) AS digest FROM documents),
     lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
     hits AS (SELECT doc_id, license FROM (SELECT doc_id, md5({canon("line")}) AS digest FROM lines WHERE regexp_matches(lower(line), '{HINTS}')) l JOIN known USING (digest)),
