@@ -17,13 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statewalk.llm.common import CHUNK_BYTES, bounded_batches, lower_ascii, released, segment_sums, text_chunks, texts_of, word_spans
+from statewalk.llm.common import CHUNK_BYTES, bounded_batches, checkpointed, lower_ascii, released, segment_sums, text_chunks, texts_of, word_spans
 
 #: Trigrams are hashed to 2**BITS cells; counts travel in SLICES pieces of a language's array.
 BITS, SLICES, SMOOTHING = 16, 16, 0.5
 ITERATIONS = 12
-#: The most languages a model holds, which bounds what is broadcast to 4 * 2**BITS * LANGUAGES bytes.
-LANGUAGES = 256
+#: Languages with 2**BITS cells each. With more, cells are joined so that a model keeps to 4 * 2**BITS * LANGUAGES bytes; no
+#: language is left out. Languages whose counts a task holds before it sends them on.
+LANGUAGES, HELD = 256, 64
 UNDETERMINED = "und"
 
 
@@ -76,7 +77,7 @@ def count(docs: DataFrame) -> DataFrame:
                 all_counts = np.bincount(np.repeat(which, np.diff(inside)) << BITS | cell, minlength=len(names) << BITS)
                 for name, c in zip(names, all_counts.reshape(len(names), -1)):
                     held[name] = held[name] + c if name in held else c
-                if len(held) > LANGUAGES:
+                if len(held) > HELD:
                     yield flush()
         yield flush()
 
@@ -86,6 +87,7 @@ def count(docs: DataFrame) -> DataFrame:
             total += np.frombuffer(raw, np.int64)
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "slice": [pdf["slice"].iloc[0]], "counts": [total.tobytes()]})
 
+    bounded_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     schema = "lang string, slice int, counts binary"
     parts = rows.mapInArrow(released(partial), schema)
@@ -95,16 +97,30 @@ def count(docs: DataFrame) -> DataFrame:
     return once.groupBy("lang", "slice").applyInPandas(add, schema)
 
 
+def model_bits(languages: int) -> int:
+    """Bits of a trigram's cell in a model of so many languages."""
+    bits = BITS
+    while languages > LANGUAGES << (BITS - bits):
+        bits -= 1
+    return bits
+
+
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order, and the log-probability of each trigram cell (rows) in each of them."""
-    rows = count(docs).collect()  # SLICES arrays of 2**BITS / SLICES counts a language
-    names = sorted({r["lang"] for r in rows})
-    if len(names) > LANGUAGES:
-        raise ValueError(f"{len(names)} languages; LANGUAGES bounds the model to {LANGUAGES}")
-    counts = np.zeros((len(names), 1 << BITS))
-    size = (1 << BITS) // SLICES
-    for r in rows:
-        counts[names.index(r["lang"]), r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["counts"], np.int64)
+    counted = checkpointed(count(docs))
+    names = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
+    bits = model_bits(len(names))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            less = [np.frombuffer(x, np.int64).reshape(-1, 1 << (BITS - bits)).sum(1).tobytes() for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(less, pa.binary())], ["lang", "slice", "counts"])
+
+    counts = np.zeros((len(names), 1 << bits))
+    size = (1 << bits) // SLICES
+    place = {name: i for i, name in enumerate(names)}
+    for r in counted.mapInArrow(joined, "lang string, slice int, counts binary").toLocalIterator():
+        counts[place[r["lang"]], r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["counts"], np.int64)
     used = max(1, int((counts.sum(0) > 0).sum()))
     log_p = np.log(counts + SMOOTHING) - np.log(counts.sum(1, keepdims=True) + SMOOTHING * used)
     return names, np.ascontiguousarray(log_p.T.astype(np.float32))
@@ -129,6 +145,7 @@ def shares(log_word: np.ndarray, at: np.ndarray, allowed: np.ndarray, iterations
 def infer(data: np.ndarray, offsets: np.ndarray, log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each text's shares in its chosen language set, the posterior of the best single language, and whether it has words."""
     cell, first, at = trigrams(data, offsets)
+    cell >>= BITS - (len(log_p).bit_length() - 1)  # a model of very many languages has fewer cells
     n, k = len(offsets) - 1, log_p.shape[1]
     has = np.diff(at) > 0
     if not len(first):
@@ -146,8 +163,15 @@ def infer(data: np.ndarray, offsets: np.ndarray, log_p: np.ndarray) -> tuple[np.
         full, _ = shares(log_word, at, np.ones((n, k)))
         penalty = np.log(np.maximum(np.diff(at), 2))
         order = np.argsort(-np.where(chosen, -1.0, full), axis=1, kind="stable")
-        growing = has & (full[np.arange(n), order[:, 0]] > 0.02)
+        text = np.repeat(np.arange(n), np.diff(at))
+        top = log_word.max(1, keepdims=True)
+        p = np.exp(log_word - top)
+        growing = has.copy()
         for j in range(k - 1):
+            # the log-likelihood is concave in the shares: if its slope towards the next language isn't positive, there is no gain
+            mixed = np.maximum((pi[text] * p).sum(1), 1e-300)
+            slope = segment_sums(p[np.arange(len(p)), order[text, j]] / mixed, at) - np.diff(at)
+            growing &= slope > 0
             grow = np.flatnonzero(growing)
             if not len(grow):
                 break
