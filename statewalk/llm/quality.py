@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statewalk.llm.common import bounded_batches, checkpointed, first_rows, is_space, mix, released, segment_sums, span_hashes, text_chunks, word_spans
+from statewalk.llm.languages import remainder
 from statewalk.llm.training import keyed, labelled, without
 
 #: Groups of bytes whose shares of the text are features.
@@ -27,6 +28,10 @@ GROUPS = tuple(
 )
 NAMES = ("upper", "digit", "point", "exclaim", "bar", "symbol", "line", "wide", "word_length", "distinct_words", "repeated_pairs", "marked_words", "words")
 STEPS, RATE, DECAY = 400, 0.1, 1e-3
+#: Steps of a document's probability: sums of whole steps don't depend on the order in which they are added.
+UNIT = 1 << 30
+#: Sites that are broadcast, at most; more are joined by a shuffle.
+BROADCAST_SITES = 1 << 16
 
 
 def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -125,7 +130,7 @@ def evidence(docs: DataFrame, model: Model, host: Column, path: Column) -> DataF
             for chunk in text_chunks(batch.column(1)):
                 llr.append(shared.value.evidence(statistics(chunk.data, chunk.offsets)))
             llr = np.concatenate(llr)
-            p = 1 / (1 + np.exp(-(llr + prior)))
+            p = np.rint(UNIT / (1 + np.exp(-(llr + prior)))) / UNIT
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(llr), pa.array(p)], ["doc_id", "row_key", "host", "path", "llr", "p"])
 
     return rows.mapInArrow(released(run), "doc_id long, row_key long, host string, path string, llr double, p double")
@@ -152,7 +157,8 @@ def posterior(scored: DataFrame) -> DataFrame:
 
     score is the probability from llr and from the path's posterior mean without the document itself.
     """
-    paths = checkpointed(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("good")))
+    good = F.sum(F.round(F.col("p") * UNIT).cast("long")) / F.lit(float(UNIT))
+    paths = checkpointed(scored.groupBy("host", "path").agg(F.count("*").alias("n"), good.alias("good")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
     total = hosts.agg(F.sum("host_n"), F.sum("host_good")).first()
     rate = min(max((total[1] or 0.0) / max(total[0] or 0, 1), 1e-6), 1 - 1e-6)
@@ -161,7 +167,8 @@ def posterior(scored: DataFrame) -> DataFrame:
     sites = paths.join(hosts, "host")
     k_path = strength(sites, "n", "good", F.col("host_rate"))
     sites = sites.withColumn("path_rate", (F.col("good") + k_path * F.col("host_rate")) / (F.col("n") + k_path))
-    rows = scored.join(sites, ["host", "path"])
+    # a host or path of a third of the rows isn't brought to one task: few sites go to where the rows are
+    rows = scored.join(F.broadcast(sites) if paths.count() <= BROADCAST_SITES else sites, ["host", "path"])
     host_less = (F.col("host_good") - F.col("p") + k_host * rate) / (F.col("host_n") - 1 + k_host)
     less = (F.col("good") - F.col("p") + k_path * host_less) / (F.col("n") - 1 + k_path)
     less = F.least(F.greatest(less, F.lit(1e-6)), F.lit(1 - 1e-6))
@@ -185,5 +192,15 @@ def judge(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The rows of docs, with all their columns, that `judge` accepts."""
+    """The rows of docs, with all their columns, that `judge` accepts.
+
+    Null and empty texts are judged like others, by statistics of zero; equal rows stay or go together, as do ties at 0.5, which
+    stay. Without labels of both kinds only the sites' rates of 0.5 speak, and all rows stay. An empty table stays empty.
+    """
     return without(docs, judge(docs, labels, **how).where(~F.col("accepted")))
+
+
+def fold(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The columns of `posterior` and held_out, learned from labels of rows whose remainder modulo 5 is not 0."""
+    out = judge(docs, labels, keep=remainder(5) != 0)
+    return out.select("doc_id", (remainder(5) == 0).alias("held_out"), *[c for c in out.columns if c not in ("doc_id", "row_key")])

@@ -52,9 +52,9 @@ def op6_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from statewalk.llm.quality import judge
+    from statewalk.llm.quality import fold
 
-    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row_key")
+    return fold(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
