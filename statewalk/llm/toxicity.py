@@ -27,6 +27,8 @@ BITS, WORDS, LEAST_DOCUMENTS = 20, 4096, 4
 PREFIXES, SLICES = (3, 4, 5, 6), 64
 PER_WORD = 1 + len(PREFIXES)
 STEPS, RATE, DECAY, START = 300, 0.15, 1e-4, -6.0
+#: Bytes of the labelled sample that a task counts, about.
+SAMPLE_BYTES = 4 << 20
 #: The bytes . ! ? and newline end a sentence.
 ENDERS = np.isin(np.arange(256), [ord(c) for c in ".!?\n"])
 
@@ -122,7 +124,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep=None) ->
 
     Without labels, or with labels of one kind only, the weights are 0 and the bias stays low or high accordingly.
     """
-    sample = checkpointed(labelled(docs, labels, label, keep)).coalesce(8)  # of bounded size: few tasks, each with counts of fixed size
+    sample = checkpointed(labelled(docs, labels, label, keep))
+    # of a bounded number of rows: as many tasks as their bytes need, as each has counts of a fixed size
+    size = sample.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sample = sample.coalesce(max(1, min(SLICES, -(-size // SAMPLE_BYTES))))
     kinds = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     weights = np.zeros(1 << BITS, np.float32)
     if len(kinds) < 2:
@@ -205,7 +210,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores below 0.5. No row is moved."""
+    """The rows of docs, with all their columns, whose text scores below 0.5. No row is moved.
+
+    Null and empty texts score 0 and stay; equal texts stay or go together; an empty table stays empty.
+    """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at_text = docs.columns.index("text")
