@@ -225,6 +225,8 @@ SET_BLOCK, TASK_SETS, REFERENCES, MAP_BITS = 512, 2_000, 16, 24
 #: Shingles of prefixes that a task works on, about; texts that are sampled for the order of shingles, and the most common
 #: shingles of the sample that are put last.
 TASK_SHINGLES, ORDER_TEXTS, LAST_SHINGLES = 1 << 20, 50_000, 1 << 19
+#: Sets whose counts of shared shingles a task adds up, about.
+TASK_NODES = 1 << 15
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = NEAR_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -377,9 +379,21 @@ def prefix_links(docs: DataFrame, nodes: DataFrame, similarity: float, size: int
     def short(n: np.ndarray) -> np.ndarray:
         return np.where(n > 0, n - least_overlap(n, similarity) + 1, 0)
 
+    targets = max(1, total["n"] // TASK_NODES)
+
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A task's counts, packed by the task that adds up a node's: a node is in many tasks, but in as many packs as there are."""
         ids, c = np.unique(shared_keys(pdf)[1], return_counts=True)
-        return pd.DataFrame({"node": ids, "c": c})
+        target = (mix(ids.view(np.uint64)) % np.uint64(targets)).astype(np.int64)
+        order = np.argsort(target, kind="stable")
+        edges = np.searchsorted(target[order], np.arange(targets + 1))
+        some = np.flatnonzero(np.diff(edges))
+        return pd.DataFrame({"target": some, **{name: [x[order][edges[t] : edges[t + 1]].tobytes() for t in some] for name, x in (("node", ids), ("c", c.astype("<i8")))}})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        node, c = (np.frombuffer(b"".join(pdf[name]), "<i8") for name in ("node", "c"))
+        ids, at = np.unique(node, return_inverse=True)
+        return pd.DataFrame({"node": ids, "c": np.bincount(at, weights=c, minlength=len(ids)).astype(np.int64)})
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         key, node = shared_keys(pdf)
@@ -393,7 +407,7 @@ def prefix_links(docs: DataFrame, nodes: DataFrame, similarity: float, size: int
     # the other set may be as small as t n, and its prefix is the shorter
     smaller = F.ceil(F.col("n") * similarity - 1e-9)
     asked = 1 + F.floor(smaller * (1 - similarity) + 1e-9)
-    counts = spread_prefixes(docs, long, order, tasks, size, row_map(nodes)).groupBy("task").applyInPandas(count, "node long, c long").groupBy("node").agg(F.sum("c").alias("c"))
+    counts = spread_prefixes(docs, long, order, tasks, size, row_map(nodes)).groupBy("task").applyInPandas(count, "target long, node binary, c binary").groupBy("target").applyInPandas(add, "node long, c long")
     alive = checkpointed(counts.join(nodes, "node").where(F.col("c") >= asked).select("row_key"))
     return spread_prefixes(docs, short, order, tasks, size, row_map(alive)).groupBy("task").applyInPandas(link, "a long, b long")
 
