@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statewalk.llm.common import BASE, bounded_batches, first_rows, mix, released, runs, span_hashes
+from statewalk.llm.common import BASE, bounded_batches, first_rows, hash_of_words, mix, released, runs, words_of
 from statewalk.llm.suffixes import permuted_common_prefixes, suffix_array
 
 LENGTH, ANCHOR = 50, 16
@@ -40,6 +40,7 @@ BUCKET_BYTES, SHARD_BYTES, LEAST_BYTES, SORT_BYTES = 3 << 20, 32 << 20, 1 << 20,
 #: An anchor with so many contexts is sent by windows. Contexts are told apart by the eight bytes on both sides, within a bucket.
 FREQUENT, SATURATED = 1024, 255
 LAST = (1 << 63) - 1  # the id that stands for null: after all others
+NONE = -(1 << 63)  # less than any other
 #: Windows of a block of anchors, and the bits that hold a place in it.
 BLOCK, INDEX_BITS = 1 << 15, 17
 
@@ -65,10 +66,12 @@ def window_anchors(data: np.ndarray, length: int, anchor: int) -> tuple[np.ndarr
     """The place of each window's anchor in a block, and the hash at each place. Hashes depend on the bytes only."""
     n, w = len(data), length - anchor + 1
     view = np.ndarray((n,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
-    h = np.zeros(n - anchor + 1, np.uint64)
+    h, factor = np.zeros(n - anchor + 1, np.uint64), BASE
     for at in range(0, anchor, 8):
         word = view[at : at + len(h)]
-        h = mix(h * np.uint64(BASE) + (word if anchor - at >= 8 else word & np.uint64((1 << 8 * (anchor - at)) - 1)))
+        h += (word if anchor - at >= 8 else word & np.uint64((1 << 8 * (anchor - at)) - 1)) * np.uint64(factor)
+        factor = factor * BASE % (1 << 64)
+    h = mix(h)
     low = np.uint64((1 << INDEX_BITS) - 1)
     least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
     step = 1
@@ -239,8 +242,7 @@ def from_six_bytes(raw: bytes) -> np.ndarray:
 def segments(bucket: Bucket, states: dict[int, bytes], ranges: int, shards: int, length: int, anchor: int) -> tuple[list[int], list[bytes]]:
     """What a bucket sends to each shard: distinct segments, and their occurrences."""
     h, place, first, windows = bucket.anchors(length, anchor)
-    doc = bucket.ids[bucket.document(first)]
-    values, _, _ = distinct_anchors(h, doc, bucket.data, place, anchor)
+    values = np.unique(h >> np.uint64(16))
     some, _ = in_ranges(values, ranges)
     state = np.concatenate([np.frombuffer(states[r], np.uint8) for r in some.tolist()] or [np.zeros(0, np.uint8)])
     own = state[np.searchsorted(values, h >> np.uint64(16))] if len(h) else state
@@ -250,14 +252,16 @@ def segments(bucket: Bucket, states: dict[int, bytes], ranges: int, shards: int,
         n = windows[frequent]
         each = np.repeat(first[frequent] - np.cumsum(n) + n, n) + np.arange(n.sum())
         start, size = np.concatenate([start, each]), np.concatenate([size, np.full(len(each), length)])
-        key = np.concatenate([key, span_hashes(bucket.data, each, each + length)])
+        whole = np.full(len(each), length)
+        key = np.concatenate([key, hash_of_words(words_of(bucket.data, each, whole, -(-length // 8)), whole)])
     if not len(start):
         return [], []
-    content = span_hashes(bucket.data, start, start + size)
+    words = words_of(bucket.data, start, size, -(-int(size.max()) // 8))
+    content = hash_of_words(words, size)
     shard = (mix(key) % np.uint64(shards)).astype(np.int64)
-    order = np.lexsort((start, size, content, key, shard))
-    start, size, key, content, shard = start[order], size[order], key[order], content[order], shard[order]
-    new = unlike_before(bucket.data, start, size, first_rows(content) | first_rows(key))
+    order = np.lexsort((start, content, key, shard))
+    start, size, key, shard = start[order], size[order], key[order], shard[order]
+    new = unlike_before(words[order], size, first_rows(key))
     segment = np.cumsum(new) - 1
     ids = bucket.ids[bucket.document(start)]
     names, blobs = [], []
@@ -270,15 +274,10 @@ def segments(bucket: Bucket, states: dict[int, bytes], ranges: int, shards: int,
     return names, blobs
 
 
-def unlike_before(data: np.ndarray, start: np.ndarray, size: np.ndarray, new: np.ndarray) -> np.ndarray:
-    """new, and where else a span's bytes are not those of the span before it."""
+def unlike_before(words: np.ndarray, size: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """new, and where else a span's bytes (as words_of) are not those of the span before it."""
     out = new.copy()
-    out[1:] |= size[1:] != size[:-1]
-    raw = memoryview(np.ascontiguousarray(data))
-    for i in np.flatnonzero(~out).tolist():
-        a, b, n = int(start[i - 1]), int(start[i]), int(size[i])
-        if raw[a : a + n] != raw[b : b + n]:
-            out[i] = True
+    out[1:] |= (size[1:] != size[:-1]) | (words[1:] != words[:-1]).any(1)
     return out
 
 
@@ -340,9 +339,10 @@ def resolve(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     seg_of, ids, starts, bucket = (np.concatenate(x) for x in (seg_of, ids, starts, bucket))
     # equal segments of different buckets are sorted once
     begin = np.cumsum(size) - size
-    content = span_hashes(text, begin, begin + size)
-    order = np.lexsort((size, content, key))
-    new = unlike_before(text, begin[order], size[order], first_rows(content[order]) | first_rows(key[order]))
+    words = words_of(text, begin, size, -(-int(size.max()) // 8))
+    order = np.lexsort((hash_of_words(words, size), key))
+    new = unlike_before(words[order], size[order], first_rows(key[order]))
+    del words
     one = np.empty(len(size), np.int64)
     one[order] = np.cumsum(new) - 1
     lead = order[new]  # by key
@@ -367,20 +367,24 @@ def resolve(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
         n = size[a:b]
         take = np.repeat(begin[a:b] - np.cumsum(n) + n, n) + np.arange(n.sum())
         windows[done[a] - size[a] : done[b - 1]] = equal_windows(text[take], n, least[a:b], length)
-    # a window of an occurrence goes if it also starts in a document of smaller id
+    # a window of an occurrence goes if it also starts in a document of smaller id: all of them, if its id is above them all
     first = done - size
-    found: list[tuple[np.ndarray, ...]] = []
-    held = np.cumsum(size[seg_of])
+    inner = np.where(np.arange(len(windows)) < np.repeat(done - length + 1, size), windows, NONE)  # a segment's last bytes begin no window
+    above = ids > np.maximum.reduceat(inner, first)[seg_of]
+    found = [(bucket[above], starts[above], starts[above] + size[seg_of[above]])]
+    rest = np.flatnonzero(~above & (ids > np.minimum.reduceat(windows, first)[seg_of]))
+    held = np.cumsum(size[seg_of[rest]])
     lo = 0
-    while lo < len(seg_of):
+    while lo < len(rest):
         hi = max(lo + 1, int(np.searchsorted(held, (held[lo - 1] if lo else 0) + STEP_WINDOWS, "right")))
-        s = seg_of[lo:hi]
+        some = rest[lo:hi]
+        s = seg_of[some]
         n = size[s]
-        flags = windows[np.repeat(first[s] - np.cumsum(n) + n, n) + np.arange(n.sum())] < np.repeat(ids[lo:hi], n)
+        flags = windows[np.repeat(first[s] - np.cumsum(n) + n, n) + np.arange(n.sum())] < np.repeat(ids[some], n)
         edge = np.cumsum(n) - n
         a, b = runs(flags)  # none across occurrences, as a segment's last windows are never flagged
         of = np.searchsorted(edge, a, "right") - 1
-        found.append((bucket[lo:hi][of], starts[lo:hi][of] + a - edge[of], starts[lo:hi][of] + (b - 1 - edge[of]) + length))
+        found.append((bucket[some][of], starts[some][of] + a - edge[of], starts[some][of] + (b - 1 - edge[of]) + length))
         lo = hi
     bucket, start, end = (np.concatenate(x) for x in zip(*found))
     order = np.lexsort((start, bucket))

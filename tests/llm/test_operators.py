@@ -106,6 +106,19 @@ def test_op1(docs, monkeypatch, frequent):
     assert sorted(got, key=key) == sorted(brute_dedup(corpus(), 50), key=key)
 
 
+def test_op1_ids_missing_or_repeated(spark, monkeypatch):
+    """Rows without an id, rows of one id and negative ids: spread over buckets, and never removed from by their like."""
+    monkeypatch.setattr(dedup, "BUCKET_BYTES", 500)
+    texts = [f"{prose(i, 12)} {PASSAGE} {prose(50 + i, 12)}" for i in range(24)]
+    for ids in ([None] * 24, [5] * 24, [None] * 12 + list(range(12)), list(range(-12, 12))):
+        rows = list(zip(ids, texts))
+        got = [tuple(r) for r in dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+        key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+        assert sorted(got, key=key) == sorted(brute_dedup(rows, 50), key=key)
+    packed = dedup.pack(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string"), 8)
+    assert packed.count() > 3
+
+
 def test_op1_kept_texts(docs):
     out = by_id(dedup.kept_texts(docs))
     assert out[3][0]["text"] == "" and out[1][0]["text"] == corpus()[1][1]
