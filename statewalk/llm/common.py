@@ -47,6 +47,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if folder is None:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(folder)
+    give_back()
     return df.checkpoint(eager=True)
 
 
@@ -55,6 +56,13 @@ def _trim() -> Callable[[int], int] | None:
     return getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
+def give_back() -> None:
+    """Return memory that this process no longer uses to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
+
+
 def released(run: Callable) -> Callable:
     """A function of a task's batches that gives the memory it no longer uses back to the system at the end.
 
@@ -66,9 +74,7 @@ def released(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if _trim():
-                _trim()(0)
+            give_back()
 
     return whole
 
@@ -126,11 +132,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def words_of(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The bytes of spans of at most 8 * WORDS bytes as WORDS numbers each, padded with zeros."""
+def words_of(data: np.ndarray, starts: np.ndarray, size: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """The bytes of spans of at most 8 * words bytes as that many numbers each, padded with zeros."""
     view = np.ndarray((len(data),), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
-    out = np.zeros((len(starts), WORDS), np.uint64)
-    for w in range(WORDS):
+    out = np.zeros((len(starts), words), np.uint64)
+    for w in range(words):
         some = np.flatnonzero(size > 8 * w)
         if not len(some):
             break
@@ -138,23 +144,28 @@ def words_of(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarr
     return out
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes: equal bytes give equal hashes wherever they stand."""
-    size = ends - starts
+def hash_of_words(words: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of words_of."""
     h = mix(size.astype(np.uint64) + np.uint64(BASE))
-    if not len(data):
-        return h
-    view = np.ndarray((len(data),), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
-    long = size > 8 * WORDS
-    for w in range(WORDS):  # eight bytes a round, for the spans that go on
-        some = np.flatnonzero((size > 8 * w) & ~long)
+    for w in range(words.shape[1]):
+        some = np.flatnonzero(size > 8 * w)
         if not len(some):
             break
-        h[some] = mix(h[some] * np.uint64(BASE) + (view[starts[some] + 8 * w] & _MASKS[np.minimum(size[some] - 8 * w, 8)]))
-    some = np.flatnonzero(long)
-    if len(some):
+        h[some] = mix(h[some] * np.uint64(BASE) + words[some, w])
+    return h
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes: equal bytes give equal hashes wherever they stand."""
+    size = ends - starts
+    h = np.zeros(len(size), np.uint64)
+    long = np.flatnonzero(size > 8 * WORDS)
+    if len(long):
         raw, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_64_intdigest
-        h[some] = np.fromiter((digest(raw[a:b]) for a, b in zip(starts[some].tolist(), ends[some].tolist())), np.uint64, len(some))
+        h[long] = np.fromiter((digest(raw[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist())), np.uint64, len(long))
+    short = np.flatnonzero(size <= 8 * WORDS)
+    if len(short):
+        h[short] = hash_of_words(words_of(data, starts[short], size[short]), size[short])
     return h
 
 

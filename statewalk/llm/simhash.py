@@ -260,12 +260,24 @@ def set_names(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(total + mix(np.diff(bounds).astype(np.uint64))).view(np.int64)
 
 
+def packs(rows: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Two columns of longs, of a bounded number of rows, on the driver: a pair of arrays for each batch, partition by partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(i).to_numpy(zero_copy_only=False).astype("<i8").tobytes()], pa.binary()) for i in range(2)], ["a", "b"])
+
+    for r in rows.mapInArrow(run, "a binary, b binary").collect():
+        yield np.frombuffer(r["a"], "<i8"), np.frombuffer(r["b"], "<i8")
+
+
 def row_map(rows: DataFrame) -> Broadcast:
     """A bit map of fixed size of the rows' keys (row_key), by their leading bits."""
     place = F.shiftrightunsigned("row_key", 64 - MAP_BITS)
-    words = rows.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(row_key, {64 - MAP_BITS}) & 63 as int))").alias("bit")).groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).toPandas()
+    words = rows.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(row_key, {64 - MAP_BITS}) & 63 as int))").alias("bit")).groupBy("word").agg(F.expr("bit_or(bit)").alias("bits"))
     bits = np.zeros(1 << (MAP_BITS - 6), np.int64)
-    bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    for word, value in packs(words):
+        bits[word] = value
     return rows.sparkSession.sparkContext.broadcast(bits)
 
 
@@ -307,8 +319,8 @@ def common_shingles(docs: DataFrame, n: int, size: int) -> tuple[np.ndarray, np.
         if held > LAST_SHINGLES:
             least = c + 1
             break
-    common = counts.where(F.col("c") >= least).toPandas()
-    h, c = common["h"].to_numpy(np.int64).view(np.uint64), common["c"].to_numpy(np.int64)
+    found = [*packs(counts.where(F.col("c") >= least)), (np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    h, c = np.concatenate([x for x, _ in found]).view(np.uint64), np.concatenate([x for _, x in found])
     order = np.argsort(h)
     h, c = h[order], c[order]
     rank = np.empty(len(h), np.int64)
