@@ -1,8 +1,10 @@
-"""Command line: python -m statewalk.cli {run,fit,metrics,maps,stats,select,qc} --config FILE --series GLOB --out DIR."""
+"""Command line: python -m statewalk.cli {run,concat,fit,metrics,export,maps,stats,design,merge,parcels,select,qc} --config FILE --series GLOB --out DIR."""
 
 from __future__ import annotations
 
 import argparse
+import json
+import logging
 
 from pyspark.sql import SparkSession
 
@@ -16,12 +18,23 @@ COMMANDS = {
     "fit": lambda r: r.model().loglik,
     "metrics": lambda r: (r.metrics_state().count(), r.metrics_global().count(), r.transitions().count()),
     "maps": lambda r: r.group_maps().count(),
-    "stats": lambda r: (r.effects_state().count(), r.effects_between().count()),
+    "stats": lambda r: (r.omnibus().count(), r.effects_state().count(), r.effects_between().count()),
+    "design": lambda r: r.write_design(),
+    "merge": lambda r: (r.stacks().count(), r.columns_map().count()),
+    "export": lambda r: r.write_texts(),
+    "parcels": lambda r: r.parcel_tests(),
     "select": lambda r: r.selection(),
     "qc": lambda r: {n: t.count() for n, t in r.quality().items()},
 }
 
 
+class JsonLines(logging.Formatter):
+    """One JSON object a line."""
+
+    def format(self, record: logging.LogRecord) -> str:
+        return json.dumps({"time": self.formatTime(record), "level": record.levelname, "logger": record.name, "message": record.getMessage()})
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="statewalk", description=__doc__)
     parser.add_argument("command", choices=sorted(COMMANDS))
@@ -32,6 +45,9 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--force", action="store_true", help="run stages again whose tables are there")
     args = parser.parse_args(argv)
     config = from_yaml(args.config)
+    handler = logging.StreamHandler()
+    handler.setFormatter(JsonLines() if config.logging.format == "json" else logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+    logging.basicConfig(level=config.logging.level.upper(), handlers=[handler])
     spark = SparkSession.builder.appName("statewalk").getOrCreate()
     series = readers.series(spark, args.series or config.paths["series"])
     path = args.covariates or config.paths.get("covariates")

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FLOOR, RIDGE = 1e-6, 1e-5
+#: Steps whose pairs are summed at once, and cells of steps and features that are worked on together.
+PAIR_STEPS, PORTION = 1 << 14, 1 << 20
 
 
 @dataclass
@@ -48,41 +50,83 @@ def emission(y: np.ndarray, x: np.ndarray, p: Parameters) -> np.ndarray:
     return -0.5 * ((miss**2 / var[:, None]).sum(2) + np.log(2 * np.pi * var).sum(1)[:, None]).T
 
 
-def forward_backward(log_b: np.ndarray, start: np.ndarray, trans: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log-likelihood, state probabilities of each step, and the sum of the pairs' probabilities."""
-    n, k = log_b.shape
+def recursions(log_b: np.ndarray, lengths: np.ndarray, start: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each sequence's log-likelihood, the state probabilities of each step, and the sum of all pairs' probabilities.
+
+    log_b holds the sequences one after another. A step of the recursions is taken for all sequences that have it at once.
+    """
+    k, begin = log_b.shape[1], np.cumsum(lengths) - lengths
+    order = np.argsort(-lengths, kind="stable")
+    first, size = begin[order], lengths[order]
+    active = np.searchsorted(-size, -np.arange(int(size[0]) + 1), "left")  # how many sequences have more than t steps
     with np.errstate(divide="ignore"):
         log_a, log_start = np.log(trans), np.log(start)
-    alpha, beta = np.empty((n, k)), np.zeros((n, k))
-    alpha[0] = log_start + log_b[0]
-    for t in range(1, n):
-        alpha[t] = log_b[t] + log_sum_exp(alpha[t - 1][:, None] + log_a, 0)
-    for t in range(n - 2, -1, -1):
-        beta[t] = log_sum_exp(log_a + (log_b[t + 1] + beta[t + 1])[None], 1)
-    total = float(log_sum_exp(alpha[-1], 0))
-    gamma = np.exp(alpha + beta - total)
+    alpha, beta = np.empty_like(log_b), np.zeros_like(log_b)
+    alpha[first] = log_start + log_b[first]
+    for t in range(1, int(size[0])):
+        at = first[: active[t]] + t
+        alpha[at] = log_b[at] + log_sum_exp(alpha[at - 1][:, :, None] + log_a, 1)
+    for t in range(int(size[0]) - 2, -1, -1):
+        at = first[: active[t + 1]] + t
+        beta[at] = log_sum_exp(log_a + (log_b[at + 1] + beta[at + 1])[:, None, :], 2)
+    total = log_sum_exp(alpha[begin + lengths - 1], 1)
+    each = np.repeat(total, lengths)
+    gamma = np.exp(alpha + beta - each[:, None])
     gamma /= gamma.sum(1, keepdims=True)
-    xi = np.exp(alpha[:-1, :, None] + log_a[None] + (log_b[1:] + beta[1:])[:, None, :] - total).sum(0) if n > 1 else np.zeros((k, k))
+    xi, inner = np.zeros((k, k)), np.ones(len(log_b), bool)
+    inner[begin + lengths - 1] = False
+    inner = np.flatnonzero(inner)
+    for lo in range(0, len(inner), PAIR_STEPS):
+        at = inner[lo : lo + PAIR_STEPS]
+        xi += np.exp(alpha[at][:, :, None] + log_a + (log_b[at + 1] + beta[at + 1])[:, None, :] - each[at][:, None, None]).sum(0)
     return total, gamma, xi
 
 
-def viterbi(log_b: np.ndarray, start: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """The likeliest path; ties go to the lowest state."""
-    n, k = log_b.shape
+def best_paths(log_b: np.ndarray, lengths: np.ndarray, start: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """The likeliest path of each sequence, one after another as log_b is; ties go to the lowest state."""
+    begin = np.cumsum(lengths) - lengths
+    order = np.argsort(-lengths, kind="stable")
+    first, size = begin[order], lengths[order]
+    active = np.searchsorted(-size, -np.arange(int(size[0]) + 1), "left")
     with np.errstate(divide="ignore"):
-        log_a, score = np.log(trans), np.log(start) + log_b[0]
-    back = np.zeros((n, k), np.int64)
-    for t in range(1, n):
-        each = score[:, None] + log_a
-        back[t] = each.argmax(0)
-        score = each.max(0) + log_b[t]
-    path = np.empty(n, np.int64)
-    path[-1] = score.argmax()
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
+        log_a, score = np.log(trans), np.log(start) + log_b[first]
+    back, path = np.zeros(log_b.shape, np.int32), np.empty(len(log_b), np.int64)
+    for t in range(1, int(size[0])):
+        n = active[t]
+        each = score[:n, :, None] + log_a
+        back[first[:n] + t] = each.argmax(1)
+        score[:n] = each.max(1) + log_b[first[:n] + t]
+    path[first + size - 1] = score.argmax(1)
+    for t in range(int(size[0]) - 1, 0, -1):
+        at = first[: active[t]] + t
+        path[at - 1] = back[at, path[at]]
     return path
 
 
+def forward_backward(log_b: np.ndarray, start: np.ndarray, trans: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """`recursions` of one sequence."""
+    total, gamma, xi = recursions(log_b, np.array([len(log_b)]), start, trans)
+    return float(total[0]), gamma, xi
+
+
+def viterbi(log_b: np.ndarray, start: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """`best_paths` of one sequence."""
+    return best_paths(log_b, np.array([len(log_b)]), start, trans)
+
+
+def in_portions(found: list[np.ndarray], order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Sequences together, up to PORTION cells of steps and features: first one's place, steps, design rows and lengths."""
+    at = 0
+    while at < len(found):
+        cells, stop = 0, at
+        while stop < len(found) and (stop == at or cells + found[stop].size <= PORTION):
+            cells += found[stop].size
+            stop += 1
+        some = found[at:stop]
+        yield at, np.concatenate(some), np.concatenate([lagged(y, order) for y in some]), np.array([len(y) for y in some])
+        at = stop
+
+
 def _sequence(x) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in x])
 
@@ -104,12 +148,10 @@ def statistics(seqs: DataFrame, p: Parameters) -> list[np.ndarray]:
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p, total = shared.value, np.zeros(sum(sizes))
         for batch in batches:
-            for x in batch["x"]:
-                y = _sequence(x)
-                z = lagged(y, p.order)
-                ll, g, xi = forward_backward(emission(y, z, p), p.start, p.trans)
-                gz = np.einsum("tk,tm->ktm", g, z)
-                parts = (np.array([ll]), g[0], g.sum(0), xi, g.T @ y, g.T @ (y * y), np.einsum("ktm,tn->kmn", gz, z), np.einsum("ktm,td->kmd", gz, y))
+            for _, y, z, lengths in in_portions([_sequence(x) for x in batch["x"]], p.order):
+                ll, g, xi = recursions(emission(y, z, p), lengths, p.start, p.trans)
+                weighted = [z.T * g[:, s] for s in range(k)]
+                parts = (np.array([ll.sum()]), g[np.cumsum(lengths) - lengths].sum(0), g.sum(0), xi, g.T @ y, g.T @ (y * y), np.stack([w @ z for w in weighted]), np.stack([w @ y for w in weighted]))
                 total += np.concatenate([v.ravel() for v in parts])
         yield pd.DataFrame({"stats": [total.tolist()]})
 
@@ -183,11 +225,13 @@ def decode(seqs: DataFrame, p: Parameters) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = shared.value
         for batch in batches:
-            for sid, x in zip(batch["sid"], batch["x"]):
-                y = _sequence(x)
-                log_b = emission(y, lagged(y, p.order), p)
-                ll, g, _ = forward_backward(log_b, p.start, p.trans)
-                yield pd.DataFrame({"sid": sid, "t": np.arange(len(y)), "s": viterbi(log_b, p.start, p.trans), "g": g.tolist(), "loglik": ll})
+            sids = batch["sid"].to_numpy()
+            for at, y, z, lengths in in_portions([_sequence(x) for x in batch["x"]], p.order):
+                log_b = emission(y, z, p)
+                ll, g, _ = recursions(log_b, lengths, p.start, p.trans)
+                own = np.repeat(np.arange(len(lengths)), lengths)
+                t = np.arange(len(y)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                yield pd.DataFrame({"sid": sids[at : at + len(lengths)][own], "t": t, "s": best_paths(log_b, lengths, p.start, p.trans), "g": list(g), "loglik": ll[own]})
 
     return seqs.select("sid", "x").mapInPandas(run, f"sid {seqs.schema['sid'].dataType.simpleString()}, t int, s int, g array<double>, loglik double")
 

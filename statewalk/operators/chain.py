@@ -7,12 +7,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statewalk.functions.expressions import entropy_bits
 from statewalk.operators.sequences import lzc, occupancy, row_entropy, self_transition, switch_global, transition_probs
 
 
 def matrix_rows(probs: DataFrame, k: int) -> DataFrame:
     """sid and columns p00, p01, ... of the transition matrix, by one aggregation."""
-    cells = [F.max(F.when((F.col("from_s") == i) & (F.col("to_s") == j), F.col("p"))).alias(f"p{i}{j}") for i in range(k) for j in range(k)]
+    cells = [F.max(F.when((F.col("from_s") == i) & (F.col("to_s") == j), F.col("p"))).alias(f"p{i}{j}" if k <= 10 else f"p{i}_{j}") for i in range(k) for j in range(k)]
     return probs.groupBy("sid").agg(*cells)
 
 
@@ -42,30 +43,39 @@ def gap_k3(probs: DataFrame) -> DataFrame:
 
 
 def stationary(p: np.ndarray) -> np.ndarray:
-    """Stationary distribution of a matrix: least squares with the sum fixed to 1, clipped to 0; uniform if that fails."""
-    k = len(p)
-    a = p.T - np.eye(k)
-    a[-1] = 1.0
-    b = np.zeros(k)
-    b[-1] = 1.0
-    pi = np.maximum(np.linalg.lstsq(a, b, rcond=None)[0], 0.0)
-    return pi / pi.sum() if np.isfinite(pi).all() and pi.sum() > 0 else np.full(k, 1 / k)
-
-
-def spectral_gap(p: np.ndarray) -> float:
-    real = np.sort(np.abs(np.real(np.linalg.eigvals(p))))[::-1]
-    return float(1.0 - (real[1] if len(real) > 1 else 0.0))
+    """Stationary distributions of a stack of matrices (n, k, k), by reduction of states: the last state's flow is handed to the
+    others, one state after the other, which takes no subtraction and so loses no digits. Uniform where a state that is handed
+    on leads to no other."""
+    a = np.array(p, np.float64)
+    n, k, _ = a.shape
+    for last in range(k - 1, 0, -1):
+        out = a[:, last, :last].sum(1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            a[:, :last, last] /= out[:, None]
+        a[:, :last, :last] += a[:, :last, last, None] * a[:, last, None, :last]
+    pi = np.ones((n, k))
+    for at in range(1, k):
+        pi[:, at] = (pi[:, :at] * a[:, :at, at]).sum(1)
+    pi /= pi.sum(1, keepdims=True)
+    return np.where(np.isfinite(pi).all(1, keepdims=True), pi, 1 / k)
+
+
+def spectral_gap(p: np.ndarray) -> np.ndarray:
+    """1 less the second greatest |real part| of the eigenvalues, of a stack of matrices (n, k, k); 1 for one state."""
+    if p.shape[1] < 2:
+        return np.ones(len(p))
+    return 1.0 - np.sort(np.abs(np.real(np.linalg.eigvals(p))), axis=1)[:, -2]
 
 
 def chain_general(probs: DataFrame, k: int) -> DataFrame:
-    """sid, pi (array), spectral_gap for any k: matrices as arrays, solved batch by batch."""
+    """sid, pi (array), spectral_gap for any k: matrices as arrays, a batch of them solved at once."""
     cells = matrix_rows(probs, k)
-    flat = F.array(*[f"p{i}{j}" for i in range(k) for j in range(k)])
+    flat = F.array(*[f"p{i}{j}" if k <= 10 else f"p{i}_{j}" for i in range(k) for j in range(k)])
 
     @F.pandas_udf("struct<pi: array<double>, spectral_gap: double>")
     def solve(x: pd.Series) -> pd.DataFrame:
-        found = [np.asarray(v).reshape(k, k) for v in x]
-        return pd.DataFrame({"pi": [stationary(p).tolist() for p in found], "spectral_gap": [spectral_gap(p) for p in found]})
+        found = np.stack([np.asarray(v, np.float64) for v in x]).reshape(-1, k, k) if len(x) else np.zeros((0, k, k))
+        return pd.DataFrame({"pi": stationary(found).tolist(), "spectral_gap": spectral_gap(found)})
 
     return cells.select("sid", solve(flat).alias("x")).select("sid", "x.pi", "x.spectral_gap")
 
@@ -77,10 +87,9 @@ def entropy_rate(probs: DataFrame, pi: DataFrame) -> DataFrame:
 
 def global_metrics(seq: DataFrame, k: int) -> DataFrame:
     """One row for each sequence: switch rate, occupancy entropy, entropy rate, mean self transition, gap, complexity."""
-    from statewalk.functions.expressions import array_entropy
-
     probs = transition_probs(seq, k)
-    occ = occupancy(seq, k).groupBy("sid").agg(F.collect_list("fo").alias("fo")).select("sid", array_entropy(F.col("fo")).alias("occ_entropy_bits"))
+    shares = [F.sum(F.when(F.col("s") == i, F.col("fo"))) for i in range(k)]
+    occ = occupancy(seq, k).groupBy("sid").agg(*[x.alias(f"f{i}") for i, x in enumerate(shares)]).select("sid", entropy_bits([F.col(f"f{i}") for i in range(k)]).alias("occ_entropy_bits"))
     solved = chain_general(probs, k)
     pi = solved.select("sid", F.posexplode("pi").alias("s", "pi"))
     stay = self_transition(probs).groupBy("sid").agg(F.avg("self_transition").alias("mean_self_transition"))

@@ -23,9 +23,11 @@ def one_hot(rows: DataFrame, factor: str, levels: list[str], prefix: str) -> Dat
 
 def demeaned(rows: DataFrame, columns: list[str]) -> DataFrame:
     """rows with each column less its mean over all rows: the means are one small row, joined to all."""
-    means = rows.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])
+    if not columns:
+        return rows
+    means = rows.agg(*[F.avg(f"`{c}`").alias(f"_m_{c}") for c in columns])
     out = rows.crossJoin(F.broadcast(means))
-    return out.select(*[(F.col(c) - F.col(f"_m_{c}")).alias(c) if c in columns else F.col(c) for c in rows.columns])
+    return out.select(*[(F.col(f"`{c}`") - F.col(f"`_m_{c}`")).alias(c) if c in columns else F.col(f"`{c}`") for c in rows.columns])
 
 
 def mapping(subjects: DataFrame, k: int, state_major: bool = False) -> DataFrame:
@@ -55,8 +57,8 @@ def contrast(columns: list[str], wanted: str | None = None) -> list[int]:
     return [int(c == chosen) for c in columns]
 
 
-def aligned(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """state, pos, expected_sid, actual_sid, kind of the first mismatch of each state; no row for a state that agrees.
+def aligned(expected: DataFrame, actual: DataFrame, most: int = 10) -> DataFrame:
+    """state, pos, expected_sid, actual_sid, kind of the first `most` mismatches of each state; no row for a state that agrees.
 
     expected and actual: (state, pos, sid). kind: 'missing' (no actual row), 'surplus' (no expected one) or 'differs'.
     """
@@ -65,7 +67,27 @@ def aligned(expected: DataFrame, actual: DataFrame) -> DataFrame:
     kind = F.when(F.col("actual_sid").isNull(), "missing").when(F.col("expected_sid").isNull(), "surplus").when(F.col("expected_sid") != F.col("actual_sid"), "differs")
     off = both.withColumn("kind", kind).where(F.col("kind").isNotNull())
     first = F.row_number().over(W.partitionBy("state").orderBy("pos"))
-    return off.withColumn("_n", first).where("_n = 1").drop("_n")
+    return off.withColumn("_n", first).where(F.col("_n") <= most).drop("_n")
+
+
+def unknown_states(columns: DataFrame, prefix: str = "state") -> DataFrame:
+    """state, n: the names of a columns map that don't begin with the prefix."""
+    return columns.where(~F.lower("state").startswith(prefix)).groupBy("state").agg(F.count("*").alias("n"))
+
+
+def exchange_blocks(rows: DataFrame) -> DataFrame:
+    """row_key, sid, block of mapping rows (pos, sid, row_key): one block for each subject, from 1, in the subjects' order.
+
+    Only the subjects, one row each, are put in one order.
+    """
+    subjects = rows.groupBy("sid").agg(F.min("pos").alias("_pos"))
+    numbered = subjects.select("sid", F.row_number().over(W.orderBy("_pos", "sid")).cast("long").alias("block"))
+    return rows.join(numbered, "sid").select("row_key", "sid", "block")
+
+
+def listed_rows(rows: DataFrame, order: DataFrame) -> DataFrame:
+    """pos and the rows (sid, ...) of listed sids, as often as a sid is listed."""
+    return order.select("pos", "sid").join(rows, "sid").select("pos", *rows.columns)
 
 
 def normalized_covariates(rows: DataFrame) -> DataFrame:

@@ -113,3 +113,10 @@ def network_fingerprint(patterns: DataFrame, names: DataFrame, tokens: DataFrame
     """s, network, value: mean of patterns (s, p, mean) over features whose name holds one of a network's tokens, once each."""
     hit = names.join(F.broadcast(tokens), F.lower("name").contains(F.lower("token"))).select("p", "network").distinct()
     return patterns.join(hit, "p").groupBy("s", "network").agg(F.avg("mean").alias("value"))
+
+
+def beta_distance(series: DataFrame, maps: DataFrame) -> DataFrame:
+    """sid, s, distance: the root of the mean squared difference of a sequence's features (sid, s, p, x) to its state's map
+    (s, p, beta)."""
+    both = series.join(maps.select("s", "p", "beta"), ["s", "p"])
+    return both.groupBy("sid", "s").agg(F.sqrt(F.avg(F.pow(F.col("x") - F.col("beta"), 2))).alias("distance"))

@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from statewalk.functions.expressions import array_dot, array_entropy, flag, plogp, safe_corr
+from statewalk.functions.expressions import array_dot, cells, entropy_bits, flag, plogp, safe_corr, total
 from statewalk.operators.sequences import by_step
 
 
-def normalized(weights: Column) -> Column:
-    """An array divided by its sum; by 1 where the sum is 0."""
-    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(weights, lambda x: x / F.when(total > 0, total).otherwise(F.lit(1.0)))
+def normalized(weights: Column, k: int | None = None) -> Column:
+    """An array divided by its sum; by 1 where the sum is 0. With k, of k values."""
+    if k is not None:
+        mass = total(cells(weights, k))
+        return F.array(*[x / F.when(mass > 0, mass).otherwise(F.lit(1.0)) for x in cells(weights, k)])
+    mass = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(weights, lambda x: x / F.when(mass > 0, mass).otherwise(F.lit(1.0)))
 
 
 def expected_counts(gamma: DataFrame, k: int) -> DataFrame:
@@ -79,43 +82,52 @@ def junk_states(metrics: DataFrame, low_fo: float = 0.01, short_dt: float = 2.0,
     return out.select("*", fo.alias("flag_low_fo"), dt.alias("flag_short_dt"), there.alias("flag_low_presence"), (fo | dt | there).alias("junk_state"))
 
 
+def transition_rows(k: int) -> list[Column]:
+    """The sums of the rows of the array c of expected counts."""
+    return [total([F.col("c")[i * k + j] for j in range(k)]) for i in range(k)]
+
+
 def soft_randomness(gamma: DataFrame, k: int) -> DataFrame:
     """sid, occ_entropy_bits, entropy_rate_bits, mean_self_transition.
 
     Rows of the transition matrix with an expected count below 1 count as missing: 0 in the rate, left out of the mean.
     """
     wide = expected_counts(gamma, k)
-    rows = [sum((F.col("c")[i * k + j] for j in range(1, k)), F.col("c")[i * k]) for i in range(k)]
-    occ = array_entropy(F.transform("mass", lambda x: x / F.col("steps")))
-    total = F.aggregate("mass", F.lit(0.0), lambda a, x: a + x)
-    bits = [F.when(r >= 1, sum((plogp(F.col("c")[i * k + j] / r) for j in range(1, k)), plogp(F.col("c")[i * k] / r))).otherwise(0.0) for i, r in enumerate(rows)]
-    rate = sum((F.col("mass")[i] / total * bits[i] for i in range(1, k)), F.col("mass")[0] / total * bits[0])
-    stay = F.array(*[F.when(r >= 1, F.col("c")[i * k + i] / r) for i, r in enumerate(rows)])
-    known = F.filter(stay, lambda x: x.isNotNull())
-    mean = F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.when(F.size(known) > 0, F.size(known))
-    return wide.select("sid", occ.alias("occ_entropy_bits"), rate.alias("entropy_rate_bits"), mean.alias("mean_self_transition"))
+    rows, mass = transition_rows(k), cells(F.col("mass"), k)
+    bits = [F.when(r >= 1, total([plogp(F.col("c")[i * k + j] / r) for j in range(k)])).otherwise(0.0) for i, r in enumerate(rows)]
+    rate = total([m / total(mass) * b for m, b in zip(mass, bits)])
+    stay = total([F.when(r >= 1, F.col("c")[i * k + i] / r).otherwise(0.0) for i, r in enumerate(rows)])
+    known = total([F.when(r >= 1, 1).otherwise(0) for r in rows])
+    return wide.select("sid", entropy_bits([m / F.col("steps") for m in mass]).alias("occ_entropy_bits"), rate.alias("entropy_rate_bits"), (stay / F.when(known > 0, known)).alias("mean_self_transition"))
 
 
 def asymmetry(gamma: DataFrame, k: int) -> DataFrame:
-    """sid, asym_raw, asym_norm: mean |P - P'| above the diagonal, and that over the mean |P + P'|; null if a row is missing."""
-    wide = expected_counts(gamma, k)
-    rows = [sum((F.col("c")[i * k + j] for j in range(1, k)), F.col("c")[i * k]) for i in range(k)]
-    p = {(i, j): F.col("c")[i * k + j] / F.when(rows[i] >= 1, rows[i]) for i in range(k) for j in range(k)}
+    """sid, asym_raw, asym_norm: mean |P - P'| above the diagonal, and that over the mean |P + P'|; null if a row is missing, and
+    for one state, which has nothing above the diagonal."""
+    wide, rows = expected_counts(gamma, k), transition_rows(k)
     upper = [(i, j) for i in range(k) for j in range(i + 1, k)]
-    apart = sum((F.abs(p[i, j] - p[j, i]) for i, j in upper[1:]), F.abs(p[upper[0]] - p[upper[0][::-1]])) / len(upper)
-    joint = sum((F.abs(p[i, j] + p[j, i]) for i, j in upper[1:]), F.abs(p[upper[0]] + p[upper[0][::-1]])) / len(upper)
+    if not upper:
+        return wide.select("sid", F.lit(None).cast("double").alias("asym_raw"), F.lit(None).cast("double").alias("asym_norm"))
+    p = {(i, j): F.col("c")[i * k + j] / F.when(rows[i] >= 1, rows[i]) for i in range(k) for j in range(k)}
+    apart = total([F.abs(p[i, j] - p[j, i]) for i, j in upper]) / len(upper)
+    joint = total([F.abs(p[i, j] + p[j, i]) for i, j in upper]) / len(upper)
     return wide.select("sid", apart.alias("asym_raw"), joint.alias("joint")).select("sid", "asym_raw", (F.col("asym_raw") / (F.col("joint") + 1e-12)).alias("asym_norm"))
 
 
-def soft_switch(gamma: DataFrame) -> DataFrame:
+def soft_switch(gamma: DataFrame, k: int | None = None) -> DataFrame:
     """sid, switch_rate_soft: mean chance of a change from step to step; null for sequences of one step."""
-    h = F.lead("g").over(by_step())
-    return gamma.select("sid", (1 - array_dot(F.col("g"), h)).alias("x")).groupBy("sid").agg(F.avg("x").alias("switch_rate_soft"))
+    both = gamma.select("sid", "g", F.lead("g").over(by_step()).alias("h"))
+    stay = array_dot(F.col("g"), F.col("h")) if k is None else total([x * y for x, y in zip(cells(F.col("g"), k), cells(F.col("h"), k))])
+    return both.select("sid", (1 - stay).alias("x")).groupBy("sid").agg(F.avg("x").alias("switch_rate_soft"))
+
 
+def greatest(g: Column, k: int) -> Column:
+    return F.greatest(*cells(g, k)) if k > 1 else g[0]
 
-def indecision(gamma: DataFrame, dominant: float = 0.8, ambiguous: float = 0.5) -> DataFrame:
+
+def indecision(gamma: DataFrame, k: int, dominant: float = 0.8, ambiguous: float = 0.5) -> DataFrame:
     """sid, steps, mean and median of entropy and of the greatest probability, shares of clear and of ambiguous steps."""
-    x = gamma.select("sid", array_entropy(F.col("g")).alias("h"), F.array_max("g").alias("m"))
+    x = gamma.select("sid", entropy_bits(cells(F.col("g"), k)).alias("h"), greatest(F.col("g"), k).alias("m"))
     half = F.lit(0.5)
     return x.groupBy("sid").agg(
         F.count("*").alias("steps"),
@@ -128,17 +140,60 @@ def indecision(gamma: DataFrame, dominant: float = 0.8, ambiguous: float = 0.5)
     )
 
 
-def sharpness(gamma: DataFrame) -> DataFrame:
+#: Bins of one step of `quantiles`, and values that the driver sorts.
+QUANTILE_BINS, QUANTILE_ROWS = 4096, 10_000
+
+
+def quantiles(rows: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    """Exact interpolated quantiles of a column, without its nulls, of any number of rows.
+
+    The values at the ranks that are asked for are found by counting in bins of the range that holds them, ever finer, until
+    few values or one are left: no task ever holds all values, as an exact percentile in one aggregation does.
+    """
+    known = rows.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
+    n, least, most = known.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    if not n:
+        return [None] * len(shares)
+
+    def at_rank(rank: int) -> float:
+        lo, hi, before = least, most, 0
+        while lo < hi:
+            width = (hi - lo) / QUANTILE_BINS
+            b = F.least(F.greatest(F.floor((F.col("x") - lo) / width), F.lit(0)), F.lit(QUANTILE_BINS - 1)).alias("b")
+            inside = known.where((F.col("x") >= lo) & (F.col("x") <= hi))
+            for r in inside.groupBy(b).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("b").collect():
+                if before + r["n"] > rank:
+                    break
+                before += r["n"]
+            if r["n"] <= QUANTILE_ROWS and r["lo"] < r["hi"]:
+                return sorted(v[0] for v in known.where((F.col("x") >= r["lo"]) & (F.col("x") <= r["hi"])).collect())[rank - before]
+            lo, hi = r["lo"], r["hi"]
+        return lo
+
+    found: dict[int, float] = {}
+    out = []
+    for share in shares:
+        place = share * (n - 1)
+        low, high = int(place), min(int(place) + 1, n - 1)
+        for rank in (low, high):
+            if rank not in found:
+                found[rank] = at_rank(rank)
+        out.append(found[low] + (found[high] - found[low]) * (place - low))
+    return out
+
+
+def sharpness(gamma: DataFrame, k: int) -> DataFrame:
     """One row: steps, median, p25, p75, least and most of the greatest probabilities."""
-    q = F.percentile("m", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = gamma.select(F.array_max("g").alias("m")).agg(F.count("*").alias("steps"), q.alias("q"), F.min("m").alias("least"), F.max("m").alias("most"))
-    return out.select("steps", F.col("q")[1].alias("median"), F.col("q")[0].alias("p25"), F.col("q")[2].alias("p75"), "least", "most")
+    m = gamma.select(greatest(F.col("g"), k).alias("m"))
+    p25, median, p75 = quantiles(m, "m", [0.25, 0.5, 0.75])
+    lit = [F.lit(x).cast("double").alias(name) for x, name in ((median, "median"), (p25, "p25"), (p75, "p75"))]
+    return m.agg(F.count("*").alias("steps"), F.min("m").alias("least"), F.max("m").alias("most")).select("steps", *lit, "least", "most")
 
 
-def histogram(gamma: DataFrame, bins: int = 20) -> DataFrame:
+def histogram(gamma: DataFrame, k: int, bins: int = 20) -> DataFrame:
     """bin_left, bin_right, n of the greatest probabilities in equal bins of [0, 1], the last closed on the right."""
     spark = gamma.sparkSession
-    b = F.least(F.floor(F.array_max("g") * bins), F.lit(bins - 1)).cast("long")
+    b = F.least(F.floor(greatest(F.col("g"), k) * bins), F.lit(bins - 1)).cast("long")
     counted = gamma.select(b.alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
     grid = spark.range(bins).withColumnRenamed("id", "bin")
     return grid.join(counted, "bin", "left").select((F.col("bin") / bins).alias("bin_left"), ((F.col("bin") + 1) / bins).alias("bin_right"), F.coalesce("n", F.lit(0)).alias("n"))

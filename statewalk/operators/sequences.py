@@ -123,23 +123,63 @@ def state_metrics(seq: DataFrame, k: int) -> DataFrame:
     return out
 
 
+class History:
+    """The substrings of a growing binary string, as its suffix automaton: two transitions a state, -1 where there is none."""
+
+    def __init__(self) -> None:
+        self.size, self.link, self.go, self.last = [0], [-1], ([-1], [-1]), 0
+
+    def _state(self, size: int, link: int, zero: int, one: int) -> int:
+        self.size.append(size)
+        self.link.append(link)
+        self.go[0].append(zero)
+        self.go[1].append(one)
+        return len(self.size) - 1
+
+    def append(self, bit: int) -> None:
+        go, new = self.go[bit], self._state(self.size[self.last] + 1, 0, -1, -1)
+        at, self.last = self.last, new
+        while at >= 0 and go[at] < 0:
+            go[at] = new
+            at = self.link[at]
+        if at < 0:
+            return
+        to = go[at]
+        if self.size[to] != self.size[at] + 1:  # what ends here is shorter than what `to` stands for: part it
+            part = self._state(self.size[at] + 1, self.link[to], self.go[0][to], self.go[1][to])
+            self.link[to] = part
+            while at >= 0 and go[at] == to:
+                go[at] = part
+                at = self.link[at]
+            to = part
+        self.link[new] = to
+
+    def longest(self, bits: list[int], start: int) -> int:
+        """Length of the longest prefix of bits[start:] that occurs in the history."""
+        at, end = 0, start
+        while end < len(bits) and (at := self.go[bits[end]][at]) >= 0:
+            end += 1
+        return end - start
+
+
 def lz_complexity(signal: str) -> float:
     """Number of phrases of a binary string over n / log2 n; the number itself for n of at most 1.
 
-    A phrase grows as long as it occurs in the history before it. The first history is empty and the first phrase begins
-    at the second symbol; each later phrase begins where the history, extended by the phrase's length, ends.
+    A phrase is the longest that occurs in the history before it, and one symbol more. The first history is empty and the
+    first phrase begins at the second symbol; each later phrase begins where the history, extended by the phrase, ends. Every
+    symbol is appended to the history once and read once, so the time is in proportion to the length.
     """
-    n, count, history, start = len(signal), 1, 0, 1
+    bits, history = [int(x) for x in signal], History()
+    n, count, end, start = len(bits), 1, 0, 1
     while True:
-        size = 1
-        while start + size <= n and signal.find(signal[start : start + size], 0, history) >= 0:
-            size += 1
+        size = history.longest(bits, start) + 1
         count += 1
-        history += size
-        if start + size > n or history >= n:
-            break
-        start = history
-    return count / (n / math.log2(n)) if n > 1 else float(count)
+        for bit in bits[end : end + size]:
+            history.append(bit)
+        end += size
+        if start + size > n or end >= n:
+            return count / (n / math.log2(n)) if n > 1 else float(count)
+        start = end
 
 
 def lzc(seq: DataFrame) -> DataFrame:
@@ -153,3 +193,22 @@ def lzc(seq: DataFrame) -> DataFrame:
     return bits.select("sid", F.pandas_udf(score, T.DoubleType())(signal).alias("lzc_switches"))
 
 
+def segment_index(steps: DataFrame) -> DataFrame:
+    """sid, start, end (exclusive), n_tr: where each sequence's rows stand if all sequences follow each other by sid.
+
+    Only the sequences' lengths, one row each, are put in one order.
+    """
+    lengths = steps.groupBy("sid").agg(F.count("*").alias("n_tr"))
+    end = F.sum("n_tr").over(W.orderBy("sid").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return lengths.select("sid", (end - F.col("n_tr")).alias("start"), end.alias("end"), "n_tr")
+
+
+def state_text(seq: DataFrame) -> DataFrame:
+    """sid, value: a sequence's states in order, one a line."""
+    rows = seq.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("t", "s"))).alias("rows"))
+    return rows.select("sid", F.array_join(F.transform("rows", lambda r: r["s"].cast("string")), "\n").alias("value"))
+
+
+def numbered(rows: DataFrame, column: str) -> DataFrame:
+    """rows with the column replaced by its place from 0: for one row a subject, which are put in one order."""
+    return rows.withColumn(column, F.row_number().over(W.orderBy(column)) - 1)

@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
+def beside(rows: DataFrame, by: list[str], *aggregates: Column) -> DataFrame:
+    """rows with aggregates of their family: windows by family, and for all rows together one row that is joined to each."""
+    if not by:
+        return rows.crossJoin(F.broadcast(rows.agg(*aggregates)))  # one row
+    own = rows.groupBy(*by).agg(*aggregates)
+    return rows.join(own, by)
+
+
 def cohen_d(rows: DataFrame, by: list[str]) -> DataFrame:
     """by, d of rows (grp in M, F; y): mean difference over the pooled deviation; 0 where that is 0 or a group is empty."""
 
@@ -24,41 +32,45 @@ def cohen_d(rows: DataFrame, by: list[str]) -> DataFrame:
 def eta_sq(rows: DataFrame, by: list[str]) -> DataFrame:
     """by, eta_sq of rows (grp, y): between-level share of the sum of squares; 0 without spread.
 
-    A null level counts in the total only.
+    A null level counts in the total only. Rows are only summed by level; means and squares come from the levels' few rows.
     """
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
-    x = rows.withColumn("grand", F.avg("y").over(w))
-    level = x.groupBy(*by, "grp").agg(F.count("y").alias("n"), F.avg("y").alias("mean"), F.first("grand").alias("grand"), F.sum(F.pow(F.col("y") - F.col("grand"), 2)).alias("sst"))
-    between = F.sum(F.when(F.col("grp").isNotNull(), F.col("n") * F.pow(F.col("mean") - F.col("grand"), 2)).otherwise(0.0))
-    out = level.groupBy(*by).agg(between.alias("ssb"), F.sum("sst").alias("sst"))
+    level = rows.groupBy(*by, "grp").agg(F.count("y").alias("n"), F.avg("y").alias("mean"), F.var_pop("y").alias("var"))
+    known = level.where("n > 0")
+    own = W.partitionBy(*by) if by else W.partitionBy()
+    known = known.withColumn("grand", F.sum(F.col("n") * F.col("mean")).over(own) / F.sum("n").over(own))
+    square = F.col("n") * F.pow(F.col("mean") - F.col("grand"), 2)
+    out = known.groupBy(*by).agg(F.sum(F.when(F.col("grp").isNotNull(), square).otherwise(0.0)).alias("ssb"), F.sum(square + F.col("n") * F.col("var")).alias("sst"))
     return out.select(*by, F.when(F.col("sst") > 0, F.col("ssb") / F.when(F.col("sst") > 0, F.col("sst"))).otherwise(0.0).alias("eta_sq"))
 
 
 def residualize(rows: DataFrame, by: list[str], nuisance: str = "fd") -> DataFrame:
     """rows with r: y less its regression on intercept and nuisance. Missing nuisance takes its mean (0 if all is missing);
     a constant nuisance has slope 0. Rows without y are dropped."""
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
-    x = rows.where(F.col("y").isNotNull()).withColumn("_x", F.coalesce(nuisance, F.avg(nuisance).over(w), F.lit(0.0)))
-    my, mx = F.avg("y").over(w), F.avg("_x").over(w)
-    sxy = F.avg(F.col("_x") * F.col("y")).over(w) - mx * my
-    sxx = F.var_pop("_x").over(w)
-    slope = F.when(sxx > 0, sxy / F.when(sxx > 0, sxx)).otherwise(0.0)
-    return x.withColumn("r", F.col("y") - my - slope * (F.col("_x") - mx)).drop("_x")
+    known = rows.where(F.col("y").isNotNull())
+    both = F.when(F.col(nuisance).isNotNull(), F.col("y"))
+    figures = {"_my": F.avg("y"), "_mx": F.avg(nuisance), "_sxy": F.covar_pop(F.col(nuisance), both), "_sxx": F.var_pop(nuisance)}
+    if by:
+        own = W.partitionBy(*by)
+        x = known.select("*", *[f.over(own).alias(name) for name, f in figures.items()])
+    else:
+        x = beside(known, [], *[f.alias(name) for name, f in figures.items()])
+    slope = F.when(F.col("_sxx") > 0, F.col("_sxy") / F.when(F.col("_sxx") > 0, F.col("_sxx"))).otherwise(0.0)
+    return x.withColumn("r", F.col("y") - F.col("_my") - slope * F.coalesce(F.col(nuisance) - F.col("_mx"), F.lit(0.0))).drop(*figures)
 
 
 def permuted(rows: DataFrame, n_perm: int, by: tuple[str, ...] = (), seed: str = "42") -> DataFrame:
     """by, perm (0 for the labels as they are, then 1..n_perm), sid, r, grp with labels dealt in a hashed order.
 
-    Permutation i gives the label of the row at place j by sid to the row at place j by md5(seed, i, sid). Every sort is
-    within one permutation of one family, so permutations are spread over tasks.
+    Permutation i gives the label of the row at place j by sid to the row at place j by md5(seed, i, sid). Each permutation of
+    each family is sorted on its own, so permutations are spread over tasks; the places by sid are the same for all of them.
     """
-    times = rows.select(*by, "sid", "r", "grp").withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm))))
+    by_sid = (W.partitionBy(*by) if by else W).orderBy("sid")
+    labels = rows.select(*by, "sid", "grp").withColumn("place", F.row_number().over(by_sid)).select(*by, "place", F.col("grp").alias("label"))
+    times = rows.select(*by, "sid", "r").withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm))))
     mixed = F.when(F.col("perm") > 0, F.md5(F.concat_ws(":", F.lit(seed), "perm", "sid").cast("binary"))).otherwise(F.lpad(F.col("sid").cast("string"), 20, "0"))
-    one = W.partitionBy(*by, "perm")
-    places = times.select(*by, "perm", "sid", "r", "grp", F.row_number().over(one.orderBy("sid")).alias("place"), F.row_number().over(one.orderBy(mixed, "sid")).alias("drawn"))
-    labels = places.select(*by, "perm", "place", F.col("grp").alias("label"))
-    values = places.select(*by, "perm", "sid", "r", F.col("drawn").alias("place"))
-    return values.join(labels, [*by, "perm", "place"]).select(*by, "perm", "sid", "r", F.col("label").alias("grp"))
+    own = W.partitionBy(*by, "perm")
+    values = times.withColumn("place", F.row_number().over(own.orderBy(mixed, "sid")))
+    return values.join(labels, [*by, "place"]).select(*by, "perm", "sid", "r", F.col("label").alias("grp"))
 
 
 def p_value(stats: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -91,7 +103,7 @@ def effects(rows: DataFrame, by: tuple[str, ...], n_perm: int) -> DataFrame:
     y is residualised on the nuisance within each family. sex is tested between M and F with Cohen's d as its effect, age
     over all levels with eta squared. The q control false discoveries over all rows of the table.
     """
-    left = residualize(rows, list(by)).withColumnRenamed("y", "_y")
+    left = residualize(rows, list(by)).select(*by, "sid", "r", "sex", "age").persist()  # read by both tests and both effects
     sex = left.select(*by, "sid", "r", F.col("sex").alias("grp"))
     age = left.select(*by, "sid", "r", F.col("age").alias("grp"))
     d = cohen_d(sex.withColumnRenamed("r", "y"), list(by)).withColumnRenamed("d", "effect")
@@ -109,30 +121,51 @@ def long_metrics(wide: DataFrame, keys: list[str], metrics: list[str]) -> DataFr
     return wide.select(*keys, pairs.alias("x")).select(*keys, "x.metric", "x.y")
 
 
-def parcel_glm(stack: DataFrame, n_perm: int, seed: str = "42") -> DataFrame:
-    """p, t, p_fwe of stack (sid, p, value, grp): two-sample t of each parcel and its family-wise p by the greatest |t|.
+def parcel_glm(stack: DataFrame, n_perm: int, by: tuple[str, ...] = (), seed: str = "42") -> DataFrame:
+    """by, p, t, p_fwe of stack (by, sid, p, value, grp): two-sample t of each parcel and its family-wise p by the greatest |t|.
 
-    Labels are permuted over sequences, the same way for all parcels, so the greatest statistic keeps their dependence.
+    Labels are permuted over the sequences of a family, the same way for all its parcels, so the greatest statistic keeps their
+    dependence.
     """
-    subjects = stack.groupBy("sid").agg(F.first("grp").alias("grp")).withColumn("r", F.lit(0.0))
-    labels = permuted(subjects, n_perm, seed=seed).select("perm", "sid", F.col("grp").alias("label"))
+    subjects = stack.groupBy(*by, "sid").agg(F.min("grp").alias("grp")).withColumn("r", F.lit(0.0))
+    labels = permuted(subjects, n_perm, by, seed).select(*by, "perm", "sid", F.col("grp").alias("label"))
     m, f = (F.when(F.col("label") == g, F.col("value")) for g in ("M", "F"))
-    by = stack.select("sid", "p", "value").join(labels, "sid").groupBy("perm", "p").agg(F.count(m).alias("nm"), F.count(f).alias("nf"), F.avg(m).alias("m"), F.avg(f).alias("f"), F.var_samp(m).alias("vm"), F.var_samp(f).alias("vf"))
+    sums = stack.select(*by, "sid", "p", "value").join(labels, [*by, "sid"]).groupBy(*by, "perm", "p").agg(F.count(m).alias("nm"), F.count(f).alias("nf"), F.avg(m).alias("m"), F.avg(f).alias("f"), F.var_samp(m).alias("vm"), F.var_samp(f).alias("vf"))
     pooled = ((F.col("nm") - 1) * F.col("vm") + (F.col("nf") - 1) * F.col("vf")) / F.when(F.col("nm") + F.col("nf") > 2, F.col("nm") + F.col("nf") - 2)
     t = (F.col("m") - F.col("f")) / F.when(pooled > 0, F.sqrt(pooled * (1 / F.col("nm") + 1 / F.col("nf"))))
-    all_t = by.select("perm", "p", t.alias("t"))
-    seen = all_t.where("perm = 0").select("p", "t")
-    most = all_t.where("perm > 0").groupBy("perm").agg(F.max(F.abs("t")).alias("most"))
-    hits = seen.crossJoin(F.broadcast(most)).groupBy("p", "t").agg(F.sum((F.col("most") >= F.abs("t")).cast("long")).alias("hits"), F.count("*").alias("n"))  # one row a permutation
-    return hits.select("p", "t", F.when(F.col("t").isNotNull(), (F.coalesce("hits", F.lit(0)) + 1) / (F.col("n") + 1)).alias("p_fwe"))
+    return greatest_p(sums.select(*by, "perm", "p", t.alias("t")), by)
+
+
+def greatest_p(stats: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """by, p, t, p_fwe of stats (by, perm, p, t): the share of permutations whose greatest |t| reaches a parcel's."""
+    seen = stats.where("perm = 0").select(*by, "p", "t")
+    most = stats.where("perm > 0").groupBy(*by, "perm").agg(F.max(F.abs("t")).alias("most"))
+    both = seen.join(most, list(by)) if by else seen.crossJoin(F.broadcast(most))  # one row a permutation
+    hits = both.groupBy(*by, "p", "t").agg(F.sum((F.col("most") >= F.abs("t")).cast("long")).alias("hits"), F.count("*").alias("n"))
+    return hits.select(*by, "p", "t", F.when(F.col("t").isNotNull(), (F.coalesce("hits", F.lit(0)) + 1) / (F.col("n") + 1)).alias("p_fwe"))
+
+
+def parcel_sign_flip(stack: DataFrame, n_perm: int, by: tuple[str, ...] = (), seed: str = "42") -> DataFrame:
+    """by, p, t, p_fwe of stack (by, sid, p, value): one-sample t of each parcel's mean against zero, and its family-wise p.
+
+    A permutation turns the signs of about half of the sequences, all parcels of a sequence alike, by md5(seed, i, sid).
+    """
+    flip = F.substring(F.md5(F.concat_ws(":", F.lit(seed), "perm", "sid").cast("binary")), 1, 1) < "8"
+    times = stack.select(*by, "sid", "p", "value").withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm))))
+    signed = times.withColumn("value", F.when((F.col("perm") > 0) & flip, -F.col("value")).otherwise(F.col("value")))
+    sums = signed.groupBy(*by, "perm", "p").agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.stddev_samp("value").alias("sd"))
+    return greatest_p(sums.select(*by, "perm", "p", (F.col("m") / F.when(F.col("sd") > 0, F.col("sd") / F.sqrt("n"))).alias("t")), by)
 
 
 def benjamini_hochberg(rows: DataFrame, p: str, tie: list[str], family: list[str] | None = None) -> DataFrame:
     """rows with q_bh: p times the family's size over its rank, made monotone from the largest p down, within [0, 1].
 
-    A null p has no q and doesn't count. Ties are ordered by `tie`; their q are equal whatever the order.
+    A null p has no q and doesn't count. Ties are ordered by `tie`; their q are equal whatever the order. Families are sorted
+    each in its own task; without families `adjusted` sorts all rows in many.
     """
-    part = W.partitionBy(*(family or [F.lit(1)]))
+    if not family:
+        return adjusted(rows, p)
+    part = W.partitionBy(*family)
     known = F.col(p).isNotNull()
     up = part.orderBy(F.col(p).asc_nulls_last(), *tie)
     m = F.sum(known.cast("int")).over(part)
@@ -143,6 +176,30 @@ def benjamini_hochberg(rows: DataFrame, p: str, tie: list[str], family: list[str
     return out.withColumn("q_bh", F.when(known, F.greatest(q, F.lit(0.0)))).drop("_raw", "_rank")
 
 
+#: Bands of p-values for each factor of two, by which a family of any size is sorted in parts.
+BANDS = 64
+
+
+def adjusted(rows: DataFrame, p: str) -> DataFrame:
+    """The same for one family of any size: equal p share a q, so distinct p are ranked by their counts, band by band.
+
+    Only the bands' totals, a bounded number of rows, are put in order in one place. The rows are kept while they are ranked.
+    """
+    rows = rows.persist()
+    band = F.when(F.col("_p") > 0, F.floor(F.log2("_p") * BANDS)).otherwise(F.lit(-(1 << 20))).alias("_band")
+    values = rows.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_c")).select("_p", "_c", band)
+    totals = values.groupBy("_band").agg(F.sum("_c").alias("_n"))
+    totals = beside(totals, [], F.sum("_n").alias("_m")).select("_band", "_m", (F.sum("_n").over(W.orderBy("_band")) - F.col("_n")).alias("_before"))
+    inside = W.partitionBy("_band").orderBy("_p")
+    ranked = values.join(totals, "_band").withColumn("_raw", F.col("_p") * F.col("_m") / (F.col("_before") + F.sum("_c").over(inside)))
+    least = ranked.groupBy("_band").agg(F.min("_raw").alias("_least"))
+    later = F.min("_least").over(W.orderBy(F.desc("_band")).rowsBetween(W.unboundedPreceding, -1))
+    least = least.select("_band", F.coalesce(later, F.lit(1.0)).alias("_later"))
+    down = W.partitionBy("_band").orderBy(F.desc("_p"))
+    found = ranked.join(least, "_band").select(F.col("_p"), F.greatest(F.least(F.min("_raw").over(down), F.col("_later"), F.lit(1.0)), F.lit(0.0)).alias("q_bh"))
+    return rows.join(found, F.col(p) == F.col("_p"), "left").drop("_p")
+
+
 def complete_blocks(rows: DataFrame, k: int) -> DataFrame:
     """rows (sid, s, y) of the sids that have all k states."""
     return rows.withColumn("_n", F.count("*").over(W.partitionBy("sid"))).where(F.col("_n") == k).drop("_n")
@@ -151,34 +208,30 @@ def complete_blocks(rows: DataFrame, k: int) -> DataFrame:
 def rm_state_f(rows: DataFrame, by: list[str], k: int) -> DataFrame:
     """by, n_sid, f_obs, df_num, df_den, partial_eta2 of complete blocks (sid, s, y): the effect of the state within sids.
 
-    Closed form of the nested-model F with sid dummies: sums of squares of sids and of states are taken from group means.
-    Degrees of freedom count columns, the nuisance constant within a sid among them: N k - N - k.
+    Closed form of the nested-model F with sid dummies: the sums of squares within sids and of states are taken from group
+    means, so rows are only summed.
+    Degrees of freedom count columns, the nuisance constant within a sid among them: N k - N - k. Where blocks aren't complete
+    the closed form doesn't hold, and there is no F.
     """
-    part = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
-    x = rows.withColumn("grand", F.avg("y").over(part))
-    sums = x.groupBy(*by).agg(F.sum(F.pow(F.col("y") - F.col("grand"), 2)).alias("sst"), F.countDistinct("sid").alias("n_sid"))
-
-    def between(level: str, name: str) -> DataFrame:
-        g = x.groupBy(*by, level).agg(F.count("*").alias("n"), F.avg("y").alias("m"), F.first("grand").alias("grand"))
-        return g.groupBy(*by).agg(F.sum(F.col("n") * F.pow(F.col("m") - F.col("grand"), 2)).alias(name))
-
-    parts = [between("sid", "ss_sid"), between("s", "ss_state")]
-    for p in parts:
-        sums = sums.join(p, by) if by else sums.crossJoin(p)
-    rss = F.col("sst") - F.col("ss_sid") - F.col("ss_state")
+    sids = rows.groupBy(*by, "sid").agg(F.avg("y").alias("m"), F.var_pop("y").alias("v"), F.count("*").alias("n"))
+    sums = sids.groupBy(*by).agg(F.count("*").alias("n_sid"), F.sum("n").alias("cells"), F.sum(F.col("n") * F.col("v")).alias("within"))
+    states = rows.groupBy(*by, "s").agg(F.avg("y").alias("m")).groupBy(*by).agg(F.var_pop("m").alias("spread"))
+    sums = sums.join(states, by) if by else sums.crossJoin(F.broadcast(states))  # one row a family
+    sums = sums.withColumn("ss_state", F.col("cells") * F.col("spread"))
+    rss = F.col("within") - F.col("ss_state")
     num, den = F.lit(k - 1), F.col("n_sid") * k - F.col("n_sid") - k
-    f = F.when((rss > 0) & (den > 0), (F.col("ss_state") / num) / (rss / F.when(den > 0, den)))
+    f = F.when((rss > 0) & (den > 0) & (F.col("cells") == F.col("n_sid") * k), (F.col("ss_state") / num) / (rss / F.when(den > 0, den)))
     return sums.select(*by, "n_sid", f.alias("f_obs"), num.cast("long").alias("df_num"), den.cast("long").alias("df_den"), (F.col("ss_state") / F.when(F.col("ss_state") + rss > 0, F.col("ss_state") + rss)).alias("partial_eta2"))
 
 
-def rm_state_test(rows: DataFrame, k: int, n_perm: int, seed: str = "42") -> DataFrame:
+def rm_state_test(rows: DataFrame, k: int, n_perm: int, by: tuple[str, ...] = (), seed: str = "42") -> DataFrame:
     """f_obs of the state effect and its permutation p: states are permuted within each sid, by a hashed order."""
-    times = rows.select("sid", "s", "y").withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm))))
+    times = rows.select(*by, "sid", "s", "y").withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm))))
     mixed = F.when(F.col("perm") > 0, F.md5(F.concat_ws(":", F.lit(seed), "perm", "sid", "s").cast("binary"))).otherwise(F.lpad(F.col("s").cast("string"), 20, "0"))
-    own = W.partitionBy("perm", "sid")
+    own = W.partitionBy(*by, "perm", "sid")
     # complete blocks: the states of a sid are 0..k-1, so the place in the hashed order is itself the state dealt
     dealt = times.withColumn("s", F.row_number().over(own.orderBy(mixed, "s")) - 1)
-    return p_value(rm_state_f(dealt, ["perm"], k).select("perm", F.col("f_obs").alias("stat")))
+    return p_value(rm_state_f(dealt, [*by, "perm"], k).select(*by, "perm", F.col("f_obs").alias("stat")), by)
 
 
 def rm_interaction_f(rows: DataFrame, by: list[str], k: int) -> DataFrame:
@@ -199,12 +252,41 @@ def rm_interaction_f(rows: DataFrame, by: list[str], k: int) -> DataFrame:
     return out.select(*by, f.alias("f_obs"), num.cast("long").alias("df_num"), den.cast("long").alias("df_den"), (gain / F.when(gain + rss > 0, gain + rss)).alias("partial_eta2"))
 
 
-def rm_interaction_test(rows: DataFrame, k: int, n_perm: int, seed: str = "42") -> DataFrame:
+def rm_interaction_test(rows: DataFrame, k: int, n_perm: int, by: tuple[str, ...] = (), seed: str = "42") -> DataFrame:
     """f_obs of the interaction and its permutation p: levels are permuted over sids, each sid keeping one level."""
-    sids = rows.select("sid", "grp").distinct().withColumn("r", F.lit(0.0))
-    labels = permuted(sids, n_perm, seed=seed).select("perm", "sid", "grp")
-    dealt = rows.select("sid", "s", "y").join(labels, "sid")
-    return p_value(rm_interaction_f(dealt, ["perm"], k).select("perm", F.col("f_obs").alias("stat")))
+    sids = rows.select(*by, "sid", "grp").distinct().withColumn("r", F.lit(0.0))
+    labels = permuted(sids, n_perm, by, seed).select(*by, "perm", "sid", "grp")
+    dealt = rows.select(*by, "sid", "s", "y").join(labels, [*by, "sid"])
+    return p_value(rm_interaction_f(dealt, [*by, "perm"], k).select(*by, "perm", F.col("f_obs").alias("stat")), by)
+
+
+def rm_omnibus(rows: DataFrame, k: int, n_perm: int) -> DataFrame:
+    """metric, term, f_obs, p_perm, df_num, df_den, partial_eta2, q_bh of rows (metric, sid, s, y, sex, age): for each metric the
+    terms State, AgeGroup, AgeGroup:State, Sex and Sex:State beside the sids and the nuisance, in one table.
+
+    Sids that miss a state of a metric are left out of it. The nuisance and the main effects of sex and age are constant within
+    a sid: its columns absorb them, so those two terms have degrees of freedom but no F and no p; the nuisance counts as a
+    column. State is tested by permuting states within sids, the interactions by permuting levels over sids. The q control
+    false discoveries over all rows of the table.
+    """
+    by = ("metric",)
+    known = rows.where(F.col("y").isNotNull()).select("metric", "sid", "s", "y", "sex", "age")
+    full = known.withColumn("_n", F.count("*").over(W.partitionBy("metric", "sid"))).where(F.col("_n") == k).drop("_n").persist()  # read by every term
+    none = F.lit(None).cast("double")
+    figures = ["f_obs", "p_perm", "df_num", "df_den", "partial_eta2"]
+    state = rm_state_f(full, ["metric"], k).join(rm_state_test(full, k, n_perm, by).select("metric", "p_perm"), "metric")
+    parts = [state.select("metric", F.lit("State").alias("term"), *figures)]
+    for factor, term in (("age", "AgeGroup"), ("sex", "Sex")):
+        levelled = full.select("metric", "sid", "s", "y", F.col(factor).alias("grp")).where("grp is not null")
+        size = levelled.groupBy("metric").agg(F.countDistinct("sid").alias("n"), F.countDistinct("grp").alias("g"))
+        num, den = F.col("g") - 1, F.col("n") * (k - 1) - k - F.col("g") + 1
+        parts.append(size.select("metric", F.lit(term).alias("term"), none.alias("f_obs"), none.alias("p_perm"), num.cast("long").alias("df_num"), den.cast("long").alias("df_den"), none.alias("partial_eta2")))
+        inner = rm_interaction_f(levelled, ["metric"], k).join(rm_interaction_test(levelled, k, n_perm, by).select("metric", "p_perm"), "metric")
+        parts.append(inner.select("metric", F.lit(f"{term}:State").alias("term"), *figures))
+    table = parts[0]
+    for part in parts[1:]:
+        table = table.unionByName(part)
+    return benjamini_hochberg(table, "p_perm", ["metric", "term"])
 
 
 def design_columns(sid: np.ndarray, s: np.ndarray, k: int, fd: np.ndarray, sex: np.ndarray, age: np.ndarray, terms: set[str]) -> np.ndarray:
@@ -233,7 +315,10 @@ def nested_f(y: np.ndarray, reduced: np.ndarray, full: np.ndarray) -> tuple[floa
     NaN where the model leaves no freedom, or where the added columns explain nothing that rounding doesn't.
     """
     def rss(x: np.ndarray) -> float:
-        beta, *_ = np.linalg.lstsq(x, y, rcond=1e-6)
+        try:
+            beta, *_ = np.linalg.lstsq(x, y, rcond=1e-6)
+        except np.linalg.LinAlgError:
+            beta = np.linalg.pinv(x, rcond=1e-6) @ y
         return float(((y - x @ beta) ** 2).sum())
 
     r, f = rss(reduced), rss(full)

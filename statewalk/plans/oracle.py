@@ -174,7 +174,7 @@ def oracle_sql() -> dict[str, str]:
     out["parcel_wide"] = f"WITH {PARCELS} SELECT p, " + ", ".join(f"{r6(f'avg(CASE WHEN s = {i} THEN value END)')} AS state{i}" for i in range(3)) + " FROM pa GROUP BY p"
     for name, f in (("parcellate_mean", "avg(l_quantity)"), ("parcellate_median", "quantile_cont(l_quantity, 0.5)")):
         out[name] = f"SELECT l_suppkey AS sid, CAST(l_linenumber AS BIGINT) AS t, p_brand AS label, {r6(f)} AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3"
-    out["paint_labels"] = f"WITH {PARCELS}, v AS (SELECT s, p AS label, avg(value) AS value FROM pa WHERE p <> 'Brand#1' GROUP BY 1, 2), st AS (SELECT DISTINCT s FROM v) SELECT p_partkey AS elem, st.s, {r6('coalesce(v.value, 0)')} AS value FROM part CROSS JOIN st LEFT JOIN v ON v.label = part.p_brand AND v.s = st.s"
+    out["paint_labels"] = f"WITH {PARCELS}, v AS (SELECT s, p AS label, avg(value) AS value FROM pa GROUP BY 1, 2), st AS (SELECT DISTINCT s FROM v) SELECT p_partkey AS elem, st.s, {r6('coalesce(v.value, 0)')} AS value FROM part CROSS JOIN st LEFT JOIN v ON v.label = part.p_brand AND v.s = st.s"
     out["covariate_normalize"] = (
         "WITH x AS (SELECT 'c' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS uid, CASE c_custkey % 6 WHEN 0 THEN 'm' WHEN 1 THEN ' Female ' WHEN 2 THEN '1' WHEN 3 THEN '0.0' WHEN 4 THEN '' ELSE 'x' END AS sex, c_mktsegment AS age_group, CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_nationkey AS DOUBLE) END AS fd FROM customer) "
         f"SELECT uid || '_run1' AS sid, uid, CASE WHEN upper(trim(sex)) IN ('M', 'MALE', '1', '1.0') THEN 'M' WHEN upper(trim(sex)) IN ('F', 'FEMALE', '0', '0.0') THEN 'F' ELSE upper(trim(sex)) END AS sex, age_group, {r6('fd')} AS fd FROM x"
@@ -185,16 +185,17 @@ def oracle_sql() -> dict[str, str]:
     out["one_hot_levels"] = f"WITH {levels} SELECT level, place FROM lv"
     out["design_matrix"] = f"WITH {levels} SELECT sid, CAST(1 AS DOUBLE) AS intercept, " + ", ".join(f"CAST(CASE WHEN place = {i} THEN 1 ELSE 0 END AS DOUBLE) AS age_{i}" for i in range(1, 5)) + f", {r6('CASE WHEN sex = chr(77) THEN 1 ELSE 0 END - avg(CASE WHEN sex = chr(77) THEN 1 ELSE 0 END) OVER ()')} AS sex, {r6('fd - avg(fd) OVER ()')} AS fd FROM cv JOIN lv ON lv.level = cv.age"
     out["design_mapping"] = "SELECT c_custkey AS pos, 'c' || c_custkey AS sid, k AS state, c_custkey * 3 + k AS row_key FROM customer CROSS JOIN (SELECT unnest(range(1, 4)) AS k)"
-    listed = "o AS (SELECT (c_custkey * 7919) % 1000003 AS pos, c_custkey AS sid FROM customer WHERE c_custkey % 4 <> 0)"
-    out["stack_columns"] = f"WITH {listed} SELECT st.s AS state, row_number() OVER (PARTITION BY st.s ORDER BY pos, sid) AS col_index, sid FROM o CROSS JOIN (SELECT CAST(unnest(range(3)) AS BIGINT) AS s) st"
-    out["order_join"] = f"WITH {listed}, {COV} SELECT o.sid, o.pos, cv.sex, {r6('cv.y')} AS y FROM o JOIN cv ON cv.sid = o.sid WHERE o.sid % 3 <> 0 UNION ALL SELECT sid, NULL, 'absent', NULL FROM o WHERE sid % 3 = 0 OR sid NOT IN (SELECT sid FROM cv)"
-    out["group_stack"] = f"WITH {PARCELS}, so AS (SELECT sid, (sid * 31) % 101 AS pos FROM (SELECT DISTINCT sid FROM pa) WHERE sid % 2 = 1), co AS (SELECT sid, row_number() OVER (ORDER BY pos, sid) AS col_index FROM so) SELECT pa.s AS state, col_index, sid, p, {r6('value')} AS value FROM co JOIN pa USING (sid)"
+    one = "(c_custkey * 7919) % 1000003"
+    listed = f"o AS (SELECT {one} AS pos, c_custkey AS sid FROM customer UNION ALL SELECT {one} + 1000003, c_custkey FROM customer WHERE c_nationkey = 0 UNION ALL SELECT {one} + 2000006, -c_custkey FROM customer WHERE c_nationkey = 0), u AS (SELECT min(pos) AS pos, sid FROM o GROUP BY sid)"
+    out["stack_columns"] = f"WITH {listed} SELECT st.s AS state, row_number() OVER (PARTITION BY st.s ORDER BY pos, sid) AS col_index, sid FROM u CROSS JOIN (SELECT CAST(unnest(range(3)) AS BIGINT) AS s) st"
+    out["order_join"] = f"WITH {listed}, {COV} SELECT u.sid, u.pos, cv.sex, {r6('cv.y')} AS y FROM u JOIN cv ON cv.sid = u.sid UNION ALL SELECT sid, NULL, 'absent', NULL FROM u WHERE sid NOT IN (SELECT sid FROM cv)"
+    out["group_stack"] = f"WITH {PARCELS}, so AS (SELECT sid, (sid * 31) % 101 AS pos FROM (SELECT DISTINCT sid FROM pa)), co AS (SELECT sid, row_number() OVER (ORDER BY pos, sid) AS col_index FROM so) SELECT pa.s AS state, col_index, sid, p, {r6('value')} AS value FROM co JOIN pa USING (sid)"
     out["subject_level_design"] = f"WITH {COV} SELECT sid, {r6('fd')} AS fd FROM cv"
-    out["map_shapes"] = f"WITH {PARCELS}, m AS (SELECT * FROM pa WHERE sid % 3 <> 0 OR p <> 'Brand#2'), b AS (SELECT sid, count(DISTINCT s) AS states, count(DISTINCT p) AS features, count(*) AS cells FROM m GROUP BY sid) SELECT sid, states, features FROM b WHERE states <> 3 OR features <> (SELECT min_by(features, sid) FROM b) OR cells <> states * features"
+    out["map_shapes"] = f"WITH {PARCELS}, b AS (SELECT sid, count(DISTINCT s) AS states, count(DISTINCT p) AS features, count(*) AS cells FROM pa GROUP BY sid) SELECT sid, states, features FROM b WHERE states <> 3 OR features <> (SELECT min_by(features, sid) FROM b) OR cells <> states * features"
     out["alignment_check"] = (
-        "WITH e AS (SELECT CAST(c_nationkey % 3 AS BIGINT) AS state, c_custkey AS pos, 'c' || c_custkey AS sid FROM customer), a AS (SELECT state, pos, CASE WHEN pos % 97 = 96 THEN 'other' ELSE sid END AS sid FROM e WHERE pos % 101 <> 100), "
+        "WITH e AS (SELECT CAST(c_nationkey % 3 AS BIGINT) AS state, c_custkey AS pos, 'c' || c_custkey AS sid, c_acctbal FROM customer), a AS (SELECT state, pos, CASE WHEN c_acctbal < 0 THEN 'other' ELSE sid END AS sid FROM e WHERE pos IN (SELECT o_custkey FROM orders)), "
         "x AS (SELECT e.state, e.pos, e.sid AS expected_sid, a.sid AS actual_sid, CASE WHEN a.sid IS NULL THEN 'missing' WHEN a.sid <> e.sid THEN 'differs' END AS kind FROM e LEFT JOIN a ON a.state = e.state AND a.pos = e.pos) "
-        "SELECT state, pos, expected_sid, actual_sid, kind FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY pos) AS i FROM x WHERE kind IS NOT NULL) WHERE i = 1"
+        "SELECT state, pos, expected_sid, actual_sid, kind FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY pos) AS i FROM x WHERE kind IS NOT NULL) WHERE i <= 10"
     )
     m, f = ("CASE WHEN sex = '%s' THEN y END" % g for g in "MF")
     out["cohen_d"] = f"WITH {COV}, g AS (SELECT age, count({m}) AS nm, count({f}) AS nf, avg({m}) AS m, avg({f}) AS f, var_samp({m}) AS vm, var_samp({f}) AS vf FROM cv GROUP BY age), d AS (SELECT *, sqrt(((nm - 1) * coalesce(vm, 0) + (nf - 1) * coalesce(vf, 0)) / greatest(nm + nf - 2, 1)) AS sd FROM g) SELECT age, {r6('CASE WHEN nm > 0 AND nf > 0 AND sd > 0 THEN (m - f) / sd ELSE 0 END')} AS d FROM d"
@@ -203,10 +204,22 @@ def oracle_sql() -> dict[str, str]:
     out["perm_two_level"] = f"WITH {_permuted('sex')}, stats AS (SELECT perm, abs(avg(CASE WHEN grp = 'M' THEN y END) - avg(CASE WHEN grp = 'F' THEN y END)) AS stat FROM dl GROUP BY perm) {PVALUE}"
     out["perm_multi_level"] = f"WITH {_permuted('age')}, gm AS {ETA}, lv AS (SELECT perm, grp, count(*) AS n, avg(y) AS m FROM dl GROUP BY perm, grp), stats AS (SELECT gm.perm, sum(n * (m - grand) * (m - grand)) / min(sst) AS stat FROM gm JOIN lv ON lv.perm = gm.perm GROUP BY gm.perm) {PVALUE}"
     out["rm_state_f"] = f"WITH {BLOCKS}, {_rm('cb', '')} SELECT n AS n_sid, {r6('f')} AS f_obs, CAST(2 AS BIGINT) AS df_num, n * 3 - n - 3 AS df_den, {r6('eta')} AS partial_eta2 FROM ff"
-    sub = f"{PARCELS}, st AS (SELECT * FROM pa WHERE s = 1), sj AS (SELECT DISTINCT sid, sex AS grp FROM st), pm AS (SELECT unnest(range({PERMUTATIONS + 1})) AS perm), ti AS (SELECT perm, sid, grp, row_number() OVER (PARTITION BY perm ORDER BY sid) AS place, row_number() OVER (PARTITION BY perm ORDER BY CASE WHEN perm > 0 THEN md5('42:' || perm || ':' || sid) ELSE lpad(CAST(sid AS VARCHAR), 20, '0') END, sid) AS drawn FROM sj CROSS JOIN pm), dl AS (SELECT v.perm, v.sid, l.grp FROM ti v JOIN ti l ON v.perm = l.perm AND v.drawn = l.place)"
+    pad = "CASE WHEN perm > 0 THEN md5('42:' || perm || ':' || sid) ELSE lpad(CAST(sid AS VARCHAR), 20, '0') END"
+    sub = (
+        f"{PARCELS}, sj AS (SELECT DISTINCT s, sid, sex AS grp FROM pa), pm AS (SELECT unnest(range({PERMUTATIONS + 1})) AS perm), ti AS (SELECT perm, s, sid, grp, row_number() OVER (PARTITION BY perm, s ORDER BY sid) AS place, row_number() OVER (PARTITION BY perm, s ORDER BY {pad}, sid) AS drawn FROM sj CROSS JOIN pm), "
+        "dl AS (SELECT v.perm, v.s, v.sid, l.grp FROM ti v JOIN ti l ON v.perm = l.perm AND v.s = l.s AND v.drawn = l.place)"
+    )
     mv, fv = ("CASE WHEN grp = '%s' THEN value END" % g for g in "MF")
-    glm = f"ag AS (SELECT perm, p, count({mv}) AS nm, count({fv}) AS nf, avg({mv}) AS m, avg({fv}) AS f, var_samp({mv}) AS vm, var_samp({fv}) AS vf FROM st JOIN dl USING (sid) GROUP BY perm, p), tt AS (SELECT perm, p, (m - f) / sqrt(((nm - 1) * vm + (nf - 1) * vf) / (nm + nf - 2) * (1 / nm + 1 / nf)) AS t FROM ag), mx AS (SELECT perm, max(abs(t)) AS most FROM tt WHERE perm > 0 GROUP BY perm)"
-    out["parcel_glm_fwe"] = f"WITH {sub}, {glm} SELECT p, {r6('t')} AS t, {r6('(sum(CASE WHEN most >= abs(t) THEN 1 ELSE 0 END) + 1) / (count(*) + 1)')} AS p_fwe FROM tt CROSS JOIN mx WHERE tt.perm = 0 GROUP BY p, t"
+    glm = f"ag AS (SELECT perm, s, p, count({mv}) AS nm, count({fv}) AS nf, avg({mv}) AS m, avg({fv}) AS f, var_samp({mv}) AS vm, var_samp({fv}) AS vf FROM pa JOIN dl USING (s, sid) GROUP BY perm, s, p), tt AS (SELECT perm, s, p, (m - f) / sqrt(((nm - 1) * vm + (nf - 1) * vf) / (nm + nf - 2) * (1 / nm + 1 / nf)) AS t FROM ag)"
+    most = "mx AS (SELECT s, perm, max(abs(t)) AS most FROM tt WHERE perm > 0 GROUP BY s, perm)"
+    fwe = f"SELECT tt.s, p, {r6('t')} AS t, CASE WHEN t IS NOT NULL THEN {r6('(sum(CASE WHEN most >= abs(t) THEN 1 ELSE 0 END) + 1) / (count(*) + 1)')} END AS p_fwe FROM tt JOIN mx ON mx.s = tt.s WHERE tt.perm = 0 GROUP BY tt.s, p, t"
+    out["parcel_glm_fwe"] = f"WITH {sub}, {glm}, {most} {fwe}"
+    flips = (
+        f"{PARCELS}, ce AS (SELECT s, sid, p, value - avg(value) OVER (PARTITION BY s, sid) AS value FROM pa), pm AS (SELECT unnest(range({PERMUTATIONS + 1})) AS perm), "
+        "fl AS (SELECT perm, s, sid, p, CASE WHEN perm > 0 AND substr(md5('42:' || perm || ':' || sid), 1, 1) < '8' THEN -value ELSE value END AS value FROM ce CROSS JOIN pm), "
+        "ag AS (SELECT perm, s, p, count(value) AS n, avg(value) AS m, stddev_samp(value) AS sd FROM fl GROUP BY perm, s, p), tt AS (SELECT perm, s, p, CASE WHEN sd > 0 THEN m / (sd / sqrt(n)) END AS t FROM ag)"
+    )
+    out["parcel_sign_flip"] = f"WITH {flips}, {most} {fwe}"
     dealt = f"pm AS (SELECT unnest(range({PERMUTATIONS + 1})) AS perm), de AS (SELECT perm, sid, y, row_number() OVER (PARTITION BY perm, sid ORDER BY CASE WHEN perm > 0 THEN md5('42:' || perm || ':' || sid || ':' || s) ELSE lpad(CAST(s AS VARCHAR), 20, '0') END, s) - 1 AS s FROM cb CROSS JOIN pm)"
     out["rm_state_perm"] = f"WITH {BLOCKS}, {dealt}, {_rm('de', 'perm')}, stats AS (SELECT perm, f AS stat FROM ff) {PVALUE}"
     def inter(source: str, by: str) -> str:
@@ -240,4 +253,80 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT q.sid, q.t, (a * CAST({t0} AS DOUBLE) + b * (1 - CAST({t1} AS DOUBLE))) * {hit(h0, 'q.s')}, (a * (1 - CAST({t0} AS DOUBLE)) + b * CAST({t1} AS DOUBLE)) * {hit(h1, 'q.s')} FROM fw JOIN q ON q.sid = fw.sid AND q.t = fw.t + 1) "
         f"SELECT sid, {r6('ln(max_by(a + b, t))')} AS loglik FROM fw GROUP BY sid"
     )
+    out["segment_index"] = f"{ev}n AS (SELECT sid, count(*) AS n_tr FROM q GROUP BY sid) SELECT sid, CAST(sum(n_tr) OVER (ORDER BY sid) - n_tr AS BIGINT) AS start, CAST(sum(n_tr) OVER (ORDER BY sid) AS BIGINT) AS \"end\", n_tr FROM n"
+    out["state_text"] = f"WITH {EVENTS} SELECT sid, string_agg(CAST(s AS VARCHAR), chr(10) ORDER BY t) AS value FROM q GROUP BY sid"
+    out["exchange_blocks"] = "SELECT c_custkey * 3 + k AS row_key, 'c' || c_custkey AS sid, row_number() OVER (PARTITION BY k ORDER BY c_custkey) AS block FROM customer CROSS JOIN (SELECT unnest(range(1, 4)) AS k)"
+    out["beta_features"] = f"WITH {FEATURES}, bm AS (SELECT s, p, mean - sum(mean * n) OVER w / sum(n) OVER w AS beta FROM pt WINDOW w AS (PARTITION BY p)) SELECT sid, s, {r6('sqrt(avg((CAST(x AS DOUBLE) - beta) * (CAST(x AS DOUBLE) - beta)))')} AS distance FROM ft JOIN bm USING (s, p) GROUP BY sid, s"
+    out["used_parcels"] = f"WITH {PARCELS}, li AS (SELECT l_suppkey AS sid, l_linestatus, min(l_orderkey) AS pos FROM lineitem GROUP BY 1, 2) SELECT s, p, count(*) AS n, {r6('avg(value)')} AS mean FROM li JOIN pa USING (sid) GROUP BY s, p"
+    out["unknown_states"] = "SELECT event_type AS state, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1"
+
+    # soft regression maps: the normal equations of three states by Cramer's rule, centred by the mean probabilities
+    a = {(i, j): f"a{min(i, j)}{max(i, j)}" for i in range(3) for j in range(3)}
+
+    def minor(cells: dict, b: int | None) -> str:
+        """The determinant of the 3 x 3 matrix, its column b replaced by the right side."""
+        c = {(i, j): f"r{i}" if j == b else cells[i, j] for i in range(3) for j in range(3)}
+        return f"({c[0, 0]} * ({c[1, 1]} * {c[2, 2]} - {c[1, 2]} * {c[2, 1]}) - {c[0, 1]} * ({c[1, 0]} * {c[2, 2]} - {c[1, 2]} * {c[2, 0]}) + {c[0, 2]} * ({c[1, 0]} * {c[2, 1]} - {c[1, 1]} * {c[2, 0]}))"
+
+    sides = " UNION ALL ".join(f"SELECT sid, CAST({p} AS BIGINT) AS p, g0, g1, g2, {x} AS y FROM gm" for p, x in enumerate(("price / 1000", "quantity")))
+    sums = ", ".join([f"sum(g{i} * g{j}) AS a{i}{j}" for i in range(3) for j in range(i, 3)] + [f"sum(g{i} * y) AS r{i}" for i in range(3)] + [f"avg(g{i}) AS m{i}" for i in range(3)])
+    solved = ", ".join(f"{minor(a, b)} / {minor(a, None)} AS b{b}" for b in range(3))
+    out["beta_maps_soft"] = f"WITH {GAMMA}, lo AS ({sides}), su AS (SELECT sid, p, {sums} FROM lo GROUP BY sid, p), so AS (SELECT sid, p, m0, m1, m2, {solved} FROM su) " + " UNION ALL ".join(f"SELECT sid, CAST({i} AS BIGINT) AS s, p, {r6(f'b{i} - (m0 * b0 + m1 * b1 + m2 * b2)')} AS beta FROM so" for i in range(3))
+
+    # three states in general and closed form
+    gap = "gp AS (SELECT sid, 1 - greatest(abs((b + sqrt(greatest(b * b - 4 * d, 0))) / 2), abs((b - sqrt(greatest(b * b - 4 * d, 0))) / 2)) AS gap FROM (SELECT sid, p00 + p11 + p22 - 1 AS b, " + det + " AS d FROM m))"
+    out["chain_stationary_general"] = f"{od}{_k3()}, {gap} SELECT sid, s, {r6('pi')} AS pi, {r6('gap')} AS spectral_gap FROM pi JOIN gp USING (sid)"
+    lzc = "SELECT sid, b, length(b) AS n, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS k, CAST(1 AS BIGINT) AS l, CAST(1 AS BIGINT) AS c, FALSE AS done FROM sig WHERE length(b) > 0 UNION ALL " "SELECT sid, b, n, CASE WHEN i + k > n OR hit THEN i ELSE l + k - 1 END, CASE WHEN i + k > n THEN k WHEN hit THEN k + 1 ELSE 1 END, CASE WHEN i + k > n OR hit THEN l ELSE l + k END, CASE WHEN i + k <= n AND hit THEN c ELSE c + 1 END, i + k > n OR (NOT hit AND l + k > n) FROM (SELECT *, position(substr(b, CAST(i + 1 AS BIGINT), k) IN substr(b, 1, CAST(l - 1 AS BIGINT))) > 0 AS hit FROM walk WHERE NOT done) x"
+    signal = f"lg AS (SELECT sid, t, s, lag(s) {STEP} AS p FROM q), sig AS (SELECT sid, coalesce(string_agg(CASE WHEN s <> p THEN '1' ELSE '0' END, '' ORDER BY t) FILTER (WHERE p IS NOT NULL), '') AS b FROM lg GROUP BY sid), walk AS ({lzc}), lz AS (SELECT g.sid, CASE WHEN w.sid IS NULL THEN 0 WHEN w.n > 1 THEN w.c / (w.n / log2(w.n)) ELSE w.c END AS lzc FROM sig g LEFT JOIN walk w ON w.sid = g.sid AND w.done)"
+    shares = "oc AS (SELECT sid, s, count(*) AS n FROM q GROUP BY sid, s), of AS (SELECT g.sid, greatest(coalesce(o.n, 0) / g.steps, 1e-12) AS f FROM grid g LEFT JOIN oc o ON o.sid = g.sid AND o.s = g.s), oe AS (SELECT sid, sum(-(f / t) * log2(f / t)) AS h FROM (SELECT *, sum(f) OVER (PARTITION BY sid) AS t FROM of) GROUP BY sid)"
+    out["seq_global_metrics"] = (
+        f"WITH RECURSIVE {ORDERS}, {_k3()}, {gap}, {changed}, {shares}, {signal}, rate AS (SELECT sid, sum(pi * h) AS rate FROM pi JOIN en USING (sid, s) GROUP BY sid), stay AS (SELECT sid, avg(p) AS stay FROM pb WHERE from_s = to_s GROUP BY sid) "
+        f"SELECT g.sid, {r6('sr')} AS sr_global, {r6('oe.h')} AS occ_entropy_bits, {r6('rate')} AS entropy_rate_bits, {r6('stay')} AS mean_self_transition, {r6('gap')} AS spectral_gap, {r6('lzc')} AS lzc_switches FROM sg g JOIN oe USING (sid) JOIN rate USING (sid) JOIN stay USING (sid) JOIN gp USING (sid) JOIN lz USING (sid)"
+    )
+
+    # sex and age effects with permutations by family
+    def family_effects(metrics: str, key: str) -> str:
+        on = " AND ".join(f"v.{k} = l.{k}" for k in key.split(", "))
+        value = f"SELECT s.{', s.'.join(key.split(', '))}, o.stat, (sum(CASE WHEN s.stat >= o.stat THEN 1 ELSE 0 END) + 1) / (count(*) + 1) AS p_perm FROM %s s JOIN %s o USING ({key}) WHERE s.perm > 0 AND o.perm = 0 GROUP BY s.{', s.'.join(key.split(', '))}, o.stat"
+        ms, fs = ("CASE WHEN sex = '%s' THEN r END" % g for g in "MF")
+        return (
+            f"{metrics}, {COV}, fx AS (SELECT {key}, sid, l.y, cv.sex, cv.age, cv.fd FROM lo l JOIN cv USING (sid) WHERE l.y IS NOT NULL), c AS (SELECT {key}, regr_slope(y, fd) AS b, regr_intercept(y, fd) AS a FROM fx GROUP BY {key}), "
+            f"re AS (SELECT {key}, sid, sex, age, y - (a + b * fd) AS r FROM fx JOIN c USING ({key})), pm AS (SELECT unnest(range({PERMUTATIONS + 1})) AS perm), "
+            f"ti AS (SELECT *, row_number() OVER (PARTITION BY {key}, perm ORDER BY sid) AS place, row_number() OVER (PARTITION BY {key}, perm ORDER BY {pad}, sid) AS drawn FROM re CROSS JOIN pm), "
+            f"dl AS (SELECT v.perm, {', '.join('v.' + k for k in key.split(', '))}, v.r, l.sex, l.age FROM ti v JOIN ti l ON {on} AND v.perm = l.perm AND v.drawn = l.place), "
+            f"sx AS (SELECT {key}, perm, abs(avg({ms}) - avg({fs})) AS stat FROM dl GROUP BY {key}, perm), "
+            f"gm AS (SELECT {key}, perm, avg(r) AS grand, sum((r - mu) * (r - mu)) AS sst FROM (SELECT *, avg(r) OVER (PARTITION BY {key}, perm) AS mu FROM dl) GROUP BY {key}, perm), lv AS (SELECT {key}, perm, age, count(*) AS n, avg(r) AS m FROM dl GROUP BY {key}, perm, age), "
+            f"ag AS (SELECT {key}, perm, sum(n * (m - grand) * (m - grand)) / min(sst) AS stat FROM gm JOIN lv USING ({key}, perm) GROUP BY {key}, perm), "
+            f"g AS (SELECT {key}, count({ms}) AS nm, count({fs}) AS nf, avg({ms}) AS m, avg({fs}) AS f, var_samp({ms}) AS vm, var_samp({fs}) AS vf FROM re GROUP BY {key}), "
+            f"d AS (SELECT {key}, (m - f) / sqrt(((nm - 1) * vm + (nf - 1) * vf) / (nm + nf - 2)) AS effect FROM g), "
+            f"al AS (SELECT {key}, 'Sex' AS factor, stat, p_perm, effect, 'cohen_d' AS effect_name FROM ({value % ('sx', 'sx')}) JOIN d USING ({key}) UNION ALL SELECT {key}, 'AgeGroup', stat, p_perm, stat, 'eta_sq' FROM ({value % ('ag', 'ag')})), "
+            "ra AS (SELECT *, row_number() OVER (ORDER BY p_perm) AS i, count(*) OVER () AS m FROM al) "
+            f"SELECT {key}, factor, {r6('stat')} AS stat, {r6('p_perm')} AS p_perm, {r6('effect')} AS effect, effect_name, {r6('least(min(p_perm * m / i) OVER (ORDER BY i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1)')} AS q_bh FROM ra"
+        )
+
+    occ3_wide = f"{_grid(3)}, {occ3}, {PAIRS}, {RUNS}, {DWELL}, {SWITCH}"
+    state_metrics = f"{occ3_wide}, lo AS (SELECT sid, s, 'fo' AS metric, fo AS y FROM occ UNION ALL SELECT sid, s, 'dt_mean', dt_mean FROM dw UNION ALL SELECT sid, s, 'iv_mean', iv_mean FROM dw UNION ALL SELECT sid, s, 'sr_state', sr_state FROM sw)"
+    out["stats_state_effects"] = f"{od}{family_effects(state_metrics, 'metric, s')}"
+    between = f"{changed}, lo AS (SELECT sid, 'sr_global' AS metric, sr AS y FROM sg UNION ALL SELECT sid, 'steps', CAST(steps AS DOUBLE) FROM sg)"
+    out["stats_between_effects"] = f"{od}{family_effects(between, 'metric')}"
+
+    # the omnibus table: each term by itself, then q over all
+    metrics = f"w AS (SELECT o_custkey AS sid, {_case('o_orderstatus', roles.ORDER_STATES)} AS s, avg(o_totalprice) AS a, max(o_totalprice) AS b FROM orders GROUP BY 1, 2), cm AS (SELECT 'mean_price' AS metric, sid, s, a AS y FROM w UNION ALL SELECT 'most_price', sid, s, b FROM w), full_ AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY metric, sid) AS c FROM cm JOIN (SELECT sid AS id FROM cv) ON id = sid) WHERE c = 3), pm AS (SELECT unnest(range({PERMUTATIONS + 1})) AS perm)"
+    state_dealt = "de AS (SELECT metric, perm, sid, y, row_number() OVER (PARTITION BY metric, perm, sid ORDER BY CASE WHEN perm > 0 THEN md5('42:' || perm || ':' || sid || ':' || s) ELSE lpad(CAST(s AS VARCHAR), 20, '0') END, s) - 1 AS s FROM full_ CROSS JOIN pm)"
+
+    def with_p(stats: str) -> str:
+        return f"SELECT o.*, p FROM (SELECT * FROM {stats} WHERE perm = 0) o JOIN (SELECT s.metric, (sum(CASE WHEN s.f >= z.f THEN 1 ELSE 0 END) + 1) / (count(*) + 1) AS p FROM {stats} s JOIN {stats} z ON z.metric = s.metric AND z.perm = 0 WHERE s.perm > 0 GROUP BY s.metric) x ON x.metric = o.metric"
+
+    state_term = f"(WITH {state_dealt}, {_rm('de', 'metric, perm')} SELECT metric, 'State' AS term, f AS f_obs, p AS p_perm, CAST(2 AS BIGINT) AS df_num, CAST(n * 3 - n - 3 AS BIGINT) AS df_den, eta AS partial_eta2 FROM ({with_p('ff')}))"
+
+    def terms(factor: str, name: str) -> str:
+        dealt_ = f"sj AS (SELECT DISTINCT metric, sid, {factor} AS grp FROM full_ JOIN cv USING (sid)), ti AS (SELECT *, row_number() OVER (PARTITION BY metric, perm ORDER BY sid) AS place, row_number() OVER (PARTITION BY metric, perm ORDER BY {pad}, sid) AS drawn FROM sj CROSS JOIN pm), di AS (SELECT v.metric, v.perm, v.sid, l.grp FROM ti v JOIN ti l ON v.metric = l.metric AND v.perm = l.perm AND v.drawn = l.place), dx AS (SELECT di.metric, di.perm, di.sid, s, y, di.grp FROM di JOIN full_ USING (metric, sid))"
+        inner = f"(WITH {dealt_}, {inter('dx', 'metric, perm')} SELECT metric, '{name}:State' AS term, f AS f_obs, p AS p_perm, df_num, df_den, eta AS partial_eta2 FROM ({with_p('fi')}))"
+        main = f"(SELECT metric, '{name}', NULL, NULL, CAST(count(DISTINCT {factor}) - 1 AS BIGINT), CAST(count(DISTINCT sid) * 2 - 3 - count(DISTINCT {factor}) + 1 AS BIGINT), NULL FROM full_ JOIN cv USING (sid) GROUP BY metric)"
+        return f"{inner} UNION ALL {main}"
+
+    out["rm_omnibus"] = (
+        f"WITH {COV}, {metrics}, al AS ({state_term} UNION ALL {terms('age', 'AgeGroup')} UNION ALL {terms('sex', 'Sex')}), ra AS (SELECT *, row_number() OVER (ORDER BY p_perm NULLS LAST) AS i, count(p_perm) OVER () AS m FROM al) "
+        f"SELECT metric, term, {r6('f_obs')} AS f_obs, {r6('p_perm')} AS p_perm, df_num, df_den, {r6('partial_eta2')} AS partial_eta2, CASE WHEN p_perm IS NOT NULL THEN {r6('least(min(p_perm * m / i) OVER (ORDER BY i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1)')} END AS q_bh FROM ra"
+    )
     return out

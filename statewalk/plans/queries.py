@@ -12,7 +12,8 @@ from statewalk.operators import arhmm, chain, design, matrices, posterior, seque
 from statewalk.plans import roles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-PERMUTATIONS = 20
+#: Permutations, and iterations at most, of the registered queries.
+PERMUTATIONS, ITERATIONS = 100, 100
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -109,13 +110,13 @@ def chain_entropy_rate_k3(spark, sf):
 
 @query
 def chain_stationary_general(spark, sf):
-    out = chain.chain_general(sequences.transition_probs(roles.events(spark, sf), 5), 5)
+    out = chain.chain_general(sequences.transition_probs(roles.orders(spark, sf), 3), 3)
     return rounded(out.select("sid", F.posexplode("pi").alias("s", "pi"), "spectral_gap"))
 
 
 @query
 def seq_global_metrics(spark, sf):
-    return rounded(chain.global_metrics(roles.events(spark, sf), 5))
+    return rounded(chain.global_metrics(roles.orders(spark, sf), 3))
 
 
 @query
@@ -198,22 +199,22 @@ def asymmetry(spark, sf):
 
 @query
 def soft_switch_rate(spark, sf):
-    return rounded(posterior.soft_switch(roles.gamma(spark, sf)))
+    return rounded(posterior.soft_switch(roles.gamma(spark, sf), 3))
 
 
 @query
 def indecision_subject(spark, sf):
-    return rounded(posterior.indecision(roles.gamma(spark, sf)))
+    return rounded(posterior.indecision(roles.gamma(spark, sf), 3))
 
 
 @query
 def posterior_sharpness(spark, sf):
-    return rounded(posterior.sharpness(roles.gamma(spark, sf)))
+    return rounded(posterior.sharpness(roles.gamma(spark, sf), 3))
 
 
 @query
 def posterior_hist(spark, sf):
-    return rounded(posterior.histogram(roles.gamma(spark, sf)))
+    return rounded(posterior.histogram(roles.gamma(spark, sf), 3))
 
 
 @query
@@ -272,7 +273,7 @@ def parcellate_median(spark, sf):
 
 @query
 def paint_labels(spark, sf):
-    values = roles.parcels(spark, sf).where("p <> 'Brand#1'").groupBy("s", F.col("p").alias("label")).agg(F.avg("value").alias("value"))
+    values = roles.parcels(spark, sf).groupBy("s", F.col("p").alias("label")).agg(F.avg("value").alias("value"))
     return rounded(matrices.paint(_atlas(spark, sf), values))
 
 
@@ -326,11 +327,11 @@ def design_mapping(spark, sf):
 
 
 def _listed(spark, sf):
-    """Customers in the order of their balance's hash-like remainder, some of them twice, and one that isn't there."""
-    rows = roles.table(spark, sf, "customer").where("c_custkey % 4 <> 0")
-    pos = F.pmod(F.col("c_custkey") * 7919, F.lit(1000003))
-    once = rows.select(pos.alias("pos"), F.col("c_custkey").alias("sid"))
-    return once.union(once.where("sid % 5 = 0").select(F.col("pos") + 1000003, "sid"))
+    """A list of ids in the order of a remainder: all customers, those of nation 0 a second time, and for each of these an id
+    that no customer has."""
+    rows = roles.table(spark, sf, "customer").select(F.pmod(F.col("c_custkey") * 7919, F.lit(1000003)).alias("pos"), F.col("c_custkey").alias("sid"), "c_nationkey")
+    again = rows.where("c_nationkey = 0")
+    return rows.select("pos", "sid").union(again.select(F.col("pos") + 1000003, "sid")).union(again.select(F.col("pos") + 2000006, -F.col("sid")))
 
 
 @query
@@ -340,8 +341,7 @@ def stack_columns(spark, sf):
 
 @query
 def order_join(spark, sf):
-    listed = _listed(spark, sf)
-    known = roles.covariates(spark, sf).where("sid % 3 <> 0").select("sid", "sex", "y")
+    listed, known = _listed(spark, sf), roles.covariates(spark, sf).select("sid", "sex", "y")
     found = design.in_order(known, listed).select("sid", "pos", "sex", "y")
     missing = design.absent(listed, known).select("sid", F.lit(None).cast("bigint").alias("pos"), F.lit("absent").alias("sex"), F.lit(None).cast("double").alias("y"))
     return rounded(found.union(missing))
@@ -350,7 +350,7 @@ def order_join(spark, sf):
 @query
 def group_stack(spark, sf):
     maps = roles.parcels(spark, sf).select("sid", "s", "p", "value")
-    order = maps.select("sid").distinct().select(F.pmod(F.col("sid") * 31, F.lit(101)).alias("pos"), "sid").where("sid % 2 = 1")
+    order = maps.select("sid").distinct().select(F.pmod(F.col("sid") * 31, F.lit(101)).alias("pos"), "sid")
     return rounded(design.stacked(maps, order, 3))
 
 
@@ -363,14 +363,19 @@ def subject_level_design(spark, sf):
 
 @query
 def map_shapes(spark, sf):
-    return rounded(design.wrong_shapes(roles.parcels(spark, sf).where("sid % 3 <> 0 or p <> 'Brand#2'"), 3))
+    """Suppliers whose maps lack a state or a brand that the first supplier's have."""
+    return rounded(design.wrong_shapes(roles.parcels(spark, sf), 3))
 
 
 @query
 def alignment_check(spark, sf):
-    expected = roles.table(spark, sf, "customer").select((F.col("c_nationkey") % 3).alias("state"), F.col("c_custkey").alias("pos"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("sid"))
-    actual = expected.where("pos % 101 <> 100").withColumn("sid", F.when(F.col("pos") % 97 == 96, "other").otherwise(F.col("sid")))
-    return rounded(design.aligned(expected, actual))
+    """Expected: all customers. Actual: those with orders, which leaves gaps, the ones in debt under another name."""
+    customers = roles.table(spark, sf, "customer")
+    state, name = (F.col("c_nationkey") % 3).alias("state"), F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
+    expected = customers.select(state, F.col("c_custkey").alias("pos"), name.alias("sid"))
+    ordered = roles.table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    actual = customers.join(ordered, "c_custkey").select(state, F.col("c_custkey").alias("pos"), F.when(F.col("c_acctbal") < 0, "other").otherwise(name).alias("sid"))
+    return rounded(design.aligned(expected, actual, 10))
 
 
 @query
@@ -408,7 +413,7 @@ def stats_state_effects(spark, sf):
     wide = sequences.state_metrics(roles.orders(spark, sf), 3)
     long = statistics.long_metrics(wide, ["sid", "s"], ["fo", "dt_mean", "iv_mean", "sr_state"])
     cov = roles.covariates(spark, sf).select("sid", "sex", "age", "fd")
-    return rounded(statistics.effects(long.join(cov, "sid"), ("metric", "s"), 10))
+    return rounded(statistics.effects(long.join(cov, "sid"), ("metric", "s"), PERMUTATIONS))
 
 
 @query
@@ -417,14 +422,28 @@ def stats_between_effects(spark, sf):
     wide = sequences.switch_global(roles.orders(spark, sf)).withColumn("steps", F.col("steps").cast("double"))
     long = statistics.long_metrics(wide, ["sid"], ["sr_global", "steps"])
     cov = roles.covariates(spark, sf).select("sid", "sex", "age", "fd")
-    return rounded(statistics.effects(long.join(cov, "sid"), ("metric",), 10))
+    return rounded(statistics.effects(long.join(cov, "sid"), ("metric",), PERMUTATIONS))
 
 
 @query
 def parcel_glm_fwe(spark, sf):
-    """t of every brand's mean price between the suppliers' two groups, with family-wise p."""
-    stack = roles.parcels(spark, sf).where("s = 1").select("sid", "p", "value", F.col("sex").alias("grp"))
-    return rounded(statistics.parcel_glm(stack, PERMUTATIONS))
+    """t of every brand's mean price between the suppliers' two groups, by state, with family-wise p."""
+    stack = roles.parcels(spark, sf).select("s", "sid", "p", "value", F.col("sex").alias("grp"))
+    return rounded(statistics.parcel_glm(stack, PERMUTATIONS, ("s",)))
+
+
+@query
+def parcel_sign_flip(spark, sf):
+    """t of every brand's price against the supplier's mean, by state, with family-wise p by sign flips."""
+    stack = statistics.beside(roles.parcels(spark, sf), ["s", "sid"], F.avg("value").alias("m"))
+    return rounded(statistics.parcel_sign_flip(stack.select("s", "sid", "p", (F.col("value") - F.col("m")).alias("value")), PERMUTATIONS, ("s",)))
+
+
+@query
+def rm_omnibus(spark, sf):
+    """State, age, sex and their interactions on two metrics of customers' orders, in one table with false-discovery control."""
+    cov = roles.covariates(spark, sf).select("sid", "sex", "age")
+    return rounded(statistics.rm_omnibus(roles.order_metrics(spark, sf).join(cov, "sid"), 3, PERMUTATIONS))
 
 
 @query
@@ -457,23 +476,25 @@ def bh_adjust(spark, sf):
     return rounded(statistics.benjamini_hochberg(rows, "p", ["p_partkey"], ["p_brand"]))
 
 
-@query
-def ar_lag_design(spark, sf):
+def _lags(spark, sf):
     from pyspark.sql.window import Window as W
 
     rows = roles.table(spark, sf, "events")
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
     first = F.first("value").over(w)
-    return rounded(rows.select(F.col("user_id").alias("sid"), "event_id", F.coalesce(F.lag("value", 1).over(w), first).alias("lag1"), F.coalesce(F.lag("value", 2).over(w), first).alias("lag2")))
+    return rows.select(F.col("user_id").alias("sid"), "event_id", "value", F.coalesce(F.lag("value", 1).over(w), first).alias("lag1"), F.coalesce(F.lag("value", 2).over(w), first).alias("lag2"))
+
+
+@query
+def ar_lag_design(spark, sf):
+    return rounded(_lags(spark, sf).drop("value"))
 
 
 @query
 def ar_emission_loglik(spark, sf):
     import math
 
-    lags = ar_lag_design(spark, sf).select("event_id", "sid", "lag1")
-    rows = roles.table(spark, sf, "events").select("event_id", "value").join(lags, "event_id")
-    out = rows.withColumn("s", F.explode(F.array(F.lit(0), F.lit(1))))
+    out = _lags(spark, sf).withColumn("s", F.explode(F.array(F.lit(0), F.lit(1))))
     miss = F.col("value") - (F.when(F.col("s") == 0, F.col("lag1") * 0.5).otherwise(F.col("lag1") * -0.25) + 10.0)
     var = F.when(F.col("s") == 0, 100.0).otherwise(400.0)
     return rounded(out.select("sid", "event_id", "s", (-0.5 * (miss * miss / var + F.log(2 * math.pi * var))).alias("log_b")))
@@ -490,12 +511,12 @@ def hmm_forward_fixed(spark, sf):
 
     def run(batches):
         trans = np.array([[stay[0], 1 - stay[0]], [1 - stay[1], stay[1]]])
+        table = np.log(np.array([hit, [1 - h for h in hit]]))
         for batch in batches:
-            out = []
-            for x in batch["x"]:
-                log_b = np.array([[np.log(h if v == 0 else 1 - h) for h in hit] for v in x])
-                out.append(arhmm.forward_backward(log_b, np.array(start), trans)[0])
-            yield pd.DataFrame({"sid": batch["sid"], "loglik": out})
+            lengths = np.array([len(x) for x in batch["x"]])
+            if len(lengths):
+                missed = (np.concatenate(batch["x"].to_list()) != 0).astype(int)
+                yield pd.DataFrame({"sid": batch["sid"], "loglik": arhmm.recursions(table[missed], lengths, np.array(start), trans)[0]})
 
     return rounded(seqs.mapInPandas(run, "sid long, loglik double"))
 
@@ -512,7 +533,7 @@ def _value_sequences(spark, sf):
 @query
 def hmm_fit_decode(spark, sf):
     seqs = _value_sequences(spark, sf)
-    model = arhmm.fit(seqs, 2, order=1, max_iter=5, seed=42)
+    model = arhmm.fit(seqs, 2, order=1, max_iter=ITERATIONS, seed=42, tol=1e-6)
     out = arhmm.decode(seqs, model)
     return rounded(out.select("sid", "t", "s", F.col("g")[0].alias("g0"), F.col("g")[1].alias("g1"), "loglik"))
 
@@ -521,4 +542,45 @@ def hmm_fit_decode(spark, sf):
 def sweep_summary(spark, sf):
     from statewalk.plans.selection import sweep, summary_by_k
 
-    return rounded(summary_by_k(sweep(_value_sequences(spark, sf), [2, 3], [1, 2], max_iter=3)))
+    return rounded(summary_by_k(sweep(_value_sequences(spark, sf), [2, 3], [1, 2], max_iter=ITERATIONS, tol=1e-6)))
+
+
+@query
+def segment_index(spark, sf):
+    """Each sequence's place in the rows of all, by id."""
+    return rounded(sequences.segment_index(roles.events(spark, sf)))
+
+
+@query
+def state_text(spark, sf):
+    """Each sequence's states as text, one a line, which is what the sink writes."""
+    return sequences.state_text(roles.events(spark, sf))
+
+
+@query
+def exchange_blocks(spark, sf):
+    """A block of exchange for each listed subject, in the list's order, on each of its rows."""
+    subjects = roles.table(spark, sf, "customer").select(F.col("c_custkey").alias("pos"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("sid"))
+    return rounded(design.exchange_blocks(design.mapping(subjects, 3)))
+
+
+@query
+def beta_features(spark, sf):
+    """Regression maps beside the rows of the series they come from: distance of each vector to its state's map."""
+    rows = roles.features(spark, sf)
+    return rounded(matrices.beta_distance(rows, matrices.beta_maps_hard(rows)))
+
+
+@query
+def used_parcels(spark, sf):
+    """The parcel maps of listed subjects, one copy for each time that a subject is listed."""
+    maps = roles.parcels(spark, sf).select("sid", "s", "p", "value")
+    listed = roles.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("sid"), "l_linestatus").agg(F.min("l_orderkey").alias("pos")).select("pos", "sid")
+    return rounded(design.listed_rows(maps, listed).groupBy("s", "p").agg(F.count("*").alias("n"), F.avg("value").alias("mean")))
+
+
+@query
+def unknown_states(spark, sf):
+    """Names in a columns map that aren't state names, with the times they occur."""
+    rows = roles.table(spark, sf, "events").select(F.when(F.col("event_type") == "error", "error").otherwise(F.concat(F.lit("state"), F.length("event_type").cast("string"))).alias("state"))
+    return rounded(design.unknown_states(rows))

@@ -37,7 +37,7 @@ def gamma(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem")
     w = F.array(F.col("l_quantity"), F.col("l_discount") * 100.0 + 1.0, F.col("l_tax") * 100.0 + 1.0)
     t = (F.row_number().over(W.partitionBy("l_suppkey").orderBy(*LINE_KEY)) - 1).cast("int")
-    return rows.select(F.col("l_suppkey").alias("sid"), t.alias("t"), posterior.normalized(w).alias("g"), F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"))
+    return rows.select(F.col("l_suppkey").alias("sid"), t.alias("t"), posterior.normalized(w, 3).alias("g"), F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"))
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,3 +68,11 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from statewalk.operators.statistics import complete_blocks
 
     return complete_blocks(rows.groupBy(F.col("o_custkey").alias("sid"), s.alias("s")).agg(F.avg("o_totalprice").alias("y")), 3)
+
+
+def order_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """metric, sid, s, y: mean and greatest price of a customer's orders by status."""
+    rows = table(spark, sf_dir, "orders")
+    s = (F.array_position(F.array(*[F.lit(x) for x in ORDER_STATES]), F.col("o_orderstatus")) - 1).cast("int")
+    wide = rows.groupBy(F.col("o_custkey").alias("sid"), s.alias("s")).agg(F.avg("o_totalprice").alias("mean_price"), F.max("o_totalprice").alias("most_price"))
+    return wide.select("sid", "s", F.explode(F.array(F.struct(F.lit("mean_price").alias("metric"), F.col("mean_price").alias("y")), F.struct(F.lit("most_price").alias("metric"), F.col("most_price").alias("y")))).alias("x")).select("x.metric", "sid", "s", "x.y")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statewalk.operators import arhmm, matrices, posterior
+from statewalk.plans.config import Evaluation
 
 
 @dataclass
@@ -35,36 +36,38 @@ def _first(df: DataFrame) -> dict[str, float | None]:
     return {c: None if v is None else float(v) for c, v in row.items()}
 
 
-def junk(fit: Fit) -> Found:
-    table = posterior.junk_states(posterior.soft_metrics(fit.gamma, fit.k))
+def junk(fit: Fit, e: Evaluation) -> Found:
+    table = posterior.junk_states(posterior.soft_metrics(fit.gamma, fit.k), e.low_fo, e.short_dt, e.low_presence)
     return Found("junk", _first(table.agg(F.sum(F.col("junk_state").cast("double")).alias("n_junk"), F.min("fo_median").alias("min_fo"))), {"states": table})
 
 
-def randomness(fit: Fit) -> Found:
-    table = posterior.soft_randomness(fit.gamma, fit.k).join(posterior.soft_switch(fit.gamma), "sid")
+def randomness(fit: Fit, _e: Evaluation) -> Found:
+    table = posterior.soft_randomness(fit.gamma, fit.k).join(posterior.soft_switch(fit.gamma, fit.k), "sid")
     figures = [F.avg(c).alias(f"{c}_mean") for c in table.columns[1:]] + [F.stddev_samp(c).alias(f"{c}_std") for c in table.columns[1:]]
     norm = F.avg(F.col("entropy_rate_bits") / float(np.log2(max(fit.k, 2)))).alias("entropy_rate_norm")
     return Found("randomness", _first(table.agg(*figures, norm)), {"subjects": table})
 
 
-def indecision(fit: Fit) -> Found:
-    table = posterior.indecision(fit.gamma)
+def indecision(fit: Fit, e: Evaluation) -> Found:
+    table = posterior.indecision(fit.gamma, fit.k, e.dominant, e.ambiguous)
     return Found("indecision", _first(table.agg(F.avg("entropy_mean").alias("entropy"), F.avg("frac_dominant").alias("dominant"), F.avg("frac_ambiguous").alias("ambiguous"))), {"subjects": table})
 
 
-def clones(fit: Fit, threshold: float = 0.9) -> Found:
+def clones(fit: Fit, e: Evaluation) -> Found:
     spark = fit.gamma.sparkSession
     means = [(s, p, float(v)) for s, row in enumerate(fit.model.means) for p, v in enumerate(row)]
     table = matrices.pattern_correlations(spark.createDataFrame(means, "s int, p int, mean double"))
-    return Found("clone", _first(table.agg(F.max("corr").alias("max_corr"), F.sum((F.col("corr") >= threshold).cast("double")).alias("n_pairs"))), {"pairs": table})
+    return Found("clone", _first(table.agg(F.max("corr").alias("max_corr"), F.sum((F.col("corr") >= e.clone_corr).cast("double")).alias("n_pairs"))), {"pairs": table})
 
 
-def reliability(fit: Fit) -> Found:
-    table = posterior.reliability(fit.gamma, fit.k)
+def reliability(fit: Fit, e: Evaluation) -> Found:
+    """Of sequences of exactly n_runs runs of run_len steps, or with a run_len of 0 of all, cut into n_runs parts."""
+    table = posterior.reliability(fit.gamma, fit.k, e.n_runs, e.run_len or None)
     return Found("reliability", _first(table.agg(F.avg("fo_gamma_r").alias("r_mean"), F.stddev_samp("fo_gamma_r").alias("r_std"))), {"subjects": table})
 
 
-DETECTORS: tuple[Callable[[Fit], Found], ...] = (junk, randomness, indecision, clones, reliability)
+Detector = Callable[[Fit, Evaluation], Found]
+DETECTORS: tuple[Detector, ...] = (junk, randomness, indecision, clones, reliability)
 
 
 def fit_one(seqs: DataFrame, k: int, seed: int, **how) -> Fit:
@@ -72,36 +75,47 @@ def fit_one(seqs: DataFrame, k: int, seed: int, **how) -> Fit:
     return Fit(k, seed, model, arhmm.decode(seqs, model).select("sid", "t", F.transform("g", lambda x: F.round(x, 6)).alias("g")).persist())
 
 
-def evaluate(fit: Fit, detectors: Iterable[Callable[[Fit], Found]] = DETECTORS) -> dict[str, float | None]:
-    """One row of the scorecard: k, seed, loglik and each detector's figures as detector__figure."""
+def evaluate(fit: Fit, detectors: Iterable[Detector] = DETECTORS, settings: Evaluation | None = None, keep: Callable[[str, DataFrame], object] | None = None) -> dict[str, float | None]:
+    """One row of the scorecard: k, seed, loglik and each detector's figures as detector__figure.
+
+    keep gets the table behind each figure under the name detector_table.
+    """
     out: dict[str, float | None] = {"k": float(fit.k), "seed": float(fit.seed), "loglik": fit.model.loglik}
     for detector in detectors:
-        found = detector(fit)
+        found = detector(fit, settings or Evaluation(run_len=0))
         out |= {f"{found.name}__{c}": v for c, v in found.figures.items()}
+        if keep is not None:
+            for name, table in found.tables.items():
+                keep(f"{found.name}_{name}", table)
     return out
 
 
-def sweep(seqs: DataFrame, ks: Iterable[int], seeds: Iterable[int], detectors: Iterable[Callable[[Fit], Found]] = DETECTORS, **how) -> DataFrame:
-    """The scorecard of all fits, one row for each k and seed; a fit that fails is a row with its error and no figures."""
-    spark: SparkSession = seqs.sparkSession
+def scored(seqs: DataFrame, k: int, seed: int, detectors: Iterable[Detector] = DETECTORS, settings: Evaluation | None = None, keep: Callable[[str, DataFrame], object] | None = None, **how) -> dict:
+    """`evaluate` of one fit; a fit that fails gives its error and no figures."""
+    fit = None
+    try:
+        fit = fit_one(seqs, k, seed, **how)
+        return evaluate(fit, detectors, settings, keep)
+    except (np.linalg.LinAlgError, FloatingPointError, ValueError) as e:
+        return {"k": float(k), "seed": float(seed), "error": str(e)}
+    finally:
+        if fit is not None:
+            fit.gamma.unpersist()
+
+
+def scorecard(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """Rows of figures as a table; what a row lacks, or is not a number, is null."""
+    names = list(dict.fromkeys(c for r in rows for c in r))
+    schema = ", ".join(f"`{c}` {'string' if c == 'error' else 'double'}" for c in names)
+    return spark.createDataFrame([tuple(None if isinstance(v := r.get(c), float) and np.isnan(v) else v for c in names) for r in rows], schema)
+
+
+def sweep(seqs: DataFrame, ks: Iterable[int], seeds: Iterable[int], detectors: Iterable[Detector] = DETECTORS, **how) -> DataFrame:
+    """The scorecard of all fits, one row for each k and seed."""
     seqs = seqs.persist()
-    rows, names = [], []
-    for k, seed in itertools.product(sorted(set(ks)), sorted(set(seeds))):
-        fit = None
-        try:
-            fit = fit_one(seqs, k, seed, **how)
-            row: dict = evaluate(fit, detectors)
-        except (np.linalg.LinAlgError, FloatingPointError, ValueError) as e:
-            row = {"k": float(k), "seed": float(seed), "error": str(e)}
-        finally:
-            if fit is not None:
-                fit.gamma.unpersist()
-        names += [c for c in row if c not in names]
-        rows.append(row)
+    rows = [scored(seqs, k, seed, detectors, **how) for k, seed in itertools.product(sorted(set(ks)), sorted(set(seeds)))]
     seqs.unpersist()
-    schema = ", ".join(f"`{c}` {'string' if c == 'error' else 'double'}" for c in names)
-    clean = [tuple(None if isinstance(v := r.get(c), float) and np.isnan(v) else v for c in names) for r in rows]
-    return spark.createDataFrame(clean, schema)
+    return scorecard(seqs.sparkSession, rows)
 
 
 def summary_by_k(scorecard: DataFrame) -> DataFrame:

@@ -59,24 +59,33 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("seg", F.row_number().over(W.partitionBy("sid").orderBy("start", "end")) - 1)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether any file matches the path, in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    return found is not None and len(found) > 0
+
+
 def covariates(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """sid, uid, sex, age_group, fd and the file's other columns; without `strict` an unreadable file is an empty table."""
+    """sid, uid, sex, age_group, fd and the file's other columns; without `strict` a file that isn't there is an empty table."""
     from statewalk.functions.expressions import sex_text
 
-    try:
-        rows = with_aliases(table(spark, path), ("sid",), ("sex", "age_group", "fd"))
-    except Exception:
-        if strict:
-            raise
+    if not strict and not exists(spark, path):
         return spark.createDataFrame([], "sid string, uid string, sex string, age_group string, fd double")
+    rows = with_aliases(table(spark, path), ("sid",), ("sex", "age_group", "fd"))
     rest = [c for c in rows.columns if c not in ("sid", "sex", "age_group", "fd")]
     sid = F.trim("sid")
     return rows.select(sid.alias("sid"), leading_token(sid).alias("uid"), sex_text(F.col("sex")).alias("sex"), "age_group", F.expr("try_cast(fd as double)").alias("fd"), *[F.col(f"`{c}`") for c in rest])
 
 
-def numbers(line: Column) -> Column:
-    """A line of numbers parted by blanks, tabs or commas, as an array."""
-    return F.transform(F.filter(F.split(F.trim(line), r"[\s,]+"), lambda x: x != ""), lambda x: x.cast("double"))
+def optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A delimited file, or an empty table of the schema if it isn't there."""
+    return table(spark, path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def numbers(line: Column, strict: bool = True) -> Column:
+    """A line of numbers parted by blanks, tabs or commas, as an array; what is no number is an error, or null if not strict."""
+    return F.transform(F.filter(F.split(F.trim(line), r"[\s,]+"), lambda x: x != ""), lambda x: x.cast("double") if strict else x.try_cast("double"))
 
 
 def _steps(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -86,12 +95,38 @@ def _steps(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return lines.where(F.trim("line") != "")
 
 
-def posteriors(spark: SparkSession, paths: str | list[str], k: int | None = None) -> DataFrame:
-    """sid, t, g from one text file for each sequence, one line for each step; rows are normalised. A wrong width is an error."""
-    out = _steps(spark, paths).select("sid", "t", normalized(numbers(F.col("line"))).alias("g"))
-    if k is not None:
-        out = out.withColumn("g", F.when(F.size("g") == k, F.col("g")).otherwise(F.raise_error(F.concat(F.lit(f"expected {k} columns in the posterior of "), "sid"))))
-    return out
+def posteriors(spark: SparkSession, paths: str | list[str], k: int | None = None, skip_bad: bool = False) -> DataFrame:
+    """sid, t, g from one text file for each sequence, one line for each step; rows are normalised. A wrong width, or a value that
+    is no number, is an error; with skip_bad the whole sequence is left out."""
+    out = _steps(spark, paths).select("sid", "t", numbers(F.col("line"), strict=k is None).alias("g"))
+    if k is None:
+        return out.select("sid", "t", normalized(F.col("g")).alias("g"))
+    good = (F.size("g") == k) & F.forall("g", lambda x: x.isNotNull() & ~F.isnan(x))
+    if skip_bad:
+        out = out.withColumn("_bad", F.max(~good).over(W.partitionBy("sid"))).where("not _bad").drop("_bad")
+    else:
+        out = out.withColumn("g", F.when(good, F.col("g")).otherwise(F.raise_error(F.concat(F.lit(f"expected {k} numbers a line in the posterior of "), "sid"))))
+    return out.select("sid", "t", normalized(F.col("g"), k).alias("g"))
+
+
+def ordered_subjects(spark: SparkSession, metrics: str, posterior_files: str) -> DataFrame:
+    """pos, sid: the subjects of a metrics table in the order of their first rows; of the posterior files, by name, if there is none."""
+    if exists(spark, metrics):
+        rows = with_aliases(table(spark, metrics), ("sid",)).select(F.monotonically_increasing_id().alias("row"), F.trim("sid").alias("sid"))
+        first = rows.where("sid <> ''").groupBy("sid").agg(F.min("row").alias("row"))
+    else:
+        named = spark.read.format("binaryFile").load(posterior_files).select(F.element_at(F.split("path", "/"), -1).alias("row"))
+        first = named.select("row", leading_token(F.col("row")).alias("sid")).groupBy("sid").agg(F.min("row").alias("row"))
+    return first.select((F.row_number().over(W.orderBy("row", "sid")) - 1).alias("pos"), "sid")
+
+
+def map_files(found: DataFrame, names: list[str]) -> DataFrame:
+    """sid, name: of files (name) each subject's first by the endings in `names`, in their order, else the first by name."""
+    sid = leading_token(F.col("name"))
+    place = F.lit(len(names))
+    for i, ending in reversed(list(enumerate(names))):
+        place = F.when(F.col("name") == F.concat(sid, F.lit(ending)), i).otherwise(place)
+    return found.groupBy(sid.alias("sid")).agg(F.min_by("name", F.struct(place, "name")).alias("name"))
 
 
 def states(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -99,19 +134,35 @@ def states(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return _steps(spark, paths).select("sid", "t", F.trim("line").cast("double").cast("int").alias("s"))
 
 
-def series(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """sid, t, y from one text matrix for each sequence, one line for each step: the orientation is that of the file."""
-    return _steps(spark, paths).select("sid", "t", numbers(F.col("line")).alias("y"))
+def series(spark: SparkSession, paths: str | list[str], orient: bool = False) -> DataFrame:
+    """sid, t, y from one text matrix for each sequence, one line for each step.
+
+    With orient a matrix of fewer lines than numbers a line has its steps in columns, and is turned. Lines of different
+    lengths in one file are an error.
+    """
+    rows = _steps(spark, paths).select("sid", "t", numbers(F.col("line")).alias("y"))
+    own = W.partitionBy("sid")
+    wide = rows.select("*", F.min(F.size("y")).over(own).alias("_least"), F.max(F.size("y")).over(own).alias("_most"), F.count("*").over(own).alias("_n"))
+    wide = wide.withColumn("y", F.when(F.col("_least") == F.col("_most"), F.col("y")).otherwise(F.raise_error(F.concat(F.lit("lines of different lengths in the matrix of "), "sid"))))
+    if not orient:
+        return wide.select("sid", "t", "y")
+    turned = wide.where("_n < _most").select("sid", "t", F.posexplode("y").alias("step", "x")).groupBy("sid", F.col("step").alias("t"))
+    turned = turned.agg(F.sort_array(F.collect_list(F.struct("t", "x"))).alias("y")).select("sid", "t", F.transform("y", lambda v: v["x"]).alias("y"))
+    return wide.where("_n >= _most").select("sid", "t", "y").union(turned)
 
 
 def label_table(spark: SparkSession, path: str) -> DataFrame:
     """label, name for every label from 1 to the greatest: a file of alternating lines, a name and then 'index r g b a'.
 
-    Labels that the file leaves out are named parcel_<label>. A label table is as small as its atlas.
+    Labels that the file leaves out are named parcel_<label>. If no second line of a pair begins with a number, the first lines
+    are the names of labels 1, 2, ... A label table is as small as its atlas.
     """
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split(F.regexp_replace("value", "\r", ""), "\n"), lambda x: F.trim(x) != "")).alias("i", "line"))
     pair = lines.groupBy(F.floor(F.col("i") / 2).alias("pair")).agg(F.min_by("line", "i").alias("name"), F.max_by("line", "i").alias("codes"))
-    named = pair.select(F.split(F.trim("codes"), r"\s+")[0].cast("int").alias("label"), F.trim("name").alias("name")).where("label >= 1")
+    code = F.expr(r"try_cast(split(trim(codes), '\\s+')[0] as int)")
+    coded = pair.select("pair", code.alias("label"), F.trim("name").alias("name"))
+    plain = coded.agg(F.max("label").alias("_most"))  # one row
+    named = coded.crossJoin(F.broadcast(plain)).select(F.when(F.col("_most").isNull(), F.col("pair") + 1).otherwise(F.col("label")).cast("int").alias("label"), "name").where("label >= 1")
     grid = named.agg(F.max("label").alias("most")).where("most is not null").select(F.explode(F.sequence(F.lit(1), F.col("most"))).alias("label"))
     return grid.join(named, "label", "left").select("label", F.coalesce("name", F.concat(F.lit("parcel_"), "label")).alias("name"))
 
@@ -153,12 +204,17 @@ def id_list(spark: SparkSession, path: str) -> DataFrame:
     return kept.groupBy("sid").agg(F.min("pos").alias("pos")).select("pos", "sid")
 
 
-def used_ids(spark: SparkSession, path: str) -> DataFrame:
-    """sid, sex of a table of used subjects, once each: a row for each state doesn't count a subject again."""
+def used_rows(spark: SparkSession, path: str) -> DataFrame:
+    """pos, sid, sex of every row of a table of used subjects, in the file's order, repeated ones too."""
     from statewalk.functions.expressions import sex_text
 
-    rows = with_aliases(table(spark, path), ("sid",), ("sex",))
-    return rows.select(F.trim("sid").alias("sid"), sex_text(F.col("sex")).alias("sex")).where("sid <> ''").groupBy("sid").agg(F.min("sex").alias("sex"))
+    rows = with_aliases(table(spark, path), ("sid",), ("sex",)).withColumn("pos", F.monotonically_increasing_id())
+    return rows.select("pos", F.trim("sid").alias("sid"), sex_text(F.col("sex")).alias("sex")).where("sid <> ''")
+
+
+def used_ids(spark: SparkSession, path: str) -> DataFrame:
+    """pos, sid, sex of a table of used subjects, once each, at the place of the first row."""
+    return used_rows(spark, path).groupBy("sid").agg(F.min("pos").alias("pos"), F.min("sex").alias("sex")).select("pos", "sid", "sex")
 
 
 def label_names(spark: SparkSession, path: str) -> DataFrame:

@@ -43,6 +43,55 @@ def test_full_run(spark, folder, tmp_path):
     assert all(r["q_bh"] is None or r["q_bh"] >= r["p_perm"] - 1e-12 for r in run.effects_state().collect())
 
 
+def lines_of(spark, path: str) -> list[str]:
+    return [r[0] for r in spark.read.text(path).collect()]
+
+
+def test_design_and_merge(spark, folder, tmp_path):
+    series, cov = readers.series(spark, str(folder / "*_rest.txt")), readers.covariates(spark, str(folder / "cov.tsv"))
+    settings = {"hmm": {"K": 2, "max_iter": 2}, "stats": {"n_perm_rm": 3, "n_perm_between": 3}, "group_design": {"contrast": "sex", "demean": ["fd"]}, "palm": {"enabled": True, "n_perm": 5, "tfce": True}}
+    run = Run(spark, from_mapping(settings), str(tmp_path), series, cov)
+    rows, names = run.design()
+    assert names == ["intercept", "age[old]", "sex", "fd", "state[2]"] or names == ["intercept", "age[young]", "sex", "fd", "state[2]"]
+    assert rows.count() == 24 and abs(sum(r["fd"] for r in rows.collect())) < 1e-9
+    root = run.write_design()
+    text = lines_of(spark, f"{root}/design.mat")
+    assert text[:2] == ["/NumWaves 5", "/NumPoints 24"] and text[2].startswith("/PPHeights") and len(text) == 28
+    assert lines_of(spark, f"{root}/eb.txt") == [str(i // 2 + 1) for i in range(24)]
+    assert lines_of(spark, f"{root}/mapping.tsv")[:3] == ["row\tsubid\tstate", "1\t0000\t1", "2\t0000\t2"]
+    assert lines_of(spark, f"{root}/design.con")[-1] == "0 0 1 0 0" and lines_of(spark, f"{root}/design_subjects.con")[-1] == "0 0 1 0"
+    assert len(lines_of(spark, f"{root}/design_subjects.mat")) == 16 and len(lines_of(spark, f"{root}/age_levels.txt")) == 2
+    assert run.stacks().count() == 2 * 12 * 2 and run.columns_map().count() == 24
+    assert {r["p_fwe"] is not None for r in run.parcel_tests().collect()} == {True} and run.parcel_tests().count() == 4
+    terms = {r["term"] for r in run.omnibus().collect()}
+    assert terms == {"State", "AgeGroup", "AgeGroup:State", "Sex", "Sex:State"}
+
+
+def test_other_input_is_another_table(spark, folder, tmp_path):
+    series, cov = readers.series(spark, str(folder / "*_rest.txt")), readers.covariates(spark, str(folder / "cov.tsv"))
+    config = from_mapping({"hmm": {"K": 2, "max_iter": 1}})
+    few = series.where("sid < '0004'")
+    assert Run(spark, config, str(tmp_path), few, cov).segments().count() == 4
+    assert Run(spark, config, str(tmp_path), series, cov).segments().count() == 12
+    assert [r["start"] for r in Run(spark, config, str(tmp_path), few, cov).segments().orderBy("sid").collect()] == [0, 60, 120, 180]
+
+
+def test_thresholds_reach_the_detectors(spark, folder, tmp_path):
+    series, cov = readers.series(spark, str(folder / "*_rest.txt")), readers.covariates(spark, str(folder / "cov.tsv"))
+
+    def figures(**limits):
+        config = from_mapping({"hmm": {"K": 2, "max_iter": 2}, "evaluation": {"enabled": True, "K_values": [2], "seeds": [1], **limits}})
+        return Run(spark, config, str(tmp_path), series, cov).selection().first().asDict()
+
+    plain = figures(reliability={"run_len_tr": 15, "n_runs": 4})
+    strict = figures(junk={"fo_median_min": 0.99, "dt_mean_min_tr": 1e6, "presence_min": 2.0}, reliability={"run_len_tr": 1200, "n_runs": 4})
+    assert strict["junk__n_junk__mean"] == 2 and plain["junk__n_junk__mean"] < 2
+    assert plain["reliability__r_mean__mean"] is not None and strict["reliability__r_mean__mean"] is None  # no sequence has 4800 steps
+    assert figures(reliability={"run_len_tr": 15, "n_runs": 4}) == plain  # read again
+    tables = [x.name for x in (tmp_path).iterdir()]
+    assert "selection_junk_states" in tables and "selection_clone_pairs" in tables
+
+
 def test_config():
     with pytest.raises(ValueError):
         from_mapping({"hmm": {"states": 3}})
@@ -50,6 +99,10 @@ def test_config():
         from_mapping({"other": {}})
     assert from_mapping({"evaluation": True}).evaluation.enabled
     assert from_mapping({"evaluation": {"K_values": 3}}).evaluation.K_values == [3]
+    nested = from_mapping({"evaluation": {"clone": {"corr_thr": 0.5}, "out_dir": "x"}, "palm": {"ise": True, "tfce2D": False}, "logging": {"format": "json"}, "group_design": {"demean": "fd"}})
+    assert nested.evaluation.clone_corr == 0.5 and nested.palm.one_sample and nested.group_design.demean == ["fd"]
+    with pytest.raises(ValueError):
+        from_mapping({"evaluation": {"clone": {"corr": 0.5}}})
 
 
 def test_readers(spark, tmp_path):
@@ -73,7 +126,27 @@ def test_more_readers(spark, tmp_path):
     (tmp_path / "ids.txt").write_text("b\n\na\nb\n")
     assert [r["sid"] for r in readers.id_list(spark, str(tmp_path / "ids.txt")).orderBy("pos").collect()] == ["b", "a"]
     (tmp_path / "used.tsv").write_text("row\tsid\tsex\n1\ta\tM\n2\ta\tM\n3\tb\t0\n")
-    assert {(r["sid"], r["sex"]) for r in readers.used_ids(spark, str(tmp_path / "used.tsv")).collect()} == {("a", "M"), ("b", "F")}
+    assert [(r["sid"], r["sex"]) for r in readers.used_ids(spark, str(tmp_path / "used.tsv")).orderBy("pos").collect()] == [("a", "M"), ("b", "F")]
+    assert readers.used_rows(spark, str(tmp_path / "used.tsv")).count() == 3
+    (tmp_path / "plain.txt").write_text("V1\nx\nM1\ny\n")
+    assert [(r["label"], r["name"]) for r in readers.label_table(spark, str(tmp_path / "plain.txt")).orderBy("label").collect()] == [(1, "V1"), (2, "M1")]
+    (tmp_path / "wide_ts.txt").write_text("1 2 3\n4 5 6\n")
+    assert [r["y"] for r in readers.series(spark, str(tmp_path / "wide_ts.txt"), orient=True).orderBy("t").collect()] == [[1.0, 4.0], [2.0, 5.0], [3.0, 6.0]]
+    (tmp_path / "p1_gamma.txt").write_text("1 1\n1 3\n")
+    (tmp_path / "p2_gamma.txt").write_text("1 1 1\n")
+    (tmp_path / "p3_gamma.txt").write_text("1 x\n")
+    good = readers.posteriors(spark, [str(tmp_path / f"p{i}_gamma.txt") for i in (1, 2, 3)], 2, skip_bad=True)
+    assert {r["sid"] for r in good.collect()} == {"p1"}
+    (tmp_path / "global.csv").write_text("Subject,x\nb,1\na,2\nb,3\n")
+    assert [r["sid"] for r in readers.ordered_subjects(spark, str(tmp_path / "global.csv"), "").orderBy("pos").collect()] == ["b", "a"]
+    assert [r["sid"] for r in readers.ordered_subjects(spark, str(tmp_path / "none.csv"), str(tmp_path / "p*_gamma.txt")).orderBy("pos").collect()] == ["p1", "p2", "p3"]
+    names = spark.createDataFrame([("a_z.tsv",), ("a_zz.tsv",), ("b_other.tsv",), ("b_zz.tsv",), ("c_q.tsv",), ("c_r.tsv",)], "name string")
+    assert {r["sid"]: r["name"] for r in readers.map_files(names, ["_zz.tsv", "_z.tsv"]).collect()} == {"a": "a_zz.tsv", "b": "b_zz.tsv", "c": "c_q.tsv"}
+    assert readers.covariates(spark, str(tmp_path / "nowhere.tsv")).count() == 0
+    assert readers.optional(spark, str(tmp_path / "nowhere.tsv"), "a string").columns == ["a"]
+    (tmp_path / "noid.csv").write_text("x,y\n1,2\n")
+    with pytest.raises(ValueError):
+        readers.covariates(spark, str(tmp_path / "noid.csv"))
     (tmp_path / "names.csv").write_text("name,x\nV1,1\n\nM1,2\n")
     assert [(r["p"], r["name"]) for r in readers.label_names(spark, str(tmp_path / "names.csv")).orderBy("p").collect()] == [(0, "V1"), (1, "M1")]
     (tmp_path / "means.csv").write_text("state,a,b\n1,0.5,2\n0,1,x\n")
