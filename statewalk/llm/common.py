@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import re
+import tempfile
 from collections.abc import Callable, Iterator
 from functools import lru_cache, wraps
 
@@ -39,13 +41,15 @@ def texts_of(docs: DataFrame, *extra: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, written to the checkpoint folder: the one already set, else the one that spark.checkpoint.dir names.
 
-    A folder of one machine would lose rows on a cluster, so none is made up where neither is set.
+    Where neither is set, one is made up if all of Spark runs in this process. A folder of one machine would lose rows on a
+    cluster, so there it is an error.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
+        if folder is None and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = folder or tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     give_back()
     return df.checkpoint(eager=True)
