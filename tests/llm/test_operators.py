@@ -12,7 +12,9 @@ import pytest
 import xxhash
 
 from statewalk.llm import bpe, components, dedup, embeddings, fingerprints, languages, licenses, packing, quality, simhash, suffixes, toxicity
-from statewalk.llm.common import text_chunks
+from pyspark.sql import functions as F
+
+from statewalk.llm.common import mix, span_hashes, text_chunks
 
 P = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bucket int, row_key string, fp long, node long, part string"
@@ -163,6 +165,32 @@ def test_op2_boundaries():
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [enc.encode_ordinary(t) for t in texts]
 
 
+def thue_morse(letters: str, n: int = 2048) -> str:
+    """A word whose polynomial hash modulo 2**64 equals its complement's, whatever the base."""
+    return "".join(letters[i.bit_count() & 1] for i in range(n))
+
+
+def test_op2_slices_that_hash_alike():
+    import pyarrow as pa
+
+    enc, vocab = tiktoken_reference("byte_bpe_multi_50k.tiktoken"), bpe.vocabulary(P.path("byte_bpe_multi_50k.tiktoken"))
+    texts = ["abcdefgh" + thue_morse("ab"), "abcdefgh" + thue_morse("ba"), thue_morse("xy", 16), thue_morse("yx", 16), "q" * 32, "q" * 33, "before <|endoftext|> after"]
+    got = [x for c in text_chunks(pa.array(texts * 2), 3000) for x in bpe.encode_chunk(c, vocab)]
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [enc.encode_ordinary(t) for t in texts * 2]
+
+
+def test_op3_added_tokens():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    t, path = Tokenizer.from_file(P.path("byte_bpe_50k.json")), P.path("byte_bpe_50k.json")
+    texts = ["before <|endoftext|> after", "<|endoftext|><|endoftext|>", " <|endoftext|>  <|endoftext|>'s", "<|endoftext|", "", "plain", "it's<|endoftext|>'s", thue_morse("ab"), thue_morse("ba")]
+    for as_text in (False, True):
+        t.encode_special_tokens = as_text
+        got = [x for c in text_chunks(pa.array(texts), 40) for x in bpe.encode_chunk(c, bpe.vocabulary(path, as_text))]
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_op2_cache_is_bounded():
     small = bpe.Vocabulary(bpe.vocabulary(P.path("byte_bpe_multi_50k.tiktoken")).ranks, limit=50)
     import pyarrow as pa
@@ -176,7 +204,6 @@ def test_op3(docs, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = {r[0]: [*t.encode(r[1] or "", add_special_tokens=False).ids, packing.END_ID] for r in corpus()}
     rows = packing.pack(docs, P.path("byte_bpe_50k.json")).collect()
     copies = {r[0]: sum(x[0] == r[0] for x in corpus()) for r in corpus()}
@@ -202,6 +229,45 @@ def test_op3(docs, empty):
     assert packing.pack(empty, P.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_op3_classes():
+    """A bin of class k holds k documents whose lengths are of that class, and only gaps are filled by cutting the next ones."""
+    rng, bins, lengths = np.random.default_rng(3), packing.Bins(0), {}
+    for i in range(3000):
+        lengths[i] = int(rng.integers(1, 700))
+        bins.add(i, bytes(4 * lengths[i]))
+    bins.finish()
+    whole = sum(r[1] == 0 and r[2] == r[4] for r in bins.done)
+    assert whole > 0.6 * len(lengths) and len(bins.done) < 2 * len(lengths)
+    assert sum(r[2] for r in bins.done) == sum(lengths.values())
+    assert all(2048 / (packing.reciprocal_class(n) + 1) < n <= 2048 / packing.reciprocal_class(n) for n in lengths.values())
+
+
+def test_op4_unlike_vectors_of_one_id(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 0.1, 0.0]), (3, [0.0, 0.0, 1.0])]
+    got = embeddings.classes(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 0, 1), (1, 1, 1), (2, 1, 1), (3, 0, 3)]
+
+
+def test_op4_recall(spark):
+    """Planted vectors around the threshold, and a group that is dense there, against brute force."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(2500, 32))
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+
+    def at(u: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+        z = rng.normal(size=u.shape)
+        z -= (z * u).sum(1, keepdims=True) * u
+        z /= np.linalg.norm(z, axis=1, keepdims=True)
+        return cosine[:, None] * u + np.sqrt(1 - cosine**2)[:, None] * z
+
+    x = np.concatenate([unit, at(unit[:900], rng.uniform(0.88, 0.99, 900)), at(np.repeat(unit[:1], 150, 0), rng.uniform(0.93, 0.97, 150))]).astype(np.float32)
+    y = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    want = (y @ y.T >= 0.9).sum(1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.classes(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= want).all() and found.sum() >= 0.97 * want.sum() and want.sum() > 5000
+
+
 def test_op4(spark, monkeypatch):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(120, 16))
@@ -249,6 +315,92 @@ def test_op5(spark, docs, empty):
     assert {r["doc_id"] for r in kept.collect()} == {i for i in range(400) if i % 4}
 
 
+def test_op5_scores_by_definition(spark, sf_dir):
+    """The noisy-or of logistic sentences, word by word, and the model against labels it hasn't seen."""
+    docs, marks = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, marks, keep=toxicity.training_fold())
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+
+    def brute(text: str | None) -> float:
+        clean = 1.0
+        for sentence in re.split(rb"[.!?\n]", (text or "").encode()):
+            words = re.findall(rb"[A-Za-z\x80-\xff]+", sentence)
+            if not words:
+                continue
+            z = model.bias
+            for w in words:
+                raw = np.frombuffer(bytes(c + 32 if 65 <= c <= 90 else c for c in w), np.uint8)
+                for n in (None, *toxicity.PREFIXES):
+                    h = span_hashes(raw, np.array([0]), np.array([len(raw) if n is None else min(n, len(raw))]))
+                    z += float(model.weights[int((h if n is None else mix(h + np.uint64(n)))[0] >> np.uint64(64 - toxicity.BITS))])
+            clean *= 1 - 1 / (1 + np.exp(-z))
+        return 1 - clean
+
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    some = [i for i in texts if len(texts[i] or "") < 3000][:60]
+    assert all(got[i] == pytest.approx(brute(texts[i]), abs=1e-6) for i in some)
+
+
+@pytest.fixture(scope="module")
+def larger(spark):
+    return "/root/testdata/sf0.01"
+
+
+def test_op5_held_out(spark, larger):
+    docs, marks = (spark.read.parquet(f"{larger}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.fold(docs, marks).where("held_out").join(marks.where("toxic is not null"), "doc_id").collect()
+    assert len(rows) > 40 and np.mean([r["predicted"] == r["toxic"] for r in rows]) >= 0.95
+
+
+def test_op7_by_definition(spark, larger):
+    """Posteriors from the rows' own evidence, site by site, and the judgement of rows whose labels it hasn't seen."""
+    docs, marks = (spark.read.parquet(f"{larger}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, marks)
+    scored = quality.evidence(docs, model, F.col("source"), quality.default_path()).toPandas()
+    got = quality.posterior(spark.createDataFrame(scored)).toPandas()
+
+    def strength(n, good, above) -> float:
+        n, good, above = (x[n > 1] for x in (n, good, above))
+        most = ((n - 1) * above * (1 - above)).sum()
+        share = max((n * (good / n - above) ** 2 - above * (1 - above)).sum(), 0) / most
+        return min(10_000.0, max(1.0, 1 / share - 1)) if share > 0 else 10_000.0
+
+    rate = scored["p"].mean()
+    hosts = scored.groupby("host")["p"].agg(["count", "sum"])
+    k = strength(hosts["count"], hosts["sum"], hosts["sum"] * 0 + rate)
+    host_rate = (hosts["sum"] + k * rate) / (hosts["count"] + k)
+    paths = scored.groupby(["host", "path"])["p"].agg(["count", "sum"]).reset_index()
+    kp = strength(paths["count"], paths["sum"], paths["host"].map(host_rate))
+    x = scored.merge(paths, on=["host", "path"])
+    less_host = (x["host"].map(hosts["sum"]) - x["p"] + k * rate) / (x["host"].map(hosts["count"]) - 1 + k)
+    less = ((x["sum"] - x["p"] + kp * less_host) / (x["count"] - 1 + kp)).clip(1e-6, 1 - 1e-6)
+    want = 1 / (1 + np.exp(-(x["llr"] + np.log(less / (1 - less)))))
+    assert np.allclose(np.sort(got["score"]), np.sort(want), atol=1e-9)
+    rows = quality.fold(docs, marks).where("held_out").join(marks.where("quality is not null"), "doc_id").collect()
+    assert len(rows) > 40 and np.mean([r["accepted"] == bool(r["quality"]) for r in rows]) >= 0.9
+
+
+def test_op8_held_out_and_shares(spark, larger):
+    docs = spark.read.parquet(f"{larger}/documents.parquet")
+    rows = languages.fold(docs).where("held_out").join(docs.where("lang is not null and length(text) > 40").select("doc_id", "lang"), "doc_id").collect()
+    assert len(rows) > 100 and np.mean([r["lang_pred"] == r["lang"] for r in rows]) >= 0.95
+    # expectation-maximisation against a grid of shares
+    rng = np.random.default_rng(1)
+    log_word = rng.normal(-5, 2, (60, 2))
+    pi, value = languages.shares(log_word, np.array([0, 60]), np.ones((1, 2)), 300)
+    grid = [np.log(a * np.exp(log_word[:, 0]) + (1 - a) * np.exp(log_word[:, 1])).sum() for a in np.linspace(0.001, 0.999, 999)]
+    assert value[0] == pytest.approx(max(grid), abs=1e-3) and pi[0, 0] == pytest.approx(np.linspace(0.001, 0.999, 999)[int(np.argmax(grid))], abs=0.01)
+
+
+def test_op8_many_languages(spark):
+    """More languages than a full model holds: cells are joined, none is left out."""
+    rows = [(i, f"word{i:03d} other{i:03d} thing{i:03d} " * 6, f"l{i % 300:03d}") for i in range(600)]
+    model = languages.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model[0]) == 300 and model[1].shape == (1 << (languages.BITS - 1), 300)
+    got = languages.identify(spark.createDataFrame(rows[:20], "doc_id long, text string, lang string"), model).collect()
+    assert all(r["lang_pred"] in model[0] for r in got)
+
+
 def brute_fingerprint(text: str | None, size: int) -> int:
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
     shingles = [" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
@@ -340,6 +492,38 @@ def test_op8(spark, docs, empty):
     assert languages.fold(empty).count() == 0
 
 
+def test_op9_whole_files(spark):
+    """Published licence files, with title lines and other holders, and lines of any length and spelling, as in the SQL."""
+    import os
+
+    mit, asterisks = licenses.KNOWN[0][1], "*" * 9000
+    rows = [
+        (0, "MIT License\n\nCopyright (c) 2020 " + "Some Very Long Company Name, " * 20 + "\nAll rights reserved.\n\n" + mit),
+        (1, f"prose\n{asterisks} Released under the MIT License.\nmore"),
+        (2, "RELEASED-UNDER CC0\t1.0"),
+        (3, "*Released*  under CC0 1.0."),
+        (4, "The BSD 3-Clause License\n" + next(b for n, b in licenses.KNOWN if n == "BSD-3-Clause")),
+        (5, "released to nobody"),
+    ]
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0"}
+    want = ["MIT", None, "CC0-1.0", "CC0-1.0", "BSD-3-Clause", None]
+    for file, name in names.items():
+        path = f"/usr/share/common-licenses/{file}"
+        if os.path.exists(path):
+            with open(path, encoding="utf-8") as f:
+                rows.append((len(rows), f.read().upper() + "\n\n"))
+            want.append(name)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_id(licenses.scan(df))
+    assert [got[i][0]["license"] for i in range(len(rows))] == want
+    assert [got[i][0]["n_notices"] for i in (1, 2, 3, 5)] == [1, 1, 1, 0]
+    import duckdb
+
+    documents = df.toPandas()  # noqa: F841
+    sql = sorted(map(tuple, duckdb.connect().sql(licenses.oracle()).fetchall()), key=str)
+    assert sorted(map(tuple, licenses.scan(df).collect()), key=str) == sql
+
+
 def test_op9(spark, empty):
     mit = licenses.KNOWN[0][1]
     rows = [(0, mit), (1, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace("LICENSE", "LICENCE")), (2, "prose\nReleased  under the MIT Licence.\nmore"), (3, None), (4, ""), (5, "nothing here about it"), (6, mit + " and more")]

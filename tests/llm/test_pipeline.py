@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 import corpus_pipeline
@@ -39,7 +41,7 @@ def test_license_oracle(spark, sf_dir):
 
 
 def shingle_set(text: str) -> frozenset:
-    w = text.split()
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
@@ -108,3 +110,39 @@ def test_near_duplicates_misses_no_pair(spark):
             texts[-1] += "\n" + "\n".join(["one line of ten words which is there many times"] * 60)
     want = brute_kept(texts)
     assert len(want) < len(texts) and kept(spark, texts) == want
+
+
+def test_stages_on_awkward_tables(spark, sf_dir):
+    """Each stage on nulls, empty and repeated rows and clashing columns, and on a table without rows."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", None, 0), (7, None, None, "s", None), (7, "a b c d e f", "en", "s", 11), (7, "a b c d e f", "en", "s", 11), (8, "x" * 200_000, "en", "s", 200_000)], docs.schema)
+    rows = docs.union(odd).withColumn("row_key", F.lit("clash")).withColumn("node", F.lit(1)).withColumn("bucket", F.lit(2))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, rows, sf_dir)
+        assert out.count() > 0 and (name == "packing" or tuple(out.columns) == corpus_pipeline.COLUMNS), name
+        assert stage(spark, rows.where("false"), sf_dir).count() == 0, name
+    kept = simhash.one_of_each(rows.select(*corpus_pipeline.COLUMNS))
+    same = kept.where("doc_id = 7 and text is not null").count()
+    assert same == 2  # equal rows are one document: both stay or both go
+
+
+def test_quality_and_toxicity_stages_keep_what_they_judge_so(spark, sf_dir):
+    """A stage's rows are those that its operator's own scores keep."""
+    from statewalk.llm import quality, toxicity
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    judged = quality.judge(docs, labels).where("accepted").count()
+    assert corpus_pipeline.quality_stage(spark, docs, sf_dir).count() == judged
+    model = toxicity.fit(docs, labels, keep=toxicity.training_fold())
+    assert corpus_pipeline.toxicity_stage(spark, docs, sf_dir).count() == toxicity.score(docs, model).where("score < 0.5").count()
+
+
+def test_near_duplicates_on_the_table(spark, sf_dir):
+    """The whole table against exact all pairs."""
+    rows = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    low = [re.sub("[A-Z]", lambda m: m.group().lower(), t) for _, t in rows]
+    want = [rows[i][0] for i in brute_kept(low)]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs.select(*corpus_pipeline.COLUMNS)).collect()) == want
