@@ -36,7 +36,7 @@ from statewalk.llm.suffixes import permuted_common_prefixes, suffix_array
 LENGTH, ANCHOR = 50, 16
 #: Bytes of a bucket's texts, bytes of text for each shard and each range of anchors (less where the cluster has tasks to
 #: spare, but not below the least), and bytes of one suffix sort.
-BUCKET_BYTES, SHARD_BYTES, LEAST_BYTES, SORT_BYTES = 3 << 20, 32 << 20, 1 << 20, 1 << 20
+BUCKET_BYTES, SHARD_BYTES, LEAST_BYTES, SORT_BYTES = 3 << 20, 16 << 20, 1 << 20, 1 << 20
 #: An anchor with so many contexts is sent by windows. Contexts are told apart by the eight bytes on both sides, within a bucket.
 FREQUENT, SATURATED = 1024, 255
 LAST = (1 << 63) - 1  # the id that stands for null: after all others

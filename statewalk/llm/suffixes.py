@@ -148,29 +148,33 @@ def permuted_common_prefixes(raw: np.ndarray, sa: np.ndarray, ends: np.ndarray)
     the position to its left, its prefix is one shorter. Only the other positions are compared, eight bytes at a time.
     """
     n = len(raw)
-    before = np.full(n, -1, np.int64)
-    at = sa[1:].astype(np.int64)  # sa[0] is the end mark
+    before = np.full(n, -1, np.int32)
+    at = sa[1:]  # sa[0] is the end mark
     before[at[1:]] = at[:-1]
-    here = np.arange(n)
-    most = np.where(before >= 0, np.minimum(ends - here, n - np.maximum(here, before)), 0)
+    here = np.arange(n, dtype=np.int32)
     follows = np.zeros(n, bool)
-    follows[1:] = (before[:-1] >= 0) & (before[1:] == before[:-1] + 1) & (raw[:-1] == raw[np.maximum(before[:-1], 0)]) & (ends[1:] == ends[:-1])
+    follows[1:] = (before[1:] == before[:-1] + 1) & (ends[1:] == ends[:-1])
+    some = np.flatnonzero(follows)
+    follows[some] = (before[some - 1] >= 0) & (raw[some - 1] == raw[before[some - 1]])
     lead = np.flatnonzero(~follows)
+    source = before[lead]
+    most = np.where(source >= 0, np.minimum(ends[lead] - lead, n - np.maximum(lead, source)), 0)
     words = np.ndarray((n,), "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), 0, (1,))
-    out = np.zeros(n, np.int64)
-    i = lead[before[lead] >= 0]
-    j, k = before[i], 0
-    while len(i):
+    found = np.zeros(len(lead), np.int64)
+    go = np.flatnonzero(source >= 0)
+    i, j, k = lead[go], source[go], 0
+    while len(go):
         differ = words[np.minimum(i + k, n - 1)] ^ words[np.minimum(j + k, n - 1)]
         equal = differ == 0
         apart = ~equal
         low = differ[apart]
-        out[i[apart]] = k + np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)) // 8
+        found[go[apart]] = k + np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)) // 8
         k += 8
-        i, j = i[equal], j[equal]
-        out[i] = k
-        go = most[i] > k
-        i, j = i[go], j[go]
-    out[lead] = np.minimum(out[lead], most[lead])
-    source = np.maximum.accumulate(np.where(follows, 0, here))
-    return np.maximum(out[source] - (here - source), 0)
+        go, i, j = go[equal], i[equal], j[equal]
+        found[go] = k
+        more = most[go] > k
+        go, i, j = go[more], i[more], j[more]
+    out = np.zeros(n, np.int32)
+    out[lead] = np.minimum(found, most)
+    origin = np.maximum.accumulate(np.where(follows, 0, here))
+    return np.maximum(out[origin] - (here - origin), 0)

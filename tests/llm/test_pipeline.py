@@ -117,14 +117,14 @@ def test_stages_on_awkward_tables(spark, sf_dir):
     from pyspark.sql import functions as F
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
-    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", None, 0), (7, None, None, "s", None), (7, "a b c d e f", "en", "s", 11), (7, "a b c d e f", "en", "s", 11), (8, "x" * 200_000, "en", "s", 200_000)], docs.schema)
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", None, 0), (-7, None, None, "s", None), (-7, "a b c d e f", "en", "s", 11), (-7, "a b c d e f", "en", "s", 11), (-8, "x" * 200_000, "en", "s", 200_000)], docs.schema)
     rows = docs.union(odd).withColumn("row_key", F.lit("clash")).withColumn("node", F.lit(1)).withColumn("bucket", F.lit(2))
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, rows, sf_dir)
         assert out.count() > 0 and (name == "packing" or tuple(out.columns) == corpus_pipeline.COLUMNS), name
         assert stage(spark, rows.where("false"), sf_dir).count() == 0, name
     kept = simhash.one_of_each(rows.select(*corpus_pipeline.COLUMNS))
-    same = kept.where("doc_id = 7 and text is not null").count()
+    same = kept.where("doc_id = -7 and text is not null").count()
     assert same == 2  # equal rows are one document: both stay or both go
 
 
