@@ -423,7 +423,7 @@ def test_links_in_blocks(spark, monkeypatch):
     """Groups larger than a block are compared in pairs of blocks, with the same result."""
     from statewalk.llm import blocks
 
-    monkeypatch.setattr(blocks.dealt, "__defaults__", (8,))
+    monkeypatch.setattr(blocks.dealt, "__defaults__", (8, None))
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 62, 40)
     values = {int(b) for b in base} | {int(b) ^ (1 << int(x)) ^ (1 << int(y)) for b in base[:10] for x, y in rng.integers(0, 60, (30, 2))}
