@@ -137,8 +137,15 @@ def sequences(steps: DataFrame) -> DataFrame:
     return rows.select("sid", F.transform("rows", lambda r: r["y"]).alias("x"))
 
 
-def statistics(seqs: DataFrame, p: Parameters) -> list[np.ndarray]:
-    """Log-likelihood, sums of first-step and all-step probabilities, pairs, and weighted moments, over all sequences."""
+#: Rows of statistics that the driver sums itself.
+FEW_ROWS = 64
+
+
+def statistics(seqs: DataFrame, p: Parameters, parts: int | None = None) -> list[np.ndarray]:
+    """Log-likelihood, sums of first-step and all-step probabilities, pairs, and weighted moments, over all sequences.
+
+    parts: the sequences' partitions, where known; as many rows as these are summed on the driver if they are few.
+    """
     shared = seqs.sparkSession.sparkContext.broadcast(p)
     k, d = p.var.shape
     m = d * p.order + 1
@@ -158,8 +165,10 @@ def statistics(seqs: DataFrame, p: Parameters) -> list[np.ndarray]:
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"stats": [np.stack(pdf["stats"]).sum(0).tolist()]})
 
-    partial = seqs.select("x").mapInPandas(reduce, "stats array<double>").withColumn("salt", F.spark_partition_id() % 16)
-    rows = partial.groupBy("salt").applyInPandas(add, "stats array<double>").collect()  # at most 16 rows
+    partial = seqs.select("x").mapInPandas(reduce, "stats array<double>")
+    if parts is None or parts > FEW_ROWS:
+        partial = partial.withColumn("salt", F.spark_partition_id() % 16).groupBy("salt").applyInPandas(add, "stats array<double>")
+    rows = partial.collect()  # at most 16, or parts, rows
     total = np.sum([r["stats"] for r in rows], axis=0) if rows else np.zeros(sum(sizes))
     return [v.reshape(s) for v, s in zip(np.split(total, np.cumsum(sizes)[:-1]), shapes)]
 
@@ -202,8 +211,9 @@ def fit(seqs: DataFrame, k: int, order: int = 1, max_iter: int = 100, seed: int
     seqs = seqs.persist()
     try:
         p = initial(seqs, k, order, seed)
+        parts = seqs.rdd.getNumPartitions()
         for _ in range(max_iter):
-            new = update(statistics(seqs, p), p)
+            new = update(statistics(seqs, p, parts), p)
             done = tol is not None and abs(new.loglik - p.loglik) <= tol * max(1.0, abs(new.loglik))
             p = new
             if done:

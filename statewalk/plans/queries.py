@@ -533,7 +533,7 @@ def _value_sequences(spark, sf):
 @query
 def hmm_fit_decode(spark, sf):
     seqs = _value_sequences(spark, sf)
-    model = arhmm.fit(seqs, 2, order=1, max_iter=ITERATIONS, seed=42, tol=1e-6)
+    model = arhmm.fit(seqs, 2, order=1, max_iter=ITERATIONS, seed=42, tol=1e-5)
     out = arhmm.decode(seqs, model)
     return rounded(out.select("sid", "t", "s", F.col("g")[0].alias("g0"), F.col("g")[1].alias("g1"), "loglik"))
 
@@ -542,7 +542,7 @@ def hmm_fit_decode(spark, sf):
 def sweep_summary(spark, sf):
     from statewalk.plans.selection import sweep, summary_by_k
 
-    return rounded(summary_by_k(sweep(_value_sequences(spark, sf), [2, 3], [1, 2], max_iter=ITERATIONS, tol=1e-6)))
+    return rounded(summary_by_k(sweep(_value_sequences(spark, sf), [2, 3], [1, 2], max_iter=ITERATIONS, tol=1e-5)))
 
 
 @query
