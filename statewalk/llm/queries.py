@@ -75,6 +75,24 @@ def op10_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited(table(spark, sf_dir, "documents"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statewalk.llm.pieces import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statewalk.llm.infilling import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statewalk.llm.codes import compressed
+
+    return compressed(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,11 +100,26 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_suffix_dedup, op2_byte_bpe, op3_harmonic_packing, op4_embedding_collisions, op5_toxicity_mil, op6_simhash_pivots, op7_quality_bayes, op8_language_mixture, op9_license_digest, op10_multiset_fingerprint, pipeline)
+    found = (
+        op1_suffix_dedup,
+        op2_byte_bpe,
+        op3_harmonic_packing,
+        op4_embedding_collisions,
+        op5_toxicity_mil,
+        op6_simhash_pivots,
+        op7_quality_bayes,
+        op8_language_mixture,
+        op9_license_digest,
+        op10_multiset_fingerprint,
+        op11_sentencepiece,
+        op12_fill_in_middle,
+        op13_vector_codes,
+        pipeline,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    from statewalk.llm.licenses import oracle
+    from statewalk.llm import codes, infilling, licenses
 
-    return {"op9_license_digest": oracle()}
+    return {"op9_license_digest": licenses.oracle(), "op12_fill_in_middle": infilling.oracle(), "op13_vector_codes": codes.oracle()}
