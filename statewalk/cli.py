@@ -1,4 +1,4 @@
-"""Command line: python -m statewalk.cli {run,concat,fit,metrics,export,maps,stats,design,merge,parcels,select,qc} --config FILE --series GLOB --out DIR."""
+"""Command line: python -m statewalk.cli {run,preflight,concat,fit,metrics,export,maps,stats,design,merge,parcels,select,qc} --config FILE --series GLOB --out DIR."""
 
 from __future__ import annotations
 
@@ -10,20 +10,21 @@ from pyspark.sql import SparkSession
 
 from statewalk.plans.config import from_yaml
 from statewalk.plans.run import Run
-from statewalk.sources import readers
+from statewalk.sources import matrix_files, readers
 
 COMMANDS = {
     "run": lambda r: r.all(),
     "concat": lambda r: r.segments().count(),
     "fit": lambda r: r.model().loglik,
     "metrics": lambda r: (r.metrics_state().count(), r.metrics_global().count(), r.transitions().count()),
-    "maps": lambda r: r.group_maps().count(),
+    "maps": lambda r: (r.group_maps().count(), r.write_maps()),
     "stats": lambda r: (r.omnibus().count(), r.effects_state().count(), r.effects_between().count()),
     "design": lambda r: r.write_design(),
     "merge": lambda r: (r.stacks().count(), r.columns_map().count()),
     "export": lambda r: r.write_texts(),
     "parcels": lambda r: r.parcel_tests(),
     "select": lambda r: r.selection(),
+    "preflight": None,
     "qc": lambda r: {n: t.count() for n, t in r.quality().items()},
 }
 
@@ -50,6 +51,12 @@ def main(argv: list[str] | None = None) -> int:
     logging.basicConfig(level=config.logging.level.upper(), handlers=[handler])
     spark = SparkSession.builder.appName("statewalk").getOrCreate()
     series = readers.series(spark, args.series or config.paths["series"])
+    if args.command == "preflight":
+        found = readers.preflight(matrix_files.shapes(spark, args.series or config.paths["series"]))
+        found.write.mode("overwrite").parquet(f"{args.out}/preflight")
+        for r in spark.read.parquet(f"{args.out}/preflight").groupBy("keep").agg({"*": "count"}).collect():
+            print(f"{'kept' if r['keep'] else 'passed by'}: {r['count(1)']}")
+        return 0
     path = args.covariates or config.paths.get("covariates")
     known = readers.covariates(spark, path) if path else spark.createDataFrame([], "sid string, uid string, sex string, age_group string, fd double")
     result = COMMANDS[args.command](Run(spark, config, args.out, series, known, args.force))

@@ -329,4 +329,6 @@ def oracle_sql() -> dict[str, str]:
         f"WITH {COV}, {metrics}, al AS ({state_term} UNION ALL {terms('age', 'AgeGroup')} UNION ALL {terms('sex', 'Sex')}), ra AS (SELECT *, row_number() OVER (ORDER BY p_perm NULLS LAST) AS i, count(p_perm) OVER () AS m FROM al) "
         f"SELECT metric, term, {r6('f_obs')} AS f_obs, {r6('p_perm')} AS p_perm, df_num, df_den, {r6('partial_eta2')} AS partial_eta2, CASE WHEN p_perm IS NOT NULL THEN {r6('least(min(p_perm * m / i) OVER (ORDER BY i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1)')} END AS q_bh FROM ra"
     )
+    out["series_files"] = f"SELECT user_id AS sid, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, {r6('value')} AS value FROM events"
+    out["series_shapes"] = "SELECT CAST(user_id AS VARCHAR) || '_value.txt' AS name, CAST(2 AS BIGINT) AS n_dim, count(*) AS rows, CAST(1 AS BIGINT) AS p, true AS keep FROM events GROUP BY user_id"
     return out

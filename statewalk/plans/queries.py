@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from statewalk.functions.expressions import r6, safe_corr
 from statewalk.operators import arhmm, chain, design, matrices, posterior, sequences, statistics
 from statewalk.plans import roles
+from statewalk.sources import matrix_files, readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Permutations, and iterations at most, of the registered queries.
@@ -584,3 +585,21 @@ def unknown_states(spark, sf):
     """Names in a columns map that aren't state names, with the times they occur."""
     rows = roles.table(spark, sf, "events").select(F.when(F.col("event_type") == "error", "error").otherwise(F.concat(F.lit("state"), F.length("event_type").cast("string"))).alias("state"))
     return rounded(design.unknown_states(rows))
+
+
+@query
+def series_files(spark, sf):
+    """The events' values as a matrix file for each user, written and read back: step and value."""
+    folder = roles.shared_folder(spark, "series")
+    rows = roles.table(spark, sf, "events").select(F.concat(F.col("user_id").cast("string"), F.lit("_value.txt")).alias("name"), F.struct("ts", "event_id").alias("t"), F.array("value").alias("y"))
+    matrix_files.write(rows, folder)
+    return rounded(matrix_files.series(spark, folder).select(F.col("sid").cast("bigint").alias("sid"), "t", F.col("y")[0].alias("value")))
+
+
+@query
+def series_shapes(spark, sf):
+    """Shapes of the same files, found without parsing them, and whether they are used."""
+    folder = roles.shared_folder(spark, "series")
+    rows = roles.table(spark, sf, "events").select(F.concat(F.col("user_id").cast("string"), F.lit("_value.txt")).alias("name"), F.struct("ts", "event_id").alias("t"), F.array("value").alias("y"))
+    matrix_files.write(rows, folder)
+    return rounded(readers.preflight(matrix_files.shapes(spark, folder)).select("name", "n_dim", "rows", "p", "keep"))

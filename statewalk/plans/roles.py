@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -20,6 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the one that the cluster shares for checkpoints; where none is set, all of Spark has to run here."""
+    top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if top is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{top or tempfile.mkdtemp(prefix='spark-shared-')}/{name}-{uuid.uuid4().hex}"
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.positions(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type", EVENT_STATES)
 

@@ -22,7 +22,7 @@ from statewalk.functions.expressions import safe_corr
 from statewalk.operators import arhmm, chain, design, matrices, posterior, sequences, statistics
 from statewalk.plans.config import Config
 from statewalk.plans.selection import scorecard, scored, summary_by_k
-from statewalk.sources import writers
+from statewalk.sources import matrix_files, writers
 from statewalk.sources.writers import existing, keyed_table, report
 
 LOG = logging.getLogger("statewalk")
@@ -149,6 +149,27 @@ class Run:
     def group_maps(self) -> DataFrame:
         return self._stage("group_maps", lambda: matrices.group_mean_sd(self.maps().withColumnRenamed("z", "value")), **self._fit)
 
+    def write_maps(self) -> str:
+        """Matrix files under root/map_files: of each subject its maps (a line for each state) and their z-scores, by parcel too (a
+        line for each parcel), and of each state the group's mean, deviation and stack (a line for each subject of the design)."""
+        folder, k = f"{self.root.rstrip('/')}/map_files", self.config.hmm.K
+
+        def lines(rows: DataFrame, name, line: str, place: str, value: str) -> DataFrame:
+            out = rows.groupBy(name.alias("name"), F.col(line).alias("t")).agg(F.sort_array(F.collect_list(F.struct(F.col(place).alias("i"), F.col(value).alias("v")))).alias("y"))
+            return out.select("name", "t", F.transform("y", lambda x: x["v"]).alias("y"))
+
+        def named(column: str, ending: str):
+            return F.concat(F.col(column).cast("string"), F.lit(ending))
+
+        maps, group = self.maps(), self.group_maps().withColumn("name", F.concat(F.lit("state"), F.col("s").cast("string")))
+        matrix_files.write(lines(maps, named("sid", "_beta.txt"), "s", "p", "beta").union(lines(maps, named("sid", "_z.txt"), "s", "p", "z")), f"{folder}/subjects")
+        matrix_files.write(lines(maps, named("sid", f"_z_parcels_{k}S.txt"), "p", "s", "z"), f"{folder}/parcels")
+        matrix_files.write(lines(group, named("name", "_mean.txt"), "s", "p", "mean").union(lines(group, named("name", "_sd.txt"), "s", "p", "sd")), f"{folder}/group")
+        if self.subjects().limit(1).count():
+            stacks = self.stacks().withColumn("name", F.concat(F.lit("state"), F.col("state").cast("string")))
+            matrix_files.write(lines(stacks, named("name", "_stack.txt"), "col_index", "p", "value"), f"{folder}/stacks")
+        return folder
+
     def mean_patterns(self) -> DataFrame:
         """s, p, mean: the model's means."""
         rows = [(s, p, float(v)) for s, row in enumerate(self.model().means) for p, v in enumerate(row)]
@@ -281,6 +302,7 @@ class Run:
         self.transitions()
         self.write_texts()
         self.group_maps()
+        self.write_maps()
         tables |= {"omnibus": self.omnibus(), "state effects": self.effects_state(), "between effects": self.effects_between()}
         if self.subjects().limit(1).count():
             self.write_design()

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from statewalk.functions.expressions import leading_token
 from statewalk.operators.posterior import normalized
+from statewalk.sources import matrix_files
 
 #: The names under which a column is known, in order of preference.
 ALIASES = {
@@ -134,12 +135,20 @@ def states(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return _steps(spark, paths).select("sid", "t", F.trim("line").cast("double").cast("int").alias("s"))
 
 
-def series(spark: SparkSession, paths: str | list[str], orient: bool = False) -> DataFrame:
-    """sid, t, y from one text matrix for each sequence, one line for each step.
+def series(spark: SparkSession, paths: str | list[str], orient: bool = True) -> DataFrame:
+    """sid, t, y from one matrix file (text or .npy) for each sequence, a line or row for each step.
 
-    With orient a matrix of fewer lines than numbers a line has its steps in columns, and is turned. Lines of different
-    lengths in one file are an error.
+    With orient a matrix of fewer rows than columns has its steps in columns, and is turned. Files that aren't two-dimensional
+    or have other features than the first usable one are passed by. Lines of different lengths in one file are an error. Text
+    in a store that only Spark opens is read through Spark.
     """
+    if matrix_files.reachable(paths):
+        return matrix_files.series(spark, paths, orient).select("sid", "t", "y")
+    return series_through_spark(spark, paths, orient)
+
+
+def series_through_spark(spark: SparkSession, paths: str | list[str], orient: bool = True) -> DataFrame:
+    """`series` of text files by Spark's own text reader; all files are kept."""
     rows = _steps(spark, paths).select("sid", "t", numbers(F.col("line")).alias("y"))
     own = W.partitionBy("sid")
     wide = rows.select("*", F.min(F.size("y")).over(own).alias("_least"), F.max(F.size("y")).over(own).alias("_most"), F.count("*").over(own).alias("_n"))
@@ -175,9 +184,12 @@ def columns_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def preflight(files: DataFrame) -> DataFrame:
-    """name, n_dim, rows, p, keep: of files (name, n_dim, rows, p) those of two dimensions with the first one's p are kept."""
-    first = files.where("n_dim = 2").agg(F.min_by("p", "name").alias("first_p"))
-    return files.crossJoin(F.broadcast(first)).select(*files.columns, ((F.col("n_dim") == 2) & (F.col("p") == F.col("first_p"))).alias("keep"))
+    """keep beside files (name, n_dim, rows, p): those of two dimensions with the first one's p are kept.
+
+    The files are given as `matrix_files.shapes` finds them, by headers and line ends alone.
+    """
+    first = files.where("n_dim = 2 and rows > 0").agg(F.min_by("p", "name").alias("first_p"))
+    return files.crossJoin(F.broadcast(first)).select(*files.columns, ((F.col("n_dim") == 2) & (F.col("rows") > 0) & F.coalesce(F.col("p") == F.col("first_p"), F.lit(False))).alias("keep"))
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
