@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from statewalk.functions.expressions import leading_token, sex_text
+from statewalk.operators.numbering import places
 
 
 def levels_in_order(rows: DataFrame, factor: str, position: str) -> DataFrame:
@@ -76,12 +77,9 @@ def unknown_states(columns: DataFrame, prefix: str = "state") -> DataFrame:
 
 
 def exchange_blocks(rows: DataFrame) -> DataFrame:
-    """row_key, sid, block of mapping rows (pos, sid, row_key): one block for each subject, from 1, in the subjects' order.
-
-    Only the subjects, one row each, are put in one order.
-    """
+    """row_key, sid, block of mapping rows (pos, sid, row_key): one block for each subject, from 1, in the subjects' order."""
     subjects = rows.groupBy("sid").agg(F.min("pos").alias("_pos"))
-    numbered = subjects.select("sid", F.row_number().over(W.orderBy("_pos", "sid")).cast("long").alias("block"))
+    numbered = places(subjects, ["_pos", "sid"], name="_place").select("sid", (F.col("_place") + 1).alias("block"))
     return rows.join(numbered, "sid").select("row_key", "sid", "block")
 
 
@@ -133,11 +131,11 @@ def absent(order: DataFrame, rows: DataFrame) -> DataFrame:
 def columns_of(order: DataFrame, k: int) -> DataFrame:
     """state (0..k-1), col_index (from 1), sid: the columns of each state's stack, subjects in the list's order.
 
-    Places are counted within a state, so that states are numbered side by side.
+    The subjects are numbered once, for all states.
     """
-    first = order.groupBy("sid").agg(F.min("pos").alias("pos"))
+    first = places(order.groupBy("sid").agg(F.min("pos").alias("pos")), ["pos", "sid"])
     grid = first.withColumn("state", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    return grid.select("state", F.row_number().over(W.partitionBy("state").orderBy("pos", "sid")).alias("col_index"), "sid")
+    return grid.select("state", (F.col("place") + 1).cast("int").alias("col_index"), "sid")
 
 
 def stacked(maps: DataFrame, order: DataFrame, k: int) -> DataFrame:

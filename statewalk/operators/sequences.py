@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from statewalk.functions.expressions import plogp
+from statewalk.operators.numbering import places, running_sum
+
 
 def by_step():
     return W.partitionBy("sid").orderBy("t")
@@ -194,13 +196,9 @@ def lzc(seq: DataFrame) -> DataFrame:
 
 
 def segment_index(steps: DataFrame) -> DataFrame:
-    """sid, start, end (exclusive), n_tr: where each sequence's rows stand if all sequences follow each other by sid.
-
-    Only the sequences' lengths, one row each, are put in one order.
-    """
+    """sid, start, end (exclusive), n_tr: where each sequence's rows stand if all sequences follow each other by sid."""
     lengths = steps.groupBy("sid").agg(F.count("*").alias("n_tr"))
-    end = F.sum("n_tr").over(W.orderBy("sid").rowsBetween(W.unboundedPreceding, W.currentRow))
-    return lengths.select("sid", (end - F.col("n_tr")).alias("start"), end.alias("end"), "n_tr")
+    return running_sum(lengths, ["sid"], "n_tr", "end").select("sid", (F.col("end") - F.col("n_tr")).alias("start"), "end", "n_tr")
 
 
 def state_text(seq: DataFrame) -> DataFrame:
@@ -210,5 +208,5 @@ def state_text(seq: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, column: str) -> DataFrame:
-    """rows with the column replaced by its place from 0: for one row a subject, which are put in one order."""
-    return rows.withColumn(column, F.row_number().over(W.orderBy(column)) - 1)
+    """rows with the column replaced by its place from 0."""
+    return places(rows, [column], name="_place").withColumn(column, F.col("_place")).drop("_place")

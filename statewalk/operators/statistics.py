@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from statewalk.operators import permutations
+
 
 def beside(rows: DataFrame, by: list[str], *aggregates: Column) -> DataFrame:
     """rows with aggregates of their family: windows by family, and for all rows together one row that is joined to each."""
@@ -59,29 +61,29 @@ def residualize(rows: DataFrame, by: list[str], nuisance: str = "fd") -> DataFra
 
 
 def permuted(rows: DataFrame, n_perm: int, by: tuple[str, ...] = (), seed: str = "42") -> DataFrame:
-    """by, perm (0 for the labels as they are, then 1..n_perm), sid, r, grp with labels dealt in a hashed order.
+    """rows (by, sid, grp, ...) with perm (0 for the labels as they are, then 1..n_perm) and labels dealt anew.
 
-    Permutation i gives the label of the row at place j by sid to the row at place j by md5(seed, i, sid). Each permutation of
-    each family is sorted on its own, so permutations are spread over tasks; the places by sid are the same for all of them.
+    Rows of a family are numbered once by label and sid; permutation i gives row j the label at the place that a keyed bijection
+    of the places gives it. Only the numbering sorts, in ranges.
     """
-    by_sid = (W.partitionBy(*by) if by else W).orderBy("sid")
-    labels = rows.select(*by, "sid", "grp").withColumn("place", F.row_number().over(by_sid)).select(*by, "place", F.col("grp").alias("label"))
-    times = rows.select(*by, "sid", "r").withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm))))
-    mixed = F.when(F.col("perm") > 0, F.md5(F.concat_ws(":", F.lit(seed), "perm", "sid").cast("binary"))).otherwise(F.lpad(F.col("sid").cast("string"), 20, "0"))
-    own = W.partitionBy(*by, "perm")
-    values = times.withColumn("place", F.row_number().over(own.orderBy(mixed, "sid")))
-    return values.join(labels, [*by, "place"]).select(*by, "perm", "sid", "r", F.col("label").alias("grp"))
+    placed = permutations.labelled_places(rows, list(by))
+    return permutations.deal(placed.rows, n_perm, placed.levels, seed)
+
+
+#: A statistic of a permutation reaches the observed one if it is less by no more than this share, which rounding can make up:
+#: permutations that leave the groups as they are sum the same values in another order.
+ROUNDING = 1e-9
 
 
 def p_value(stats: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """by, stat, p_perm, n_perm of stats (by, perm, stat): (permutations of at least the observed statistic + 1) / (permutations + 1).
 
-    A missing observed statistic has no p.
+    A missing observed statistic has no p. Statistics are not negative.
     """
     seen = stats.where("perm = 0").select(*by, F.col("stat").alias("seen"))
     rest = stats.where("perm > 0")
     both = rest.join(seen, list(by)) if by else rest.crossJoin(F.broadcast(seen))  # without families, seen is one row
-    hits = both.groupBy(*by, "seen").agg(F.sum((F.col("stat") >= F.col("seen")).cast("long")).alias("hits"), F.count("*").alias("n_perm"))
+    hits = both.groupBy(*by, "seen").agg(F.sum((F.col("stat") >= F.col("seen") * (1 - ROUNDING)).cast("long")).alias("hits"), F.count("*").alias("n_perm"))
     return hits.select(*by, F.col("seen").alias("stat"), F.when(F.col("seen").isNotNull(), (F.coalesce("hits", F.lit(0)) + 1) / (F.col("n_perm") + 1)).alias("p_perm"), "n_perm")
 
 
@@ -127,10 +129,10 @@ def parcel_glm(stack: DataFrame, n_perm: int, by: tuple[str, ...] = (), seed: st
     Labels are permuted over the sequences of a family, the same way for all its parcels, so the greatest statistic keeps their
     dependence.
     """
-    subjects = stack.groupBy(*by, "sid").agg(F.min("grp").alias("grp")).withColumn("r", F.lit(0.0))
-    labels = permuted(subjects, n_perm, by, seed).select(*by, "perm", "sid", F.col("grp").alias("label"))
-    m, f = (F.when(F.col("label") == g, F.col("value")) for g in ("M", "F"))
-    sums = stack.select(*by, "sid", "p", "value").join(labels, [*by, "sid"]).groupBy(*by, "perm", "p").agg(F.count(m).alias("nm"), F.count(f).alias("nf"), F.avg(m).alias("m"), F.avg(f).alias("f"), F.var_samp(m).alias("vm"), F.var_samp(f).alias("vf"))
+    subjects = permutations.labelled_places(stack.groupBy(*by, "sid").agg(F.min("grp").alias("grp")), list(by))
+    dealt = permutations.deal(stack.select(*by, "sid", "p", "value").join(subjects.rows, [*by, "sid"]), n_perm, subjects.levels, seed)
+    m, f = (F.when(F.col("grp") == g, F.col("value")) for g in ("M", "F"))
+    sums = dealt.groupBy(*by, "perm", "p").agg(F.count(m).alias("nm"), F.count(f).alias("nf"), F.avg(m).alias("m"), F.avg(f).alias("f"), F.var_samp(m).alias("vm"), F.var_samp(f).alias("vf"))
     pooled = ((F.col("nm") - 1) * F.col("vm") + (F.col("nf") - 1) * F.col("vf")) / F.when(F.col("nm") + F.col("nf") > 2, F.col("nm") + F.col("nf") - 2)
     t = (F.col("m") - F.col("f")) / F.when(pooled > 0, F.sqrt(pooled * (1 / F.col("nm") + 1 / F.col("nf"))))
     return greatest_p(sums.select(*by, "perm", "p", t.alias("t")), by)
@@ -141,7 +143,7 @@ def greatest_p(stats: DataFrame, by: tuple[str, ...]) -> DataFrame:
     seen = stats.where("perm = 0").select(*by, "p", "t")
     most = stats.where("perm > 0").groupBy(*by, "perm").agg(F.max(F.abs("t")).alias("most"))
     both = seen.join(most, list(by)) if by else seen.crossJoin(F.broadcast(most))  # one row a permutation
-    hits = both.groupBy(*by, "p", "t").agg(F.sum((F.col("most") >= F.abs("t")).cast("long")).alias("hits"), F.count("*").alias("n"))
+    hits = both.groupBy(*by, "p", "t").agg(F.sum((F.col("most") >= F.abs("t") * (1 - ROUNDING)).cast("long")).alias("hits"), F.count("*").alias("n"))
     return hits.select(*by, "p", "t", F.when(F.col("t").isNotNull(), (F.coalesce("hits", F.lit(0)) + 1) / (F.col("n") + 1)).alias("p_fwe"))
 
 
@@ -226,11 +228,14 @@ def rm_state_f(rows: DataFrame, by: list[str], k: int) -> DataFrame:
 
 def rm_state_test(rows: DataFrame, k: int, n_perm: int, by: tuple[str, ...] = (), seed: str = "42") -> DataFrame:
     """f_obs of the state effect and its permutation p: states are permuted within each sid, by a hashed order."""
-    times = rows.select(*by, "sid", "s", "y").withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm))))
-    mixed = F.when(F.col("perm") > 0, F.md5(F.concat_ws(":", F.lit(seed), "perm", "sid", "s").cast("binary"))).otherwise(F.lpad(F.col("s").cast("string"), 20, "0"))
-    own = W.partitionBy(*by, "perm", "sid")
-    # complete blocks: the states of a sid are 0..k-1, so the place in the hashed order is itself the state dealt
-    dealt = times.withColumn("s", F.row_number().over(own.orderBy(mixed, "s")) - 1)
+    # a sid's states are one row, so its permutations are dealt within the row: the place in a hashed order is the state dealt
+    sids = rows.groupBy(*by, "sid").agg(F.collect_list(F.struct("s", "y")).alias("own")).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm))))
+
+    def key(x: Column) -> Column:
+        return F.when(F.col("perm") > 0, F.md5(F.concat_ws(":", F.lit(seed), "perm", "sid", x["s"]).cast("binary"))).otherwise(F.lpad(x["s"].cast("string"), 20, "0"))
+
+    hashed = F.sort_array(F.transform("own", lambda x: F.struct(key(x).alias("key"), x["s"].alias("s"), x["y"].alias("y"))))
+    dealt = sids.select(*by, "perm", "sid", F.posexplode(hashed).alias("s", "x")).select(*by, "perm", "sid", "s", "x.y")
     return p_value(rm_state_f(dealt, [*by, "perm"], k).select(*by, "perm", F.col("f_obs").alias("stat")), by)
 
 
@@ -241,8 +246,16 @@ def rm_interaction_f(rows: DataFrame, by: list[str], k: int) -> DataFrame:
     both together that of the cells of level and state. Degrees of freedom count columns, the sid's level and nuisance among
     them: (g - 1)(k - 1) and N k - N - g k. The level's main effect is absorbed by the sids and has no F of its own.
     """
-    own = W.partitionBy(*by, "sid")
-    x = rows.where(F.col("grp").isNotNull()).withColumn("c", F.col("y") - F.avg("y").over(own))
+    return interaction_f(centred(rows.where(F.col("grp").isNotNull()), by), by, k)
+
+
+def centred(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows (by, sid, y, ...) with c: y less the sid's mean."""
+    return rows.withColumn("c", F.col("y") - F.avg("y").over(W.partitionBy(*by, "sid")))
+
+
+def interaction_f(x: DataFrame, by: list[str], k: int) -> DataFrame:
+    """rm_interaction_f of centred rows (by, s, c, grp): sums only."""
     cells = x.groupBy(*by, "grp", "s").agg(F.count("*").alias("n"), F.sum("c").alias("t"), F.sum(F.col("c") * F.col("c")).alias("q"))
     states = cells.groupBy(*by, "s").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum("q").alias("q"), F.sum(F.col("t") * F.col("t") / F.col("n")).alias("cells"), F.count("*").alias("g"))
     out = states.groupBy(*by).agg(F.sum("q").alias("q"), F.sum("cells").alias("cells"), F.sum(F.col("t") * F.col("t") / F.col("n")).alias("states"), F.max("g").alias("g"), F.max("n").alias("n_sid"))
@@ -254,10 +267,10 @@ def rm_interaction_f(rows: DataFrame, by: list[str], k: int) -> DataFrame:
 
 def rm_interaction_test(rows: DataFrame, k: int, n_perm: int, by: tuple[str, ...] = (), seed: str = "42") -> DataFrame:
     """f_obs of the interaction and its permutation p: levels are permuted over sids, each sid keeping one level."""
-    sids = rows.select(*by, "sid", "grp").distinct().withColumn("r", F.lit(0.0))
-    labels = permuted(sids, n_perm, by, seed).select(*by, "perm", "sid", "grp")
-    dealt = rows.select(*by, "sid", "s", "y").join(labels, [*by, "sid"])
-    return p_value(rm_interaction_f(dealt, [*by, "perm"], k).select(*by, "perm", F.col("f_obs").alias("stat")), by)
+    known = rows.where(F.col("grp").isNotNull())
+    sids = permutations.labelled_places(known.select(*by, "sid", "grp").distinct(), list(by))
+    dealt = permutations.deal(centred(known.select(*by, "sid", "s", "y"), list(by)).join(sids.rows, [*by, "sid"]), n_perm, sids.levels, seed)
+    return p_value(interaction_f(dealt, [*by, "perm"], k).select(*by, "perm", F.col("f_obs").alias("stat")), by)
 
 
 def rm_omnibus(rows: DataFrame, k: int, n_perm: int) -> DataFrame:

@@ -80,15 +80,35 @@ COV = "cv AS (SELECT c_custkey AS sid, CASE WHEN c_nationkey % 2 = 0 THEN 'M' EL
 BLOCKS = f"bl AS (SELECT o_custkey AS sid, {_case('o_orderstatus', roles.ORDER_STATES)} AS s, avg(o_totalprice) AS y FROM orders GROUP BY 1, 2), cb AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY sid) AS c FROM bl) WHERE c = 3)"
 
 
-def _permuted(grp: str) -> str:
+def _dealt(source: str, by: str = "", tag: str = "") -> str:
+    """dl (with the tag): the rows of source (by, sid, grp, ...) under each permutation, grp as dealt. The bijection of the places is written out
+    round by round; numbers that aren't places go through it again."""
+    from statewalk.operators.permutations import PRIME, constants
+
+    def through(rows: str) -> str:
+        out = f"SELECT *, x // b AS _l, x % b AS _r FROM ({rows})"
+        for h, (p, q, c) in enumerate(constants("42")):
+            key = f"(SELECT *, (perm * {p} + {q}) % {PRIME} AS v FROM ({out}))"
+            to, of, size = ("_l", "_r", "a") if h % 2 == 0 else ("_r", "_l", "b")
+            w = f"(SELECT *, ({of} + (v * v % {PRIME}) * (v + {c}) % {PRIME}) % {PRIME} AS w FROM {key})"
+            out = f"SELECT * EXCLUDE (v, w) REPLACE (({to} + (w * w % {PRIME}) * (w + {c}) % {PRIME}) % {size} AS {to}) FROM {w}"
+        return f"SELECT * EXCLUDE (_l, _r) REPLACE (_l * b + _r AS x) FROM ({out})"
+
+    own = f"PARTITION BY {by}" if by else ""
+    same = "".join(f" AND v.{c} IS NOT DISTINCT FROM l.{c}" for c in by.split(", ") if c)
     return (
-        f"{COV}, pm AS (SELECT unnest(range({PERMUTATIONS + 1})) AS perm), ti AS (SELECT perm, sid, y, {grp} AS grp, row_number() OVER (PARTITION BY perm ORDER BY sid) AS place, "
-        "row_number() OVER (PARTITION BY perm ORDER BY CASE WHEN perm > 0 THEN md5('42:' || perm || ':' || sid) ELSE lpad(CAST(sid AS VARCHAR), 20, '0') END, sid) AS drawn FROM cv CROSS JOIN pm), "
-        "dl AS (SELECT v.perm, v.sid, v.y, l.grp FROM ti v JOIN ti l ON v.perm = l.perm AND v.drawn = l.place)"
+        f"pl{tag} AS (SELECT *, row_number() OVER ({own} ORDER BY grp NULLS FIRST, sid) - 1 AS place, count(*) OVER ({own}) AS n FROM {source}), "
+        f"st{tag} AS (SELECT *, place AS x, CAST(ceil(n / a) AS BIGINT) AS b FROM (SELECT *, CAST(ceil(sqrt(CAST(n AS DOUBLE))) AS BIGINT) AS a FROM pl{tag} CROSS JOIN (SELECT unnest(range({PERMUTATIONS + 1})) AS perm))), "
+        f"wk{tag} AS ({through(f'SELECT * FROM st{tag} WHERE perm > 0')} UNION ALL {through(f'SELECT * FROM wk{tag} WHERE x >= n')}), "
+        f"dl{tag} AS (SELECT v.* REPLACE (l.grp AS grp) FROM (SELECT * FROM wk{tag} WHERE x < n UNION ALL SELECT * FROM st{tag} WHERE perm = 0) v JOIN pl{tag} l ON v.x = l.place{same})"
     )
 
 
-PVALUE = f"SELECT {r6('o.stat')} AS stat, {r6(f'(sum(CASE WHEN s.stat >= o.stat THEN 1 ELSE 0 END) + 1) / (count(*) + 1)')} AS p_perm, count(*) AS n_perm FROM stats s CROSS JOIN (SELECT stat FROM stats WHERE perm = 0) o WHERE s.perm > 0 GROUP BY o.stat"
+def _permuted(grp: str) -> str:
+    return f"{COV}, src AS (SELECT sid, y, {grp} AS grp FROM cv), {_dealt('src')}"
+
+
+PVALUE = f"SELECT {r6('o.stat')} AS stat, {r6(f'(sum(CASE WHEN s.stat >= o.stat * (1 - 1e-9) THEN 1 ELSE 0 END) + 1) / (count(*) + 1)')} AS p_perm, count(*) AS n_perm FROM stats s CROSS JOIN (SELECT stat FROM stats WHERE perm = 0) o WHERE s.perm > 0 GROUP BY o.stat"
 ETA = "(SELECT perm, avg(y) AS grand, sum((y - mu) * (y - mu)) AS sst FROM (SELECT *, avg(y) OVER (PARTITION BY perm) AS mu FROM dl) GROUP BY perm)"
 
 
@@ -201,19 +221,15 @@ def oracle_sql() -> dict[str, str]:
     out["cohen_d"] = f"WITH {COV}, g AS (SELECT age, count({m}) AS nm, count({f}) AS nf, avg({m}) AS m, avg({f}) AS f, var_samp({m}) AS vm, var_samp({f}) AS vf FROM cv GROUP BY age), d AS (SELECT *, sqrt(((nm - 1) * coalesce(vm, 0) + (nf - 1) * coalesce(vf, 0)) / greatest(nm + nf - 2, 1)) AS sd FROM g) SELECT age, {r6('CASE WHEN nm > 0 AND nf > 0 AND sd > 0 THEN (m - f) / sd ELSE 0 END')} AS d FROM d"
     out["eta_sq"] = f"WITH {COV}, x AS (SELECT *, avg(y) OVER (PARTITION BY sex) AS mu FROM cv), l AS (SELECT sex, age, count(*) AS n, avg(y) AS m, min(mu) AS mu, sum((y - mu) * (y - mu)) AS sst FROM x GROUP BY sex, age) SELECT sex, {r6('sum(n * (m - mu) * (m - mu)) / sum(sst)')} AS eta_sq FROM l GROUP BY sex"
     out["residualize"] = f"WITH {COV}, c AS (SELECT sex, regr_slope(y, fd) AS b, regr_intercept(y, fd) AS a FROM cv GROUP BY sex) SELECT sid, round(y - (a + b * fd), 4) AS r FROM cv JOIN c USING (sex)"
-    out["perm_two_level"] = f"WITH {_permuted('sex')}, stats AS (SELECT perm, abs(avg(CASE WHEN grp = 'M' THEN y END) - avg(CASE WHEN grp = 'F' THEN y END)) AS stat FROM dl GROUP BY perm) {PVALUE}"
-    out["perm_multi_level"] = f"WITH {_permuted('age')}, gm AS {ETA}, lv AS (SELECT perm, grp, count(*) AS n, avg(y) AS m FROM dl GROUP BY perm, grp), stats AS (SELECT gm.perm, sum(n * (m - grand) * (m - grand)) / min(sst) AS stat FROM gm JOIN lv ON lv.perm = gm.perm GROUP BY gm.perm) {PVALUE}"
+    out["perm_two_level"] = f"WITH RECURSIVE {_permuted('sex')}, stats AS (SELECT perm, abs(avg(CASE WHEN grp = 'M' THEN y END) - avg(CASE WHEN grp = 'F' THEN y END)) AS stat FROM dl GROUP BY perm) {PVALUE}"
+    out["perm_multi_level"] = f"WITH RECURSIVE {_permuted('age')}, gm AS {ETA}, lv AS (SELECT perm, grp, count(*) AS n, avg(y) AS m FROM dl GROUP BY perm, grp), stats AS (SELECT gm.perm, sum(n * (m - grand) * (m - grand)) / min(sst) AS stat FROM gm JOIN lv ON lv.perm = gm.perm GROUP BY gm.perm) {PVALUE}"
     out["rm_state_f"] = f"WITH {BLOCKS}, {_rm('cb', '')} SELECT n AS n_sid, {r6('f')} AS f_obs, CAST(2 AS BIGINT) AS df_num, n * 3 - n - 3 AS df_den, {r6('eta')} AS partial_eta2 FROM ff"
-    pad = "CASE WHEN perm > 0 THEN md5('42:' || perm || ':' || sid) ELSE lpad(CAST(sid AS VARCHAR), 20, '0') END"
-    sub = (
-        f"{PARCELS}, sj AS (SELECT DISTINCT s, sid, sex AS grp FROM pa), pm AS (SELECT unnest(range({PERMUTATIONS + 1})) AS perm), ti AS (SELECT perm, s, sid, grp, row_number() OVER (PARTITION BY perm, s ORDER BY sid) AS place, row_number() OVER (PARTITION BY perm, s ORDER BY {pad}, sid) AS drawn FROM sj CROSS JOIN pm), "
-        "dl AS (SELECT v.perm, v.s, v.sid, l.grp FROM ti v JOIN ti l ON v.perm = l.perm AND v.s = l.s AND v.drawn = l.place)"
-    )
+    sub = f"{PARCELS}, sj AS (SELECT DISTINCT s, sid, sex AS grp FROM pa), {_dealt('sj', 's')}"
     mv, fv = ("CASE WHEN grp = '%s' THEN value END" % g for g in "MF")
     glm = f"ag AS (SELECT perm, s, p, count({mv}) AS nm, count({fv}) AS nf, avg({mv}) AS m, avg({fv}) AS f, var_samp({mv}) AS vm, var_samp({fv}) AS vf FROM pa JOIN dl USING (s, sid) GROUP BY perm, s, p), tt AS (SELECT perm, s, p, (m - f) / sqrt(((nm - 1) * vm + (nf - 1) * vf) / (nm + nf - 2) * (1 / nm + 1 / nf)) AS t FROM ag)"
     most = "mx AS (SELECT s, perm, max(abs(t)) AS most FROM tt WHERE perm > 0 GROUP BY s, perm)"
-    fwe = f"SELECT tt.s, p, {r6('t')} AS t, CASE WHEN t IS NOT NULL THEN {r6('(sum(CASE WHEN most >= abs(t) THEN 1 ELSE 0 END) + 1) / (count(*) + 1)')} END AS p_fwe FROM tt JOIN mx ON mx.s = tt.s WHERE tt.perm = 0 GROUP BY tt.s, p, t"
-    out["parcel_glm_fwe"] = f"WITH {sub}, {glm}, {most} {fwe}"
+    fwe = f"SELECT tt.s, p, {r6('t')} AS t, CASE WHEN t IS NOT NULL THEN {r6('(sum(CASE WHEN most >= abs(t) * (1 - 1e-9) THEN 1 ELSE 0 END) + 1) / (count(*) + 1)')} END AS p_fwe FROM tt JOIN mx ON mx.s = tt.s WHERE tt.perm = 0 GROUP BY tt.s, p, t"
+    out["parcel_glm_fwe"] = f"WITH RECURSIVE {sub}, {glm}, {most} {fwe}"
     flips = (
         f"{PARCELS}, ce AS (SELECT s, sid, p, value - avg(value) OVER (PARTITION BY s, sid) AS value FROM pa), pm AS (SELECT unnest(range({PERMUTATIONS + 1})) AS perm), "
         "fl AS (SELECT perm, s, sid, p, CASE WHEN perm > 0 AND substr(md5('42:' || perm || ':' || sid), 1, 1) < '8' THEN -value ELSE value END AS value FROM ce CROSS JOIN pm), "
@@ -234,8 +250,8 @@ def oracle_sql() -> dict[str, str]:
 
     both = f"{BLOCKS}, {COV}, bg AS (SELECT cb.sid, cb.s, cb.y, cv.sex AS grp FROM cb JOIN cv USING (sid))"
     out["rm_interaction_f"] = f"WITH {both}, {inter('bg', '')} SELECT {r6('f')} AS f_obs, df_num, df_den, {r6('eta')} AS partial_eta2 FROM fi"
-    levels_dealt = f"sj AS (SELECT DISTINCT sid, grp FROM bg), pm AS (SELECT unnest(range({PERMUTATIONS + 1})) AS perm), ti AS (SELECT perm, sid, grp, row_number() OVER (PARTITION BY perm ORDER BY sid) AS place, row_number() OVER (PARTITION BY perm ORDER BY CASE WHEN perm > 0 THEN md5('42:' || perm || ':' || sid) ELSE lpad(CAST(sid AS VARCHAR), 20, '0') END, sid) AS drawn FROM sj CROSS JOIN pm), di AS (SELECT v.perm, v.sid, l.grp FROM ti v JOIN ti l ON v.perm = l.perm AND v.drawn = l.place), dx AS (SELECT di.perm, bg.sid, bg.s, bg.y, di.grp FROM bg JOIN di USING (sid))"
-    out["rm_interaction_perm"] = f"WITH {both}, {levels_dealt}, {inter('dx', 'perm')}, stats AS (SELECT perm, f AS stat FROM fi) {PVALUE}"
+    levels_dealt = f"sj AS (SELECT DISTINCT sid, grp FROM bg), {_dealt('sj')}, dx AS (SELECT dl.perm, bg.sid, bg.s, bg.y, dl.grp FROM bg JOIN dl USING (sid))"
+    out["rm_interaction_perm"] = f"WITH RECURSIVE {both}, {levels_dealt}, {inter('dx', 'perm')}, stats AS (SELECT perm, f AS stat FROM fi) {PVALUE}"
     out["bh_adjust"] = (
         "WITH x AS (SELECT p_partkey, p_brand, ((p_retailprice * CAST(7 AS DOUBLE)) % CAST(1000 AS DOUBLE)) / CAST(1000 AS DOUBLE) AS p FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p, p_partkey) AS i, count(*) OVER (PARTITION BY p_brand) AS m FROM x) "
         f"SELECT p_partkey, p_brand, {r6('p')} AS p, {r6('least(min(p * m / i) OVER (PARTITION BY p_brand ORDER BY i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1)')} AS q_bh FROM r"
@@ -286,16 +302,13 @@ def oracle_sql() -> dict[str, str]:
 
     # sex and age effects with permutations by family
     def family_effects(metrics: str, key: str) -> str:
-        on = " AND ".join(f"v.{k} = l.{k}" for k in key.split(", "))
-        value = f"SELECT s.{', s.'.join(key.split(', '))}, o.stat, (sum(CASE WHEN s.stat >= o.stat THEN 1 ELSE 0 END) + 1) / (count(*) + 1) AS p_perm FROM %s s JOIN %s o USING ({key}) WHERE s.perm > 0 AND o.perm = 0 GROUP BY s.{', s.'.join(key.split(', '))}, o.stat"
+        value = f"SELECT s.{', s.'.join(key.split(', '))}, o.stat, (sum(CASE WHEN s.stat >= o.stat * (1 - 1e-9) THEN 1 ELSE 0 END) + 1) / (count(*) + 1) AS p_perm FROM %s s JOIN %s o USING ({key}) WHERE s.perm > 0 AND o.perm = 0 GROUP BY s.{', s.'.join(key.split(', '))}, o.stat"
         ms, fs = ("CASE WHEN sex = '%s' THEN r END" % g for g in "MF")
         return (
             f"{metrics}, {COV}, fx AS (SELECT {key}, sid, l.y, cv.sex, cv.age, cv.fd FROM lo l JOIN cv USING (sid) WHERE l.y IS NOT NULL), c AS (SELECT {key}, regr_slope(y, fd) AS b, regr_intercept(y, fd) AS a FROM fx GROUP BY {key}), "
-            f"re AS (SELECT {key}, sid, sex, age, y - (a + b * fd) AS r FROM fx JOIN c USING ({key})), pm AS (SELECT unnest(range({PERMUTATIONS + 1})) AS perm), "
-            f"ti AS (SELECT *, row_number() OVER (PARTITION BY {key}, perm ORDER BY sid) AS place, row_number() OVER (PARTITION BY {key}, perm ORDER BY {pad}, sid) AS drawn FROM re CROSS JOIN pm), "
-            f"dl AS (SELECT v.perm, {', '.join('v.' + k for k in key.split(', '))}, v.r, l.sex, l.age FROM ti v JOIN ti l ON {on} AND v.perm = l.perm AND v.drawn = l.place), "
-            f"sx AS (SELECT {key}, perm, abs(avg({ms}) - avg({fs})) AS stat FROM dl GROUP BY {key}, perm), "
-            f"gm AS (SELECT {key}, perm, avg(r) AS grand, sum((r - mu) * (r - mu)) AS sst FROM (SELECT *, avg(r) OVER (PARTITION BY {key}, perm) AS mu FROM dl) GROUP BY {key}, perm), lv AS (SELECT {key}, perm, age, count(*) AS n, avg(r) AS m FROM dl GROUP BY {key}, perm, age), "
+            f"re AS (SELECT {key}, sid, sex, age, y - (a + b * fd) AS r FROM fx JOIN c USING ({key})), rs AS (SELECT {key}, sid, r, sex AS grp FROM re), rg AS (SELECT {key}, sid, r, age AS grp FROM re), {_dealt('rs', key, '_s')}, {_dealt('rg', key, '_a')}, "
+            f"sx AS (SELECT {key}, perm, abs(avg({ms.replace('sex', 'grp')}) - avg({fs.replace('sex', 'grp')})) AS stat FROM dl_s GROUP BY {key}, perm), "
+            f"gm AS (SELECT {key}, perm, avg(r) AS grand, sum((r - mu) * (r - mu)) AS sst FROM (SELECT *, avg(r) OVER (PARTITION BY {key}, perm) AS mu FROM dl_a) GROUP BY {key}, perm), lv AS (SELECT {key}, perm, grp, count(*) AS n, avg(r) AS m FROM dl_a GROUP BY {key}, perm, grp), "
             f"ag AS (SELECT {key}, perm, sum(n * (m - grand) * (m - grand)) / min(sst) AS stat FROM gm JOIN lv USING ({key}, perm) GROUP BY {key}, perm), "
             f"g AS (SELECT {key}, count({ms}) AS nm, count({fs}) AS nf, avg({ms}) AS m, avg({fs}) AS f, var_samp({ms}) AS vm, var_samp({fs}) AS vf FROM re GROUP BY {key}), "
             f"d AS (SELECT {key}, (m - f) / sqrt(((nm - 1) * vm + (nf - 1) * vf) / (nm + nf - 2)) AS effect FROM g), "
@@ -306,22 +319,22 @@ def oracle_sql() -> dict[str, str]:
 
     occ3_wide = f"{_grid(3)}, {occ3}, {PAIRS}, {RUNS}, {DWELL}, {SWITCH}"
     state_metrics = f"{occ3_wide}, lo AS (SELECT sid, s, 'fo' AS metric, fo AS y FROM occ UNION ALL SELECT sid, s, 'dt_mean', dt_mean FROM dw UNION ALL SELECT sid, s, 'iv_mean', iv_mean FROM dw UNION ALL SELECT sid, s, 'sr_state', sr_state FROM sw)"
-    out["stats_state_effects"] = f"{od}{family_effects(state_metrics, 'metric, s')}"
+    out["stats_state_effects"] = f"{od.replace('WITH', 'WITH RECURSIVE')}{family_effects(state_metrics, 'metric, s')}"
     between = f"{changed}, lo AS (SELECT sid, 'sr_global' AS metric, sr AS y FROM sg UNION ALL SELECT sid, 'steps', CAST(steps AS DOUBLE) FROM sg)"
-    out["stats_between_effects"] = f"{od}{family_effects(between, 'metric')}"
+    out["stats_between_effects"] = f"{od.replace('WITH', 'WITH RECURSIVE')}{family_effects(between, 'metric')}"
 
     # the omnibus table: each term by itself, then q over all
     metrics = f"w AS (SELECT o_custkey AS sid, {_case('o_orderstatus', roles.ORDER_STATES)} AS s, avg(o_totalprice) AS a, max(o_totalprice) AS b FROM orders GROUP BY 1, 2), cm AS (SELECT 'mean_price' AS metric, sid, s, a AS y FROM w UNION ALL SELECT 'most_price', sid, s, b FROM w), full_ AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY metric, sid) AS c FROM cm JOIN (SELECT sid AS id FROM cv) ON id = sid) WHERE c = 3), pm AS (SELECT unnest(range({PERMUTATIONS + 1})) AS perm)"
     state_dealt = "de AS (SELECT metric, perm, sid, y, row_number() OVER (PARTITION BY metric, perm, sid ORDER BY CASE WHEN perm > 0 THEN md5('42:' || perm || ':' || sid || ':' || s) ELSE lpad(CAST(s AS VARCHAR), 20, '0') END, s) - 1 AS s FROM full_ CROSS JOIN pm)"
 
     def with_p(stats: str) -> str:
-        return f"SELECT o.*, p FROM (SELECT * FROM {stats} WHERE perm = 0) o JOIN (SELECT s.metric, (sum(CASE WHEN s.f >= z.f THEN 1 ELSE 0 END) + 1) / (count(*) + 1) AS p FROM {stats} s JOIN {stats} z ON z.metric = s.metric AND z.perm = 0 WHERE s.perm > 0 GROUP BY s.metric) x ON x.metric = o.metric"
+        return f"SELECT o.*, p FROM (SELECT * FROM {stats} WHERE perm = 0) o JOIN (SELECT s.metric, (sum(CASE WHEN s.f >= z.f * (1 - 1e-9) THEN 1 ELSE 0 END) + 1) / (count(*) + 1) AS p FROM {stats} s JOIN {stats} z ON z.metric = s.metric AND z.perm = 0 WHERE s.perm > 0 GROUP BY s.metric) x ON x.metric = o.metric"
 
     state_term = f"(WITH {state_dealt}, {_rm('de', 'metric, perm')} SELECT metric, 'State' AS term, f AS f_obs, p AS p_perm, CAST(2 AS BIGINT) AS df_num, CAST(n * 3 - n - 3 AS BIGINT) AS df_den, eta AS partial_eta2 FROM ({with_p('ff')}))"
 
     def terms(factor: str, name: str) -> str:
-        dealt_ = f"sj AS (SELECT DISTINCT metric, sid, {factor} AS grp FROM full_ JOIN cv USING (sid)), ti AS (SELECT *, row_number() OVER (PARTITION BY metric, perm ORDER BY sid) AS place, row_number() OVER (PARTITION BY metric, perm ORDER BY {pad}, sid) AS drawn FROM sj CROSS JOIN pm), di AS (SELECT v.metric, v.perm, v.sid, l.grp FROM ti v JOIN ti l ON v.metric = l.metric AND v.perm = l.perm AND v.drawn = l.place), dx AS (SELECT di.metric, di.perm, di.sid, s, y, di.grp FROM di JOIN full_ USING (metric, sid))"
-        inner = f"(WITH {dealt_}, {inter('dx', 'metric, perm')} SELECT metric, '{name}:State' AS term, f AS f_obs, p AS p_perm, df_num, df_den, eta AS partial_eta2 FROM ({with_p('fi')}))"
+        dealt_ = f"sj AS (SELECT DISTINCT metric, sid, {factor} AS grp FROM full_ JOIN cv USING (sid)), {_dealt('sj', 'metric')}, dx AS (SELECT dl.metric, dl.perm, dl.sid, s, y, dl.grp FROM dl JOIN full_ USING (metric, sid))"
+        inner = f"(WITH RECURSIVE {dealt_}, {inter('dx', 'metric, perm')} SELECT metric, '{name}:State' AS term, f AS f_obs, p AS p_perm, df_num, df_den, eta AS partial_eta2 FROM ({with_p('fi')}))"
         main = f"(SELECT metric, '{name}', NULL, NULL, CAST(count(DISTINCT {factor}) - 1 AS BIGINT), CAST(count(DISTINCT sid) * 2 - 3 - count(DISTINCT {factor}) + 1 AS BIGINT), NULL FROM full_ JOIN cv USING (sid) GROUP BY metric)"
         return f"{inner} UNION ALL {main}"
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from statewalk.functions.expressions import leading_token
+from statewalk.operators.numbering import places
 from statewalk.operators.posterior import normalized
 from statewalk.sources import matrix_files
 
@@ -118,7 +119,7 @@ def ordered_subjects(spark: SparkSession, metrics: str, posterior_files: str) ->
     else:
         named = spark.read.format("binaryFile").load(posterior_files).select(F.element_at(F.split("path", "/"), -1).alias("row"))
         first = named.select("row", leading_token(F.col("row")).alias("sid")).groupBy("sid").agg(F.min("row").alias("row"))
-    return first.select((F.row_number().over(W.orderBy("row", "sid")) - 1).alias("pos"), "sid")
+    return places(first, ["row", "sid"], name="pos").select("pos", "sid")
 
 
 def map_files(found: DataFrame, names: list[str]) -> DataFrame:
