@@ -141,15 +141,32 @@ def sequences(steps: DataFrame) -> DataFrame:
 FEW_ROWS = 64
 
 
+def shapes_of(p: Parameters) -> list[tuple[int, ...]]:
+    """Of log-likelihood, first steps, all steps, pairs, and the weighted sums of y, y * y, lags by lags and lags by y."""
+    k, d = p.var.shape
+    m = d * p.order + 1
+    return [(1,), (k,), (k,), (k, k), (k, d), (k, d), (k, m, m), (k, m, d)]
+
+
+def weighted_moments(y: np.ndarray, z: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The sums over steps that each state's probabilities weigh."""
+    weighted = [z.T * g[:, s] for s in range(g.shape[1])]
+    return g.sum(0), g.T @ y, g.T @ (y * y), np.stack([w @ z for w in weighted]), np.stack([w @ y for w in weighted])
+
+
+def packed(moments: tuple[np.ndarray, ...], loglik: np.ndarray, first: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """All statistics in one array, in the order of shapes_of."""
+    mass, *rest = moments
+    return np.concatenate([v.ravel() for v in (loglik, first, mass, pairs, *rest)])
+
+
 def statistics(seqs: DataFrame, p: Parameters, parts: int | None = None) -> list[np.ndarray]:
     """Log-likelihood, sums of first-step and all-step probabilities, pairs, and weighted moments, over all sequences.
 
     parts: the sequences' partitions, where known; as many rows as these are summed on the driver if they are few.
     """
     shared = seqs.sparkSession.sparkContext.broadcast(p)
-    k, d = p.var.shape
-    m = d * p.order + 1
-    shapes = [(1,), (k,), (k,), (k, k), (k, d), (k, d), (k, m, m), (k, m, d)]
+    shapes = shapes_of(p)
     sizes = [int(np.prod(s)) for s in shapes]
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,9 +174,7 @@ def statistics(seqs: DataFrame, p: Parameters, parts: int | None = None) -> list
         for batch in batches:
             for _, y, z, lengths in in_portions([_sequence(x) for x in batch["x"]], p.order):
                 ll, g, xi = recursions(emission(y, z, p), lengths, p.start, p.trans)
-                weighted = [z.T * g[:, s] for s in range(k)]
-                parts = (np.array([ll.sum()]), g[np.cumsum(lengths) - lengths].sum(0), g.sum(0), xi, g.T @ y, g.T @ (y * y), np.stack([w @ z for w in weighted]), np.stack([w @ y for w in weighted]))
-                total += np.concatenate([v.ravel() for v in parts])
+                total += packed(weighted_moments(y, z, g), np.array([ll.sum()]), g[np.cumsum(lengths) - lengths].sum(0), xi)
         yield pd.DataFrame({"stats": [total.tolist()]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
