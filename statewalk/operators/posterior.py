@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from statewalk.functions.expressions import array_dot, cells, entropy_bits, flag, plogp, safe_corr, total
-from statewalk.operators.sequences import by_step
+from statewalk.operators.sequences import with_next
 
 
 def normalized(weights: Column, k: int | None = None) -> Column:
@@ -21,7 +21,7 @@ def normalized(weights: Column, k: int | None = None) -> Column:
 
 def expected_counts(gamma: DataFrame, k: int) -> DataFrame:
     """sid, steps, first (g at the first step), mass (sum of g) and c (k * k sums of g_t(i) g_t+1(j)): one window, one aggregation."""
-    nxt = gamma.select("sid", "t", "g", F.lead("g").over(by_step()).alias("h"))
+    nxt = with_next(gamma.select("sid", "t", "g"), "g", "h")
     mass = F.array(*[F.sum(F.col("g")[i]) for i in range(k)])
     c = F.array(*[F.coalesce(F.sum(F.col("g")[i] * F.col("h")[j]), F.lit(0.0)) for i in range(k) for j in range(k)])
     return nxt.groupBy("sid").agg(F.count("*").alias("steps"), F.min_by("g", "t").alias("first"), mass.alias("mass"), c.alias("c"))
@@ -116,7 +116,7 @@ def asymmetry(gamma: DataFrame, k: int) -> DataFrame:
 
 def soft_switch(gamma: DataFrame, k: int | None = None) -> DataFrame:
     """sid, switch_rate_soft: mean chance of a change from step to step; null for sequences of one step."""
-    both = gamma.select("sid", "g", F.lead("g").over(by_step()).alias("h"))
+    both = with_next(gamma.select("sid", "t", "g"), "g", "h")
     stay = array_dot(F.col("g"), F.col("h")) if k is None else total([x * y for x, y in zip(cells(F.col("g"), k), cells(F.col("h"), k))])
     return both.select("sid", (1 - stay).alias("x")).groupBy("sid").agg(F.avg("x").alias("switch_rate_soft"))
 

@@ -18,6 +18,33 @@ def by_step():
     return W.partitionBy("sid").orderBy("t")
 
 
+#: Steps of a sequence that one window holds. Windows are by sequence and chunk, so a sequence of any length is many tasks' work.
+CHUNK = 1 << 16
+
+
+def by_chunk():
+    return W.partitionBy("sid", "_c").orderBy("t")
+
+
+def beside_borders(seq: DataFrame, chunk: int, ahead: bool = False) -> DataFrame:
+    """seq with _c, the chunk of each step, and _own. The step before a chunk (after it, with ahead) is in it too, not as its own,
+    so that a window of the chunk sees over its border. t counts from 0 without gaps."""
+    c = F.floor(F.col("t") / chunk).cast("int")
+    border = (F.col("t") % chunk == 0) & (c > 0) if ahead else F.col("t") % chunk == chunk - 1
+    both = F.when(border, F.array(c, c - 1 if ahead else c + 1)).otherwise(F.array(c))
+    return seq.select("*", F.explode(both).alias("_c")).withColumn("_own", F.col("_c") == c)
+
+
+def with_previous(seq: DataFrame, column: str, name: str, chunk: int = CHUNK) -> DataFrame:
+    """seq with the column's value one step before; null at a sequence's first step."""
+    return beside_borders(seq, chunk).withColumn(name, F.lag(column).over(by_chunk())).where("_own").drop("_c", "_own")
+
+
+def with_next(seq: DataFrame, column: str, name: str, chunk: int = CHUNK) -> DataFrame:
+    """seq with the column's value one step later; null at a sequence's last step."""
+    return beside_borders(seq, chunk, ahead=True).withColumn(name, F.lead(column).over(by_chunk())).where("_own").drop("_c", "_own")
+
+
 def positions(rows: DataFrame, sid: str, order: list[str], state: str, states: list[str]) -> DataFrame:
     """(sid, t, s) from rows: t numbers each sequence's rows in `order` from 0, s is the place of the state in `states`.
 
@@ -29,6 +56,13 @@ def positions(rows: DataFrame, sid: str, order: list[str], state: str, states: l
     return kept.withColumn("t", (F.row_number().over(w) - 1).cast("int")).select("sid", "t", "s")
 
 
+def positions_in_ranges(rows: DataFrame, sid: str, order: list[str], state: str, states: list[str]) -> DataFrame:
+    """`positions` where a sequence may hold most of all rows: they are numbered in ranges, whichever sequence they are of."""
+    s = (F.array_position(F.array(*[F.lit(x) for x in states]), F.col(state)) - 1).cast("int")
+    kept = rows.select(F.col(sid).alias("sid"), *order, s.alias("s")).where("s >= 0")
+    return places(kept, order, ["sid"], "t").select("sid", F.col("t").cast("int").alias("t"), "s")
+
+
 def every_state(steps: DataFrame, k: int, name: str = "s") -> DataFrame:
     """Each row of steps with each state."""
     return steps.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
@@ -49,22 +83,33 @@ def occupancy_summary(occ: DataFrame) -> DataFrame:
     return out.select("s", "n", "mean", "std", "least", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "most")
 
 
-def runs(seq: DataFrame) -> DataFrame:
-    """sid, s, t0, length: maximal runs of one state."""
-    new = F.coalesce((F.col("s") != F.lag("s").over(by_step())).cast("int"), F.lit(1))
-    island = F.sum("new").over(by_step().rowsBetween(W.unboundedPreceding, W.currentRow))
-    return seq.withColumn("new", new).withColumn("run", island).groupBy("sid", "run", "s").agg(F.min("t").alias("t0"), F.count("*").alias("length")).drop("run")
+def runs(seq: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """sid, s, t0, length: maximal runs of one state.
 
-
-def dwell(seq: DataFrame, k: int) -> DataFrame:
+    A run is known by its first step. Within a chunk that is the last step so far at which the state changed; steps before any
+    change go on with a run of an earlier chunk, whose first step comes from the chunks' own last changes, one row a chunk.
+    """
+    new = F.when(F.lag("s").over(by_chunk()).eqNullSafe(F.col("s")), None).otherwise(F.col("t"))
+    steps = beside_borders(seq, chunk).withColumn("_new", new).where("_own")
+    latest = F.max("_new").over(by_chunk().rowsBetween(W.unboundedPreceding, W.currentRow))
+    inside = steps.withColumn("_t0", latest).groupBy("sid", "_c", "s", "_t0").agg(F.count("*").alias("length"))
+    # at most one group of a chunk has no first step of its own
+    ends = inside.groupBy("sid", "_c").agg(F.max("_t0").alias("_last"))
+    carried = ends.withColumn("_from", F.last("_last", ignorenulls=True).over(W.partitionBy("sid").orderBy("_c").rowsBetween(W.unboundedPreceding, -1))).where("_from is not null").select("sid", "_c", "_from")
+    found = inside.join(carried, ["sid", "_c"], "left").withColumn("t0", F.coalesce("_t0", "_from"))
+    return found.groupBy("sid", "s", "t0").agg(F.sum("length").alias("length"))
+
+
+def dwell(seq: DataFrame, k: int, chunk: int = CHUNK) -> DataFrame:
     """sid, s, dt_mean, dt_median, dt_var, n_visits, iv_mean of all k states; zeros for states without a visit.
 
     dt_var has one degree of freedom less and is 0 for one visit; iv_mean is the mean step between starts of successive
     visits, 0 for fewer than two.
     """
-    gap = F.col("t0") - F.lag("t0").over(W.partitionBy("sid", "s").orderBy("t0"))
-    by = runs(seq).withColumn("gap", gap).groupBy("sid", "s").agg(
-        F.avg("length").alias("dt_mean"), F.percentile("length", F.lit(0.5)).alias("dt_median"), F.var_samp("length").alias("dt_var"), F.count("*").alias("n_visits"), F.avg("gap").alias("iv_mean")
+    # the gaps between starts add up to the way from the first start to the last
+    between = (F.max("t0") - F.min("t0")) / F.when(F.count("*") > 1, F.count("*") - 1)
+    by = runs(seq, chunk).groupBy("sid", "s").agg(
+        F.avg("length").alias("dt_mean"), F.percentile("length", F.lit(0.5)).alias("dt_median"), F.var_samp("length").alias("dt_var"), F.count("*").alias("n_visits"), between.alias("iv_mean")
     )
     grid = every_state(seq.select("sid").distinct(), k)
     joined = grid.join(by, ["sid", "s"], "left")
@@ -72,30 +117,30 @@ def dwell(seq: DataFrame, k: int) -> DataFrame:
     return joined.select("sid", "s", *zero, F.coalesce("n_visits", F.lit(0)).alias("n_visits"), F.coalesce("iv_mean", F.lit(0.0)).alias("iv_mean"))
 
 
-def switch_global(seq: DataFrame) -> DataFrame:
+def switch_global(seq: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """sid, steps, switches, sr_global: share of steps at which the state changes, 0 for sequences of one step."""
-    changed = (F.col("s") != F.lag("s").over(by_step())).cast("long")
-    by = seq.withColumn("changed", changed).groupBy("sid").agg(F.count("*").alias("steps"), F.coalesce(F.sum("changed"), F.lit(0)).alias("switches"))
+    changed = (F.col("s") != F.col("_p")).cast("long")
+    by = with_previous(seq, "s", "_p", chunk).withColumn("changed", changed).groupBy("sid").agg(F.count("*").alias("steps"), F.coalesce(F.sum("changed"), F.lit(0)).alias("switches"))
     return by.withColumn("sr_global", F.col("switches") / F.greatest(F.col("steps") - 1, F.lit(1)))
 
 
-def pairs(seq: DataFrame) -> DataFrame:
+def pairs(seq: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """sid, from_s, to_s of consecutive steps."""
-    return seq.select("sid", F.col("s").alias("from_s"), F.lead("s").over(by_step()).alias("to_s")).where(F.col("to_s").isNotNull())
+    return with_previous(seq, "s", "_p", chunk).where("_p is not null").select("sid", F.col("_p").alias("from_s"), F.col("s").alias("to_s"))
 
 
-def switch_state(seq: DataFrame, k: int) -> DataFrame:
+def switch_state(seq: DataFrame, k: int, chunk: int = CHUNK) -> DataFrame:
     """sid, s, sr_state: entries and exits of a state over the steps less one; 0 for sequences of one step."""
-    moves = pairs(seq).where("from_s <> to_s")
+    moves = pairs(seq, chunk).where("from_s <> to_s")
     ends = moves.select("sid", F.explode(F.array("from_s", "to_s")).alias("s")).groupBy("sid", "s").agg(F.count("*").alias("moves"))
     grid = every_state(seq.groupBy("sid").agg(F.count("*").alias("steps")), k)
     rate = F.coalesce("moves", F.lit(0)) / F.greatest(F.col("steps") - 1, F.lit(1))
     return grid.join(ends, ["sid", "s"], "left").select("sid", "s", rate.alias("sr_state"))
 
 
-def transition_counts(seq: DataFrame, k: int) -> DataFrame:
+def transition_counts(seq: DataFrame, k: int, chunk: int = CHUNK) -> DataFrame:
     """sid, from_s, to_s, n of all k * k pairs."""
-    found = pairs(seq).groupBy("sid", "from_s", "to_s").agg(F.count("*").alias("n"))
+    found = pairs(seq, chunk).groupBy("sid", "from_s", "to_s").agg(F.count("*").alias("n"))
     grid = every_state(every_state(seq.select("sid").distinct(), k, "from_s"), k, "to_s")
     return grid.join(found, ["sid", "from_s", "to_s"], "left").select("sid", "from_s", "to_s", F.coalesce("n", F.lit(0)).alias("n"))
 

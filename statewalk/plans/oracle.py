@@ -344,4 +344,21 @@ def oracle_sql() -> dict[str, str]:
     )
     out["series_files"] = f"SELECT user_id AS sid, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, {r6('value')} AS value FROM events"
     out["series_shapes"] = "SELECT CAST(user_id AS VARCHAR) || '_value.txt' AS name, CAST(2 AS BIGINT) AS n_dim, count(*) AS rows, CAST(1 AS BIGINT) AS p, true AS keep FROM events GROUP BY user_id"
+    # all events as one sequence
+    one = f"WITH q AS (SELECT CAST(0 AS BIGINT) AS sid, row_number() OVER (ORDER BY ts, event_id) - 1 AS t, {_case('event_type', roles.EVENT_STATES)} AS s FROM events WHERE event_type IN ({', '.join(repr(x) for x in roles.EVENT_STATES)})), "
+    out["one_sequence_dwell"] = f"{one}{_grid(5)}, {RUNS}, {DWELL} SELECT sid, s, {r6('dt_mean')} AS dt_mean, {r6('dt_median')} AS dt_median, {r6('dt_var')} AS dt_var, n_visits, {r6('iv_mean')} AS iv_mean FROM dw"
+    out["one_sequence_transitions"] = f"{one}{_trans(5)} SELECT sid, from_s, to_s, n FROM tr"
+    (a, b), (stay0, stay1), hit = roles.START, roles.STAY, roles.HIT
+    miss = [1 - h for h in hit]
+    bought = roles.EVENT_STATES.index("purchase")
+    to0, to1 = f"(a0 * {stay0} + a1 * {1 - stay1})", f"(a0 * {1 - stay0} + a1 * {stay1})"
+    out["hmm_one_sequence"] = (
+        f"{one.replace('WITH', 'WITH RECURSIVE')}e AS MATERIALIZED (SELECT t, CASE WHEN s = {bought} THEN CAST({hit[0]} AS DOUBLE) ELSE {miss[0]} END AS e0, CASE WHEN s = {bought} THEN CAST({hit[1]} AS DOUBLE) ELSE {miss[1]} END AS e1 FROM q), "
+        "l AS MATERIALIZED (SELECT list(e0 ORDER BY t) AS e0, list(e1 ORDER BY t) AS e1, count(*) AS n FROM e), "
+        f"f AS (SELECT CAST(0 AS BIGINT) AS t, {a} * e0[1] / ({a} * e0[1] + {b} * e1[1]) AS a0, {b} * e1[1] / ({a} * e0[1] + {b} * e1[1]) AS a1, ln({a} * e0[1] + {b} * e1[1]) AS c FROM l UNION ALL "
+        f"SELECT t + 1, {to0} * e0[t + 2] / ({to0} * e0[t + 2] + {to1} * e1[t + 2]), {to1} * e1[t + 2] / ({to0} * e0[t + 2] + {to1} * e1[t + 2]), ln({to0} * e0[t + 2] + {to1} * e1[t + 2]) FROM f, l WHERE t + 1 < n), "
+        "g AS (SELECT n - 1 AS t, CAST(0.5 AS DOUBLE) AS b0, CAST(0.5 AS DOUBLE) AS b1 FROM l UNION ALL "
+        f"SELECT t - 1, x0 / (x0 + x1), x1 / (x0 + x1) FROM (SELECT t, {stay0} * e0[t + 1] * b0 + {1 - stay0} * e1[t + 1] * b1 AS x0, {1 - stay1} * e0[t + 1] * b0 + {stay1} * e1[t + 1] * b1 AS x1 FROM g, l WHERE t > 0)) "
+        f"SELECT f.t, {r6('a0 * b0 / (a0 * b0 + a1 * b1)')} AS g0, {r6('(SELECT sum(c) FROM f)')} AS loglik FROM f JOIN g ON g.t = f.t"
+    )
     return out

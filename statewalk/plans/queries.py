@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statewalk.functions.expressions import r6, safe_corr
-from statewalk.operators import arhmm, chain, design, matrices, posterior, sequences, statistics
+from statewalk.operators import arhmm, chain, design, longsequences, matrices, posterior, sequences, statistics
 from statewalk.plans import roles
 from statewalk.sources import matrix_files, readers
 
@@ -603,3 +603,42 @@ def series_shapes(spark, sf):
     rows = roles.table(spark, sf, "events").select(F.concat(F.col("user_id").cast("string"), F.lit("_value.txt")).alias("name"), F.struct("ts", "event_id").alias("t"), F.array("value").alias("y"))
     matrix_files.write(rows, folder)
     return rounded(readers.preflight(matrix_files.shapes(spark, folder)).select("name", "n_dim", "rows", "p", "keep"))
+
+
+#: Steps of a chunk where all events are one sequence.
+ONE_CHUNK = 512
+
+
+def _one_sequence(spark, sf):
+    """All events as one sequence: a single id that holds every row."""
+    rows = roles.table(spark, sf, "events").withColumn("all", F.lit(0).cast("bigint"))
+    return sequences.positions_in_ranges(rows, "all", ["ts", "event_id"], "event_type", roles.EVENT_STATES)
+
+
+@query
+def one_sequence_dwell(spark, sf):
+    """Runs of the one sequence, summarised by state, in chunks."""
+    return rounded(sequences.dwell(_one_sequence(spark, sf), 5, ONE_CHUNK))
+
+
+@query
+def one_sequence_transitions(spark, sf):
+    return rounded(sequences.transition_counts(_one_sequence(spark, sf), 5, ONE_CHUNK))
+
+
+@query
+def hmm_one_sequence(spark, sf):
+    """Probabilities of two hidden states of fixed parameters at every step of the one sequence (a purchase is a hit)."""
+    import numpy as np
+
+    start, stay, hit = roles.START, roles.STAY, roles.HIT
+    p = arhmm.Parameters(np.array(start), np.array([[stay[0], 1 - stay[0]], [1 - stay[1], stay[1]]]), np.zeros((2, 1, 1)), np.ones((2, 1)), np.zeros((2, 1)), 0)
+
+    def emit(x, halo):
+        missed = (x[halo:, 0] != 0).astype(int)
+        return np.log(np.array([hit, [1 - h for h in hit]]))[missed]
+
+    bought = F.lit(float(roles.EVENT_STATES.index("purchase")))
+    steps = _one_sequence(spark, sf).select("sid", "t", F.array(F.col("s") - bought).alias("y"))
+    out = longsequences.decode(longsequences.chunks(steps, 0, ONE_CHUNK), p, emit)
+    return rounded(out.select("t", F.col("g")[0].alias("g0"), "loglik"))

@@ -69,3 +69,46 @@ def test_a_million_steps_are_many_tasks(spark):
         top = x.max(0)
         alpha = top + np.log(np.exp(x - top).sum(0)) + row
     assert found[0]["loglik"] == pytest.approx(np.logaddexp(*alpha), rel=1e-11)
+
+
+def hot(spark):
+    """Nine of ten steps are of one sequence, which has long runs over several chunks."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for sid, n in (("big", 900), ("one", 1), ("small", 60), ("flat", 39)):
+        s = np.repeat(rng.integers(0, 3, n), rng.integers(1, 40, n))[:n] if sid != "flat" else np.zeros(n, int)
+        rows += [(sid, t, int(x)) for t, x in enumerate(s)]
+    return spark.createDataFrame(rows, "sid string, t int, s int").repartition(6)
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 16])
+def test_segments_of_a_hot_sequence(spark, chunk):
+    seq = hot(spark)
+
+    def rows(df):
+        return sorted(map(tuple, df.collect()))
+
+    assert rows(sequences.runs(seq, chunk)) == rows(sequences.runs(seq))
+    assert rows(sequences.dwell(seq, 3, chunk)) == rows(sequences.dwell(seq, 3))
+    assert rows(sequences.transition_counts(seq, 3, chunk)) == rows(sequences.transition_counts(seq, 3))
+    assert rows(sequences.switch_global(seq, chunk)) == rows(sequences.switch_global(seq))
+    for name, f in (("previous", sequences.with_previous), ("next", sequences.with_next)):
+        assert rows(f(seq, "s", name, chunk)) == rows(f(seq, "s", name))
+
+
+def test_runs_by_definition(spark):
+    seq = hot(spark)
+    want = []
+    for sid, part in (lambda all_: {s: sorted((t, x) for ss, t, x in all_ if ss == s) for s in {a for a, _, _ in all_}})([tuple(r) for r in seq.collect()]).items():
+        start = 0
+        for t in range(1, len(part) + 1):
+            if t == len(part) or part[t][1] != part[start][1]:
+                want.append((sid, part[start][1], start, t - start))
+                start = t
+    assert sorted(map(tuple, sequences.runs(seq, 16).select("sid", "s", "t0", "length").collect())) == sorted(want)
+
+
+def test_no_window_holds_the_hot_sequence(spark):
+    """The most rows that a window's partition holds are those of a chunk and its border."""
+    held = sequences.beside_borders(hot(spark), 16).groupBy("sid", "_c").count().agg(F.max("count")).first()[0]
+    assert held == 17
