@@ -6,7 +6,7 @@ or subtracting its vector. The vector has two parts:
 
 * EXACT lanes modulo 2**64, each from its own 64 bits of a cryptographic digest of the whole paragraph: equal multisets of
   paragraphs give equal lanes, and others differ but for a chance of about 2**-64 in each lane;
-* SKETCH lanes modulo 2**16, to which each shingle of three words of the paragraph (in a short paragraph, each block of a
+* SKETCH lanes modulo 2**32, to which each shingle of three words of the paragraph (in a short paragraph, each block of a
   few bytes and its place) adds +1 or -1 at a hashed lane. Texts that share shingles share additions, so the cosine of two
   sketches estimates the share in common, which a plain sum of hashes can't show.
 
@@ -33,10 +33,10 @@ NEWLINE = 10
 
 
 def vectors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """EXACT lanes (uint64) and SKETCH lanes (uint16) of each text of a chunk."""
+    """EXACT lanes (uint64) and SKETCH lanes (uint32) of each text of a chunk."""
     n = len(offsets) - 1
     if not len(data):
-        return np.zeros((n, EXACT), np.uint64), np.zeros((n, SKETCH), np.uint16)
+        return np.zeros((n, EXACT), np.uint64), np.zeros((n, SKETCH), np.uint32)
     starts, ends, at = word_spans(data, offsets, data == NEWLINE)
     exact = segment_sums(digests(data, starts, ends), at)
     of_text = np.repeat(np.arange(n), np.diff(at))
@@ -64,7 +64,7 @@ def vectors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     lane = (unit % np.uint64(SKETCH)).astype(np.int64)
     sign = 1 - 2 * (unit >> np.uint64(63)).astype(np.int64)
     sketch = np.bincount(text * SKETCH + lane, weights=sign, minlength=n * SKETCH)
-    return exact, (sketch.astype(np.int64) % (1 << 16)).astype(np.uint16).reshape(n, SKETCH)
+    return exact, (sketch.astype(np.int64) % (1 << 32)).astype(np.uint32).reshape(n, SKETCH)
 
 
 def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -94,13 +94,14 @@ def subtract(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def as_text(exact: np.ndarray, sketch: np.ndarray) -> list[str]:
-    rows = np.concatenate([exact.astype(">u8").view(np.uint8).reshape(len(exact), -1), sketch.astype(">u2").view(np.uint8).reshape(len(exact), -1)], axis=1)
+    rows = np.concatenate([exact.astype(">u8").view(np.uint8).reshape(len(exact), -1), sketch.astype(">u4").view(np.uint8).reshape(len(exact), -1)], axis=1)
     return [r.tobytes().hex() for r in rows]
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Cosine of the sketches from 0 to 1, on a log scale, so that one line repeated often doesn't drown the rest; 1 where the exact lanes are equal."""
-    x, y = (v.astype(np.int16).astype(np.float64) for v in (a[1], b[1]))
+    """Cosine of the sketches from 0 to 1, on a log scale, so that one line repeated often doesn't drown the rest; 1 where the exact
+    lanes are equal. A lane's sign holds up to 2**31 shingles, more than the longest text has."""
+    x, y = (v.astype(np.int32).astype(np.float64) for v in (a[1], b[1]))
     x, y = np.sign(x) * np.log1p(np.abs(x)), np.sign(y) * np.log1p(np.abs(y))
     norm = np.sqrt((x * x).sum(1) * (y * y).sum(1))
     out = np.divide((x * y).sum(1), norm, out=np.zeros(len(x)), where=norm > 0)
@@ -108,7 +109,7 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint, a hex string of 2 * (8 * EXACT + 2 * SKETCH) digits; null and empty texts give zeros. No shuffle."""
+    """doc_id and fingerprint, a hex string of 2 * (8 * EXACT + 4 * SKETCH) digits; null and empty texts give zeros. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

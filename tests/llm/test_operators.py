@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 import zlib
 
@@ -601,6 +602,63 @@ def test_op10_lanes_are_independent():
     assert all(a[0][0, i] != b[0][0, i] for i in range(lanes)) and fingerprints.likeness(a, b)[0] < 1
 
 
+def plain_sketch(text: str) -> np.ndarray:
+    """The sketch read literally, shingle by shingle: hashes of the library, lanes and signs by hand."""
+    lanes = np.zeros(fingerprints.SKETCH, object)
+
+    def count(unit: int) -> None:
+        lanes[unit % fingerprints.SKETCH] += -1 if unit >> 63 else 1
+
+    def hashed(raw: bytes) -> int:
+        return int(span_hashes(np.frombuffer(raw, np.uint8), np.array([0]), np.array([len(raw)]))[0])
+
+    def mixed(x: int) -> int:
+        return int(mix(np.array([x % (1 << 64)], np.uint64))[0])
+
+    for line in filter(None, text.encode().split(b"\n")):
+        if len(line) < fingerprints.SHORT:
+            for i in range(0, len(line), fingerprints.BLOCK):
+                count(mixed(hashed(line[i : i + fingerprints.BLOCK]) + mixed(i // fingerprints.BLOCK + 1)))
+            continue
+        words = [w[i : i + fingerprints.LONGEST] for w in re.findall(rb"[^\x20\x09-\x0d]+", line) for i in range(0, len(w), fingerprints.LONGEST)]
+        for i in range(len(words)):
+            unit = hashed(words[i]) * 3
+            for k in range(1, fingerprints.SHINGLE):
+                if i + k < len(words):
+                    unit += mixed(hashed(words[i + k]) + k) * (2 * k + 3)
+            count(mixed(unit))
+    return lanes
+
+
+def plain_likeness(a: str, b: str) -> float:
+    if brute_prints(a) == brute_prints(b):
+        return 1.0
+    x, y = ([(1 if v > 0 else -1) * math.log1p(abs(v)) for v in plain_sketch(t)] for t in (a, b))
+    norm = math.sqrt(sum(v * v for v in x) * sum(v * v for v in y))
+    return max(0.0, sum(v * w for v, w in zip(x, y)) / norm) if norm else 0.0
+
+
+def test_op10_likeness_by_definition(docs):
+    order = next_order(corpus())
+    want = []
+    for (i, t), (_, n) in zip(order, [*order[1:], order[0]]):
+        t, n = t or "", n or ""
+        k = len(t) // 3
+        want.append((str(i), plain_likeness(t, t[: len(t) - k] + n[:k]), plain_likeness(t, n)))
+    got = sorted((str(r["doc_id"]), r["near_edited"], r["near_next"]) for r in fingerprints.edited(docs).collect())
+    for g, w in zip(got, sorted(want)):
+        assert g[0] == w[0] and g[1:] == pytest.approx(w[1:], abs=1e-9)
+
+
+def test_op10_long_repeats(spark):
+    """A line of 90 bytes forty thousand times: two thirds of it are still there after the edit, and its lanes count that many."""
+    line = "one line of just over ninety bytes that a long document repeats from its start to its end."
+    rows = [(2, (line + "\n") * 40_000), (1, "x" * 90), (0, "")]
+    got = {r["doc_id"]: r for r in fingerprints.edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2]["near_edited"] > 0.9 and got[2]["near_next"] < 0.5
+    assert got[1]["near_next"] == 0.0  # of empty against non-empty
+
+
 def test_op10_insertion_and_deletion():
     def of(text):
         raw = np.frombuffer(text.encode(), np.uint8)
