@@ -32,8 +32,33 @@ SHORT, BLOCK, LONGEST = 64, 4, 12
 NEWLINE = 10
 
 
+#: Bytes of whole paragraphs that are hashed at once; a longer paragraph is hashed alone.
+PIECE_BYTES = 1 << 19
+
+
 def vectors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """EXACT lanes (uint64) and SKETCH lanes (uint32) of each text of a chunk."""
+    """EXACT lanes (uint64) and SKETCH lanes (uint32) of each text of a chunk.
+
+    Vectors add up over paragraphs, so a long text is hashed in pieces of whole paragraphs.
+    """
+    n = len(offsets) - 1
+    if len(data) <= PIECE_BYTES:
+        return vectors_at_once(data, offsets)
+    exact, sketch = np.zeros((n, EXACT), np.uint64), np.zeros((n, SKETCH), np.uint32)
+    breaks = np.union1d(np.flatnonzero(data == NEWLINE) + 1, offsets)
+    a = 0
+    while a < len(data):
+        i = np.searchsorted(breaks, a + PIECE_BYTES, "right") - 1
+        b = int(breaks[i] if breaks[i] > a else breaks[i + 1])
+        lo, hi = np.searchsorted(offsets, a, "right") - 1, np.searchsorted(offsets, b, "left")
+        more = vectors_at_once(data[a:b], np.clip(offsets[lo : hi + 1], a, b) - a)
+        exact[lo:hi] += more[0]
+        sketch[lo:hi] += more[1]
+        a = b
+    return exact, sketch
+
+
+def vectors_at_once(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(offsets) - 1
     if not len(data):
         return np.zeros((n, EXACT), np.uint64), np.zeros((n, SKETCH), np.uint32)

@@ -650,6 +650,15 @@ def test_op10_likeness_by_definition(docs):
         assert g[0] == w[0] and g[1:] == pytest.approx(w[1:], abs=1e-9)
 
 
+@pytest.mark.parametrize("size", [1, 40, 300, 5000])
+def test_op10_pieces_add_up(monkeypatch, size):
+    raw = [(t or "").encode() for _, t, *_ in corpus()] + [b"\n\n" + PASSAGE.encode() + b"\n" + b"x " * 90, b"", b"end\n"]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw])))
+    want = fingerprints.vectors_at_once(data, offsets)
+    monkeypatch.setattr(fingerprints, "PIECE_BYTES", size)
+    assert all(np.array_equal(x, y) for x, y in zip(fingerprints.vectors(data, offsets), want))
+
+
 def test_op10_long_repeats(spark):
     """A line of 90 bytes forty thousand times: two thirds of it are still there after the edit, and its lanes count that many."""
     line = "one line of just over ninety bytes that a long document repeats from its start to its end."
