@@ -40,7 +40,6 @@ BUCKET_BYTES, SHARD_BYTES, LEAST_BYTES, SORT_BYTES = 3 << 20, 16 << 20, 1 << 20,
 #: An anchor with so many contexts is sent by windows. Contexts are told apart by the eight bytes on both sides, within a bucket.
 FREQUENT, SATURATED = 1024, 255
 LAST = (1 << 63) - 1  # the id that stands for null: after all others
-NONE = -(1 << 63)  # less than any other
 #: Windows of a block of anchors, and the bits that hold a place in it.
 BLOCK, INDEX_BITS = 1 << 15, 17
 
@@ -110,7 +109,8 @@ class Bucket:
         """Hash and place of each anchor occurrence, and the first window and number of windows that have it, in text order.
 
         Windows of one occurrence are consecutive. Of equal hashes in a window the leftmost is taken, as hashes are compared
-        by their leading bits and then by place.
+        by their leading bits and then by place. An anchor is the least of many hashes, so its hash is mixed again: ranges of
+        what is returned hold equal shares.
         """
         data, n = self.data, len(self.data)
         none = np.zeros(0, np.int64)
@@ -130,7 +130,7 @@ class Bucket:
         window = np.flatnonzero(np.cumsum(valid[: n - length + 1]) > 0)
         place = place[window]
         new = np.flatnonzero(first_rows(place) | np.concatenate(([True], window[1:] != window[:-1] + 1)) if len(window) else place)
-        return value[place[new]], place[new].astype(np.int64), window[new], np.diff(np.append(new, len(window)))
+        return mix(value[place[new]]), place[new].astype(np.int64), window[new], np.diff(np.append(new, len(window)))
 
     def document(self, at: np.ndarray) -> np.ndarray:
         """Row of the document at each place."""
@@ -295,10 +295,13 @@ def send_segments(packed: DataFrame, bits: DataFrame, ranges: int, shards: int,
     return packed.join(gathered, "bucket", "left").select("bucket", "parts", "states").mapInArrow(released(run), "shard int, bucket int, blob binary")
 
 
-def equal_windows(texts: np.ndarray, sizes: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
-    """For each byte of the segments in `texts`, the smallest owner of a segment in which the window that starts there also starts.
+#: What stands for an owner at bytes that begin no window.
+END = np.iinfo(np.int32).max
+
 
-    Bytes with less than a window before their segment's end keep LAST.
+def equal_windows(texts: np.ndarray, sizes: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
+    """For each byte of the segments in `texts`, the smallest owner (int32) of a segment in which the window that starts there
+    also starts. Bytes with less than a window before their segment's end have END.
     """
     ends = np.cumsum(sizes + 1) - 1
     raw = np.full(len(texts) + len(sizes), 0xFF, np.uint8)  # 0xFF ends a segment: it is in no UTF-8 text
@@ -311,9 +314,9 @@ def equal_windows(texts: np.ndarray, sizes: np.ndarray, owner: np.ndarray, lengt
     order = sa[1:]
     new = np.flatnonzero(common[order] < length)
     least = np.minimum.reduceat(owner[segment[order]], new)
-    out = np.empty(len(raw), np.int64)
+    out = np.empty(len(raw), np.int32)
     out[order] = np.repeat(least, np.diff(np.append(new, len(order))))
-    out[ends[segment] - np.arange(len(raw)) < length] = LAST
+    out[ends[segment] - np.arange(len(raw)) < length] = END
     return out[body]
 
 
@@ -361,18 +364,25 @@ def resolve(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
         stop = stop + int(np.argmax(last[stop:]))
         block[at : stop + 1] = number
         at, number = stop + 1, number + 1
-    windows = np.zeros(int(done[-1]), np.int64)
+    # owners as their places among all owners, which take half the room of ids and compare as they do
+    owners, least = np.unique(least, return_inverse=True)
+    least, rank = least.astype(np.int32), np.searchsorted(owners, ids, "left").astype(np.int32)
+    windows, top, low = np.empty(int(done[-1]), np.int32), np.empty(len(size), np.int32), np.empty(len(size), np.int32)
     edges = np.append(np.flatnonzero(first_rows(block)), len(size))
+    first = done - size
     for a, b in zip(edges, edges[1:]):
         n = size[a:b]
         take = np.repeat(begin[a:b] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        windows[done[a] - size[a] : done[b - 1]] = equal_windows(text[take], n, least[a:b], length)
+        w = equal_windows(text[take], n, least[a:b], length)
+        windows[first[a] : done[b - 1]] = w
+        inside = first[a:b] - first[a]
+        low[a:b] = np.minimum.reduceat(w, inside)
+        w[w == END] = -1
+        top[a:b] = np.maximum.reduceat(w, inside)
     # a window of an occurrence goes if it also starts in a document of smaller id: all of them, if its id is above them all
-    first = done - size
-    inner = np.where(np.arange(len(windows)) < np.repeat(done - length + 1, size), windows, NONE)  # a segment's last bytes begin no window
-    above = ids > np.maximum.reduceat(inner, first)[seg_of]
+    above = rank > top[seg_of]
     found = [(bucket[above], starts[above], starts[above] + size[seg_of[above]])]
-    rest = np.flatnonzero(~above & (ids > np.minimum.reduceat(windows, first)[seg_of]))
+    rest = np.flatnonzero(~above & (rank > low[seg_of]))
     held = np.cumsum(size[seg_of[rest]])
     lo = 0
     while lo < len(rest):
@@ -380,7 +390,7 @@ def resolve(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
         some = rest[lo:hi]
         s = seg_of[some]
         n = size[s]
-        flags = windows[np.repeat(first[s] - np.cumsum(n) + n, n) + np.arange(n.sum())] < np.repeat(ids[some], n)
+        flags = windows[np.repeat(first[s] - np.cumsum(n) + n, n) + np.arange(n.sum())] < np.repeat(rank[some], n)
         edge = np.cumsum(n) - n
         a, b = runs(flags)  # none across occurrences, as a segment's last windows are never flagged
         of = np.searchsorted(edge, a, "right") - 1

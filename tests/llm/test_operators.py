@@ -129,6 +129,16 @@ def test_op1_kept_texts(docs):
     assert PASSAGE not in out[8][0]["text"] and "é" in out[8][0]["text"]
 
 
+def test_op1_ranges_are_even():
+    """Ranges of anchors' hashes hold about as many anchors each, although an anchor is the least of many hashes."""
+    text = np.random.default_rng(0).integers(97, 123, 200_000).astype(np.uint8)
+    bucket = dedup.Bucket([dedup.squeeze(np.array([1]), np.array([len(text)]), text, np.array([0]), np.zeros(0, np.uint8))])
+    h, *_ = bucket.anchors(50, 16)
+    _, cut = dedup.in_ranges(np.unique(h >> np.uint64(16)), 20)
+    share = np.diff(cut) / cut[-1]
+    assert len(share) == 20 and share.max() < 0.06 and share.min() > 0.04
+
+
 def test_op1_empty(empty):
     assert dedup.report(empty).count() == 0 and dedup.kept_texts(empty).count() == 0
 
