@@ -7,6 +7,7 @@ in a tree of grouped sums before the few that are left reach the driver for the
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+LOG = logging.getLogger("statewalk")
 FLOOR, RIDGE = 1e-6, 1e-5
 #: Steps whose pairs are summed at once, and cells of steps and features that are worked on together.
 PAIR_STEPS, PORTION = 1 << 14, 1 << 20
@@ -229,6 +231,7 @@ def fit(seqs: DataFrame, k: int, order: int = 1, max_iter: int = 100, seed: int
         parts = seqs.rdd.getNumPartitions()
         for _ in range(max_iter):
             new = update(statistics(seqs, p, parts), p)
+            LOG.info("iteration: log-likelihood %.6f, gain %.6g", new.loglik, new.loglik - p.loglik)
             done = tol is not None and abs(new.loglik - p.loglik) <= tol * max(1.0, abs(new.loglik))
             p = new
             if done:

@@ -51,22 +51,51 @@ def beta_maps_hard(rows: DataFrame) -> DataFrame:
     return by.select("s", "p", (F.col("mean") - centre).alias("beta"))
 
 
-def soft_beta(g: np.ndarray, y: np.ndarray, rcond: float = 1e-6) -> np.ndarray:
-    """Regression of features on state probabilities, without an intercept, each column centred by the mean probabilities."""
-    b = np.linalg.pinv(g, rcond=rcond) @ y
-    return b - g.mean(0) @ b
+#: Steps of a sequence that are factored together.
+FACTOR_STEPS = 4096
 
 
-def beta_maps_soft(rows: DataFrame, rcond: float = 1e-6) -> DataFrame:
-    """sid, s, p, beta of rows (sid, t, g array, y array): one least-squares solve for each sequence."""
+def factor(g: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """[R, Q'y] of the factorisation g = QR: at most as many rows as g has columns, from which any rows on can be added."""
+    q, r = np.linalg.qr(g)
+    return np.concatenate([r, q.T @ y], axis=1)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+
+def beta_of_factors(factors: np.ndarray, mean: np.ndarray, rcond: float) -> np.ndarray:
+    """The regression of all steps from the stacked factors of its parts, each feature centred by the mean probabilities."""
+    k = len(mean)
+    whole = factor(factors[:, :k], factors[:, k:])
+    b = np.linalg.pinv(whole[:, :k], rcond=rcond) @ whole[:, k:]
+    return b - mean @ b
+
+
+def beta_maps_soft(rows: DataFrame, rcond: float = 1e-6, chunk: int = FACTOR_STEPS) -> DataFrame:
+    """sid, s, p, beta of rows (sid, t, g array, y array): each feature's regression on the state probabilities, without an
+    intercept, less its value at the mean probabilities.
+
+    A tall, narrow least-squares problem in parts: each chunk of steps becomes a factor of as many rows as states, and the
+    factors of a sequence, one a chunk, are factored again. Singular values are those of all steps together, so the cut at
+    rcond is too. Ids may be of any type.
+    """
+    sid = rows.schema["sid"].dataType.simpleString()
+
+    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
-        b = soft_beta(np.stack(pdf["g"]), np.stack(pdf["y"]), rcond)
+        g, y = np.stack(pdf["g"]), np.stack(pdf["y"])
+        return pd.DataFrame({"sid": pdf["sid"].iloc[:1], "c": pdf["c"].iloc[:1], "n": [len(g)], "mass": [g.sum(0)], "cells": [factor(g, y).ravel()]})
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("c")
+        mass, k = np.stack(pdf["mass"]).sum(0), len(pdf["mass"].iloc[0])
+        # a factor has as many rows as its steps, up to k
+        parts = [np.asarray(x).reshape(min(int(n), k), -1) for x, n in zip(pdf["cells"], pdf["n"])]
+        b = beta_of_factors(np.concatenate(parts), mass / pdf["n"].sum(), rcond)
         s, p = np.indices(b.shape)
-        return pd.DataFrame({"sid": pdf["sid"].iloc[0], "s": s.ravel(), "p": p.ravel(), "beta": b.ravel()})
+        return pd.DataFrame({"sid": [pdf["sid"].iloc[0]] * b.size, "s": s.ravel(), "p": p.ravel(), "beta": b.ravel()})
 
-    return rows.select("sid", "t", "g", "y").groupBy("sid").applyInPandas(solve, "sid long, s int, p int, beta double")
+    c = F.floor(F.col("t") / chunk).cast("long")
+    factors = rows.select("sid", c.alias("c"), "t", "g", "y").groupBy("sid", "c").applyInPandas(reduce, f"sid {sid}, c long, n long, mass array<double>, cells array<double>")
+    return factors.groupBy("sid").applyInPandas(solve, f"sid {sid}, s int, p int, beta double")
 
 
 def group_mean_sd(stack: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from statewalk.functions.expressions import array_dot, cells, entropy_bits, flag, plogp, safe_corr, total
+from statewalk.operators.numbering import settled
+from statewalk.operators.quantiles import quantiles
 from statewalk.operators.sequences import with_next
 
 
@@ -62,22 +64,22 @@ def soft_metrics(gamma: DataFrame, k: int) -> DataFrame:
 
 
 def junk_states(metrics: DataFrame, low_fo: float = 0.01, short_dt: float = 2.0, low_presence: float = 0.5) -> DataFrame:
-    """By state: summaries of soft_metrics over sequences, and flags. A state without dwell times isn't flagged as short."""
-
-    def median(c: str) -> Column:
-        return F.percentile(c, F.lit(0.5))
-
-    out = metrics.groupBy("s").agg(
-        median("fo").alias("fo_median"),
-        F.avg("fo").alias("fo_mean"),
-        F.percentile("fo", F.lit(0.05)).alias("fo_q05"),
-        F.avg(flag(F.col("present"))).alias("presence_frac"),
-        median("dt_mean").alias("dt_median"),
-        F.avg("dt_mean").alias("dt_mean"),
-        median("n_visits").alias("n_visits_median"),
-        F.avg("n_visits").alias("n_visits_mean"),
-        F.avg("sr_state").alias("sr_state_mean"),
-    )
+    """By state: summaries of soft_metrics over sequences, and flags. A state without dwell times isn't flagged as short.
+
+    The metrics are written once, for the means and the passes of the quantiles.
+    """
+    metrics = settled(metrics)
+    names = ("fo", "dt_mean", "n_visits")
+    long = metrics.select("s", F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("y")) for c in names])).alias("x")).select("s", "x.metric", "x.y")
+    found = quantiles(long, ["s", "metric"], "y", [0.5, 0.05])
+
+    def of(metric: str, i: int) -> Column:
+        return F.max(F.when(F.col("metric") == metric, F.col("q")[i]))
+
+    wide = found.groupBy(F.col("s").alias("_s")).agg(of("fo", 0).alias("fo_median"), of("fo", 1).alias("fo_q05"), of("dt_mean", 0).alias("dt_median"), of("n_visits", 0).alias("n_visits_median"))
+    means = metrics.groupBy("s").agg(F.avg("fo").alias("fo_mean"), F.avg(flag(F.col("present"))).alias("presence_frac"), F.avg("dt_mean").alias("dt_mean"), F.avg("n_visits").alias("n_visits_mean"), F.avg("sr_state").alias("sr_state_mean"))
+    both = means.join(wide, F.col("s").eqNullSafe(F.col("_s")), "left")
+    out = both.select("s", "fo_median", "fo_mean", "fo_q05", "presence_frac", "dt_median", "dt_mean", "n_visits_median", "n_visits_mean", "sr_state_mean")
     fo, dt, there = F.col("fo_median") < low_fo, F.coalesce(F.col("dt_median") < short_dt, F.lit(False)), F.col("presence_frac") < low_presence
     return out.select("*", fo.alias("flag_low_fo"), dt.alias("flag_short_dt"), there.alias("flag_low_presence"), (fo | dt | there).alias("junk_state"))
 
@@ -140,54 +142,12 @@ def indecision(gamma: DataFrame, k: int, dominant: float = 0.8, ambiguous: float
     )
 
 
-#: Bins of one step of `quantiles`, and values that the driver sorts.
-QUANTILE_BINS, QUANTILE_ROWS = 4096, 10_000
-
-
-def quantiles(rows: DataFrame, column: str, shares: list[float]) -> list[float | None]:
-    """Exact interpolated quantiles of a column, without its nulls, of any number of rows.
-
-    The values at the ranks that are asked for are found by counting in bins of the range that holds them, ever finer, until
-    few values or one are left: no task ever holds all values, as an exact percentile in one aggregation does.
-    """
-    known = rows.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
-    n, least, most = known.agg(F.count("*"), F.min("x"), F.max("x")).first()
-    if not n:
-        return [None] * len(shares)
-
-    def at_rank(rank: int) -> float:
-        lo, hi, before = least, most, 0
-        while lo < hi:
-            width = (hi - lo) / QUANTILE_BINS
-            b = F.least(F.greatest(F.floor((F.col("x") - lo) / width), F.lit(0)), F.lit(QUANTILE_BINS - 1)).alias("b")
-            inside = known.where((F.col("x") >= lo) & (F.col("x") <= hi))
-            for r in inside.groupBy(b).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("b").collect():
-                if before + r["n"] > rank:
-                    break
-                before += r["n"]
-            if r["n"] <= QUANTILE_ROWS and r["lo"] < r["hi"]:
-                return sorted(v[0] for v in known.where((F.col("x") >= r["lo"]) & (F.col("x") <= r["hi"])).collect())[rank - before]
-            lo, hi = r["lo"], r["hi"]
-        return lo
-
-    found: dict[int, float] = {}
-    out = []
-    for share in shares:
-        place = share * (n - 1)
-        low, high = int(place), min(int(place) + 1, n - 1)
-        for rank in (low, high):
-            if rank not in found:
-                found[rank] = at_rank(rank)
-        out.append(found[low] + (found[high] - found[low]) * (place - low))
-    return out
-
-
 def sharpness(gamma: DataFrame, k: int) -> DataFrame:
     """One row: steps, median, p25, p75, least and most of the greatest probabilities."""
     m = gamma.select(greatest(F.col("g"), k).alias("m"))
-    p25, median, p75 = quantiles(m, "m", [0.25, 0.5, 0.75])
-    lit = [F.lit(x).cast("double").alias(name) for x, name in ((median, "median"), (p25, "p25"), (p75, "p75"))]
-    return m.agg(F.count("*").alias("steps"), F.min("m").alias("least"), F.max("m").alias("most")).select("steps", *lit, "least", "most")
+    found = quantiles(m, [], "m", [0.5, 0.25, 0.75]).agg(F.first("q").alias("q"))  # one row, also where there is no step
+    named = [F.get("q", F.lit(i)).alias(name) for i, name in enumerate(("median", "p25", "p75"))]
+    return m.agg(F.count("*").alias("steps"), F.min("m").alias("least"), F.max("m").alias("most")).crossJoin(F.broadcast(found)).select("steps", *named, "least", "most")
 
 
 def histogram(gamma: DataFrame, k: int, bins: int = 20) -> DataFrame:

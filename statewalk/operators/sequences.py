@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from statewalk.functions.expressions import plogp
-from statewalk.operators.numbering import places, running_sum
+from statewalk.operators.numbering import places, running_sum, settled
+from statewalk.operators.quantiles import quantiles
 
 
 def by_step():
@@ -78,9 +79,10 @@ def occupancy(seq: DataFrame, k: int) -> DataFrame:
 
 def occupancy_summary(occ: DataFrame) -> DataFrame:
     """By state: count, mean, std, min, quartiles and max of the sequences' shares."""
-    q = F.percentile("fo", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = occ.groupBy("s").agg(F.count("*").alias("n"), F.avg("fo").alias("mean"), F.stddev_samp("fo").alias("std"), F.min("fo").alias("least"), q.alias("q"), F.max("fo").alias("most"))
-    return out.select("s", "n", "mean", "std", "least", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "most")
+    occ = settled(occ)
+    found = quantiles(occ, ["s"], "fo", [0.25, 0.5, 0.75]).withColumnRenamed("s", "_s")
+    out = occ.groupBy("s").agg(F.count("*").alias("n"), F.avg("fo").alias("mean"), F.stddev_samp("fo").alias("std"), F.min("fo").alias("least"), F.max("fo").alias("most"))
+    return out.join(found, F.col("s").eqNullSafe(F.col("_s")), "left").select("s", "n", "mean", "std", "least", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "most")
 
 
 def runs(seq: DataFrame, chunk: int = CHUNK) -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from statewalk.functions.expressions import flag, total
 from statewalk.operators import permutations
 
 
@@ -105,7 +107,7 @@ def effects(rows: DataFrame, by: tuple[str, ...], n_perm: int) -> DataFrame:
     y is residualised on the nuisance within each family. sex is tested between M and F with Cohen's d as its effect, age
     over all levels with eta squared. The q control false discoveries over all rows of the table.
     """
-    left = residualize(rows, list(by)).select(*by, "sid", "r", "sex", "age").persist()  # read by both tests and both effects
+    left = permutations.settled(residualize(rows, list(by)).select(*by, "sid", "r", "sex", "age"))  # read by both tests and both effects
     sex = left.select(*by, "sid", "r", F.col("sex").alias("grp"))
     age = left.select(*by, "sid", "r", F.col("age").alias("grp"))
     d = cohen_d(sex.withColumnRenamed("r", "y"), list(by)).withColumnRenamed("d", "effect")
@@ -185,9 +187,10 @@ BANDS = 64
 def adjusted(rows: DataFrame, p: str) -> DataFrame:
     """The same for one family of any size: equal p share a q, so distinct p are ranked by their counts, band by band.
 
-    Only the bands' totals, a bounded number of rows, are put in order in one place. The rows are kept while they are ranked.
+    Only the bands' totals, a bounded number of rows, are put in order in one place. The rows are written once, as they are ranked
+    by themselves.
     """
-    rows = rows.persist()
+    rows = permutations.settled(rows)
     band = F.when(F.col("_p") > 0, F.floor(F.log2("_p") * BANDS)).otherwise(F.lit(-(1 << 20))).alias("_band")
     values = rows.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_c")).select("_p", "_c", band)
     totals = values.groupBy("_band").agg(F.sum("_c").alias("_n"))
@@ -273,71 +276,120 @@ def rm_interaction_test(rows: DataFrame, k: int, n_perm: int, by: tuple[str, ...
     return p_value(interaction_f(dealt, [*by, "perm"], k).select(*by, "perm", F.col("f_obs").alias("stat")), by)
 
 
+def subject_blocks(rows: DataFrame, by: list[str], k: int) -> DataFrame:
+    """by, sid, n (states that have a value), c (array: each state's value less the sid's mean, 0 where it has none), m (array of 1
+    and 0: which have one), q (sum of squares of c) of rows (by, sid, s, y). Repeated values of a state are averaged.
+
+    Centring within sids absorbs the sids' columns, and with them whatever is constant within a sid.
+    """
+    wide = rows.groupBy(*by, "sid").agg(*[F.avg(F.when(F.col("s") == i, F.col("y"))).alias(f"_y{i}") for i in range(k)])
+    values = [F.col(f"_y{i}") for i in range(k)]
+    held = wide.withColumn("n", total([F.when(y.isNotNull(), 1).otherwise(0) for y in values])).where("n > 0")
+    held = held.withColumn("_m", total([F.coalesce(y, F.lit(0.0)) for y in values]) / F.col("n"))
+    out = held.select(*by, "sid", "n", F.array(*[F.coalesce(y - F.col("_m"), F.lit(0.0)) for y in values]).alias("c"), F.array(*[flag(y.isNotNull()) for y in values]).alias("m"))
+    return out.withColumn("q", total([F.col("c")[i] * F.col("c")[i] for i in range(k)]))
+
+
+def gram(k: int) -> Column:
+    """The sums over sids of the products of the centred state columns: the upper triangle, row by row."""
+    m = [F.col("m")[i] for i in range(k)]
+    return F.array(*[F.sum(m[i] * ((1.0 if i == j else 0.0) - m[j] / F.col("n"))) for i in range(k) for j in range(i, k)])
+
+
+def centred_sums(k: int) -> Column:
+    return F.array(*[F.sum(F.col("c")[i]) for i in range(k)])
+
+
+def explained(k: int):
+    """A function of the arrays gram and c: the sum of squares that the states explain, by the pseudo-inverse of each small matrix."""
+    i, j = np.triu_indices(k)
+
+    def solve(grams: pd.Series, sums: pd.Series) -> pd.Series:
+        g, c = np.zeros((len(grams), k, k)), np.stack(sums) if len(sums) else np.zeros((0, k))
+        if len(grams):
+            g[:, i, j] = np.stack(grams)
+            g[:, j, i] = g[:, i, j]
+        return pd.Series(np.einsum("ni,nij,nj->n", c, np.linalg.pinv(g, rcond=1e-9, hermitian=True), c))
+
+    return F.pandas_udf(solve, "double")
+
+
+def _f(gain: Column, rss: Column, num: Column, den: Column) -> list[Column]:
+    """f, df_num, df_den, partial_eta2; no F without freedom or where nothing is left over."""
+    gain = F.greatest(gain, F.lit(0.0))
+    f = F.when((num > 0) & (den > 0) & (rss > 0), (gain / F.when(num > 0, num)) / (rss / F.when(den > 0, den)))
+    return [f.alias("f_obs"), num.cast("long").alias("df_num"), den.cast("long").alias("df_den"), (gain / F.when(gain + rss > 0, gain + rss)).alias("partial_eta2")]
+
+
+FIGURES = ("f_obs", "df_num", "df_den", "partial_eta2")
+
+
+def state_term(blocks: DataFrame, by: list[str], k: int, n_perm: int, seed: str = "42") -> DataFrame:
+    """by, f_obs, p_perm, df_num, df_den, partial_eta2 of the state within sids, blocks being complete or not.
+
+    A permutation deals a sid's values to the states that it has, in a hashed order, within the sid's row; which states it has,
+    and so the products of the columns, stays.
+    """
+    base = blocks.groupBy(*by).agg(F.count("*").alias("n_sid"), F.sum("n").alias("rows"), F.sum("q").alias("all"), gram(k).alias("gram"))
+
+    def key(x: Column) -> Column:
+        return F.when(F.col("perm") > 0, F.md5(F.concat_ws(":", F.lit(seed), "perm", "sid", x["s"]).cast("binary"))).otherwise(F.lpad(x["s"].cast("string"), 20, "0"))
+
+    own = F.filter(F.array(*[F.struct(F.lit(i).alias("s"), F.col("c")[i].alias("c"), F.col("m")[i].alias("m")) for i in range(k)]), lambda x: x["m"] > 0)
+    times = blocks.select(*by, "sid", own.alias("own")).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm))))
+    hashed = F.sort_array(F.transform("own", lambda x: F.struct(key(x).alias("key"), x["s"].alias("s"), x["c"].alias("c"))))
+    dealt = times.withColumn("hashed", hashed).select(*by, "perm", F.explode(F.zip_with("own", "hashed", lambda x, y: F.struct(x["s"].alias("s"), y["c"].alias("c")))).alias("x"))
+    sums = dealt.groupBy(*by, "perm").agg(F.array(*[F.sum(F.when(F.col("x.s") == i, F.col("x.c")).otherwise(0.0)) for i in range(k)]).alias("sums"))
+    found = sums.join(base, by).withColumn("gain", explained(k)("gram", "sums"))
+    num, den = F.lit(k - 1), F.col("rows") - F.col("n_sid") - k
+    return _with_p(found.select(*by, "perm", *_f(F.col("gain"), F.col("all") - F.col("gain"), num, den)), by)
+
+
+def interaction_term(blocks: DataFrame, levels: DataFrame, by: list[str], k: int, n_perm: int, seed: str = "42") -> DataFrame:
+    """The same of a level's interaction with the state. levels: (by, sid, grp) of the sids that have one.
+
+    States and interaction together are a state effect of each level's own, so their sum of squares is that of the levels by
+    themselves. Levels are dealt anew over sids.
+    """
+    placed = permutations.labelled_places(levels, by)
+    own = blocks.join(placed.rows, [*by, "sid"])
+    base = own.groupBy(*by).agg(F.count("*").alias("n_sid"), F.sum("n").alias("rows"), F.sum("q").alias("all"), F.countDistinct("grp").alias("g"), gram(k).alias("gram"), centred_sums(k).alias("sums"))
+    base = base.withColumn("states", explained(k)("gram", "sums")).drop("gram", "sums")
+    each = permutations.deal(own, n_perm, placed.levels, seed).groupBy(*by, "perm", "grp").agg(gram(k).alias("gram"), centred_sums(k).alias("sums"))
+    cells = each.withColumn("gain", explained(k)("gram", "sums")).groupBy(*by, "perm").agg(F.sum("gain").alias("cells"))
+    found = cells.join(base, by)
+    num, den = (F.col("g") - 1) * (k - 1), F.col("rows") - F.col("n_sid") - F.col("g") * k
+    return _with_p(found.select(*by, "perm", *_f(F.col("cells") - F.col("states"), F.col("all") - F.col("cells"), num, den)), by)
+
+
+def _with_p(stats: DataFrame, by: list[str]) -> DataFrame:
+    stats = permutations.settled(stats)  # one row a permutation, read for the observed figures and for p
+    p = p_value(stats.select(*by, "perm", F.col("f_obs").alias("stat")), tuple(by)).select(*by, "p_perm")
+    return stats.where("perm = 0").select(*by, *FIGURES).join(p, by).select(*by, "f_obs", "p_perm", *FIGURES[1:])
+
+
 def rm_omnibus(rows: DataFrame, k: int, n_perm: int) -> DataFrame:
     """metric, term, f_obs, p_perm, df_num, df_den, partial_eta2, q_bh of rows (metric, sid, s, y, sex, age): for each metric the
     terms State, AgeGroup, AgeGroup:State, Sex and Sex:State beside the sids and the nuisance, in one table.
 
-    Sids that miss a state of a metric are left out of it. The nuisance and the main effects of sex and age are constant within
-    a sid: its columns absorb them, so those two terms have degrees of freedom but no F and no p; the nuisance counts as a
-    column. State is tested by permuting states within sids, the interactions by permuting levels over sids. The q control
+    Sids may lack any states. The nuisance and the main effects of sex and age are constant within a sid: its columns absorb
+    them, so those two terms have degrees of freedom but no F and no p; the nuisance counts as a column. A sid's level is its
+    first one. State is tested by dealing states within sids, the interactions by dealing levels over sids. The q control
     false discoveries over all rows of the table.
     """
-    by = ("metric",)
-    known = rows.where(F.col("y").isNotNull()).select("metric", "sid", "s", "y", "sex", "age")
-    full = known.withColumn("_n", F.count("*").over(W.partitionBy("metric", "sid"))).where(F.col("_n") == k).drop("_n").persist()  # read by every term
+    by = ["metric"]
+    known = rows.where(F.col("y").isNotNull())
+    blocks = permutations.settled(subject_blocks(known, by, k))
     none = F.lit(None).cast("double")
-    figures = ["f_obs", "p_perm", "df_num", "df_den", "partial_eta2"]
-    state = rm_state_f(full, ["metric"], k).join(rm_state_test(full, k, n_perm, by).select("metric", "p_perm"), "metric")
-    parts = [state.select("metric", F.lit("State").alias("term"), *figures)]
+    order = ["metric", "term", "f_obs", "p_perm", *FIGURES[1:]]
+    parts = [state_term(blocks, by, k, n_perm).withColumn("term", F.lit("State")).select(*order)]
     for factor, term in (("age", "AgeGroup"), ("sex", "Sex")):
-        levelled = full.select("metric", "sid", "s", "y", F.col(factor).alias("grp")).where("grp is not null")
-        size = levelled.groupBy("metric").agg(F.countDistinct("sid").alias("n"), F.countDistinct("grp").alias("g"))
-        num, den = F.col("g") - 1, F.col("n") * (k - 1) - k - F.col("g") + 1
+        levels = permutations.settled(known.groupBy("metric", "sid").agg(F.min_by(factor, "s").alias("grp")).where("grp is not null"))
+        size = blocks.join(levels, ["metric", "sid"]).groupBy("metric").agg(F.sum("n").alias("rows"), F.count("*").alias("n"), F.countDistinct("grp").alias("g"))
+        num, den = F.col("g") - 1, F.col("rows") - F.col("n") - k - F.col("g") + 1
         parts.append(size.select("metric", F.lit(term).alias("term"), none.alias("f_obs"), none.alias("p_perm"), num.cast("long").alias("df_num"), den.cast("long").alias("df_den"), none.alias("partial_eta2")))
-        inner = rm_interaction_f(levelled, ["metric"], k).join(rm_interaction_test(levelled, k, n_perm, by).select("metric", "p_perm"), "metric")
-        parts.append(inner.select("metric", F.lit(f"{term}:State").alias("term"), *figures))
+        parts.append(interaction_term(blocks, levels, by, k, n_perm).withColumn("term", F.lit(f"{term}:State")).select(*order))
     table = parts[0]
     for part in parts[1:]:
         table = table.unionByName(part)
     return benjamini_hochberg(table, "p_perm", ["metric", "term"])
-
-
-def design_columns(sid: np.ndarray, s: np.ndarray, k: int, fd: np.ndarray, sex: np.ndarray, age: np.ndarray, terms: set[str]) -> np.ndarray:
-    """Design matrix of the terms Subject, State, FD, Sex, AgeGroup, Sex:State, AgeGroup:State, after the intercept.
-
-    Factors drop their first level in sorted order; the columns' order is that of the list.
-    """
-    def dummies(values: np.ndarray) -> list[np.ndarray]:
-        return [(values == v).astype(float) for v in sorted(set(values.tolist()))[1:]]
-
-    states = [(s == i).astype(float) for i in range(1, k)]
-    known = fd[~np.isnan(fd)]
-    full = np.where(np.isnan(fd), known.mean() if len(known) else 0.0, fd)
-    male = (sex == "M").astype(float)
-    ages = dummies(age)
-    columns = [np.ones(len(s))]
-    for term, some in (("Subject", dummies(sid)), ("State", states), ("FD", [full]), ("Sex", [male]), ("AgeGroup", ages), ("Sex:State", [male * x for x in states]), ("AgeGroup:State", [a * x for a in ages for x in states])):
-        if term in terms:
-            columns += some
-    return np.column_stack(columns)
-
-
-def nested_f(y: np.ndarray, reduced: np.ndarray, full: np.ndarray) -> tuple[float, int, int, float]:
-    """F, degrees of freedom by columns, and partial eta squared of the columns that full has and reduced doesn't.
-
-    NaN where the model leaves no freedom, or where the added columns explain nothing that rounding doesn't.
-    """
-    def rss(x: np.ndarray) -> float:
-        try:
-            beta, *_ = np.linalg.lstsq(x, y, rcond=1e-6)
-        except np.linalg.LinAlgError:
-            beta = np.linalg.pinv(x, rcond=1e-6) @ y
-        return float(((y - x @ beta) ** 2).sum())
-
-    r, f = rss(reduced), rss(full)
-    num, den = full.shape[1] - reduced.shape[1], len(y) - full.shape[1]
-    if num <= 0 or den <= 0 or f <= 0:
-        return float("nan"), num, den, float("nan")
-    gain = max(r - f, 0.0)
-    same = np.linalg.matrix_rank(full, tol=1e-8) == np.linalg.matrix_rank(reduced, tol=1e-8)
-    return float("nan") if same else (gain / num) / (f / den), num, den, gain / (gain + f)

@@ -86,21 +86,21 @@ def _dealt(source: str, by: str = "", tag: str = "") -> str:
     from statewalk.operators.permutations import PRIME, constants
 
     def through(rows: str) -> str:
-        out = f"SELECT *, x // b AS _l, x % b AS _r FROM ({rows})"
+        out = f"SELECT *, x_ // b AS _l, x_ % b AS _r FROM ({rows})"
         for h, (p, q, c) in enumerate(constants("42")):
             key = f"(SELECT *, (perm * {p} + {q}) % {PRIME} AS v FROM ({out}))"
             to, of, size = ("_l", "_r", "a") if h % 2 == 0 else ("_r", "_l", "b")
             w = f"(SELECT *, ({of} + (v * v % {PRIME}) * (v + {c}) % {PRIME}) % {PRIME} AS w FROM {key})"
             out = f"SELECT * EXCLUDE (v, w) REPLACE (({to} + (w * w % {PRIME}) * (w + {c}) % {PRIME}) % {size} AS {to}) FROM {w}"
-        return f"SELECT * EXCLUDE (_l, _r) REPLACE (_l * b + _r AS x) FROM ({out})"
+        return f"SELECT * EXCLUDE (_l, _r) REPLACE (_l * b + _r AS x_) FROM ({out})"
 
     own = f"PARTITION BY {by}" if by else ""
     same = "".join(f" AND v.{c} IS NOT DISTINCT FROM l.{c}" for c in by.split(", ") if c)
     return (
         f"pl{tag} AS (SELECT *, row_number() OVER ({own} ORDER BY grp NULLS FIRST, sid) - 1 AS place, count(*) OVER ({own}) AS n FROM {source}), "
-        f"st{tag} AS (SELECT *, place AS x, CAST(ceil(n / a) AS BIGINT) AS b FROM (SELECT *, CAST(ceil(sqrt(CAST(n AS DOUBLE))) AS BIGINT) AS a FROM pl{tag} CROSS JOIN (SELECT unnest(range({PERMUTATIONS + 1})) AS perm))), "
-        f"wk{tag} AS ({through(f'SELECT * FROM st{tag} WHERE perm > 0')} UNION ALL {through(f'SELECT * FROM wk{tag} WHERE x >= n')}), "
-        f"dl{tag} AS (SELECT v.* REPLACE (l.grp AS grp) FROM (SELECT * FROM wk{tag} WHERE x < n UNION ALL SELECT * FROM st{tag} WHERE perm = 0) v JOIN pl{tag} l ON v.x = l.place{same})"
+        f"st{tag} AS (SELECT *, place AS x_, CAST(ceil(n / a) AS BIGINT) AS b FROM (SELECT *, CAST(ceil(sqrt(CAST(n AS DOUBLE))) AS BIGINT) AS a FROM pl{tag} CROSS JOIN (SELECT unnest(range({PERMUTATIONS + 1})) AS perm))), "
+        f"wk{tag} AS ({through(f'SELECT * FROM st{tag} WHERE perm > 0')} UNION ALL {through(f'SELECT * FROM wk{tag} WHERE x_ >= n')}), "
+        f"dl{tag} AS (SELECT v.* REPLACE (l.grp AS grp) FROM (SELECT * FROM wk{tag} WHERE x_ < n UNION ALL SELECT * FROM st{tag} WHERE perm = 0) v JOIN pl{tag} l ON v.x_ = l.place{same})"
     )
 
 
@@ -124,6 +124,32 @@ def _rm(source: str, by: str) -> str:
     )
 
 
+def _em_steps() -> str:
+    """Two iterations of expectation and maximisation, written out: scaled forward and backward recursions, sums, new figures."""
+    from statewalk.plans.queries import FEW_ITERATIONS
+
+    (a, b), (stay0, stay1), (m0, m1) = roles.START, roles.STAY, roles.LEVELS
+    parts = [
+        "w AS (SELECT user_id AS sid, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, count(*) OVER (PARTITION BY user_id) AS n, (value - avg(value) OVER (PARTITION BY user_id)) / CASE WHEN stddev_samp(value) OVER (PARTITION BY user_id) > 0 THEN stddev_samp(value) OVER (PARTITION BY user_id) ELSE 1 END AS y FROM events)",
+        f"p0 AS MATERIALIZED (SELECT CAST({a} AS DOUBLE) AS st, CAST({stay0} AS DOUBLE) AS s0, CAST({stay1} AS DOUBLE) AS s1, CAST({m0} AS DOUBLE) AS l0, CAST({m1} AS DOUBLE) AS l1, CAST(1 AS DOUBLE) AS v0, CAST(1 AS DOUBLE) AS v1)",
+    ]
+    for i in range(FEW_ITERATIONS + 1):
+        density = ", ".join(f"exp(-0.5 * ((y - l{s}) * (y - l{s}) / v{s} + ln(2 * pi() * v{s}))) AS e{s}" for s in (0, 1))
+        to = [f"(a0 * {x} + a1 * {y})" for x, y in (("s0", "(1 - s1)"), ("(1 - s0)", "s1"))]
+        parts += [
+            f"e{i} AS MATERIALIZED (SELECT sid, t, n, y, st, s0, s1, {density} FROM w CROSS JOIN p{i})",
+            f"f{i} AS (SELECT sid, t, st * e0 / (st * e0 + (1 - st) * e1) AS a0, (1 - st) * e1 / (st * e0 + (1 - st) * e1) AS a1, ln(st * e0 + (1 - st) * e1) AS c FROM e{i} WHERE t = 0 UNION ALL SELECT sid, t, x0 / (x0 + x1), x1 / (x0 + x1), ln(x0 + x1) FROM (SELECT e.sid, e.t, {to[0]} * e0 AS x0, {to[1]} * e1 AS x1 FROM f{i} f JOIN e{i} e ON e.sid = f.sid AND e.t = f.t + 1))",
+            f"b{i} AS (SELECT sid, t, CAST(0.5 AS DOUBLE) AS b0, CAST(0.5 AS DOUBLE) AS b1 FROM e{i} WHERE t = n - 1 UNION ALL SELECT sid, t, x0 / (x0 + x1), x1 / (x0 + x1) FROM (SELECT b.sid, b.t - 1 AS t, s0 * e0 * b0 + (1 - s0) * e1 * b1 AS x0, (1 - s1) * e0 * b0 + s1 * e1 * b1 AS x1 FROM b{i} b JOIN e{i} e ON e.sid = b.sid AND e.t = b.t WHERE b.t > 0))",
+            f"g{i} AS (SELECT sid, t, y, a0 * b0 / (a0 * b0 + a1 * b1) AS g0, a1 * b1 / (a0 * b0 + a1 * b1) AS g1, c FROM f{i} JOIN b{i} USING (sid, t) JOIN e{i} USING (sid, t))",
+            f"x{i} AS (SELECT sum(x00 / (x00 + x01 + x10 + x11)) AS x00, sum(x01 / (x00 + x01 + x10 + x11)) AS x01, sum(x10 / (x00 + x01 + x10 + x11)) AS x10, sum(x11 / (x00 + x01 + x10 + x11)) AS x11 FROM (SELECT a0 * s0 * e0 * b0 AS x00, a0 * (1 - s0) * e1 * b1 AS x01, a1 * (1 - s1) * e0 * b0 AS x10, a1 * s1 * e1 * b1 AS x11 FROM f{i} f JOIN e{i} e ON e.sid = f.sid AND e.t = f.t + 1 JOIN b{i} b ON b.sid = e.sid AND b.t = e.t))",
+            f"m{i} AS (SELECT sum(c) AS ll, sum(CASE WHEN t = 0 THEN g0 ELSE 0 END) / sum(CASE WHEN t = 0 THEN g0 + g1 ELSE 0 END) AS st, sum(g0) AS n0, sum(g1) AS n1, sum(g0 * y) AS y0, sum(g1 * y) AS y1, sum(g0 * y * y) AS q0, sum(g1 * y * y) AS q1 FROM g{i})",
+            f"p{i + 1} AS MATERIALIZED (SELECT st, x00 / (x00 + x01) AS s0, x11 / (x10 + x11) AS s1, l0, l1, greatest((q0 - 2 * l0 * y0 + l0 * l0 * n0) / n0, 1e-6) AS v0, greatest((q1 - 2 * l1 * y1 + l1 * l1 * n1) / n1, 1e-6) AS v1 FROM (SELECT *, y0 / (n0 + 1e-5) AS l0, y1 / (n1 + 1e-5) AS l1 FROM m{i}) CROSS JOIN x{i})",
+        ]
+    names = dict(loglik="ll", start0="p.st", stay0="s0", stay1="s1", level0="l0", level1="l1", var0="v0", var1="v1")
+    rows = [f"SELECT CAST({i} AS BIGINT) AS step, {', '.join(f'{r6(x)} AS {name}' for name, x in names.items())} FROM p{i} p CROSS JOIN m{i} m" for i in range(FEW_ITERATIONS + 1)]
+    return f"WITH RECURSIVE {', '.join(parts)} {' UNION ALL '.join(rows)}"
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     ev, od = f"WITH {EVENTS}, ", f"WITH {ORDERS}, "
@@ -323,19 +349,39 @@ def oracle_sql() -> dict[str, str]:
     between = f"{changed}, lo AS (SELECT sid, 'sr_global' AS metric, sr AS y FROM sg UNION ALL SELECT sid, 'steps', CAST(steps AS DOUBLE) FROM sg)"
     out["stats_between_effects"] = f"{od.replace('WITH', 'WITH RECURSIVE')}{family_effects(between, 'metric')}"
 
-    # the omnibus table: each term by itself, then q over all
-    metrics = f"w AS (SELECT o_custkey AS sid, {_case('o_orderstatus', roles.ORDER_STATES)} AS s, avg(o_totalprice) AS a, max(o_totalprice) AS b FROM orders GROUP BY 1, 2), cm AS (SELECT 'mean_price' AS metric, sid, s, a AS y FROM w UNION ALL SELECT 'most_price', sid, s, b FROM w), full_ AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY metric, sid) AS c FROM cm JOIN (SELECT sid AS id FROM cv) ON id = sid) WHERE c = 3), pm AS (SELECT unnest(range({PERMUTATIONS + 1})) AS perm)"
-    state_dealt = "de AS (SELECT metric, perm, sid, y, row_number() OVER (PARTITION BY metric, perm, sid ORDER BY CASE WHEN perm > 0 THEN md5('42:' || perm || ':' || sid || ':' || s) ELSE lpad(CAST(s AS VARCHAR), 20, '0') END, s) - 1 AS s FROM full_ CROSS JOIN pm)"
+    # the omnibus table: each term by itself, then q over all. A sid's values less their mean, of the states it has; of three
+    # centred state columns one follows from the others, so two of them are solved for
+    metrics = (
+        f"w AS (SELECT o_custkey AS sid, {_case('o_orderstatus', roles.ORDER_STATES)} AS s, avg(o_totalprice) AS a, max(o_totalprice) AS b FROM orders GROUP BY 1, 2), cm AS (SELECT * FROM (SELECT 'mean_price' AS metric, sid, s, a AS y FROM w UNION ALL SELECT 'most_price', sid, s, b FROM w) WHERE sid IN (SELECT sid FROM cv)), "
+        "ce AS (SELECT metric, sid, s, y - avg(y) OVER (PARTITION BY metric, sid) AS c, count(*) OVER (PARTITION BY metric, sid) AS n FROM cm), "
+        "bk AS (SELECT metric, sid, min(n) AS n, sum(CASE WHEN s = 1 THEN c ELSE 0 END) AS c1, sum(CASE WHEN s = 2 THEN c ELSE 0 END) AS c2, sum(CASE WHEN s = 1 THEN 1 ELSE 0 END) AS p1, sum(CASE WHEN s = 2 THEN 1 ELSE 0 END) AS p2, sum(c * c) AS q FROM ce GROUP BY metric, sid), "
+        f"pm AS (SELECT unnest(range({PERMUTATIONS + 1})) AS perm)"
+    )
+    solved = "CASE WHEN g11 * g22 - g12 * g12 > 1e-9 THEN (c1 * c1 * g22 - 2 * c1 * c2 * g12 + c2 * c2 * g11) / (g11 * g22 - g12 * g12) WHEN g11 > 1e-9 THEN c1 * c1 / g11 WHEN g22 > 1e-9 THEN c2 * c2 / g22 ELSE 0 END"
+    products = "sum(p1 * (1 - p1 / n)) AS g11, sum(p2 * (1 - p2 / n)) AS g22, -sum(p1 * p2 / n) AS g12"
 
     def with_p(stats: str) -> str:
         return f"SELECT o.*, p FROM (SELECT * FROM {stats} WHERE perm = 0) o JOIN (SELECT s.metric, (sum(CASE WHEN s.f >= z.f * (1 - 1e-9) THEN 1 ELSE 0 END) + 1) / (count(*) + 1) AS p FROM {stats} s JOIN {stats} z ON z.metric = s.metric AND z.perm = 0 WHERE s.perm > 0 GROUP BY s.metric) x ON x.metric = o.metric"
 
-    state_term = f"(WITH {state_dealt}, {_rm('de', 'metric, perm')} SELECT metric, 'State' AS term, f AS f_obs, p AS p_perm, CAST(2 AS BIGINT) AS df_num, CAST(n * 3 - n - 3 AS BIGINT) AS df_den, eta AS partial_eta2 FROM ({with_p('ff')}))"
+    state_term = (
+        "(WITH ss AS (SELECT metric, sid, s, row_number() OVER (PARTITION BY metric, sid ORDER BY s) AS j FROM ce), "
+        "hs AS (SELECT metric, perm, sid, c, row_number() OVER (PARTITION BY metric, perm, sid ORDER BY CASE WHEN perm > 0 THEN md5('42:' || perm || ':' || sid || ':' || s) ELSE lpad(CAST(s AS VARCHAR), 20, '0') END, s) AS j FROM ce CROSS JOIN pm), "
+        "cs AS (SELECT metric, perm, sum(CASE WHEN s = 1 THEN c ELSE 0 END) AS c1, sum(CASE WHEN s = 2 THEN c ELSE 0 END) AS c2 FROM hs JOIN ss USING (metric, sid, j) GROUP BY metric, perm), "
+        f"ba AS (SELECT metric, count(*) AS nn, sum(n) AS rr, sum(q) AS q, {products} FROM bk GROUP BY metric), "
+        f"fs AS (SELECT *, (gain / 2) / ((q - gain) / (rr - nn - 3)) AS f FROM (SELECT metric, perm, nn, rr, q, {solved} AS gain FROM cs JOIN ba USING (metric))) "
+        f"SELECT metric, 'State' AS term, f AS f_obs, p AS p_perm, CAST(2 AS BIGINT) AS df_num, CAST(rr - nn - 3 AS BIGINT) AS df_den, gain / q AS partial_eta2 FROM ({with_p('fs')}))"
+    )
 
     def terms(factor: str, name: str) -> str:
-        dealt_ = f"sj AS (SELECT DISTINCT metric, sid, {factor} AS grp FROM full_ JOIN cv USING (sid)), {_dealt('sj', 'metric')}, dx AS (SELECT dl.metric, dl.perm, dl.sid, s, y, dl.grp FROM dl JOIN full_ USING (metric, sid))"
-        inner = f"(WITH RECURSIVE {dealt_}, {inter('dx', 'metric, perm')} SELECT metric, '{name}:State' AS term, f AS f_obs, p AS p_perm, df_num, df_den, eta AS partial_eta2 FROM ({with_p('fi')}))"
-        main = f"(SELECT metric, '{name}', NULL, NULL, CAST(count(DISTINCT {factor}) - 1 AS BIGINT), CAST(count(DISTINCT sid) * 2 - 3 - count(DISTINCT {factor}) + 1 AS BIGINT), NULL FROM full_ JOIN cv USING (sid) GROUP BY metric)"
+        dealt_ = f"sj AS (SELECT DISTINCT metric, sid, {factor} AS grp FROM bk JOIN cv USING (sid)), {_dealt('sj', 'metric')}"
+        inner = (
+            f"(WITH RECURSIVE {dealt_}, dg AS (SELECT metric, perm, grp, sum(c1) AS c1, sum(c2) AS c2, {products.replace('/ n)', '/ bk.n)')} FROM dl JOIN bk USING (metric, sid) GROUP BY metric, perm, grp), "
+            f"cl AS (SELECT metric, perm, sum({solved}) AS cells FROM dg GROUP BY metric, perm), "
+            f"ba AS (SELECT metric, nn, rr, q, g, {solved} AS st FROM (SELECT metric, count(*) AS nn, sum(bk.n) AS rr, sum(q) AS q, count(DISTINCT grp) AS g, sum(c1) AS c1, sum(c2) AS c2, {products.replace('/ n)', '/ bk.n)')} FROM bk JOIN sj USING (metric, sid) GROUP BY metric)), "
+            "fi AS (SELECT metric, perm, ((cells - st) / ((g - 1) * 2)) / ((q - cells) / (rr - nn - g * 3)) AS f, CAST((g - 1) * 2 AS BIGINT) AS df_num, CAST(rr - nn - g * 3 AS BIGINT) AS df_den, (cells - st) / (q - st) AS eta FROM cl JOIN ba USING (metric)) "
+            f"SELECT metric, '{name}:State' AS term, f AS f_obs, p AS p_perm, df_num, df_den, eta AS partial_eta2 FROM ({with_p('fi')}))"
+        )
+        main = f"(SELECT metric, '{name}', NULL, NULL, CAST(count(DISTINCT {factor}) - 1 AS BIGINT), CAST(sum(n) - count(*) - 3 - count(DISTINCT {factor}) + 1 AS BIGINT), NULL FROM bk JOIN cv USING (sid) GROUP BY metric)"
         return f"{inner} UNION ALL {main}"
 
     out["rm_omnibus"] = (
@@ -361,4 +407,20 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT t - 1, x0 / (x0 + x1), x1 / (x0 + x1) FROM (SELECT t, {stay0} * e0[t + 1] * b0 + {1 - stay0} * e1[t + 1] * b1 AS x0, {1 - stay1} * e0[t + 1] * b0 + {stay1} * e1[t + 1] * b1 AS x1 FROM g, l WHERE t > 0)) "
         f"SELECT f.t, {r6('a0 * b0 / (a0 * b0 + a1 * b1)')} AS g0, {r6('(SELECT sum(c) FROM f)')} AS loglik FROM f JOIN g ON g.t = f.t"
     )
+    out["hmm_em_steps"] = _em_steps()
+    # two regressors beside the tested one: their 2 x 2 system is solved in closed form
+    out["parcel_glm_design"] = (
+        f"WITH RECURSIVE {PARCELS}, dm AS (SELECT s_suppkey AS sid, CAST(1 AS DOUBLE) AS z1, s_acctbal / CAST(1000 AS DOUBLE) AS z2, CASE WHEN s_suppkey % 2 = 0 THEN CAST(1 AS DOUBLE) ELSE 0 END AS x, CAST(s_nationkey % 3 AS BIGINT) AS block FROM supplier), "
+        f"sj AS (SELECT s, sid, block, z1, z2, x, 0 AS grp FROM (SELECT DISTINCT s, sid FROM pa) JOIN dm USING (sid)), {_dealt('sj', 's, block')}, "
+        "mo AS (SELECT s, count(*) AS n, sum(z1 * z1) AS a, sum(z1 * z2) AS b, sum(z2 * z2) AS d, sum(z1 * x) AS u, sum(z2 * x) AS v, sum(x * x) AS xx FROM sj GROUP BY s), "
+        "mv AS (SELECT *, (d * u - b * v) / (a * d - b * b) AS k1, (a * v - b * u) / (a * d - b * b) AS k2, xx - (d * u * u - 2 * b * u * v + a * v * v) / (a * d - b * b) AS sxx FROM mo), "
+        "zy AS (SELECT s, p, count(*) AS have, sum(z1 * value) AS g, sum(z2 * value) AS h FROM pa JOIN sj USING (s, sid) GROUP BY s, p), "
+        "re AS (SELECT pa.s, pa.sid, pa.p, value - z1 * (d * g - b * h) / (a * d - b * b) - z2 * (a * h - b * g) / (a * d - b * b) AS r FROM pa JOIN sj USING (s, sid) JOIN zy ON zy.s = pa.s AND zy.p = pa.p JOIN mv ON mv.s = pa.s WHERE have = n), "
+        "de AS (SELECT v.s, v.perm, v.sid, l.z1, l.z2, l.x FROM (SELECT * FROM wk WHERE x_ < n UNION ALL SELECT * FROM st WHERE perm = 0) v JOIN pl l ON l.s = v.s AND l.block = v.block AND l.place = v.x_), "
+        "su AS (SELECT re.s, re.p, perm, sum((de.x - z1 * k1 - z2 * k2) * r) AS xr, sum(z1 * r) AS g, sum(z2 * r) AS h, sum(r * r) AS rr FROM re JOIN de USING (s, sid) JOIN mv ON mv.s = re.s GROUP BY re.s, re.p, perm), "
+        "tt AS (SELECT su.s, p, perm, xr / sxx * sqrt(sxx) / sqrt((rr - (d * g * g - 2 * b * g * h + a * h * h) / (a * d - b * b) - xr * xr / sxx) / (n - 3)) AS t FROM su JOIN mv ON mv.s = su.s), "
+        "mx AS (SELECT s, perm, max(t) AS most FROM tt WHERE perm > 0 GROUP BY s, perm), "
+        f"fw AS (SELECT tt.s, p, t, (sum(CASE WHEN most >= t - abs(t) * 1e-9 THEN 1 ELSE 0 END) + 1) / (count(*) + 1) AS pv FROM tt JOIN mx ON mx.s = tt.s WHERE tt.perm = 0 GROUP BY tt.s, p, t) "
+        f"SELECT e.s, e.p, {r6('t')} AS t, {r6('pv')} AS p_fwe FROM (SELECT DISTINCT s, p FROM pa) e LEFT JOIN fw ON fw.s = e.s AND fw.p = e.p"
+    )
     return out

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statewalk.functions.expressions import r6, safe_corr
-from statewalk.operators import arhmm, chain, design, longsequences, matrices, posterior, sequences, statistics
+from statewalk.operators import arhmm, chain, design, glm, longsequences, matrices, posterior, sequences, statistics
 from statewalk.plans import roles
 from statewalk.sources import matrix_files, readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-#: Permutations, and iterations at most, of the registered queries.
-PERMUTATIONS, ITERATIONS = 100, 100
+#: Permutations and iterations of the registered queries; of a sweep's fits, and of the fit that is checked against SQL.
+PERMUTATIONS, ITERATIONS, SWEEP_ITERATIONS, FEW_ITERATIONS = 100, 100, 20, 2
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -534,16 +534,34 @@ def _value_sequences(spark, sf):
 @query
 def hmm_fit_decode(spark, sf):
     seqs = _value_sequences(spark, sf)
-    model = arhmm.fit(seqs, 2, order=1, max_iter=ITERATIONS, seed=42, tol=1e-5)
+    model = arhmm.fit(seqs, 2, order=1, max_iter=ITERATIONS, seed=42)
     out = arhmm.decode(seqs, model)
     return rounded(out.select("sid", "t", "s", F.col("g")[0].alias("g0"), F.col("g")[1].alias("g1"), "loglik"))
 
 
+@query
+def hmm_em_steps(spark, sf):
+    """Log-likelihood and parameters before each of two iterations from fixed ones: two states, one feature, no lag."""
+    import numpy as np
+
+    from statewalk.operators.arhmm import Parameters, statistics as sums, update
+
+    seqs = _value_sequences(spark, sf)
+    (a, b), (stay0, stay1) = roles.START, roles.STAY
+    p = Parameters(np.array([a, b]), np.array([[stay0, 1 - stay0], [1 - stay1, stay1]]), np.array([[[roles.LEVELS[0]]], [[roles.LEVELS[1]]]]), np.ones((2, 1)), np.zeros((2, 1)), 0)
+    rows = []
+    for i in range(FEW_ITERATIONS + 1):
+        found = sums(seqs, p)
+        rows.append((i, float(found[0][0]), *(float(x) for x in (p.start[0], p.trans[0, 0], p.trans[1, 1], p.weights[0, 0, 0], p.weights[1, 0, 0], p.var[0, 0], p.var[1, 0]))))
+        p = update(found, p)
+    return rounded(spark.createDataFrame(rows, "step int, loglik double, start0 double, stay0 double, stay1 double, level0 double, level1 double, var0 double, var1 double"))
+
+
 @query
 def sweep_summary(spark, sf):
     from statewalk.plans.selection import sweep, summary_by_k
 
-    return rounded(summary_by_k(sweep(_value_sequences(spark, sf), [2, 3], [1, 2], max_iter=ITERATIONS, tol=1e-5)))
+    return rounded(summary_by_k(sweep(_value_sequences(spark, sf), [2, 3], [1, 2], max_iter=SWEEP_ITERATIONS)))
 
 
 @query
@@ -642,3 +660,17 @@ def hmm_one_sequence(spark, sf):
     steps = _one_sequence(spark, sf).select("sid", "t", F.array(F.col("s") - bought).alias("y"))
     out = longsequences.decode(longsequences.chunks(steps, 0, ONE_CHUNK), p, emit)
     return rounded(out.select("t", F.col("g")[0].alias("g0"), "loglik"))
+
+
+def _supplier_design(spark, sf):
+    """Intercept, balance and group of the suppliers, exchanged within blocks of nations."""
+    rows = roles.table(spark, sf, "supplier")
+    sid = F.col("s_suppkey")
+    return rows.select(sid.alias("sid"), F.lit(1.0).alias("intercept"), (F.col("s_acctbal") / 1000.0).alias("fd"), F.when(sid % 2 == 0, 1.0).otherwise(0.0).alias("sex"), (F.col("s_nationkey") % 3).alias("block"))
+
+
+@query
+def parcel_glm_design(spark, sf):
+    """t of the suppliers' group beside intercept and balance in every brand's prices, permuted within blocks, one-tailed."""
+    stack = roles.parcels(spark, sf).select("s", "sid", "p", "value")
+    return rounded(glm.parcel_design_test(stack, _supplier_design(spark, sf), ["intercept", "fd", "sex"], [0, 0, 1], PERMUTATIONS, ("s",), two_tailed=False))

@@ -16,6 +16,8 @@ ORDER_STATES = ["F", "O", "P"]
 ROLE_STATES = ["assistant", "system", "user"]
 #: Fixed parameters of the two-state model whose forward pass is checked against SQL.
 START, STAY, HIT = (0.6, 0.4), (0.7, 0.8), (0.9, 0.3)
+#: Levels at which the fit that is checked against SQL starts.
+LEVELS = (-0.5, 0.8)
 LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
 

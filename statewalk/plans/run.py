@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statewalk.functions.expressions import safe_corr
-from statewalk.operators import arhmm, chain, design, matrices, posterior, sequences, statistics
+from statewalk.operators import arhmm, chain, design, glm, matrices, posterior, sequences, statistics
 from statewalk.plans.config import Config
 from statewalk.plans.selection import scorecard, scored, summary_by_k
 from statewalk.sources import matrix_files, writers
@@ -130,12 +130,13 @@ class Run:
         k, decoded = self.config.hmm.K, self.decoded()
         metrics = self.metrics_global()
         pairs = statistics.long_metrics(metrics, ["fd"], numeric_columns(metrics)).where("fd is not null and y is not null")
-        return {
-            "posterior_sharpness": posterior.sharpness(decoded, k),
-            "posterior_hist": posterior.histogram(decoded, k, self.config.qc.bins),
-            "fo_summary": sequences.occupancy_summary(sequences.occupancy(decoded, k)),
-            "fd_correlations": pairs.groupBy("metric").agg(safe_corr(F.col("y"), F.col("fd")).alias("r_with_fd")),
+        made = {
+            "posterior_sharpness": lambda: posterior.sharpness(decoded, k),
+            "posterior_hist": lambda: posterior.histogram(decoded, k, self.config.qc.bins),
+            "fo_summary": lambda: sequences.occupancy_summary(sequences.occupancy(decoded, k)),
+            "fd_correlations": lambda: pairs.groupBy("metric").agg(safe_corr(F.col("y"), F.col("fd")).alias("r_with_fd")),
         }
+        return {name: self._stage(f"qc_{name}", make, bins=self.config.qc.bins, **self._all) for name, make in made.items()}
 
     def maps(self) -> DataFrame:
         """sid, s, p, beta, z: regression maps of the series on the posterior, and their z-scores over features."""
@@ -255,17 +256,27 @@ class Run:
         return found
 
     def parcel_tests(self) -> DataFrame | None:
-        """state, p, t, p_fwe of the stacks by permutation."""
+        """state, p, t, p_fwe of the stacks: the contrast of the subjects' design, by permutation or, for one sample, sign flips."""
         t = self.config.palm
         if not t.enabled:
             return None
+        rows, names = self.design()
+        own = [c for c in names if not c.startswith("state")]
+        wanted = self.config.group_design.contrast
+        wanted = wanted if wanted in own else "intercept" if t.one_sample else None
+        weights = design.contrast(own, wanted)
+        make = lambda: glm.parcel_design_test(self.stacks(), rows.where("state = 1").select("sid", *[F.col(f"`{c}`") for c in own]), own, weights, t.n_perm, ("state",), t.one_sample, t.two_tailed)
+        return self._stage("parcel_tests", make, n_perm=t.n_perm, one_sample=t.one_sample, two_tailed=t.two_tailed, contrast=weights.index(1), **self._all)
+
+    def parcel_stats(self) -> DataFrame:
+        """s, p, n, mean, sd, mean_m, mean_f of the subjects' maps."""
+        values = "z" if self.config.palm.use_zscored else "beta"
 
         def make() -> DataFrame:
-            stack = self.stacks().join(self.subjects().select("sid", F.col("sex").alias("grp")), "sid")
-            test = statistics.parcel_sign_flip if t.one_sample else statistics.parcel_glm
-            return test(stack, t.n_perm, ("state",))
+            maps = self.maps().select("sid", "s", "p", F.col(values).alias("value"))
+            return matrices.parcel_summary(self._covariates(maps).select("sid", "s", "p", "value", "sex"))
 
-        return self._stage("parcel_tests", make, n_perm=t.n_perm, one_sample=t.one_sample, **self._all)
+        return self._stage("parcel_stats", make, values=values, **self._all)
 
     def selection(self) -> DataFrame | None:
         """The scorecard by number of states. Each fit is a stage of its own with its detectors' tables, so that a run that was
@@ -287,7 +298,12 @@ class Run:
             LOG.info("selection: %d states, seed %d: %s", k, seed, row.get("error", "done"))
             if "error" not in row:
                 keyed_table(scorecard(self.spark, [row]), self.root, "selection_run", **params)
-        return summary_by_k(scorecard(self.spark, rows))
+        card = scorecard(self.spark, rows)  # one row a fit
+        writers.text_file(self.spark, writers.scorecard_json(card), f"{self.root.rstrip('/')}/selection_scorecard.json")
+        for row in rows:
+            page = report(f"{row['k']:.0f} states, seed {row['seed']:.0f}", {"scorecard": scorecard(self.spark, [row])})
+            writers.text_file(self.spark, page, f"{self.root.rstrip('/')}/selection_pages/K={row['k']:.0f}/seed={row['seed']:.0f}")
+        return summary_by_k(card)
 
     def write_texts(self) -> None:
         """States and probabilities of each sequence as text, under root/text."""
@@ -303,6 +319,7 @@ class Run:
         self.write_texts()
         self.group_maps()
         self.write_maps()
+        tables["parcels"] = self.parcel_stats()
         tables |= {"omnibus": self.omnibus(), "state effects": self.effects_state(), "between effects": self.effects_between()}
         if self.subjects().limit(1).count():
             self.write_design()

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from statewalk.operators import design, posterior, statistics
+from tests import nested
 
 
 def test_benjamini_hochberg(spark):
@@ -21,9 +22,9 @@ def test_state_effect_equals_nested_least_squares(spark):
     got = statistics.rm_state_f(spark.createDataFrame(rows, "sid int, s int, y double"), [], 4).first()
     sid, s, y = (np.array(c) for c in zip(*rows))
     none = np.array(["F"] * len(y))
-    full = statistics.design_columns(sid, s, 4, np.zeros(len(y)), none, none, {"Subject", "State"})
-    less = statistics.design_columns(sid, s, 4, np.zeros(len(y)), none, none, {"Subject"})
-    f, _, den, eta = statistics.nested_f(y, less, full)
+    full = nested.design_columns(sid, s, 4, np.zeros(len(y)), none, none, {"Subject", "State"})
+    less = nested.design_columns(sid, s, 4, np.zeros(len(y)), none, none, {"Subject"})
+    f, _, den, eta = nested.nested_f(y, less, full)
     assert got["partial_eta2"] == pytest.approx(eta)
     assert got["df_den"] == den - 1  # the nuisance constant within a sid counts as a column
     assert got["f_obs"] == pytest.approx(f * got["df_den"] / den)
@@ -35,8 +36,8 @@ def test_interaction_equals_nested_least_squares(spark):
     got = statistics.rm_interaction_f(spark.createDataFrame(rows, "sid int, s int, y double, grp string"), [], 4).first()
     sid, s, y, age = (np.array(c) for c in zip(*rows))
     fd, sex, main = rng.normal(size=14)[sid], np.array(["F"] * len(y)), {"Subject", "State", "FD", "AgeGroup"}
-    full = statistics.design_columns(sid, s, 4, fd, sex, age, main | {"AgeGroup:State"})
-    f, num, den, eta = statistics.nested_f(y, statistics.design_columns(sid, s, 4, fd, sex, age, main), full)
+    full = nested.design_columns(sid, s, 4, fd, sex, age, main | {"AgeGroup:State"})
+    f, num, den, eta = nested.nested_f(y, nested.design_columns(sid, s, 4, fd, sex, age, main), full)
     assert (got["df_num"], got["df_den"]) == (num, den)
     assert (got["f_obs"], got["partial_eta2"]) == pytest.approx((f, eta))
 
@@ -44,9 +45,9 @@ def test_interaction_equals_nested_least_squares(spark):
 def test_collinear_terms_have_no_f():
     sid, s = np.repeat(np.arange(6), 3), np.tile(np.arange(3), 6)
     sex = np.where(sid % 2 == 0, "M", "F")
-    full = statistics.design_columns(sid, s, 3, np.zeros(18), sex, sex, {"Subject", "State", "Sex"})
-    less = statistics.design_columns(sid, s, 3, np.zeros(18), sex, sex, {"Subject", "State"})
-    assert np.isnan(statistics.nested_f(np.random.default_rng(0).normal(size=18), less, full)[0])
+    full = nested.design_columns(sid, s, 3, np.zeros(18), sex, sex, {"Subject", "State", "Sex"})
+    less = nested.design_columns(sid, s, 3, np.zeros(18), sex, sex, {"Subject", "State"})
+    assert np.isnan(nested.nested_f(np.random.default_rng(0).normal(size=18), less, full)[0])
 
 
 def test_permutations_keep_the_labels(spark):
@@ -83,3 +84,26 @@ def test_covariates(spark):
     assert got["a_1"]["fd"] is None and got["b_1"]["uid"] == "b"
     files = spark.createDataFrame([("a_task.x",), ("a_REST1.x",), ("a_abc.x",), ("b_z.x",), ("b_c.x",)], "name string")
     assert {r["sid"]: r["name"] for r in design.preferred_files(files).collect()} == {"a": "a_REST1.x", "b": "b_c.x"}
+
+
+def test_omnibus_of_incomplete_blocks(spark):
+    """Each term against nested least squares with the sids' columns written out; sids lack states, one has a single one."""
+    rng = np.random.default_rng(8)
+    k, rows = 4, []
+    for i in range(18):
+        states = [s for s in range(k) if rng.random() < 0.7] or [1]
+        states = [2] if i == 5 else states
+        rows += [("m", i, s, float(rng.normal() + s * (i % 3)), "MF"[i % 2], "abc"[i % 3]) for s in states]
+    got = {r["term"]: r for r in statistics.rm_omnibus(spark.createDataFrame(rows, "metric string, sid int, s int, y double, sex string, age string").repartition(4), k, 9).collect()}
+    _, sid, s, y, sex, age = (np.array(c) for c in zip(*rows))
+    fd = rng.normal(size=18)[sid]
+    base = {"Subject", "FD"}
+    for term, less, more in (("State", base, {"State"}), ("AgeGroup:State", base | {"State", "AgeGroup"}, {"AgeGroup:State"}), ("Sex:State", base | {"State", "Sex"}, {"Sex:State"})):
+        full, small = (nested.design_columns(sid, s, k, fd, sex, age, t) for t in (less | more, less))
+        f, num, den, eta = nested.nested_f(y, small, full)
+        assert (got[term]["df_num"], got[term]["df_den"]) == (num, den)
+        assert (got[term]["f_obs"], got[term]["partial_eta2"]) == pytest.approx((f, eta)), term
+        assert 0.1 <= got[term]["p_perm"] <= 1
+    for term, factor in (("AgeGroup", {"AgeGroup"}), ("Sex", {"Sex"})):
+        full, small = (nested.design_columns(sid, s, k, fd, sex, age, base | {"State"} | t) for t in (factor, set()))
+        assert (got[term]["df_num"], got[term]["df_den"], got[term]["f_obs"]) == (full.shape[1] - small.shape[1], len(y) - full.shape[1], None)
