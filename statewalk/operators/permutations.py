@@ -27,9 +27,12 @@ def constants(seed: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def mixed(w: Column, c: Column | int) -> Column:
+# The expressions below are text, as one of a few hundred operations is parsed many times faster than it is put together.
+
+
+def mixed(w: str, c: int | str) -> str:
     """A function without structure of w below PRIME; products stay below 2**63."""
-    return (w * w % PRIME) * (w + c) % PRIME
+    return f"({w} * {w} % {PRIME}L * ({w} + {c}) % {PRIME}L)"
 
 
 def sides(n: Column) -> tuple[Column, Column]:
@@ -40,39 +43,31 @@ def sides(n: Column) -> tuple[Column, Column]:
 
 def keyed(rows: DataFrame, perm: str, seed: str) -> DataFrame:
     """rows with the keys _k0, _k1, ... of their permutation."""
-    out = rows.withColumns({f"_v{h}": (F.col(perm).cast("long") * a + b) % PRIME for h, (a, b, _) in enumerate(constants(seed))})
-    return out.withColumns({f"_k{h}": mixed(F.col(f"_v{h}"), c) for h, (_, _, c) in enumerate(constants(seed))}).drop(*[f"_v{h}" for h in range(ROUNDS)])
+    numbers = constants(seed)
+    out = rows.withColumns({f"_v{h}": F.expr(f"(cast(`{perm}` as bigint) * {a}L + {b}L) % {PRIME}L") for h, (a, b, _) in enumerate(numbers)})
+    return out.withColumns({f"_k{h}": F.expr(mixed(f"_v{h}", f"{c}L")) for h, (_, _, c) in enumerate(numbers)}).drop(*[f"_v{h}" for h in range(ROUNDS)])
 
 
 def once(rows: DataFrame, place: str, seed: str) -> DataFrame:
     """rows (with _a, _b and keys) with place replaced by its image among the a * b numbers, a column a round."""
-    out = rows.withColumns({"_l": F.floor(F.col(place) / F.col("_b")), "_r": F.col(place) % F.col("_b")})
+    out = rows.withColumns({"_l": F.expr(f"`{place}` div _b"), "_r": F.expr(f"`{place}` % _b")})
     for h, (_, _, c) in enumerate(constants(seed)):
         to, of, size = ("_l", "_r", "_a") if h % 2 == 0 else ("_r", "_l", "_b")
-        out = out.withColumn("_w", (F.col(of) + F.col(f"_k{h}")) % PRIME).withColumn(to, (F.col(to) + mixed(F.col("_w"), c)) % F.col(size))
-    return out.withColumn(place, F.col("_l") * F.col("_b") + F.col("_r")).drop("_l", "_r", "_w")
+        out = out.withColumn("_w", F.expr(f"({of} + _k{h}) % {PRIME}L")).withColumn(to, F.expr(f"({to} + {mixed('_w', f'{c}L')}) % {size}"))
+    return out.withColumn(place, F.expr("_l * _b + _r")).drop("_l", "_r", "_w")
 
 
-def walked(place: Column, seed: str) -> Column:
+def walked(place: str, seed: str) -> str:
     """The same as one expression, repeated until the number is below _n: at most as often as there are numbers over it.
 
     Only numbers that a first pass left over get here, one in the root of n, so the steps cost a constant on average.
     """
-
-    def step(x: Column) -> Column:
-        l, r = F.floor(x / F.col("_b")), x % F.col("_b")
-        pair = F.struct(l.alias("l"), r.alias("r"))
-        rounds = F.array(*[F.struct(F.lit(h % 2 == 0).alias("left"), F.col(f"_k{h}").alias("k"), F.lit(c).cast("long").alias("c")) for h, (_, _, c) in enumerate(constants(seed))])
-
-        def one(p: Column, q: Column) -> Column:
-            w = (F.when(q["left"], p["r"]).otherwise(p["l"]) + q["k"]) % PRIME
-            add = mixed(w, q["c"])
-            return F.struct(F.when(q["left"], (p["l"] + add) % F.col("_a")).otherwise(p["l"]).alias("l"), F.when(q["left"], p["r"]).otherwise((p["r"] + add) % F.col("_b")).alias("r"))
-
-        return F.aggregate(rounds, pair, one, lambda p: p["l"] * F.col("_b") + p["r"])
-
-    over = F.col("_a") * F.col("_b") - F.col("_n")
-    return F.when(place < F.col("_n"), place).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(over, F.lit(1))), place, lambda x, _: F.when(x < F.col("_n"), x).otherwise(step(x))))
+    rounds = ", ".join(f"named_struct('left', {'true' if h % 2 == 0 else 'false'}, 'k', _k{h}, 'c', {c}L)" for h, (_, _, c) in enumerate(constants(seed)))
+    w = f"((if(q.left, p.r, p.l) + q.k) % {PRIME}L)"
+    add = mixed(w, "q.c")
+    pair = f"named_struct('l', if(q.left, (p.l + {add}) % _a, p.l), 'r', if(q.left, p.r, (p.r + {add}) % _b))"
+    step = f"aggregate(array({rounds}), named_struct('l', x div _b, 'r', x % _b), (p, q) -> {pair}, p -> p.l * _b + p.r)"
+    return f"if(`{place}` < _n, `{place}`, aggregate(sequence(1L, greatest(_a * _b - _n, 1L)), `{place}`, (x, i) -> if(x < _n, x, {step})))"
 
 
 def dealt_places(rows: DataFrame, place: str, n: str, perm: str, seed: str = "42", name: str = "dealt") -> DataFrame:
@@ -80,7 +75,7 @@ def dealt_places(rows: DataFrame, place: str, n: str, perm: str, seed: str = "42
     a, b = sides(F.col(n))
     out = rows.withColumns({"_n": F.col(n).cast("long"), "_a": a, "_own": F.col(place).cast("long")}).withColumn("_b", b).withColumn(name, F.col("_own"))
     out = once(keyed(out, perm, seed), name, seed)
-    out = out.withColumn(name, F.when(F.col(perm) == 0, F.col("_own")).otherwise(walked(F.col(name), seed)))
+    out = out.withColumn(name, F.expr(f"if(`{perm}` = 0, _own, {walked(name, seed)})"))
     return out.select(*rows.columns, name)
 
 

@@ -67,6 +67,27 @@ def test_design_and_merge(spark, folder, tmp_path):
     assert terms == {"State", "AgeGroup", "AgeGroup:State", "Sex", "Sex:State"}
 
 
+def test_ids_of_text(spark, tmp_path):
+    """Ids that aren't numbers through maps, group maps, files, stacks and parcel tests."""
+    rng = np.random.default_rng(1)
+    (tmp_path / "in").mkdir()
+    lines = ["subject,sex,age_group,mean_fd"]
+    for i in range(6):
+        x = rng.normal(size=(30, 2))
+        np.savetxt(tmp_path / "in" / f"sub-0{i}_rest.txt", x.T if i == 2 else x, fmt="%.5f")  # one lies on its side
+        lines.append(f"sub-0{i},{'MF'[i % 2]},{'young' if i < 3 else 'old'},0.{i}")
+    (tmp_path / "cov.csv").write_text("\n".join(lines) + "\n")
+    config = from_mapping({"hmm": {"K": 2, "max_iter": 1}, "palm": {"enabled": True, "n_perm": 4, "two_tailed": False}})
+    run = Run(spark, config, str(tmp_path / "out"), readers.series(spark, str(tmp_path / "in")), readers.covariates(spark, str(tmp_path / "cov.csv")))
+    assert {r["sid"] for r in run.maps().collect()} == {f"sub-0{i}" for i in range(6)}
+    folder = run.write_maps()
+    beta = {(r["s"], r["p"]): r["beta"] for r in run.maps().where("sid = 'sub-02'").collect()}
+    found = np.loadtxt(f"{folder}/subjects/sub-02_beta.txt")
+    assert found.shape == (2, 2) and all(abs(found[s, p] - v) < 1e-6 for (s, p), v in beta.items())
+    assert np.loadtxt(f"{folder}/stacks/state0_stack.txt").shape == (6, 2) and np.loadtxt(f"{folder}/group/state1_sd.txt").shape == (2,)
+    assert run.parcel_stats().count() == 4 and run.parcel_tests().where("t is not null").count() == 4
+
+
 def test_other_input_is_another_table(spark, folder, tmp_path):
     series, cov = readers.series(spark, str(folder / "*_rest.txt")), readers.covariates(spark, str(folder / "cov.tsv"))
     config = from_mapping({"hmm": {"K": 2, "max_iter": 1}})
