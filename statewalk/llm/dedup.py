@@ -8,13 +8,14 @@ none of which moves whole texts:
 1. each bucket sends the distinct hashes of its anchors by ranges of hashes, and gets back a state for each: whether the
    anchor occurs in several documents, and in very many contexts;
 2. the segments around those anchors (all windows with the same anchor occurrence, at most 2 * LENGTH - ANCHOR bytes) go to
-   shards by anchor. A shard strings its distinct segments together, sorts their suffixes by induced sorting, computes
-   permuted common prefixes, and takes runs of suffixes with LENGTH bytes in common as equal windows. The smallest doc_id of
-   a run decides which occurrences are to be removed;
-3. the removed spans go back to their buckets, which sit where they were.
-
-An anchor with very many contexts is sent window by window, each to the shard of its own hash, so that no shard holds all
-contexts of a frequent phrase.
+   shards by anchor. A bucket sends each distinct segment once, with the least and the greatest doc_id that has it there. A
+   shard strings its distinct segments together, sorts their suffixes by induced sorting, computes permuted common prefixes,
+   and takes runs of suffixes with LENGTH bytes in common as equal windows, whose owner is the smallest doc_id of a run;
+3. the owners of windows go back to the buckets in which a greater doc_id has the segment. A bucket decides on its own
+   occurrences, which travel beside, to itself only.
+
+So what a line in every document sends to its shard grows with the buckets, not with its occurrences. An anchor with very many
+contexts is sent window by window, each to the shard of its own hash, so that no shard holds all contexts of a frequent phrase.
 """
 
 from __future__ import annotations
@@ -239,8 +240,9 @@ def from_six_bytes(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
-def segments(bucket: Bucket, states: dict[int, bytes], ranges: int, shards: int, length: int, anchor: int) -> tuple[list[int], list[bytes]]:
-    """What a bucket sends to each shard: distinct segments, and their occurrences."""
+def segments(bucket: Bucket, states: dict[int, bytes], ranges: int, shards: int, length: int, anchor: int) -> tuple[list[int], list[bytes], bytes]:
+    """What a bucket sends to each shard: distinct segments, numbered over all shards, with the least and greatest id that has
+    each. And what it keeps: the number of occurrences of each segment, and their places by segment."""
     h, place, first, windows = bucket.anchors(length, anchor)
     values = np.unique(h >> np.uint64(16))
     some, _ = in_ranges(values, ranges)
@@ -255,23 +257,25 @@ def segments(bucket: Bucket, states: dict[int, bytes], ranges: int, shards: int,
         whole = np.full(len(each), length)
         key = np.concatenate([key, hash_of_words(words_of(bucket.data, each, whole, -(-length // 8)), whole)])
     if not len(start):
-        return [], []
+        return [], [], b""
     words = words_of(bucket.data, start, size, -(-int(size.max()) // 8))
     content = hash_of_words(words, size)
     shard = (mix(key) % np.uint64(shards)).astype(np.int64)
     order = np.lexsort((start, content, key, shard))
     start, size, key, shard = start[order], size[order], key[order], shard[order]
-    new = unlike_before(words[order], size, first_rows(key))
-    segment = np.cumsum(new) - 1
+    lead = np.flatnonzero(unlike_before(words[order], size, first_rows(key)))
     ids = bucket.ids[bucket.document(start)]
+    least, most = np.minimum.reduceat(ids, lead), np.maximum.reduceat(ids, lead)
+    own = squeeze(np.diff(np.append(lead, len(start))), start)
+    start, size, key, shard = start[lead], size[lead], key[lead], shard[lead]
     names, blobs = [], []
     edges = np.append(np.flatnonzero(first_rows(shard)), len(shard))
     for a, b in zip(edges, edges[1:]):
-        lead = np.flatnonzero(new[a:b]) + a
-        at = np.repeat(start[lead] - np.cumsum(size[lead]) + size[lead], size[lead]) + np.arange(size[lead].sum())
-        blobs.append(squeeze(bucket.data[at], size[lead], key[lead].astype(np.uint32), np.diff(segment[a:b], prepend=segment[a]).astype(np.uint8), ids[a:b], start[a:b]))
+        n = size[a:b]
+        at = np.repeat(start[a:b] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        blobs.append(squeeze(bucket.data[at], n, key[a:b].astype(np.uint32), np.array([a]), least[a:b], most[a:b] - least[a:b]))
         names.append(int(shard[a]))
-    return names, blobs
+    return names, blobs, own
 
 
 def unlike_before(words: np.ndarray, size: np.ndarray, new: np.ndarray) -> np.ndarray:
@@ -282,14 +286,16 @@ def unlike_before(words: np.ndarray, size: np.ndarray, new: np.ndarray) -> np.nd
 
 
 def send_segments(packed: DataFrame, bits: DataFrame, ranges: int, shards: int, length: int, anchor: int) -> DataFrame:
-    """shard, bucket, blob."""
+    """shard, bucket, blob: what shards get, and under shard -1 - bucket what the bucket is to get back as it is."""
     gathered = bits.groupBy("bucket").agg(F.collect_list(F.struct("range", "bits")).alias("states"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, parts, states in zip(*(batch.column(i) for i in range(3))):
                 found = {s["range"]: s["bits"] for s in states.as_py() or ()}
-                names, blobs = segments(Bucket(parts.as_py()), found, ranges, shards, length, anchor)
+                names, blobs, own = segments(Bucket(parts.as_py()), found, ranges, shards, length, anchor)
+                if names:
+                    names, blobs = [*names, -1 - name.as_py()], [*blobs, own]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([name.as_py()] * len(names), pa.int32()), pa.array(blobs, pa.binary())], ["shard", "bucket", "blob"])
 
     return packed.join(gathered, "bucket", "left").select("bucket", "parts", "states").mapInArrow(released(run), "shard int, bucket int, blob binary")
@@ -320,54 +326,57 @@ def equal_windows(texts: np.ndarray, sizes: np.ndarray, owner: np.ndarray, lengt
     return out[body]
 
 
-#: Windows of occurrences that are looked at in one step.
-STEP_WINDOWS = 1 << 21
+#: Runs of windows that are looked at in one step.
+STEP_RUNS = 1 << 20
 
 
 def resolve(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
-    """A shard's removed spans by bucket: blobs of starts and ends in the bucket's text."""
-    texts, sizes, keys, seg_of, ids, starts, bucket = [], [], [], [], [], [], []
-    base = 0
+    """bucket, own, blob: a shard's answers by bucket, or (own) what a bucket keeps.
+
+    An answer holds numbers of segments, and for each a run of windows: its first byte in the segment, how many windows it has,
+    and the smallest id in which they start. Only runs that a greater id of the bucket has are answered.
+    """
+    if pdf["shard"].iloc[0] < 0:
+        return pd.DataFrame({"bucket": pdf["bucket"], "own": True, "blob": pdf["blob"]})
+    texts, sizes, keys, numbers, leasts, mosts, bucket = [], [], [], [], [], [], []
     for name, blob in zip(pdf["bucket"], pdf["blob"]):
-        t, s, k, o, d, p = unsqueeze(blob)
+        t, s, k, number, least, more = unsqueeze(blob)
         texts.append(t)
         sizes.append(s)
         keys.append(k)
-        seg_of.append(np.cumsum(o, dtype=np.int64) + base)
-        ids.append(d)
-        starts.append(p)
-        bucket.append(np.full(len(p), name, np.int64))
-        base += len(s)
+        numbers.append(np.arange(len(s)) + number[0])
+        leasts.append(least)
+        mosts.append(least + more)
+        bucket.append(np.full(len(s), name, np.int64))
     text, size, key = np.concatenate(texts), np.concatenate(sizes), np.concatenate(keys)
-    seg_of, ids, starts, bucket = (np.concatenate(x) for x in (seg_of, ids, starts, bucket))
+    del texts
+    number, least, most, bucket = (np.concatenate(x) for x in (numbers, leasts, mosts, bucket))
     # equal segments of different buckets are sorted once
     begin = np.cumsum(size) - size
     words = words_of(text, begin, size, -(-int(size.max()) // 8))
     order = np.lexsort((hash_of_words(words, size), key))
     new = unlike_before(words[order], size[order], first_rows(key[order]))
     del words
-    one = np.empty(len(size), np.int64)
-    one[order] = np.cumsum(new) - 1
+    segment = np.empty(len(size), np.int64)
+    segment[order] = np.cumsum(new) - 1
+    least = np.minimum.reduceat(least[order], np.flatnonzero(new))
     lead = order[new]  # by key
-    seg_of = one[seg_of]
-    least = np.full(len(lead), LAST)
-    np.minimum.at(least, seg_of, ids)
     size, key, begin = size[lead], key[lead], begin[lead]
     # sorts of bounded size, none of which parts the segments of an anchor
     done = np.cumsum(size)
     last = np.append(key[1:] != key[:-1], True)
     block = np.zeros(len(size), np.int64)
-    at, number = 0, 0
+    at, sort = 0, 0
     while at < len(size):
         stop = int(np.searchsorted(done, (done[at - 1] if at else 0) + SORT_BYTES))
         stop = min(len(size) - 1, stop)
         stop = stop + int(np.argmax(last[stop:]))
-        block[at : stop + 1] = number
-        at, number = stop + 1, number + 1
+        block[at : stop + 1] = sort
+        at, sort = stop + 1, sort + 1
     # owners as their places among all owners, which take half the room of ids and compare as they do
     owners, least = np.unique(least, return_inverse=True)
-    least, rank = least.astype(np.int32), np.searchsorted(owners, ids, "left").astype(np.int32)
-    windows, top, low = np.empty(int(done[-1]), np.int32), np.empty(len(size), np.int32), np.empty(len(size), np.int32)
+    least, rank = least.astype(np.int32), np.searchsorted(owners, most, "left").astype(np.int32)
+    windows, low = np.empty(int(done[-1]), np.int32), np.empty(len(size), np.int32)
     edges = np.append(np.flatnonzero(first_rows(block)), len(size))
     first = done - size
     for a, b in zip(edges, edges[1:]):
@@ -375,37 +384,37 @@ def resolve(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
         take = np.repeat(begin[a:b] - np.cumsum(n) + n, n) + np.arange(n.sum())
         w = equal_windows(text[take], n, least[a:b], length)
         windows[first[a] : done[b - 1]] = w
-        inside = first[a:b] - first[a]
-        low[a:b] = np.minimum.reduceat(w, inside)
-        w[w == END] = -1
-        top[a:b] = np.maximum.reduceat(w, inside)
-    # a window of an occurrence goes if it also starts in a document of smaller id: all of them, if its id is above them all
-    above = rank > top[seg_of]
-    found = [(bucket[above], starts[above], starts[above] + size[seg_of[above]])]
-    rest = np.flatnonzero(~above & (rank > low[seg_of]))
-    held = np.cumsum(size[seg_of[rest]])
+        low[a:b] = np.minimum.reduceat(w, first[a:b] - first[a])
+    edge = first_rows(windows)
+    edge[first] = True
+    edge = np.flatnonzero(edge)
+    width, value = np.diff(np.append(edge, len(windows))), windows[edge]
+    edge, width, value = (x[value != END] for x in (edge, width, value))
+    one = np.searchsorted(edge, first)
+    count = np.diff(np.append(one, len(edge)))
+    some = np.flatnonzero(rank > low[segment])
+    some = some[np.lexsort((number[some], bucket[some]))]
+    held = np.cumsum(count[segment[some]])
+    found = [(np.zeros(0, np.int64),) * 5]
     lo = 0
-    while lo < len(rest):
-        hi = max(lo + 1, int(np.searchsorted(held, (held[lo - 1] if lo else 0) + STEP_WINDOWS, "right")))
-        some = rest[lo:hi]
-        s = seg_of[some]
-        n = size[s]
-        flags = windows[np.repeat(first[s] - np.cumsum(n) + n, n) + np.arange(n.sum())] < np.repeat(rank[some], n)
-        edge = np.cumsum(n) - n
-        a, b = runs(flags)  # none across occurrences, as a segment's last windows are never flagged
-        of = np.searchsorted(edge, a, "right") - 1
-        found.append((bucket[some][of], starts[some][of] + a - edge[of], starts[some][of] + (b - 1 - edge[of]) + length))
+    while lo < len(some):
+        hi = max(lo + 1, int(np.searchsorted(held, (held[lo - 1] if lo else 0) + STEP_RUNS, "right")))
+        step = some[lo:hi]
+        s = segment[step]
+        n = count[s]
+        run, of = np.repeat(one[s] - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(np.arange(len(step)), n)
+        less = value[run] < rank[step[of]]
+        run, of = run[less], of[less]
+        found.append((bucket[step[of]], number[step[of]], edge[run] - first[s[of]], width[run], owners[value[run]]))
         lo = hi
-    bucket, start, end = (np.concatenate(x) for x in zip(*found))
-    order = np.lexsort((start, bucket))
-    bucket, start, end = bucket[order], start[order], end[order]
+    bucket, number, at, width, owner = (np.concatenate(x) for x in zip(*found))
     cut = np.append(np.flatnonzero(first_rows(bucket)), len(bucket))
-    pieces = [(int(bucket[a]), squeeze(np.diff(start[a:b], prepend=0), (end - start)[a:b])) for a, b in zip(cut, cut[1:]) if b > a]
-    return pd.DataFrame({"bucket": pd.Series([p[0] for p in pieces], dtype="int32"), "spans": [p[1] for p in pieces]})
+    pieces = [(int(bucket[a]), squeeze(np.diff(number[a:b], prepend=0), at[a:b], width[a:b], owner[a:b])) for a, b in zip(cut, cut[1:]) if b > a]
+    return pd.DataFrame({"bucket": pd.Series([p[0] for p in pieces], dtype="int32"), "own": False, "blob": [p[1] for p in pieces]})
 
 
 def removed(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, carry: tuple[str, ...] = ()) -> DataFrame:
-    """bucket, parts, spans: every bucket with the spans to remove, for a last pass over the texts."""
+    """bucket, parts, answers: every bucket with what shards know of its windows, for a last pass over the texts."""
     total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     buckets = max(1, math.ceil(total / BUCKET_BYTES))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -413,28 +422,38 @@ def removed(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, carry:
     packed = pack(docs, buckets, carry)
     bits = repeated_anchors(packed, shards, length, anchor)
     sent = send_segments(packed, bits, shards, shards, length, anchor)
-    spans = sent.groupBy("shard").applyInPandas(lambda pdf: resolve(pdf, length), "bucket int, spans binary")
-    return packed.join(spans.groupBy("bucket").agg(F.collect_list("spans").alias("spans")), "bucket", "left").select("bucket", "parts", "spans")
+    known = sent.groupBy("shard").applyInPandas(lambda pdf: resolve(pdf, length), "bucket int, own boolean, blob binary")
+    gathered = known.groupBy("bucket").agg(F.collect_list(F.struct("own", "blob")).alias("answers"))
+    return packed.join(gathered, "bucket", "left").select("bucket", "parts", "answers")
 
 
-def keep_mask(bucket: Bucket, spans: list[bytes]) -> np.ndarray:
-    """True for the bytes that stay."""
+def keep_mask(bucket: Bucket, own: bytes | None, answers: list[bytes], length: int) -> np.ndarray:
+    """True for the bytes that stay: an occurrence loses the windows that also start in a document of smaller id."""
     depth = np.zeros(len(bucket.data) + 1, np.int64)
-    for blob in spans or ():
-        step, size = unsqueeze(blob)
-        start = np.cumsum(step)
-        np.add.at(depth, start, 1)
-        np.add.at(depth, start + size, -1)
+    if own and answers:
+        count, start = unsqueeze(own)
+        one, ids = np.cumsum(count) - count, bucket.ids[bucket.document(start)]
+        for blob in answers:
+            step, at, width, owner = unsqueeze(blob)
+            number = np.cumsum(step)
+            n = count[number]
+            each, of = np.repeat(one[number] - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(np.arange(len(n)), n)
+            gone = ids[each] > owner[of]
+            begin = (start[each] + at[of])[gone]
+            np.add.at(depth, begin, 1)
+            np.add.at(depth, begin + width[of[gone]] - 1 + length, -1)
     return np.cumsum(depth[:-1]) == 0
 
 
-def _last_pass(rows: DataFrame, output, schema: str) -> DataFrame:
+def _last_pass(rows: DataFrame, output, schema: str, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for parts, spans in zip(batch.column(1), batch.column(2)):
+            for parts, answers in zip(batch.column(1), batch.column(2)):
                 bucket = Bucket(parts.as_py())
                 if len(bucket.ids):
-                    yield output(bucket, keep_mask(bucket, spans.as_py()))
+                    known = answers.as_py() or ()
+                    own = next((x["blob"] for x in known if x["own"]), None)
+                    yield output(bucket, keep_mask(bucket, own, [x["blob"] for x in known if not x["own"]], length))
 
     return rows.mapInArrow(released(run), schema)
 
@@ -466,7 +485,7 @@ def report(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataF
         size = np.diff(o)
         return pa.RecordBatch.from_arrays([_ids(bucket), pa.array(size), pa.array(size - np.diff(kept)), pa.array(np.diff(spans)), pa.array(digests)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _last_pass(removed(docs, length, anchor), output, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _last_pass(removed(docs, length, anchor), output, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", length)
 
 
 def kept_texts(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
@@ -483,6 +502,6 @@ def kept_texts(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> D
         texts = [left[a:b].decode("utf-8", errors="ignore") for a, b in zip(kept, kept[1:])]
         return pa.RecordBatch.from_arrays([_ids(bucket), pa.array(texts, pa.string()), pa.array(bucket.notes(), pa.string())], ["doc_id", "text", "note"])
 
-    out = _last_pass(removed(docs, length, anchor, ("lang", "source")), output, "doc_id long, text string, note string")
+    out = _last_pass(removed(docs, length, anchor, ("lang", "source")), output, "doc_id long, text string, note string", length)
     note = F.from_json("note", carry.schema)
     return out.select("doc_id", "text", note["lang"].alias("lang"), note["source"].alias("source"), F.length("text").cast("long").alias("n_chars"))

@@ -139,6 +139,31 @@ def test_op1_ranges_are_even():
     assert len(share) == 20 and share.max() < 0.06 and share.min() > 0.04
 
 
+def test_op1_line_in_all_documents(spark, monkeypatch):
+    """What a line in every document sends to shards doesn't grow with the documents of a bucket."""
+    line = "a line that every document of the table has once, " + prose(7, 40)
+    sizes = []
+    for n in (60, 240):
+        rows = [(i, f"{prose(i, 3)} {i:06d}\n{line}\n{i * 7919:09d}") for i in range(n)]
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        got = sorted(tuple(r) for r in dedup.report(frame).collect())
+        assert got == sorted(brute_dedup(rows, 50))
+        packed = dedup.pack(frame, 2)
+        sent = dedup.send_segments(packed, dedup.repeated_anchors(packed, 1, 50, 16), 1, 4, 50, 16).where("shard >= 0").collect()
+        inner = [dedup.unsqueeze(r["blob"]) for r in sent]
+        texts = [t.tobytes()[a : a + k] for t, s, *_ in inner for a, k in zip((np.cumsum(s) - s).tolist(), s.tolist())]
+        sizes.append(sum(t in line.encode() for t in texts))
+    assert 0 < sizes[0] == sizes[1]
+
+
+def test_op1_many_occurrences_in_a_step(docs, monkeypatch):
+    monkeypatch.setattr(dedup, "STEP_RUNS", 3)
+    monkeypatch.setattr(dedup, "BUCKET_BYTES", 20000)
+    got = [tuple(r) for r in dedup.report(docs).collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    assert sorted(got, key=key) == sorted(brute_dedup(corpus(), 50), key=key)
+
+
 def test_op1_empty(empty):
     assert dedup.report(empty).count() == 0 and dedup.kept_texts(empty).count() == 0
 
