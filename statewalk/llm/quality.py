@@ -139,16 +139,17 @@ def evidence(docs: DataFrame, model: Model, host: Column, path: Column) -> DataF
 def strength(groups: DataFrame, n: str, good: str, above: Column) -> float:
     """The strength of a beta prior around `above`, by moments over all groups; at least 1 and at most 10,000 documents.
 
-    The spread of the groups' rates in excess of what binomial sampling gives is r (1 - r) / (strength + 1).
+    The spread of the groups' rates in excess of what binomial sampling gives is r (1 - r) / (strength + 1). Both sums are of
+    decimals, so that they are the same in whatever order the groups come.
     """
-    rate = F.col(good) / F.col(n)
-    row = groups.where(F.col(n) > 1).agg(
-        F.sum(F.col(n) * F.pow(rate - above, 2) - above * (1 - above)).alias("excess"),
-        F.sum((F.col(n) - 1) * above * (1 - above)).alias("most"),
-    ).first()
+    off = F.col(good) / F.col(n) - above
+    row = groups.where(F.col(n) > 1).agg(*[
+        F.sum(x.cast("decimal(32,15)")).alias(name)
+        for name, x in (("excess", F.col(n) * off * off - above * (1 - above)), ("most", (F.col(n) - 1) * above * (1 - above)))
+    ]).first()
     if row["most"] is None or row["most"] <= 0:
         return 1.0
-    share = max(row["excess"], 0.0) / row["most"]  # 1 / (strength + 1)
+    share = max(float(row["excess"]), 0.0) / float(row["most"])  # 1 / (strength + 1)
     return float(min(10_000.0, max(1.0, 1 / share - 1))) if share > 0 else 10_000.0
 
 

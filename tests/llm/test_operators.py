@@ -428,6 +428,31 @@ def test_op8_held_out_and_shares(spark, larger):
     assert value[0] == pytest.approx(max(grid), abs=1e-3) and pi[0, 0] == pytest.approx(np.linspace(0.001, 0.999, 999)[int(np.argmax(grid))], abs=0.01)
 
 
+def test_op8_set_by_enumeration(spark):
+    """The language set of mixed texts against all sets, each with its greatest likelihood on a grid of shares."""
+    names = ["aa", "bb", "cc"]
+    vocabulary = {name: ["".join(np.random.default_rng(i * 100 + j).choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for j in range(40)] for i, name in enumerate(names)}
+    rows = [(i, " ".join(np.random.default_rng(i).choice(vocabulary[names[i % 3]], 60)), names[i % 3]) for i in range(60)]
+    model = languages.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model[0] == names
+    mixes = [(30, 0, 0), (0, 20, 20), (10, 15, 25), (0, 40, 8), (12, 0, 30), (20, 20, 20), (0, 0, 1)]
+    texts = [" ".join(w for i, k in enumerate(mix_) for w in np.random.default_rng(k + i).choice(vocabulary[names[i]], k)) for mix_ in mixes]
+    raw = [t.encode() for t in texts]
+    pi, _, _ = languages.infer(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))), model[1])
+    grid = np.array([(a, b, 40 - a - b) for a in range(41) for b in range(41 - a)]) / 40
+    for text, got, mixed in zip(raw, pi, mixes):
+        cell, first, at = languages.trigrams(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        log_word = np.add.reduceat(model[1][cell], first, axis=0).astype(np.float64)
+        p = np.exp(log_word - log_word.max(1, keepdims=True))
+        best = {}
+        for shares in grid:
+            like = np.log(np.maximum(p @ shares, 1e-300)).sum()
+            best[tuple(shares > 0)] = max(best.get(tuple(shares > 0), -np.inf), like)
+        want = max(best, key=lambda s: 2 * best[s] - (sum(s) - 1) * np.log(max(2, at[-1])))
+        assert tuple(got > 0) == want == tuple(k > 0 for k in mixed)
+        assert got.sum() == pytest.approx(1) and np.abs(got - np.array(mixed) / sum(mixed)).max() < 0.05
+
+
 def test_op8_many_languages(spark):
     """More languages than a full model holds: cells are joined, none is left out."""
     rows = [(i, f"word{i:03d} other{i:03d} thing{i:03d} " * 6, f"l{i % 300:03d}") for i in range(600)]
@@ -505,6 +530,19 @@ def test_op7(spark, docs, empty):
     assert quality.judge(empty, labels(spark)).count() == 0
 
 
+def test_op7_strength_in_any_order(spark):
+    """The prior's strength doesn't depend on the order in which groups are added up, to the last bit."""
+    rng = np.random.default_rng(4)
+    rows = [(int(n), float(rng.integers(0, n + 1))) for n in rng.integers(2, 10_000, 400)]
+    found = set()
+    for parts in (1, 3, 8):
+        frame = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "n long, good double").repartition(parts)
+        found.add(quality.strength(frame, "n", "good", F.lit(0.37)))
+    assert len(found) == 1
+    excess = sum(n * (good / n - 0.37) ** 2 - 0.37 * 0.63 for n, good in rows)
+    assert found.pop() == pytest.approx(max(1.0, sum((n - 1) * 0.37 * 0.63 for n, _ in rows) / excess - 1), rel=1e-9)
+
+
 def test_op7_shrinkage(spark):
     """A sparse site's rate lies between its own and the level above it; a large site's is close to its own."""
     rows = [(i, i, "big", "big/a", 0.0, 0.1) for i in range(500)] + [(500, 500, "big", "big/b", 0.0, 0.9)] + [(600 + i, i, f"h{i % 40}", f"h{i % 40}/a", 0.0, 0.9) for i in range(800)]
