@@ -1,25 +1,30 @@
 """Autoregressive hidden Markov model with diagonal Gaussian emissions, fitted by expectation-maximisation on Spark.
 
-A row is a whole sequence: (sid, x) with x the array of steps, each an array of d features. An iteration broadcasts the
-parameters, reduces each partition's sequences to one row of statistics of a size set by the model, and sums those rows
-in a tree of grouped sums before the few that are left reach the driver for the closed-form update.
+A row is a whole sequence: (sid, x) with x the array of steps, each an array of d features. A fit packs the sequences into
+blocks of plain numbers once. An iteration takes the parameters along, reduces each partition's blocks to one row of statistics
+of a size set by the model, and the driver sums those rows for the closed-form update; if they are large, a tree of grouped
+sums comes before.
 """
 
 from __future__ import annotations
 
 import logging
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LOG = logging.getLogger("statewalk")
 FLOOR, RIDGE = 1e-6, 1e-5
 #: Steps whose pairs are summed at once, and cells of steps and features that are worked on together.
-PAIR_STEPS, PORTION = 1 << 14, 1 << 20
+PAIR_STEPS, PORTION = 1 << 14, 1 << 18
+#: Least transition, and least weight of a first step, with which the recursions need no logarithms.
+STEADY, SEEN = 1e-100, 1e-200
 
 
 @dataclass
@@ -45,6 +50,13 @@ def lagged(y: np.ndarray, order: int) -> np.ndarray:
     return np.concatenate([y[np.maximum(t - lag, 0)] if lag <= len(y) else y for lag in range(1, order + 1)] + [np.ones((len(y), 1))], axis=1) if order > 0 else np.ones((len(y), 1))
 
 
+def all_lagged(y: np.ndarray, lengths: np.ndarray, order: int) -> np.ndarray:
+    """`lagged` of sequences one after another."""
+    at = np.arange(len(y))
+    t, n = at - np.repeat(np.cumsum(lengths) - lengths, lengths), np.repeat(lengths, lengths)
+    return np.concatenate([y[np.where(lag <= n, at - np.minimum(t, lag), at)] for lag in range(1, order + 1)] + [np.ones((len(y), 1))], axis=1)
+
+
 def emission(y: np.ndarray, x: np.ndarray, p: Parameters) -> np.ndarray:
     """Log density of each step under each state."""
     var = np.maximum(p.var, FLOOR)
@@ -57,6 +69,47 @@ def recursions(log_b: np.ndarray, lengths: np.ndarray, start: np.ndarray, trans:
 
     log_b holds the sequences one after another. A step of the recursions is taken for all sequences that have it at once.
     """
+    found = scaled(log_b, lengths, start, trans) if trans.min() >= STEADY and np.isfinite(log_b.max(1)).all() else None
+    return logarithmic(log_b, lengths, start, trans) if found is None else found
+
+
+def scaled(log_b: np.ndarray, lengths: np.ndarray, start: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """`recursions` by weights that sum to 1 at each step, held step by step for all sequences.
+
+    As every state is entered from every other with at least STEADY, and the likeliest state of a step weighs 1, what underflows
+    is below 1e-100 of a step's weights, there and at all later steps. Only a first step may weigh nothing: then there is no result.
+    """
+    k, begin = log_b.shape[1], np.cumsum(lengths) - lengths
+    order = np.argsort(-lengths, kind="stable")
+    first, size = begin[order], lengths[order]
+    active = np.searchsorted(-size, -np.arange(int(size[0])), "left")  # how many sequences have more than t steps
+    off = np.concatenate([[0], np.cumsum(active)])
+    t = np.repeat(np.arange(len(active)), active)
+    at = first[np.arange(len(t)) - off[t]] + t
+    top = log_b.max(1)
+    e = np.ascontiguousarray(np.exp(log_b - top[:, None])[at].T)
+    alpha, beta, mass, xi = np.empty_like(e), np.ones_like(e), np.empty(len(at)), np.zeros((k, k))
+    for t in range(len(active)):
+        lo, hi = off[t], off[t + 1]
+        weight = (trans.T @ alpha[:, off[t - 1] : off[t - 1] + hi - lo] if t else start[:, None]) * e[:, lo:hi]
+        mass[lo:hi] = weight.sum(0)
+        if t == 0 and mass[:hi].min() < SEEN:
+            return None
+        alpha[:, lo:hi] = weight / mass[lo:hi]
+    for t in range(len(active) - 1, 0, -1):
+        lo, hi = off[t], off[t + 1]
+        before, weight = slice(off[t - 1], off[t - 1] + hi - lo), e[:, lo:hi] * beta[:, lo:hi] / mass[lo:hi]
+        beta[:, before] = trans @ weight
+        xi += alpha[:, before] @ weight.T
+    alpha *= beta
+    alpha /= alpha.sum(0)
+    gamma, steps = np.empty_like(log_b), np.empty(len(at))
+    gamma[at], steps[at] = alpha.T, np.log(mass)
+    return np.add.reduceat(steps + top, begin), gamma, xi * trans
+
+
+def logarithmic(log_b: np.ndarray, lengths: np.ndarray, start: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`recursions` on the log scale, for any parameters."""
     k, begin = log_b.shape[1], np.cumsum(lengths) - lengths
     order = np.argsort(-lengths, kind="stable")
     first, size = begin[order], lengths[order]
@@ -116,31 +169,52 @@ def viterbi(log_b: np.ndarray, start: np.ndarray, trans: np.ndarray) -> np.ndarr
     return best_paths(log_b, np.array([len(log_b)]), start, trans)
 
 
-def in_portions(found: list[np.ndarray], order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Sequences together, up to PORTION cells of steps and features: first one's place, steps, design rows and lengths."""
+def portions(x: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Sequences of an Arrow array together, up to PORTION cells of steps and features: first one's place, steps and lengths."""
+    lengths, inner = np.diff(x.offsets.to_numpy()), x.flatten()
+    d = len(inner[0]) if len(inner) else 1
+    y = np.asarray(inner.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, d)
+    ends = np.cumsum(lengths)
     at = 0
-    while at < len(found):
-        cells, stop = 0, at
-        while stop < len(found) and (stop == at or cells + found[stop].size <= PORTION):
-            cells += found[stop].size
-            stop += 1
-        some = found[at:stop]
-        yield at, np.concatenate(some), np.concatenate([lagged(y, order) for y in some]), np.array([len(y) for y in some])
+    while at < len(lengths):
+        begin = ends[at] - lengths[at]
+        stop = max(at + 1, int(np.searchsorted(ends, begin + PORTION // d, "right")))
+        yield at, y[begin : ends[stop - 1]], lengths[at:stop].astype(np.int64)
         at = stop
 
 
-def _sequence(x) -> np.ndarray:
-    return np.stack([np.asarray(v, np.float64) for v in x])
-
-
 def sequences(steps: DataFrame) -> DataFrame:
     """(sid, x) from rows (sid, t, y): one row for each sequence, its steps in order. A sequence has to fit a task's memory."""
     rows = steps.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("t", "y"))).alias("rows"))
     return rows.select("sid", F.transform("rows", lambda r: r["y"]).alias("x"))
 
 
-#: Rows of statistics that the driver sums itself.
-FEW_ROWS = 64
+def blocks(seqs: DataFrame) -> DataFrame:
+    """lengths and cells: sequences (x) one after another as plain numbers, up to PORTION of them a row. Sequences that are such
+    already stay."""
+    if "cells" in seqs.columns:
+        return seqs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, y, lengths in portions(batch.column(0)):
+                yield pa.RecordBatch.from_pydict({"lengths": pa.array([lengths.tobytes()], pa.binary()), "cells": pa.array([y.tobytes()], pa.binary())})
+
+    return seqs.select("x").mapInArrow(run, "lengths binary, cells binary")
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Steps and lengths of each block."""
+    for batch in batches:
+        for lengths, cells in zip(batch.column(0), batch.column(1)):
+            n = np.frombuffer(lengths.as_buffer(), np.int64)
+            yield np.frombuffer(cells.as_buffer(), np.float64).reshape(int(n.sum()), -1), n
+
+
+#: Figures of all partitions' statistics that the driver sums itself.
+FEW_FIGURES = 1 << 20
+#: Cells of a partition from which it is worth a task of its own, and to which a task may grow before there are more of them.
+FEW_CELLS, MANY_CELLS = 1 << 16, 1 << 22
 
 
 def shapes_of(p: Parameters) -> list[tuple[int, ...]]:
@@ -163,37 +237,55 @@ def packed(moments: tuple[np.ndarray, ...], loglik: np.ndarray, first: np.ndarra
 
 
 def statistics(seqs: DataFrame, p: Parameters, parts: int | None = None) -> list[np.ndarray]:
-    """Log-likelihood, sums of first-step and all-step probabilities, pairs, and weighted moments, over all sequences.
+    """Log-likelihood, sums of first-step and all-step probabilities, pairs, and weighted moments, over all sequences or blocks.
 
-    parts: the sequences' partitions, where known; as many rows as these are summed on the driver if they are few.
+    parts: the rows' partitions, where known; as many rows as these are summed on the driver if they hold few figures.
     """
-    shared = seqs.sparkSession.sparkContext.broadcast(p)
     shapes = shapes_of(p)
     sizes = [int(np.prod(s)) for s in shapes]
 
-    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p, total = shared.value, np.zeros(sum(sizes))
-        for batch in batches:
-            for _, y, z, lengths in in_portions([_sequence(x) for x in batch["x"]], p.order):
-                ll, g, xi = recursions(emission(y, z, p), lengths, p.start, p.trans)
-                total += packed(weighted_moments(y, z, g), np.array([ll.sum()]), g[np.cumsum(lengths) - lengths].sum(0), xi)
-        yield pd.DataFrame({"stats": [total.tolist()]})
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(sum(sizes))
+        for y, lengths in unpacked(batches):
+            z = all_lagged(y, lengths, p.order)
+            ll, g, xi = recursions(emission(y, z, p), lengths, p.start, p.trans)
+            total += packed(weighted_moments(y, z, g), np.array([ll.sum()]), g[np.cumsum(lengths) - lengths].sum(0), xi)
+        yield pa.RecordBatch.from_pydict({"stats": pa.array([total], pa.list_(pa.float64()))})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"stats": [np.stack(pdf["stats"]).sum(0).tolist()]})
 
-    partial = seqs.select("x").mapInPandas(reduce, "stats array<double>")
-    if parts is None or parts > FEW_ROWS:
+    partial = blocks(seqs).mapInArrow(reduce, "stats array<double>")
+    if parts is None or parts * sum(sizes) > FEW_FIGURES:
         partial = partial.withColumn("salt", F.spark_partition_id() % 16).groupBy("salt").applyInPandas(add, "stats array<double>")
     rows = partial.collect()  # at most 16, or parts, rows
     total = np.sum([r["stats"] for r in rows], axis=0) if rows else np.zeros(sum(sizes))
     return [v.reshape(s) for v, s in zip(np.split(total, np.cumsum(sizes)[:-1]), shapes)]
 
 
+@contextmanager
+def kept(seqs: DataFrame) -> Iterator[tuple[DataFrame, int]]:
+    """The sequences' blocks, persisted meanwhile, and their partitions: as many as can run at once if each has FEW_CELLS, more if
+    one had over MANY_CELLS. An iteration over few steps takes as long as its tasks take to start."""
+    held = blocks(seqs).persist()
+    try:
+        cells = (held.agg(F.sum(F.octet_length("cells"))).first()[0] or 0) // 8
+        most = held.rdd.getNumPartitions()
+        parts = max(1, min(most, cells // FEW_CELLS, max(seqs.sparkSession.sparkContext.defaultParallelism, cells // MANY_CELLS)))
+        yield held.coalesce(parts), parts
+    finally:
+        held.unpersist()
+
+
 def initial(seqs: DataFrame, k: int, order: int, seed: int) -> Parameters:
     """Uniform start and transitions, small random weights, and the grand mean and variance for every state."""
-    y = seqs.select(F.explode("x").alias("y")).select(F.posexplode("y").alias("p", "v"))
-    rows = y.groupBy("p").agg(F.avg("v").alias("m"), F.avg(F.col("v") * F.col("v")).alias("q")).orderBy("p").collect()
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for y, _ in unpacked(batches):
+            yield pa.RecordBatch.from_pydict({"p": pa.array(range(y.shape[1]), pa.int32()), "n": pa.array([len(y)] * y.shape[1], pa.int64()), "v": pa.array(y.sum(0)), "q": pa.array((y * y).sum(0))})
+
+    sums = blocks(seqs).mapInArrow(moments, "p int, n long, v double, q double").groupBy("p")
+    rows = sums.agg((F.sum("v") / F.sum("n")).alias("m"), (F.sum("q") / F.sum("n")).alias("q")).orderBy("p").collect()
     mean = np.array([r["m"] for r in rows])
     var = np.maximum(np.array([r["q"] for r in rows]) - mean**2, FLOOR)
     d = len(mean)
@@ -223,22 +315,18 @@ def update(stats: list[np.ndarray], p: Parameters) -> Parameters:
 def fit(seqs: DataFrame, k: int, order: int = 1, max_iter: int = 100, seed: int = 42, tol: float | None = None) -> Parameters:
     """A fixed number of iterations, or fewer with a tolerance on the log-likelihood's relative gain.
 
-    The log-likelihood kept is of the parameters before the last update. The sequences are persisted while it runs.
+    The log-likelihood kept is of the parameters before the last update. The sequences' blocks are persisted while it runs.
     """
-    seqs = seqs.persist()
-    try:
-        p = initial(seqs, k, order, seed)
-        parts = seqs.rdd.getNumPartitions()
+    with kept(seqs) as (held, parts):
+        p = initial(held, k, order, seed)
         for _ in range(max_iter):
-            new = update(statistics(seqs, p, parts), p)
+            new = update(statistics(held, p, parts), p)
             LOG.info("iteration: log-likelihood %.6f, gain %.6g", new.loglik, new.loglik - p.loglik)
             done = tol is not None and abs(new.loglik - p.loglik) <= tol * max(1.0, abs(new.loglik))
             p = new
             if done:
                 break
         return p
-    finally:
-        seqs.unpersist()
 
 
 def score(seqs: DataFrame, p: Parameters) -> float:
@@ -250,18 +338,19 @@ def decode(seqs: DataFrame, p: Parameters) -> DataFrame:
     """sid, t, s (likeliest path), g (probabilities), loglik (of the sequence): all of a sequence in one pass."""
     shared = seqs.sparkSession.sparkContext.broadcast(p)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         for batch in batches:
-            sids = batch["sid"].to_numpy()
-            for at, y, z, lengths in in_portions([_sequence(x) for x in batch["x"]], p.order):
-                log_b = emission(y, z, p)
+            for at, y, lengths in portions(batch.column(1)):
+                log_b = emission(y, all_lagged(y, lengths, p.order), p)
                 ll, g, _ = recursions(log_b, lengths, p.start, p.trans)
                 own = np.repeat(np.arange(len(lengths)), lengths)
                 t = np.arange(len(y)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                yield pd.DataFrame({"sid": sids[at : at + len(lengths)][own], "t": t, "s": best_paths(log_b, lengths, p.start, p.trans), "g": list(g), "loglik": ll[own]})
+                path = best_paths(log_b, lengths, p.start, p.trans)
+                each = pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1, dtype=np.int32) * g.shape[1]), pa.array(g.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at + own)), pa.array(t.astype(np.int32)), pa.array(path.astype(np.int32)), each, pa.array(ll[own])], ["sid", "t", "s", "g", "loglik"])
 
-    return seqs.select("sid", "x").mapInPandas(run, f"sid {seqs.schema['sid'].dataType.simpleString()}, t int, s int, g array<double>, loglik double")
+    return seqs.select("sid", "x").mapInArrow(run, f"sid {seqs.schema['sid'].dataType.simpleString()}, t int, s int, g array<double>, loglik double")
 
 
 def aligned(a: np.ndarray, b: np.ndarray) -> list[int]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from statewalk.operators import arhmm
@@ -58,3 +59,46 @@ def test_backends():
         arhmm.backend("slds")()
     with pytest.raises(ValueError):
         arhmm.backend("other")
+
+
+@pytest.mark.parametrize("order", [0, 1, 3])
+def test_lags_of_many_sequences(order):
+    y, lengths = np.random.default_rng(0).normal(size=(15, 2)), np.array([6, 1, 2, 4, 2])
+    want = np.concatenate([arhmm.lagged(x, order) for x in np.split(y, np.cumsum(lengths)[:-1])])
+    assert (arhmm.all_lagged(y, lengths, order) == want).all()
+
+
+@pytest.mark.parametrize("far", [1.0, 60.0])
+def test_recursions_without_logarithms(far):
+    """Steps of which a state underflows are those of the log scale, and a first step that can't be isn't taken."""
+    p, rng = model(3, seed=4), np.random.default_rng(5)
+    lengths = np.array([7, 30, 1, 12, 30])
+    log_b = rng.normal(size=(lengths.sum(), 3)) * far**2
+    for a, b in zip(arhmm.scaled(log_b, lengths, p.start, p.trans), arhmm.logarithmic(log_b, lengths, p.start, p.trans)):
+        np.testing.assert_allclose(a, b, rtol=1e-9, atol=1e-9)
+    log_b[0] = [0.0, -900.0, -900.0]
+    start = np.array([0.0, 0.5, 0.5])
+    assert arhmm.scaled(log_b, lengths, start, p.trans) is None
+    assert np.isfinite(arhmm.recursions(log_b, lengths, start, p.trans)[0]).all()
+
+
+def test_a_fit_keeps_plain_blocks(spark):
+    """Of 40 sequences an iteration reads blocks of plain numbers, no row or array a step."""
+    rng = np.random.default_rng(1)
+    rows = [(i, t, rng.normal(size=2).tolist()) for i in range(40) for t in range(5 + i % 7)]
+    seqs = arhmm.sequences(spark.createDataFrame(rows, "sid long, t int, y array<double>")).cache()
+    held = arhmm.blocks(seqs)
+    found = held.collect()
+    assert held.columns == ["lengths", "cells"] and len(found) <= 4 and sum(len(r["cells"]) // 16 for r in found) == len(rows)
+    p = arhmm.initial(held, 2, 1, 3)
+    for a, b in zip(arhmm.statistics(held, p), arhmm.statistics(seqs, p, 4)):
+        np.testing.assert_allclose(a, b, atol=1e-9)
+
+
+def test_portions_are_cut_by_size(monkeypatch):
+    monkeypatch.setattr(arhmm, "PORTION", 64)
+    lengths = [5, 30, 2, 100, 1, 31, 32]
+    x = pa.array([np.random.default_rng(n).normal(size=(n, 2)).tolist() for n in lengths])[1:]
+    found = list(arhmm.portions(x))
+    assert [n.tolist() for _, _, n in found] == [[30, 2], [100], [1, 31], [32]] and [at for at, _, _ in found] == [0, 2, 3, 5]
+    assert np.concatenate([y for _, y, _ in found]).tolist() == [v for s in x.to_pylist() for v in s]
