@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from statewalk.operators import design, posterior, statistics
 from tests import nested
@@ -107,3 +110,17 @@ def test_omnibus_of_incomplete_blocks(spark):
     for term, factor in (("AgeGroup", {"AgeGroup"}), ("Sex", {"Sex"})):
         full, small = (nested.design_columns(sid, s, k, fd, sex, age, base | {"State"} | t) for t in (factor, set()))
         assert (got[term]["df_num"], got[term]["df_den"], got[term]["f_obs"]) == (full.shape[1] - small.shape[1], len(y) - full.shape[1], None)
+
+
+def test_states_are_dealt_where_they_are(spark):
+    """Neither a function over arrays nor an exchange by sid and permutation: one of sids, one of sums by permutation."""
+    rows = [(i, s, float((i * 7 + s * s) % 11)) for i in range(30) for s in range(3)]
+    df = spark.createDataFrame(rows, "sid int, s int, y double")
+    ranked = statistics.ranked_within(df.groupBy("sid").agg(F.sort_array(F.collect_list("s")).alias("own")), [F.lit(True)] * 3, [F.get("own", F.lit(i)) for i in range(3)], 4, "42")
+    found = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in found
+    for r in ranked.collect():
+        order = sorted(range(3), key=lambda s: hashlib.md5(f"42:{r['perm']}:{r['sid']}:{s}".encode()).hexdigest()) if r["perm"] else [0, 1, 2]
+        assert [r[f"_h{s}"] for s in range(3)] == [order.index(s) for s in range(3)]
+    got = statistics.rm_state_test(df, 3, 20).first()
+    assert got["stat"] == pytest.approx(statistics.rm_state_f(df, [], 3).first()["f_obs"]) and got["n_perm"] == 20
