@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -79,23 +79,31 @@ def beta_maps_soft(rows: DataFrame, rcond: float = 1e-6, chunk: int = FACTOR_STE
     """
     sid = rows.schema["sid"].dataType.simpleString()
 
-    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        g, y = np.stack(pdf["g"]), np.stack(pdf["y"])
-        return pd.DataFrame({"sid": pdf["sid"].iloc[:1], "c": pdf["c"].iloc[:1], "n": [len(g)], "mass": [g.sum(0)], "cells": [factor(g, y).ravel()]})
+    def matrix(x: pa.ChunkedArray, n: int) -> np.ndarray:
+        return np.asarray(x.combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(n, -1)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("c")
-        mass, k = np.stack(pdf["mass"]).sum(0), len(pdf["mass"].iloc[0])
+    def one(values: np.ndarray) -> pa.Array:
+        return pa.array([values.ravel()], pa.list_(pa.float64()))
+
+    def reduce(rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows["t"].to_numpy(), kind="stable")
+        g, y = matrix(rows["g"], len(order))[order], matrix(rows["y"], len(order))[order]
+        return pa.table({"sid": rows["sid"][:1], "c": rows["c"][:1], "n": pa.array([len(g)], pa.int64()), "mass": one(g.sum(0)), "cells": one(factor(g, y))})
+
+    def solve(parts: pa.Table) -> pa.Table:
+        order, n = np.argsort(parts["c"].to_numpy()), parts["n"].to_numpy()
+        masses = matrix(parts["mass"], len(n))
+        mass, k = masses.sum(0), masses.shape[1]
         # a factor has as many rows as its steps, up to k
-        parts = [np.asarray(x).reshape(min(int(n), k), -1) for x, n in zip(pdf["cells"], pdf["n"])]
-        b = beta_of_factors(np.concatenate(parts), mass / pdf["n"].sum(), rcond)
-        s, p = np.indices(b.shape)
-        return pd.DataFrame({"sid": [pdf["sid"].iloc[0]] * b.size, "s": s.ravel(), "p": p.ravel(), "beta": b.ravel()})
+        each = [np.asarray(parts["cells"][int(i)].values.to_numpy()).reshape(min(int(n[i]), k), -1) for i in order]
+        b = beta_of_factors(np.concatenate(each), mass / n.sum(), rcond)
+        s, p = np.indices(b.shape, np.int32)
+        sid = parts["sid"].combine_chunks().take(pa.array(np.zeros(b.size, np.int64)))
+        return pa.table({"sid": sid, "s": pa.array(s.ravel()), "p": pa.array(p.ravel()), "beta": pa.array(b.ravel())})
 
     c = F.floor(F.col("t") / chunk).cast("long")
-    factors = rows.select("sid", c.alias("c"), "t", "g", "y").groupBy("sid", "c").applyInPandas(reduce, f"sid {sid}, c long, n long, mass array<double>, cells array<double>")
-    return factors.groupBy("sid").applyInPandas(solve, f"sid {sid}, s int, p int, beta double")
+    factors = rows.select("sid", c.alias("c"), "t", "g", "y").groupBy("sid", "c").applyInArrow(reduce, f"sid {sid}, c long, n long, mass array<double>, cells array<double>")
+    return factors.groupBy("sid").applyInArrow(solve, f"sid {sid}, s int, p int, beta double")
 
 
 def group_mean_sd(stack: DataFrame) -> DataFrame:

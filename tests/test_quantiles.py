@@ -69,3 +69,10 @@ def test_soft_maps(spark, chunk, near):
         got[r["sid"]][r["s"], r["p"]] = r["beta"]
     for sid, b in want.items():
         np.testing.assert_allclose(got[sid], b, atol=1e-8)
+
+
+def test_soft_maps_take_arrow_groups(spark):
+    """A group's numbers reach the factorisation without an object for each step."""
+    df = spark.createDataFrame([("a", t, [0.5, 0.5], [float(t)]) for t in range(4)], "sid string, t int, g array<double>, y array<double>")
+    plan = matrices.beta_maps_soft(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 2 and "InPandas" not in plan
