@@ -102,3 +102,11 @@ def test_portions_are_cut_by_size(monkeypatch):
     found = list(arhmm.portions(x))
     assert [n.tolist() for _, _, n in found] == [[30, 2], [100], [1, 31], [32]] and [at for at, _, _ in found] == [0, 2, 3, 5]
     assert np.concatenate([y for _, y, _ in found]).tolist() == [v for s in x.to_pylist() for v in s]
+
+
+def test_few_steps_are_few_tasks(spark):
+    """What is kept for iterations has no more partitions than its steps are worth, however many the sequences have."""
+    rows = [(i, t, [float(t)]) for i in range(40) for t in range(5)]
+    seqs = arhmm.sequences(spark.createDataFrame(rows, "sid long, t int, y array<double>")).repartition(8)
+    with arhmm.kept(seqs) as (held, parts):
+        assert parts == held.rdd.getNumPartitions() == 1 and sum(len(r["cells"]) for r in held.collect()) == 8 * len(rows)
