@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 from statewalk.operators import arhmm, matrices, posterior
 from statewalk.plans.config import Evaluation
 
+#: Fits of a sweep that run at the same time.
+FITS_AT_ONCE = 4
+
 
 @dataclass
 class Found:
@@ -111,10 +115,16 @@ def scorecard(spark: SparkSession, rows: list[dict]) -> DataFrame:
 
 
 def sweep(seqs: DataFrame, ks: Iterable[int], seeds: Iterable[int], detectors: Iterable[Detector] = DETECTORS, **how) -> DataFrame:
-    """The scorecard of all fits, one row for each k and seed."""
+    """The scorecard of all fits, one row for each k and seed.
+
+    Fits don't depend on each other, and the jobs of one leave most cores idle, so FITS_AT_ONCE of them run beside one another.
+    """
     seqs = seqs.persist()
-    rows = [scored(seqs, k, seed, detectors, **how) for k, seed in itertools.product(sorted(set(ks)), sorted(set(seeds)))]
-    seqs.unpersist()
+    try:
+        with ThreadPool(FITS_AT_ONCE) as pool:
+            rows = pool.starmap(lambda k, seed: scored(seqs, k, seed, detectors, **how), itertools.product(sorted(set(ks)), sorted(set(seeds))), 1)
+    finally:
+        seqs.unpersist()
     return scorecard(seqs.sparkSession, rows)
 
 
