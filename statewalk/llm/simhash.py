@@ -227,6 +227,8 @@ SET_BLOCK, TASK_SETS, REFERENCES, MAP_BITS = 512, 2_000, 16, 24
 TASK_SHINGLES, ORDER_TEXTS, LAST_SHINGLES = 1 << 20, 50_000, 1 << 19
 #: Sets whose counts of shared shingles a task adds up, about.
 TASK_NODES = 1 << 15
+#: Sets of one shingle up to which all their pairs are looked at by whole diagonals, and pairs that are looked at at once.
+SMALL_GROUP, PAIRS = 32, 1 << 16
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = NEAR_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -338,8 +340,12 @@ def further(n: np.ndarray, similarity: float) -> np.ndarray:
     return 1 + np.floor((1 - similarity) * n + 1e-9).astype(np.int64)
 
 
-def spread_prefixes(docs: DataFrame, length: Callable, order: Broadcast, tasks: int, size: int, among: Broadcast) -> DataFrame:
-    """task, key, node (binary): the first length(n) shingles of each set of n, packed by the task that has a shingle."""
+def spread_prefixes(docs: DataFrame, length: Callable, order: Broadcast, tasks: int, size: int, among: Broadcast, prints: bool = False) -> DataFrame:
+    """task, key, node (binary): the first length(n) shingles of each set of n, packed by the task that has a shingle.
+
+    prints: with print (binary), the fingerprint of the shingle's set.
+    """
+    packed = ["key", "node", "print"][: 2 + prints]
 
     def output(_ids, _keys, names: np.ndarray, h: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
         common, ranks = order.value
@@ -353,12 +359,12 @@ def spread_prefixes(docs: DataFrame, length: Callable, order: Broadcast, tasks:
         key, node = h[taken], names[owner[taken]]
         task = (mix(key) % np.uint64(tasks)).astype(np.int64)
         by = np.argsort(task, kind="stable")
-        key, node = key[by], node[by]
+        columns = [key[by], node[by], *([set_fingerprints(h, bounds)[owner[taken][by]]] if prints else [])]
         edges = np.searchsorted(task[by], np.arange(tasks + 1))
         some = np.flatnonzero(np.diff(edges))
-        return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *[pa.array([c[edges[t] : edges[t + 1]].tobytes() for t in some], pa.binary()) for c in (key, node)]], ["task", "key", "node"])
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *[pa.array([c[edges[t] : edges[t + 1]].tobytes() for t in some], pa.binary()) for c in columns]], ["task", *packed])
 
-    return from_sets(docs, output, "task long, key binary, node binary", size, among)
+    return from_sets(docs, output, ", ".join(["task long", *[f"{c} binary" for c in packed]]), size, among)
 
 
 def shared_keys(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -373,12 +379,61 @@ def shared_keys(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return key[some], node[some]
 
 
+def group_labels(prints: np.ndarray) -> np.ndarray:
+    """Labels of one shingle's sets, equal where fingerprints within SET_RADIUS join them, directly or through others.
+
+    Each set outside the largest class is compared with all of other classes, once: many near copies take about one round.
+    """
+    label = np.arange(len(prints))
+    done = np.zeros(len(prints), bool)
+    while True:
+        outside = np.flatnonzero((label != np.bincount(label).argmax()) & ~done)
+        if not len(outside):
+            return label
+        i = outside[0]
+        done[i] = True
+        others = np.flatnonzero((label != label[i]) & ~done)
+        linked = others[differing(prints[others], prints[i]) <= SET_RADIUS]
+        if len(linked):
+            label[np.isin(label, label[linked])] = label[i]
+
+
+def join_near(forest: Forest, key: np.ndarray, at: np.ndarray, prints: np.ndarray) -> None:
+    """Join in the forest the sets (at: their places in prints) that share a key, where fingerprints within SET_RADIUS do.
+
+    Rows are in the order of their keys, a set once a key. What is of one tree already needs no look.
+    """
+    starts = np.flatnonzero(first_rows(key))
+    n = np.diff([*starts, len(key)])
+    i = np.flatnonzero(np.repeat(n <= SMALL_GROUP, n))
+    d = 1
+    while True:
+        i = i[i + d < len(key)]
+        i = i[key[i] == key[i + d]]
+        if not len(i):
+            break
+        for lo in range(0, len(i), PAIRS):
+            a, b = at[i[lo : lo + PAIRS]], at[i[lo : lo + PAIRS] + d]
+            apart = forest.roots(a) != forest.roots(b)
+            a, b = a[apart], b[apart]
+            near = differing(prints[a], prints[b]) <= SET_RADIUS
+            forest.join(a[near], b[near])
+        d += 1
+    for lo, m in zip(starts[n > SMALL_GROUP], n[n > SMALL_GROUP]):
+        members = at[lo : lo + m]
+        if len(np.unique(forest.roots(members))) > 1:
+            _, lead, own = np.unique(group_labels(prints[members]), return_index=True, return_inverse=True)
+            forest.join(members, members[lead[own]])
+
+
 def prefix_links(docs: DataFrame, nodes: DataFrame, similarity: float, size: int) -> DataFrame:
     """a, b: edges that join any two nodes whose sets can have the similarity, directly or through others.
 
     Two sets of similarity t share t of the greater one's shingles. In an order of all shingles they then share k of the first
     n - t n + k of each set's n, for any k. First, with k about (1 - t) n, sets go that have too few shingles in common with any
-    others: whatever shares a line or a passage only. The rest is joined, by a chain, where it shares one with k = 1.
+    others: whatever shares a line or a passage only. Of the rest, two are joined where they share one with k = 1 and their
+    fingerprints are within SET_RADIUS, as `alike` asks of them too. Sets that share a shingle by chance are not: their number
+    grows with the square of the table's size, and would join all of it to one component.
     nodes: node, n, row_key of one row that has the set.
     """
     total = nodes.agg(F.count("*").alias("n"), F.sum("n").alias("shingles")).first()
@@ -410,9 +465,10 @@ def prefix_links(docs: DataFrame, nodes: DataFrame, similarity: float, size: int
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         key, node = shared_keys(pdf)
         ids, at = np.unique(node, return_inverse=True)
-        forest, new = Forest(len(ids)), first_rows(key)
-        lead = at[np.flatnonzero(new)][np.cumsum(new) - 1]
-        forest.join(at[~new], lead[~new])
+        every, first = np.unique(np.frombuffer(b"".join(pdf["node"]), "<i8"), return_index=True)
+        prints = np.frombuffer(b"".join(pdf["print"]), "<u8").reshape(-1, SET_BITS // 64)[first[np.searchsorted(every, ids)]]
+        forest = Forest(len(ids))
+        join_near(forest, key, at, prints)
         inner, root = star(forest)
         return pd.DataFrame({"a": ids[inner], "b": ids[root]})
 
@@ -421,7 +477,7 @@ def prefix_links(docs: DataFrame, nodes: DataFrame, similarity: float, size: int
     asked = 1 + F.floor(smaller * (1 - similarity) + 1e-9)
     counts = spread_prefixes(docs, long, order, tasks, size, row_map(nodes)).groupBy("task").applyInPandas(count, "target long, node binary, c binary").groupBy("target").applyInPandas(add, "node long, c long")
     alive = checkpointed(counts.join(nodes, "node").where(F.col("c") >= asked).select("row_key"))
-    return spread_prefixes(docs, short, order, tasks, size, row_map(alive)).groupBy("task").applyInPandas(link, "a long, b long")
+    return spread_prefixes(docs, short, order, tasks, size, row_map(alive), prints=True).groupBy("task").applyInPandas(link, "a long, b long")
 
 
 def set_fingerprints(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -557,9 +613,9 @@ def verified(docs: DataFrame, parts: DataFrame, similarity: float, size: int) ->
 def near_duplicates(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, row_key of the rows to drop: of each group of near duplicates all but the first by (doc_id, row_key).
 
-    Texts whose prefixes share a shingle are candidates, which leaves out no pair of the similarity. Pairs of candidates within
-    a connected component are discarded by their SimHash's distances to reference fingerprints, and the survivors verified on
-    their whole shingle sets. Groups are the connected components of the verified links. Texts with equal sets are one node;
+    Texts whose prefixes share a shingle and whose SimHashes are near are candidates, which leaves out no pair of the similarity.
+    Pairs of candidates within a connected component are discarded by their SimHash's distances to reference fingerprints, and
+    the survivors verified on their whole shingle sets. Groups are the connected components of the verified links. Texts with equal sets are one node;
     texts without words are copies of each other. Rows equal in all columns are one document: they stay or go together. Null
     ids come last; an empty table drops nothing.
     """

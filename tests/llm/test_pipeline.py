@@ -146,3 +146,56 @@ def test_near_duplicates_on_the_table(spark, sf_dir):
     want = [rows[i][0] for i in brute_kept(low)]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert sorted(r["doc_id"] for r in simhash.one_of_each(docs.select(*corpus_pipeline.COLUMNS)).collect()) == want
+
+
+def test_near_duplicates_of_texts_that_share_by_chance(spark, monkeypatch):
+    """Texts that each share passages with a few others, in one long chain, are no candidates; near copies among them are found."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(simhash, "LAST_SHINGLES", 0)  # as on a large table, of which the sample knows little
+    rng = np.random.default_rng(7)
+    passages = [" ".join(f"p{i}x{x}" for x in rng.integers(0, 10**9, 64)) for i in range(480)]
+    texts = []
+    for i in range(150):
+        own = [" ".join(f"w{x}" for x in rng.integers(0, 10**9, 256))]
+        texts.append(" ".join([*own, *[passages[(3 * i + k) % 450] for k in (0, 1, 2)], *[passages[(3 * (i + d) + d - 1) % 450] for d in (1, 2, 3)]]))
+    texts += [edited(texts[i].split(), 6, f"x{i}_") for i in range(0, 150, 10)]
+    assert kept(spark, texts) == brute_kept(texts) == list(range(150))
+    sizes = []
+    verified = simhash.verified
+
+    def spied(docs, parts, *how):
+        sizes.extend(r["count"] for r in parts.groupBy("component").agg(F.count("*").alias("count")).collect())
+        return verified(docs, parts, *how)
+
+    monkeypatch.setattr(simhash, "verified", spied)
+    kept(spark, texts)
+    assert sizes == [2] * 15
+
+
+def test_candidates_of_one_shingle():
+    """Of the sets that share a shingle, those within the radius are joined, in groups small and large, and no others."""
+    from statewalk.llm.blocks import Forest
+
+    rng = np.random.default_rng(8)
+    seeds = rng.integers(0, 1 << 63, (12, 4), dtype=np.uint64)
+    prints = np.repeat(seeds, 10, axis=0)
+    for row in prints:  # some 40 bits of 256 changed: a class is within the radius, mostly
+        for bit in rng.choice(256, 40, replace=False):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    prints[:30] = seeds[0]
+    for i in range(30):  # a chain: neighbours differ in 80 bits, others in more
+        for bit in range(80 * (i % 3)):
+            prints[i][bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    near = simhash.differing(prints[:, None], prints[None]) <= simhash.SET_RADIUS
+    groups = [rng.choice(len(prints), size, replace=False) for size in (120, 70, 33, 32, 20, 2, 5)]
+    for some in ([g] for g in groups), [groups[1:]], [groups[3:]]:
+        for chosen in some:
+            key = np.repeat(np.arange(len(chosen), dtype=np.uint64), [len(g) for g in chosen])
+            forest, want = Forest(len(prints)), Forest(len(prints))
+            simhash.join_near(forest, key, np.concatenate(chosen), prints)
+            for g in chosen:
+                a, b = np.nonzero(near[np.ix_(g, g)])
+                want.join(g[a], g[b])
+            every = np.arange(len(prints))
+            assert np.array_equal(forest.roots(every), want.roots(every))
